@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash, templates, token_files
+from . import fingerprints, langid, mixing, packing, simhash, templates, token_files
 from .tokens import public_path
 
 
@@ -47,7 +47,12 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fingerprints.compared(table(spark, sf_dir, "documents"))
+    return got.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_simhash_groups, op5_packing, op7_language_id, op8_mixing, op9_line_templates)
+    f.__name__: f for f in (op1_token_files, op2_simhash_groups, op5_packing, op7_language_id, op8_mixing, op9_line_templates, op10_fingerprints)
 }
 ORACLE_SQL: dict[str, str] = {}
