@@ -183,7 +183,8 @@ def read(manifest: DataFrame, most: int = 4 << 20) -> DataFrame:
                     )
                     first = last
 
-    spread = manifest.select("shard", "path", "start").repartition(F.col("shard"))
+    # a fixed number of tasks: by size, the few bytes of the manifest would all go to one
+    spread = manifest.select("shard", "path", "start").repartition(max(1, min(manifest.count(), 20_000)), "shard")
     return spread.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
 
 

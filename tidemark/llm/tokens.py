@@ -12,14 +12,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 LED = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: What the UTF-8 of WIDE_SPACE begins with; cheap to look for.
+WIDE_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 #: Remembered pieces; at this many the memory is emptied, which bounds it and changes no result.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level BPE writes bytes: printable ones stand for themselves, the rest follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
 class Encoder:
@@ -31,35 +39,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.letters = [byte_letters()[b] for b in range(256)]
         self.cut, self.known = cut, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def whole(self, text: bytes) -> bytes:
-        encoded = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False)
-        return np.array(encoded.ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        """A word of letters is one pre-token, so the model alone is asked; one mark after it is a pre-token of its own."""
+        text = piece.decode("utf-8", "replace")
+        led = self.cut == "led" and text[:1] == " "
+        body = text[1:] if led else text
+        if len(piece) <= LONGEST and body[-1:] in (".", ",") and body[:-1].isalpha() and (body.isascii() or self.normalizer is None):
+            return self.one(piece[:-1]) + self.one(piece[-1:])
+        if self.normalizer is not None and not (body.isascii() and body.islower()):
+            body = self.normalizer.normalize_str(body)
+        if len(piece) > LONGEST or not body.isalpha():
+            return self.whole(piece)
+        spelled = body if body.isascii() else "".join([self.letters[b] for b in body.encode()])
+        return array("I", [t.id for t in self.model.tokenize(self.letters[32] + spelled if led else spelled)]).tobytes()
+
+    def one(self, piece: bytes) -> bytes:
+        if (got := self.known.get(piece)) is None:
+            got = self.piece(piece)
+            if len(piece) <= LONGEST:
+                self.known[piece] = got
+        return got
 
     def ids(self, text: bytes) -> bytes:
         if self.cut == "words":
-            pieces = text.split()
-        elif WIDE_SPACE.search(text.decode("utf-8", "replace")):
+            pieces = text.lower().split()  # the tokenizer lowers letters anyway; A-Z may be lowered first
+        elif any(b in text for b in WIDE_BYTES) and WIDE_SPACE.search(text.decode("utf-8", "replace")):
             return self.whole(text)
         else:
             pieces = LED.findall(text)
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        extra = {}
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, got in zip(part, self.batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-                (known if len(piece) <= LONGEST else extra)[piece] = np.array(got.ids, "<u4").tobytes()
-        return b"".join([known[p] if p in known else extra[p] for p in pieces])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return b"".join(map(self.one, pieces))
 
 
 @lru_cache(maxsize=4)
