@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, simhash, templates, token_files
+from . import fingerprints, hamming_search, langid, lm_scoring, mixing, packing, simhash, substrings, templates, token_files
 from .tokens import public_path
 
 
@@ -25,11 +25,24 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=10)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), "led", 0)
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
@@ -53,6 +66,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_simhash_groups, op5_packing, op7_language_id, op8_mixing, op9_line_templates, op10_fingerprints)
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_simhash_groups, op3_substrings, op4_hamming_top_k, op5_packing,
+        op6_lm_scoring, op7_language_id, op8_mixing, op9_line_templates, op10_fingerprints,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_hamming_top_k": """
+        WITH pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id,
+                   list_sum(list_transform(generate_series(1, len(q.embedding)), i -> CASE WHEN (q.embedding[i] > 0) <> (c.embedding[i] > 0) THEN 1 ELSE 0 END)) AS distance
+            FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}
