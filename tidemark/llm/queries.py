@@ -77,7 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_hamming_top_k": """
         WITH pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id,
-                   list_sum(list_transform(generate_series(1, len(q.embedding)), i -> CASE WHEN (q.embedding[i] > 0) <> (c.embedding[i] > 0) THEN 1 ELSE 0 END)) AS distance
+                   list_sum(list_transform(generate_series(1, len(q.embedding)), lambda i: CASE WHEN (q.embedding[i] > 0) <> (c.embedding[i] > 0) THEN 1 ELSE 0 END)) AS distance
             FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
             WHERE q.vec_id % 50 = 0
         ), ranked AS (
