@@ -87,7 +87,7 @@ class MicroClusters:
     def update(self, days: DataFrame, at: str = "observation_date") -> None:
         """Learn from a slice, a DataFrame with FEATURES and a date or time."""
         d, known = len(FEATURES), self.centres()
-        rows = with_nearest(days, unit_archetypes(self.k)).withColumn("_new", F.col("_i") + len(known))
+        rows = with_nearest(days, unit_archetypes()).withColumn("_new", F.col("_i") + len(known))
         if known:
             rows = with_nearest(rows.drop("_i", "_far"), known)
             radius = F.get(F.array(*[F.lit(self._radius(i)) for i in range(len(known))]), F.col("_i"))
