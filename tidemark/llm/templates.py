@@ -7,9 +7,9 @@ share a template whatever the order in which they come, which lets the tree be b
 tokens for that have the one template of all their tokens.
 
 A template recurs if it is found in at least `min_docs` documents that are no copies of each other. Copies are told by a
-signature: the least hash of a document's long words, which near copies nearly always share and others hardly ever. So a
-template also needs `own_share` signatures for each of its documents; the lines of a text and its copies, which are for
-document deduplication to judge, stay.
+signature of what else the document has: the least hashes of the long words of its two longest other lines, which near copies
+nearly always share and others hardly ever. So a template also needs `own_share` signatures for each of its documents; the lines
+of a text and its copies, which are for document deduplication to judge, stay.
 
 Lines of recurring templates are dropped from all documents.
 
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, texts_of, written
+from .common import free, sliced, texts_of, written
 
 DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
@@ -63,10 +63,24 @@ def line_keys(line: bytes, s: Settings) -> tuple[int, ...]:
     return tuple(k - (1 << 64) if k >> 63 else k for k in keys)
 
 
-def signature(text: bytes) -> int:
-    words = set(text.split())
-    long = [w for w in words if len(w) > 7]
-    return min(map(crc32, long or words), default=0)
+def least_hash(line: bytes) -> int:
+    words = line.split()
+    return min(map(crc32, [w for w in words if len(w) > 7] or words), default=0)
+
+
+def keys_of(text: bytes, s: Settings) -> dict[int, int]:
+    """Template -> signature, for the first line that has the template."""
+    lines = text.split(b"\n")
+    # the three longest lines: of any line, two of them are others
+    longest = sorted(range(len(lines)), key=lambda i: -len(lines[i]))[:3]
+    least = {i: least_hash(lines[i]) for i in longest}
+    out: dict[int, int] = {}
+    for i, line in enumerate(lines):
+        for key in line_keys(line, s):
+            if key not in out:
+                other = [least[j] for j in longest if j != i][:2] or [least[i]]
+                out[key] = other[0] << 31 ^ other[-1]
+    return out
 
 
 def doc_templates(docs: DataFrame, s: Settings) -> DataFrame:
@@ -76,10 +90,10 @@ def doc_templates(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in sliced(batches):
             index, keys, signs = [], [], []
             for i, text in enumerate(texts_of(batch)):
-                own = {k for line in text.split(b"\n") for k in line_keys(line, s)}
+                own = keys_of(text, s)
                 index += [i] * len(own)
-                keys += own
-                signs += [signature(text)] * len(own)
+                keys += own.keys()
+                signs += own.values()
             at = pa.array(index, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(signs, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "row", "signature", "key"])
 
@@ -102,10 +116,11 @@ def dedup_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         return _without(docs, s, lambda: set(shared.value.tolist()), None)
     found = doc_templates(docs, s).join(keys, "key", "left_semi")
     # a document's own recurring templates: no more than it has lines
-    own = found.groupBy("doc_id", "row").agg(F.collect_set("key").alias("_keys"))
-    named = docs.withColumn("_row", F.xxhash64("text"))
-    joined = named.alias("d").join(own.alias("o"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("o.doc_id")) & (F.col("d._row") == F.col("o.row")), "left")
-    return _without(joined.select("d.*", "_keys").drop("_row"), s, lambda: None, "_keys")
+    mine, row = free(docs, "_keys", "_row")
+    own = found.groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
+    named = docs.withColumn(row, F.xxhash64("text"))
+    joined = named.alias("d").join(own.alias("o"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("o.doc_id")) & (F.col(f"d.{row}") == F.col("o.row")), "left")
+    return _without(joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("o.keys").alias(mine)), s, lambda: None, mine)
 
 
 def _without(docs: DataFrame, s: Settings, shared_keys, own_keys: str | None) -> DataFrame:
