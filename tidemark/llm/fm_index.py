@@ -1,15 +1,13 @@
 """A compressed full-text index over sequences of integers: a wavelet matrix over the Burrows-Wheeler transform, in numpy.
 
-Suffixes are sorted by their first 64 symbols (doubling the sorted depth from 1 to 64), which is enough for backward search of
-patterns up to that length. Queries run in lock step: one backward step for all of them is a few array operations a level.
+Suffixes are sorted by doubling the sorted depth until it covers a window, which is enough for backward search of patterns up to
+that length. Queries run in lock step: one backward step for all of them is a few array operations a level.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 64
-
 
 class WaveletMatrix:
     """Bit vectors from the highest bit down, each with counts of ones before every 64 bits."""
@@ -43,12 +41,14 @@ class FMIndex:
     """Of a text of symbols 0 (between sequences) to size - 1; `value` has a number for each place of the text."""
 
     def __init__(self, text: np.ndarray, size: int, value: np.ndarray, window: int):
-        if window > DEPTH:
-            raise ValueError(f"windows of more than {DEPTH} symbols need a deeper sort")
+        if window < 2:
+            raise ValueError("a window has two symbols or more")
         n = len(text)
-        rank, half, depth = text.astype(np.int32), None, 1
+        # half <= window - 1 and window <= 2 half, so that ranks at depth half tell prefixes of both lengths apart
+        half_depth = 1 << ((window - 1).bit_length() - 1)
+        rank, half, depth = text.astype(np.int32), text.astype(np.int32), 1
         order = None
-        while depth < DEPTH:
+        while depth < 2 * half_depth:
             after = np.zeros(n, np.int32)
             after[: n - depth] = rank[depth:]
             key = rank.astype(np.int64) * (int(rank.max(initial=0)) + 2) + after
@@ -57,7 +57,7 @@ class FMIndex:
             new = np.zeros(n, np.int32)
             new[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]], dtype=np.int32)
             rank, depth = new, depth * 2
-            if depth == DEPTH // 2:
+            if depth == half_depth:
                 half = rank
         self.n, self.window = n, window
         bwt = text[order - 1]
@@ -67,9 +67,9 @@ class FMIndex:
         self.shift = np.cumsum(counts) - counts - self.wavelet.place(every, np.zeros(size, np.int64))
 
         def same_prefix(k: int) -> np.ndarray:
-            """Whether a suffix and the one before it in order have the same first k symbols, k from 32 to 64."""
+            """Whether a suffix and the one before it in order have the same first k symbols, k being window or one less."""
             far = np.zeros(n, np.int32)
-            far[: n - (k - DEPTH // 2)] = half[k - DEPTH // 2 :] + 1
+            far[: n - (k - half_depth)] = half[k - half_depth :] + 1
             a, b = half[order], far[order]
             return np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
 
