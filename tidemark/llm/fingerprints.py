@@ -22,8 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 BINS, BITS, WIDTH, PROBES = 256, 4, 5, 16
 TAIL = 64 - 8  # bits below the bin number
 PER_LONG = 64 // BITS

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import free, n_words, written
 
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], most_epochs: int) -> dict[str | None, float]:
@@ -97,10 +97,11 @@ def _fill(placed: DataFrame, most_epochs: int) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that the mix takes, as often as it takes them, with all their columns, in ranges of the queue's order."""
-    plan = mix(docs, **options).select("doc_id", "row", "copies", "source_size", "target", "finish").filter("copies > 0")
-    plan = plan.dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "copies", (F.col("finish")).alias("_finish"), (F.col("source_size") / F.col("target")).alias("_lap"))
-    named = docs.withColumn("_row", F.xxhash64("text")).alias("n")
-    taken = named.join(plan.alias("p"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("n._row") == F.col("p._row")))
-    each = taken.select(*[F.col(f"n.{c}") for c in docs.columns], "_finish", "_lap", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_epoch"))
-    each = each.withColumn("_at", F.col("_finish") + F.coalesce(F.col("_lap"), F.lit(1.0)) * F.col("_epoch"))
-    return each.repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
+    row, at = free(docs, "_row", "_at")
+    plan = mix(docs, **options).filter("copies > 0").dropDuplicates(["doc_id", "row"]).alias("p")
+    named = docs.withColumn(row, F.xxhash64("text")).alias("n")
+    taken = named.join(plan, F.col("n.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & (F.col(f"n.{row}") == F.col("p.row")))
+    lap = F.coalesce(F.col("p.source_size") / F.col("p.target"), F.lit(1.0))
+    times = F.transform(F.sequence(F.lit(0), F.col("p.copies") - 1), lambda epoch: F.col("p.finish") + lap * epoch)
+    each = taken.select(*[F.col(f"n.`{c}`") for c in docs.columns], F.explode(times).alias(at))
+    return each.repartitionByRange(at).sortWithinPartitions(at).select(*docs.columns)

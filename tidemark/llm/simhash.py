@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, sliced, texts_of, written
+from .common import binaries, free, sliced, texts_of, written
 from .graph import components
 
 #: For each byte, its bits as eight byte-wide counters in one 64-bit lane.
@@ -298,9 +298,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = known.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k"))
     lowest = F.lit(-(1 << 63)).cast("long")
-    kept = kept.select(F.coalesce("k.doc_id", lowest).alias("_id"), F.col("k.row").alias("_row")).distinct()
-    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), lowest), "_row": F.xxhash64("text")})
-    stay = named.join(kept, ["_id", "_row"], "left_semi")
+    id_, row, n = free(docs, "_id", "_row", "_first")
+    kept = kept.select(F.coalesce("k.doc_id", lowest).alias(id_), F.col("k.row").alias(row)).distinct()
+    named = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), lowest), row: F.xxhash64("text")})
+    stay = named.join(kept, [id_, row], "left_semi")
     # the join has dealt the rows out by these two columns and sorted them, so that this needs no shuffle of its own
-    first = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_row"))
-    return stay.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(id_, row).orderBy(row))
+    return stay.withColumn(n, first).filter(F.col(n) == 1).select(*docs.columns)

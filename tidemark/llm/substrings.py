@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, sliced, texts_of, written
+from .common import binaries, free, sliced, texts_of, written
 from .fm_index import FMIndex
 
 NOTHING = (1 << 63) - 1
@@ -185,17 +185,21 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def remove(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """`docs` and n_words, n_removed, kept (the kept words joined by one space), spans (removed stretches of words, end exclusive)."""
-    own = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept", "spans", "_found")]
+    """`docs` and n_words, n_removed, kept (the kept words joined by one space), spans (removed stretches of words, end exclusive).
+
+    Columns of `docs` that have one of these names give way to them.
+    """
+    own = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept", "spans")]
     names = [f.name for f in own]
-    named = docs.select(*names).withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.xxhash64("text")})
-    found = repeats(docs, s).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("found").alias("_found"))
-    joined = named.join(found, ["_id", "_row"], "left").select(*names, "_id", "_found")
+    id_, row, spots = free(docs, "_id", "_row", "_found")
+    named = docs.select(*names).withColumns({id_: F.col("doc_id").cast("long"), row: F.xxhash64("text")})
+    found = repeats(docs, s).select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("found").alias(spots))
+    joined = named.join(found, [id_, row], "left").select(*names, id_, spots)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             totals, removed, kept, spans = [], [], [], []
-            for doc_id, text, found in zip(batch.column("_id").to_pylist(), texts_of(batch), batch.column("_found").to_pylist()):
+            for doc_id, text, found in zip(batch.column(id_).to_pylist(), texts_of(batch), batch.column(spots).to_pylist()):
                 words, mine = text.split(), []
                 if found:
                     cover = np.zeros(len(words) + 1, np.int64)
