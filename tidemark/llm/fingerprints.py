@@ -67,11 +67,14 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     filled = F.transform(_ints(list(range(BINS))), bin_value)
     df = df.select(*kept, filled.alias("_f"))
     low = F.lit((1 << BITS) - 1).cast("long")
-    packed = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS // PER_LONG - 1)),
-        lambda j: F.aggregate(F.slice("_f", j * PER_LONG + 1, PER_LONG), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x.bitwiseAND(low))),
-    )
-    return df.select(*kept, packed.alias(name))
+
+    def packed(j: int) -> Column:
+        part = F.slice("_f", j * PER_LONG + 1, PER_LONG)
+        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, BITS).bitwiseOR(x.bitwiseAND(low)))
+
+    # one expression for each integer: a single one with _f inside a lambda would work _f out anew for each
+    packed_all = F.array(*[packed(j) for j in range(BINS // PER_LONG)])
+    return df.select(*kept, packed_all.alias(name))
 
 
 def as_text(packed: str) -> Column:
