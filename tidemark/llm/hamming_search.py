@@ -1,13 +1,15 @@
 """Exact top-k search by Hamming distance over binary codes: incremental multi-index hashing.
 
-A code has one bit per dimension (1 where it is above zero), cut into segments of 16 bits. The index has a row for each segment
-of each distinct code. In round r every open query asks each segment for the values at exactly r flips; after it, every code
-within m (r + 1) - 1 of the query has been met, m being the number of segments, for one that no segment finds differs by r + 1
-or more in each. A query closes when k verified neighbours lie within that radius, and only open queries go on.
+A code has one bit per dimension (1 where it is above zero), cut into segments of 16 bits; four segments are kept in one long. The
+index has a row for each segment of each distinct code. In round r every open query asks each segment for the values at exactly r
+flips; after it, every code within m (r + 1) - 1 of the query has been met, m being the number of segments, for one that no segment
+finds differs by r + 1 or more in each. A query closes when k verified neighbours lie within that radius, and only open queries go on.
 
 A pair is taken up in the one round and segment where it is met first, which is worked out from the two codes, so nothing has
-to be made distinct. Codes that many rows share are one row of the index with their k + 1 least ids, found by a window that
-cuts groups short before they are shuffled; so neither a common code nor its ties make a large group.
+to be made distinct; it is kept if it is no farther than the query's k-th so far. Asks are very many small rows: they hold the value
+and the query's code alone, and are joined by sorting, as Spark's estimate of what an explode makes would have them broadcast.
+Codes that many rows share are one row of the index with their k + 1 least ids, found by a window that cuts groups short before they
+are shuffled; so neither a common code nor its ties make a large group.
 
 Cases: rows without an embedding or id are neither queries nor neighbours; null components count as not above zero, shorter
 embeddings as if filled up so; ties go by id; a row is no neighbour of itself, but a repeated row is one of the other; tables with
@@ -24,61 +26,76 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 16
+PER_LONG = 64 // BITS
 
 
 def codes(vectors: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, int]:
-    """id and s0, s1, ...: the code in segments of 16 bits."""
+    """id and w0, w1, ...: the code in longs; and the number of segments."""
     rows = vectors.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
     dims = rows.agg(F.max(F.size(vector))).collect()[0][0] or 1
     m = max(1, -(-dims // BITS))
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.transform(vector, lambda x: F.when(x > 0, 1).otherwise(0)).alias("b"))
+    rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("_v"))
 
-    def segment(j: int) -> Column:
-        return sum(F.coalesce(F.get("b", F.lit(j * BITS + i)), F.lit(0)) * (1 << i) for i in range(BITS)).cast("int")
+    def word(k: int) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(min(64, m * BITS - 64 * k)):
+            out = out.bitwiseOR(F.when(F.get("_v", F.lit(64 * k + i)) > 0, F.lit((1 << i) - ((1 << 64) if i == 63 else 0))).otherwise(F.lit(0).cast("long")))
+        return out
 
-    return rows.select("id", *[segment(j).alias(f"s{j}") for j in range(m)]), m
+    return rows.select("id", *[word(k).alias(f"w{k}") for k in range(-(-m // PER_LONG))]), m
+
+
+def segment(word: Column, j: int) -> Column:
+    return F.shiftrightunsigned(word, BITS * (j % PER_LONG)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+
+
+def segment_keys(m: int) -> Column:
+    """(segment's number, its value) as one integer, for each segment."""
+    return F.array(*[(segment(F.col(f"w{j // PER_LONG}"), j) + (j << BITS)).cast("int") for j in range(m)])
 
 
 def apart(j: int) -> Column:
-    return F.bit_count(F.col(f"q.s{j}").bitwiseXOR(F.col(f"c.s{j}")))
+    return F.bit_count(segment(F.col(f"q.w{j // PER_LONG}").bitwiseXOR(F.col(f"c.w{j // PER_LONG}")), j))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), neighbour_id, distance. `is_query` is over the column `id`."""
     rows, m = codes(vectors, id_column, vector)
-    segs = [f"s{j}" for j in range(m)]
+    words = [c for c in rows.columns if c != "id"]
+    asking = [f"q{w}" for w in words]
     rows = written(rows, "codes")
-    least = F.row_number().over(Window.partitionBy(*segs).orderBy("id"))
-    members = written(rows.withColumn("i", least).filter(F.col("i") <= k + 1).select(*segs, "id"), "members")
+    least = F.row_number().over(Window.partitionBy(*words).orderBy("id"))
+    members = written(rows.withColumn("i", least).filter(F.col("i") <= k + 1).select(*words, "id"), "members")
     total = members.count()
-    classes = members.groupBy(*segs).agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    index = classes.select("*", F.posexplode(F.array(*segs)).alias("j", "v"))
-    index = written(index, "segment-index")
-    queries = written(rows.filter(is_query).select("id", *segs), "queries")
-    asked = [F.col(s).alias(f"a{j}") for j, s in enumerate(segs)]
-    open_ = queries.select(*segs).distinct()
+    classes = members.groupBy(*words).agg(F.count("*").cast("int").alias("n"), F.min("id").alias("least"))
+    index = written(classes.select("*", F.explode(segment_keys(m)).alias("key")), "segment-index")
+    queries = written(rows.filter(is_query).select("id", *words), "queries")
+    farthest = 64 * len(words)
+    open_ = queries.select(*words).distinct().withColumn("bound", F.lit(farthest))
     found = None
     for r in range(BITS + 1):
         flips = F.array(*[F.lit(sum(1 << i for i in c)) for c in combinations(range(BITS), r)])
-        asks = open_.select("*", F.posexplode(F.array(*segs)).alias("j", "own")).select("*", F.explode(flips).alias("f"))
-        asks = asks.withColumn("v", F.col("own").bitwiseXOR(F.col("f"))).drop("own", "f")
-        met = asks.alias("q").join(index.alias("c"), ["j", "v"])
+        asks = open_.select("*", F.explode(segment_keys(m)).alias("own")).select(*words, "bound", "own", F.explode(flips).alias("f"))
+        asks = asks.select(*words, "bound", F.col("own").bitwiseXOR(F.col("f")).alias("key"))
+        met = asks.alias("q").join(index.hint("merge").alias("c"), "key")
         # taken up where it is met first: no segment is closer than this one, and none before it as close
         first = F.lit(True)
         for j in range(m):
-            first = first & F.when(F.col("j") > j, apart(j) > r).otherwise(apart(j) >= r)
-        met = met.filter(first).select(*[F.col(f"q.{s}").alias(f"a{j}") for j, s in enumerate(segs)], *[F.col(f"c.{s}") for s in segs], "n", "least", sum(apart(j) for j in range(m)).alias("distance"))
-        asking = [f"a{j}" for j in range(m)]
-        met = met if found is None else found.unionByName(met)
+            first = first & F.when(F.col("key") >= (j + 1) << BITS, apart(j) > r).otherwise(apart(j) >= r)
+        distance = sum(F.bit_count(F.col(f"q.{w}").bitwiseXOR(F.col(f"c.{w}"))) for w in words)
+        met = met.filter((distance <= F.col("q.bound")) & first).select(*[F.col(f"q.{w}").alias(a) for w, a in zip(words, asking)], *[F.col(f"c.{w}") for w in words], "n", "least", distance.cast("int").alias("distance"))
+        met = met if found is None else met.unionByName(found)
         rank = F.row_number().over(Window.partitionBy(*asking).orderBy("distance", "least"))
         found = written(met.withColumn("_r", rank).filter(F.col("_r") <= k + 1).drop("_r"), "found")
         within = F.sum(F.when(F.col("distance") <= m * (r + 1) - 1, F.col("n")).otherwise(0))
-        done = found.groupBy(*asking).agg(within.alias("w"), F.sum("n").alias("all")).filter((F.col("w") >= k + 1) | (F.col("all") >= total))
-        open_ = written(queries.select(*asked).distinct().join(done, asking, "left_anti").select(*[F.col(f"a{j}").alias(s) for j, s in enumerate(segs)]), "open-queries")
+        bound = F.when(F.count("*") > k, F.max("distance")).otherwise(farthest)
+        so_far = found.groupBy(*asking).agg(within.alias("w"), F.sum("n").alias("all"), bound.alias("bound"))
+        going = so_far.filter((F.col("w") < k + 1) & (F.col("all") < total))
+        open_ = written(going.select(*[F.col(a).alias(w) for w, a in zip(words, asking)], "bound"), "open-queries")
         if open_.isEmpty():
             break
-    named = queries.select(F.col("id").alias("query_id"), *asked).join(found.drop("n", "least"), asking)
-    each = named.join(members, segs).filter(F.col("id") != F.col("query_id"))
+    named = queries.select(F.col("id").alias("query_id"), *[F.col(w).alias(a) for w, a in zip(words, asking)]).join(found.drop("n", "least"), asking)
+    each = named.join(members, words).filter(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     best = each.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias("neighbour_id"), F.col("distance").cast("int").alias("distance"))
