@@ -155,3 +155,13 @@ def test_progress_follows_what_matters():
     assert a.progress_id() != Config(stream_pattern=("blizzard", "temperature"), input_topics=("x", "y"), blizzard_year=2024).progress_id()
     assert Config(application_id="mine").progress_id() == "mine"
     assert not Config(stream_pattern=("maritime-routing",)).needs_stations and Config().needs_stations
+
+
+def test_keys(spark):
+    from tidemark.functions.keys import as_key, parse_key
+
+    row = spark.range(1).select(as_key(F.lit("010010-99999"), F.lit("2025-03-27").cast("date")).alias("k"), as_key(F.lit("a"), F.lit(None).cast("string")).alias("none"))
+    got = row.select("k", "none", parse_key(F.col("k"), station="string", day="date").alias("p")).first()
+    assert (got.k, got.none, got.p.station, got.p.day) == ("010010-99999|2025-03-27", None, "010010-99999", date(2025, 3, 27))
+    with pytest.raises(Exception, match="no key of 2 parts"):
+        spark.range(1).select(parse_key(F.lit("alone"), a="string", b="date").alias("p")).collect()

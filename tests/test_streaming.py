@@ -95,3 +95,23 @@ def test_brokers_need_their_connector(spark):
     assert keyed.key == A and '"v":1.0' in keyed.value
     with pytest.raises(Exception, match="(?i)kafka"):
         read_topics(spark, "localhost:1", ["a"])
+
+
+def test_from_a_landing_folder(spark, tmp_path, monkeypatch):
+    """The command line: files land, are parsed and end in tables; a second run takes only what is new."""
+    import gzip
+
+    from tests.test_sources import LINE, history
+    from tidemark.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "stations.txt").write_text(history("010010", "99999", "JAN MAYEN", "NO") + "\n")
+    monkeypatch.setenv("STREAM_PATTERN", "temperature,wet-dry-period")
+    for n, code in (("a", "AA106001231"), ("b", "AA199999999")):
+        with gzip.open(tmp_path / "in" / f"{n}-2025.gz", "wt") as f:
+            f.write(LINE.replace("AA199999999", code).replace("202503271100", "202503271100" if n == "a" else "202503271200") + "\n")
+        main(str(tmp_path / "in"), str(tmp_path / "stations.txt"), str(tmp_path / "out"))
+    daily = dicts(UpsertTable(str(tmp_path / "out" / "daily_station_average"), KEYS["daily_station_average"]).read(spark))
+    assert [(r["station_id"], r["avg_temperature_celsius"], r["sample_count"]) for r in daily] == [("010010-99999", -6.5, 2)]
+    wet = dicts(UpsertTable(str(tmp_path / "out" / "wet_period_events"), KEYS["wet_period_events"]).read(spark))
+    assert [(r["duration_minutes"], r["precipitation_observation_count"]) for r in wet] == [(60, 1)]
