@@ -5,8 +5,9 @@ between marks) the hashed 2-, 3- and 4-grams of its characters. A linear softmax
 and softmax are trained together by stochastic gradient descent in numpy. A held-back part of the training sample sets the
 temperature of the softmax and the score below which a text is rejected.
 
-Training uses at most `per_language` documents of each language, those with the least hash of doc_id; tasks turn them into
-feature counts, so that what reaches the driver is bounded by per_language x languages x buckets. As the model is linear,
+Training uses about `per_language` documents of each language, all if it has no more: those whose hash of doc_id lies in the share
+that makes as many. Tasks turn them into feature counts, so that what reaches the driver is bounded by per_language x languages x
+buckets, whatever the size of the table. As the model is linear,
 a bucket's embedding is folded into one logit per language, and a word's logits are worked out once per worker.
 
 Cases: a null text or one without a letter is `und` with score 0 and is rejected; so is every text if nothing could be learned.
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced
@@ -113,15 +114,14 @@ def split(text: str) -> list[str]:
 def training_rows(docs: DataFrame, learn_from: Column, s: Settings) -> DataFrame:
     """lang, fold, buckets, counts of the bounded sample."""
     labelled = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = labelled.select(F.col("lang").alias("lang"), F.xxhash64("doc_id", F.lit(s.seed)).alias("_h"))
-    # at most per_language hashes a language: a bounded table
-    least = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("n") <= s.per_language)
-    bound = {r["lang"]: r["top"] for r in least.groupBy("lang").agg(F.max("_h").alias("top")).collect()}
-    if not bound:
+    # one number a language; rows are counted where they are, so that a common language is no large group
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return labelled.select("lang", F.lit(0).alias("fold"), F.lit(None).cast("array<int>").alias("b"), F.lit(None).cast("array<int>").alias("c")).limit(0)
+    place = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
     in_sample = F.lit(False)
-    for lang, top in bound.items():
-        in_sample = in_sample | ((F.col("lang") == lang) & (F.col("_h") <= top))
+    for lang, n in counts.items():
+        in_sample = in_sample | ((F.col("lang") == lang) & (place < s.per_language / n))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
