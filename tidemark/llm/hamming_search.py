@@ -18,6 +18,7 @@ k rows or fewer give all there are; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 16
+#: Asks that one task makes, about; few bytes of queries make very many asks.
+ASKS_PER_TASK = 2_000_000
 PER_LONG = 64 // BITS
 
 
@@ -71,11 +74,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     index = written(classes.select("*", F.explode(segment_keys(m)).alias("key")), "segment-index")
     queries = written(rows.filter(is_query).select("id", *words), "queries")
     farthest = 64 * len(words)
-    open_ = queries.select(*words).distinct().withColumn("bound", F.lit(farthest))
+    open_ = written(queries.select(*words).distinct().withColumn("bound", F.lit(farthest)), "open-queries")
     found = None
     for r in range(BITS + 1):
         flips = F.array(*[F.lit(sum(1 << i for i in c)) for c in combinations(range(BITS), r)])
-        asks = open_.select("*", F.explode(segment_keys(m)).alias("own")).select(*words, "bound", "own", F.explode(flips).alias("f"))
+        waiting = open_.count()
+        if found is not None and not waiting:
+            break
+        spread = open_.repartition(max(1, math.ceil(waiting * m * math.comb(BITS, r) / ASKS_PER_TASK)))
+        asks = spread.select("*", F.explode(segment_keys(m)).alias("own")).select(*words, "bound", "own", F.explode(flips).alias("f"))
         asks = asks.select(*words, "bound", F.col("own").bitwiseXOR(F.col("f")).alias("key"))
         met = asks.alias("q").join(index.hint("merge").alias("c"), "key")
         # taken up where it is met first: no segment is closer than this one, and none before it as close
@@ -92,8 +99,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
         so_far = found.groupBy(*asking).agg(within.alias("w"), F.sum("n").alias("all"), bound.alias("bound"))
         going = so_far.filter((F.col("w") < k + 1) & (F.col("all") < total))
         open_ = written(going.select(*[F.col(a).alias(w) for w, a in zip(words, asking)], "bound"), "open-queries")
-        if open_.isEmpty():
-            break
     named = queries.select(F.col("id").alias("query_id"), *[F.col(w).alias(a) for w, a in zip(words, asking)]).join(found.drop("n", "least"), asking)
     each = named.join(members, words).filter(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
