@@ -196,10 +196,20 @@ def fit(rows: list[tuple[str, int, np.ndarray, np.ndarray]], s: Settings) -> Mod
     return Model(languages, table * heat, np.asarray(bias, np.float64) * heat, threshold)
 
 
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, where each list begins and the last ends) without a Python object for each value."""
+    parts = [chunk for chunk in column.chunks if len(chunk)]
+    values = [p.flatten().to_numpy() for p in parts]
+    sizes = [np.diff(p.offsets.to_numpy()) for p in parts]
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+    return (np.concatenate(values) if values else np.zeros(0, np.int32)), ends
+
+
 def train(docs: DataFrame, learn_from: Column, s: Settings = Settings()) -> Model:
     got = training_rows(docs, learn_from, s).toArrow()
-    rows = [(a, f, np.array(b, np.int64), np.array(c, np.float64)) for a, f, b, c in zip(*(got.column(k).to_pylist() for k in ("lang", "fold", "b", "c")))]
-    return fit(rows, s)
+    (b, at), (c, _) = flat(got.column("b")), flat(got.column("c"))
+    langs, folds = got.column("lang").to_pylist(), got.column("fold").to_pylist()
+    return fit([(lang, fold, b[i:j], c[i:j]) for lang, fold, i, j in zip(langs, folds, at[:-1], at[1:])], s)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
