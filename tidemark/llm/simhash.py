@@ -11,6 +11,8 @@ variants of 64 bits would be too many rows, so the flips are made within masks:
 * `keep`: each mask keeps one block alone. All pairs within m (2k + 1) - 1 meet, most pairs a little beyond too, and keys are
   short; this is for radii at which whole balls would be too large.
 
+No radius of these says what the Jaccard similarity is, so `keep_one` goes another way: see `alike`.
+
 Rows that share a key are brought together by one shuffle of (key, fingerprint) rows over distinct fingerprints. Within a key,
 colliding pairs are verified on all bits and only a spanning forest of those that hold is passed on: at most one row for each
 fingerprint of the key, never all its pairs. Keys shared by more than `wide` fingerprints are not compared pair by pair: see
@@ -23,7 +25,7 @@ component unless all are null; repeated rows each get a row; an empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -269,12 +271,7 @@ def links(keys: DataFrame, words: int, radius: int, wide: int = 256) -> DataFram
 
 
 def groups(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 36, blocks: int = 8, cover: str = "keep", flips: int = 1) -> DataFrame:
-    """doc_id, row, fp, component_id: the smallest doc_id that can be reached over links of at most `radius` differing bits.
-
-    The defaults are for a Jaccard similarity of 0.8 or more over five-word shingles. Sets that similar, if of like size, have a
-    cosine of about 0.89, at which a bit differs with probability 0.15: 29 of 192 on average. Radius 36 takes in nine tenths of
-    such pairs and nearly all above 0.85, and eight blocks of 24 bits let over nine tenths of them meet.
-    """
+    """doc_id, row, fp, component_id: the smallest doc_id that can be reached over links of at most `radius` differing bits."""
     if cover == "erase" and radius > 2 * flips + 1:
         raise ValueError("with cover='erase', the radius is at most twice the flips and one")
     fps = written(fingerprints(docs, width, words), "fingerprints")
@@ -289,12 +286,152 @@ def groups(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 36, bl
     return fps.join(of, "fp").select("doc_id", "row", "fp", "component_id")
 
 
+def alike_keys(text: bytes, width: int, words: int, bands: int, rows: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Of a text's distinct shingles: node (SimHash and a hash of the set), one key for each band of min-hashes, sorted hashes."""
+    parts = list(shingle_hashes(text, width))
+    own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    total, least = np.zeros((words, 64), np.int64), np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(own), 8192):
+        h = own[at : at + 8192]
+        least = np.minimum(least, (h[:, None] * _odd(bands * rows)).min(0))
+        for k in range(words):
+            if k:
+                h = (h ^ (h >> np.uint64(29))) * MIX[k % 2] + MIX[(k + 1) % 2]
+                h ^= h >> np.uint64(32)
+            total[k] += votes(h)
+    bits = np.packbits((2 * total > len(own))[:, ::-1], axis=1).tobytes()
+    mixed = (own ^ (own >> np.uint64(31))) * MIX[1]
+    whole = (mixed ^ (mixed >> np.uint64(33))).sum(dtype=np.uint64)
+    keys = np.zeros(bands, np.uint64)
+    for row in least.reshape(bands, rows).T:
+        keys = (keys ^ row ^ (row >> np.uint64(32))) * MIX[0]
+    return bits + int(whole).to_bytes(8, "big"), keys ^ np.arange(bands, dtype=np.uint64) * MIX[1], own
+
+
+@cache
+def _odd(n: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
+
+
+def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning tree of least distances."""
+    n = len(fps)
+    near, via, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, bool)
+    a, b, at = [], [], 0
+    for _ in range(n - 1):
+        out[at] = True
+        d = np.bitwise_count(fps ^ fps[at]).sum(1, dtype=np.int64)
+        less = (d < near) & ~out
+        near[less], via[less] = d[less], at
+        at = int(np.argmin(np.where(out, 1 << 31, near)))
+        a.append(via[at])
+        b.append(at)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def candidates(keys: DataFrame, words: int, radius: int, few: int = 24, leaders: int = 64, most: int = 512) -> DataFrame:
+    """(key, node) -> distinct pairs (a, b) to be checked.
+
+    Up to `few` nodes of a key: all pairs within the radius. More: a spanning tree of least distances, so that a cut at any
+    distance leaves the groups of single linkage. Beyond `most` nodes the key goes by in runs, each with the key's first
+    `leaders` nodes; what such a run parts can meet under the other bands, where its neighbours are others.
+    """
+
+    def pairs(nodes: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        fps = np.array([np.frombuffer(x, "<u8", words) for x in nodes])
+        if len(nodes) <= few:
+            i, j = np.triu_indices(len(nodes), 1)
+        else:
+            i, j = _tree(fps)
+        ok = _near(fps, i, j, radius)
+        for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+            yield (nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[bytes, bytes]] = set()
+        key, first, run = None, [], []
+
+        def flush() -> None:
+            if len(first) + len(run) > 1:
+                seen.update(pairs(first + run))
+
+        def out() -> pa.RecordBatch:
+            a, b = zip(*seen)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([binaries(list(a)), binaries(list(b))], names=["a", "b"])
+
+        for batch in batches:
+            for k, node in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist()):
+                if k != key:
+                    flush()
+                    key, first, run = k, [], []
+                elif len(first) + len(run) >= most:
+                    flush()
+                    first, run = first or run[:leaders], []
+                run.append(node)
+            if len(seen) > 1 << 16:
+                yield out()
+        flush()
+        if seen:
+            yield out()
+
+    # the order within a key starts at another byte of the SimHash for each key
+    turned = F.substring("node", F.pmod("key", F.lit(8 * words)).cast("int") + 1, 8)
+    return keys.repartition("key").sortWithinPartitions("key", turned, "node").mapInArrow(task, "a binary, b binary").distinct()
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str, most: int = 256) -> DataFrame:
+    """`pairs` with the set of one side; a node of more than `most` pairs is dealt out by the hash of the other side."""
+    other = "b" if side == "a" else "a"
+    asked = pairs.groupBy(F.col(side).alias("node")).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = sets.join(asked, "node").select("node", "parts", F.col("set").alias(name), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    many = asked.filter("parts > 1").select(F.col("node").alias(side), "parts")
+    own = pairs.join(many, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return own.join(dealt.withColumnRenamed("node", side).drop("parts"), [side, "part"]).drop("part")
+
+
+def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, bands: int = 20, rows: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, row, fp, component_id: the smallest doc_id that can be reached over pairs of Jaccard similarity 4/5 or more.
+
+    The similarity is that of the sets of shingles, and every link is checked on the sets themselves. Pairs meet if the min-hashes
+    of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. Hashes of 64 bits stand for shingles. SimHash orders what has met;
+    the radius is seven deviations above the mean distance at 0.8.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, most=1 << 20):
+            nodes, keys, own = zip(*(alike_keys(t, width, words, bands, rows) for t in texts_of(batch)))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), binaries(list(nodes)), each, sets], names=["doc_id", "row", "node", "keys", "set"])
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
+    all_ = written(plain.mapInArrow(task, "doc_id long, row long, node binary, keys array<long>, set array<long>"), "shingles")
+    # equal sets are one node; each of its rows has the same keys and the same set
+    distinct = all_.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    distinct = written(distinct, "nodes")
+    keyed = distinct.select(F.explode("keys").alias("key"), "node")
+    pairs = written(candidates(keyed, words, radius), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = written(all_.join(ends, "node", "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
+    both = _beside(_beside(pairs, sets, "a", "sa"), sets, "b", "sb")
+    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    edges = both.filter(shared * (share[0] + share[1]) >= total * share[0]).select("a", "b")
+    labels = components(edges, "node", "label")
+    of = distinct.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    of = written(of, "labels")
+    smallest = of.groupBy("label").agg(F.min("least").alias("component_id"))
+    of = of.join(smallest, "label").select("node", "component_id")
+    return all_.join(of, "node").select("doc_id", "row", F.col("node").alias("fp"), "component_id")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Of each group one row stays, with all its columns: that of the smallest doc_id, and of the smallest text hash if ids tie.
 
     A row without doc_id stays if its group has no doc_id at all. Of rows that repeat both doc_id and text one stays.
     """
-    known = groups(docs, **options)
+    known = alike(docs, **options)
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
     kept = known.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k"))
     lowest = F.lit(-(1 << 63)).cast("long")
