@@ -6,10 +6,12 @@ lets the others vary, one keeps those at odd places. Lines of a leaf that differ
 share a template whatever the order in which they come, which lets the tree be built by counting alone. Lines with too few
 tokens for that have the one template of all their tokens.
 
-A template recurs if it is found in at least `min_docs` documents that are no copies of each other. Copies are told by a
-signature of what else the document has: the least hashes of the long words of its two longest other lines, which near copies
-nearly always share and others hardly ever. So a template also needs `own_share` signatures for each of its documents; the lines
-of a text and its copies, which are for document deduplication to judge, stay.
+A template recurs if it is found in at least `min_docs` documents that are no copies of each other. Copies are told by the document
+as a whole: documents with the same three-word shingles are one, and those that meet under a band of min-hashes and whose SimHashes
+(192 bits) are within `radius`, about six tenths of all their shingles, are linked; what is linked counts once, however large the
+group. So a template of very many copies still recurs if enough other documents have it, and a block of lines that is shorter than
+the rest of its documents doesn't make them look alike. The lines of a text and its copies, which are for document deduplication to
+judge, stay.
 
 Lines of recurring templates are dropped from all documents.
 
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free, sliced, texts_of, written
+from .graph import components
+from .simhash import alike_keys, candidates
 
 DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
@@ -39,7 +43,8 @@ FIELD = b"<*>"
 @dataclass(frozen=True)
 class Settings:
     min_docs: int = 5
-    own_share: float = 0.4
+    own_share: float = 0.0  # signatures that a template needs for each of its documents: none, as copies count once
+    radius: int = 44
     min_tokens: int = 3
     depth: int = 2
     broadcast_keys: int = 1 << 20  # up to so many recurring templates (8 bytes each) are broadcast; beyond, they are joined
@@ -69,7 +74,7 @@ def least_hash(line: bytes) -> int:
 
 
 def keys_of(text: bytes, s: Settings) -> dict[int, int]:
-    """Template -> signature, for the first line that has the template."""
+    """Template -> signature of the longest other lines, for the first line that has the template: what the tests count by."""
     lines = text.split(b"\n")
     # the three longest lines: of any line, two of them are others
     longest = sorted(range(len(lines)), key=lambda i: -len(lines[i]))[:3]
@@ -84,28 +89,46 @@ def keys_of(text: bytes, s: Settings) -> dict[int, int]:
 
 
 def doc_templates(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, row, signature, key: each template of a document once."""
+    """doc_id, row, key: each template of a document once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            index, keys, signs = [], [], []
+            index, keys = [], []
             for i, text in enumerate(texts_of(batch)):
-                own = keys_of(text, s)
+                own = {k for line in text.split(b"\n") for k in line_keys(line, s)}
                 index += [i] * len(own)
-                keys += own.keys()
-                signs += own.values()
+                keys += own
             at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(signs, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "row", "signature", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(keys, pa.int64())], names=["doc_id", "row", "key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, row long, signature long, key long")
+    return rows.mapInArrow(task, "doc_id long, row long, key long")
+
+
+def _nodes(docs: DataFrame, s: Settings, bands: int = 12, rows: int = 4) -> DataFrame:
+    """node, bands, keys: of each text, what tells its copies and its templates."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = texts_of(batch)
+            nodes, own, _ = zip(*(alike_keys(t, 3, 3, bands, rows) for t in texts))
+            keys = [list({k for line in t.split(b"\n") for k in line_keys(line, s)}) for t in texts]
+            each = [k.view(np.int64) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(each, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands", "keys"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "node binary, bands array<long>, keys array<long>")
 
 
 def recurring(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The keys of recurring templates. Both counts are pre-aggregated, so a template of very many documents is no hot spot."""
-    by_sign = doc_templates(docs, s).groupBy("key", "signature").agg(F.count("*").alias("n"))
-    counts = by_sign.groupBy("key").agg(F.count("*").alias("signs"), F.sum("n").alias("docs"))
-    return counts.filter((F.col("signs") >= s.min_docs) & (F.col("signs") >= s.own_share * F.col("docs"))).select("key")
+    """The keys of recurring templates. Counts are pre-aggregated, so a template of very many documents is no hot spot."""
+    nodes = written(_nodes(docs, s), "texts")
+    found = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    often = found.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
+    found = written(found.join(often, "key", "left_semi"), "found")
+    keyed = nodes.select(F.explode("bands").alias("key"), "node").distinct()
+    groups = written(components(candidates(keyed, 3, s.radius), "node", "label"), "copies")
+    by_group = found.join(groups, "node", "left").select("key", F.coalesce("label", "node").alias("label")).distinct()
+    return by_group.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
 
 
 def dedup_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
