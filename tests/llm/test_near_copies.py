@@ -73,3 +73,11 @@ def test_documents_below_the_threshold_stay(spark):
     near = {i for p, j in alike.items() if j >= 0.8 for i in p}
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS)).collect()}
     assert {i for i in range(600) if i not in near} <= kept
+
+
+def test_each_component_keeps_one_though_ids_tie_or_lack(spark):
+    a, b, c = (words(i, 100, 100000) for i in (1, 2, 3))
+    near = lambda w: " ".join([*w, "tail"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (None, " ".join(c)), (None, near(c))]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.text[:20]) for r in kept) == sorted([(7, rows[0][1][:20]), (7, rows[1][1][:20]), (0, rows[4][1][:20])])

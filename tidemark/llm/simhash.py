@@ -391,7 +391,9 @@ def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str, most: int =
 
 
 def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, bands: int = 20, rows: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, row, fp, component_id: the smallest doc_id that can be reached over pairs of Jaccard similarity 4/5 or more.
+    """doc_id, row, fp, label, component_id: the smallest doc_id that can be reached over pairs of Jaccard similarity 4/5 or more.
+
+    Components whose smallest doc_id is the same differ in label.
 
     The similarity is that of the sets of shingles, and every link is checked on the sets themselves. Pairs meet if the min-hashes
     of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. Hashes of 64 bits stand for shingles. SimHash orders what has met;
@@ -422,8 +424,8 @@ def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, ban
     of = distinct.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of = written(of, "labels")
     smallest = of.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = of.join(smallest, "label").select("node", "component_id")
-    return all_.join(of, "node").select("doc_id", "row", F.col("node").alias("fp"), "component_id")
+    of = of.join(smallest, "label").select("node", "label", "component_id")
+    return all_.join(of, "node").select("doc_id", "row", F.col("node").alias("fp"), "label", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -432,8 +434,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     A row without doc_id stays if its group has no doc_id at all. Of rows that repeat both doc_id and text one stays.
     """
     known = alike(docs, **options)
-    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-    kept = known.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k"))
+    kept = known.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k"))
     lowest = F.lit(-(1 << 63)).cast("long")
     id_, row, n = free(docs, "_id", "_row", "_first")
     kept = kept.select(F.coalesce("k.doc_id", lowest).alias(id_), F.col("k.row").alias(row)).distinct()
