@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import clashing, documents, frame, key, split
-from tidemark.llm import fingerprints, fm_index, hamming_search, packing, queries, simhash, substrings, templates, token_files
+from tidemark.llm import fingerprints, fm_index, hamming_search, packing, queries, simhash, substrings, token_files
 from tidemark.llm.common import fresh_path
 from tidemark.llm.tokens import public_path
 
@@ -22,7 +22,6 @@ def tokens_of(path, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_path(path))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -53,7 +52,7 @@ def test_token_files(spark):
 
 
 def test_odd_white_space_and_special_strings(spark):
-    texts = ["a b", "x\x1cy z", "<|endoftext|> is text", "don't  STOP\r\n\r\n now!!", "é é ſ ﬁ İ", "1,234.5 a.b,c", "日本語 テキスト", " lead", "tab\tand\x0bvt\x0cff ", "🙂🙂 ok", "A" * 70 + "."]
+    texts = ["a b", "x\x1cy z", "<|endoftext|> is text", "don't  STOP\r\n\r\n now!!", "é é ſ ﬁ İ", "1,234.5 a.b,c", "日本語 テキスト", " lead", "tab\tand\x0bvt\x0cff ", "🙂🙂 ok", "A" * 70 + ".", "some <|endoftext|> and <|STARTOFTEXT|><|endoftext|>text"]
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
     for path, cut, query in (("word_bpe_49k.json", "words", None), ("byte_bpe_50k.json", "led", None)):
         from tidemark.llm.tokens import Encoder
@@ -299,10 +298,10 @@ def test_packing(spark):
 
 
 def test_packing_places_by_sums_of_squares():
-    """Each placement is the one that leaves the least sum of squared counts; few open windows are allowed too."""
+    """Each placement is the one that leaves the least sum of squared counts."""
     rng = np.random.default_rng(4)
-    packer = packing.Packer(16, 0, 1000)
-    n, ids = 0, 0
+    packer = packing.Packer(16, 0)
+    ids = 0
     for i in range(400):
         size = int(rng.integers(1, 16))
         counts = packer.n.copy()
@@ -317,50 +316,35 @@ def test_packing_places_by_sums_of_squares():
             options[h] = int((after[1:16] ** 2).sum())
         packer.add(i, bytes(4 * size))
         assert int((packer.n[1:16] ** 2).sum()) == min(options.values())
-        n, ids = n + 1, ids + size
-    packer.relay(True)
-    assert sum(r[2] for r in packer.rows) == ids and not packer.n.any()
-    tight = packing.Packer(16, 0, 2)
-    for i in range(400):
-        tight.add(i, bytes(4 * int(rng.integers(1, 40))))
-        assert tight.waiting <= 2 * 16
-    tight.relay(True)
-
-
-# 9: line templates
-
-
-def template_brute(rows, s):
-    docs = {}
-    for i, (d, text, *_) in enumerate(rows):
-        for k, sign in templates.keys_of((text or "").encode(), s).items():
-            docs.setdefault(k, []).append(sign)
-    return {k for k, v in docs.items() if len(set(v)) >= s.min_docs and len(set(v)) >= s.own_share * len(v)}
+        ids += size
+    packer.join()
+    assert all(not packer.n[a] or not packer.n[16 - a] or a == 8 for a in range(1, 16))
+    packer.relay()
+    assert sum(r[2] for r in packer.rows) == ids and not packer.n.any() and packer.waiting == 0
 
 
-def split_lines(text):
-    return (text or "").encode().split(b"\n")
-
-
-@pytest.mark.parametrize("most", [1 << 20, 0])
-def test_line_templates(spark, most):
-    s = templates.Settings(broadcast_keys=most)
-    rows = [(d, f"{t}\nCopyright 20{i:02d} by Example Corp number {i * 7}\nshort line\n" if t is not None and i % 2 else t, a, b, 0) for i, (d, t, a, b, _) in enumerate(ROWS)]
-    rows += [(500 + i, f"the same text in every copy here\nCopyright 2030 by Example Corp number {i}", "en", "a", 0) for i in range(9)]
-    got = templates.dedup_lines(clashing(spark, rows), s)
-    keys = template_brute(rows, s)
-    assert keys
-    want = []
-    for d, text, *_ in rows:
-        lines = split_lines(text) if text else []
-        stay = [x for x in lines if not any(k in keys for k in templates.line_keys(x, s))]
-        kept = None if text is None else (b"\n".join(stay) if len(stay) < len(lines) else text.encode()).decode()
-        want.append((d, kept, len(lines), len(lines) - len(stay)))
-    out = got.collect()
-    assert key([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out]) == key(want)
-    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out if r.n_dropped) and all(r._row == "own _row" and r._keys == "own _keys" for r in out)
-    assert not any("Example Corp" in (r.text or "") for r in out)
-    assert sum("the same text in every copy" in (r.text or "") for r in out) == 9  # lines of copies are for document dedup to judge
+def test_nine_of_ten_short_documents_are_placed_whole():
+    """Ten thousand documents dealt to 32 tasks: what they leave open is placed by the rule in the second pass."""
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(np.exp(rng.normal(6, 1.3, 10_000)).astype(int) + 1, 20_000)
+    rows = []
+    for task in range(32):
+        packer = packing.Packer(1024, task << 36)
+        for i in range(task, len(lengths), 32):
+            packer.add(i, bytes(4 * lengths[i]))
+        packer.put_off()
+        rows += packer.rows
+    last = packing.Packer(1024, 1 << 62)
+    for r in rows:
+        if r[5] is None:
+            last.place((r[0], r[1], r[3], r[4]))
+    last.join()
+    last.relay()
+    pieces = [r for r in rows if r[5] is not None] + last.rows
+    assert sum(r[2] for r in pieces) == lengths.sum()
+    parts = np.bincount([r[0] for r in pieces], minlength=len(lengths))
+    short = lengths < 1024
+    assert (parts[short] == 1).mean() >= 0.9
 
 
 # 10: fingerprints

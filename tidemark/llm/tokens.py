@@ -6,6 +6,9 @@ runs once per piece and worker rather than once per occurrence. The cuts are exa
 * "words": the tokenizer drops white space, so a text's ids are those of its words, one after the other;
 * "led": a pre-token may begin with white space but has none after its first other character, so a text may be cut before
   every run of white space. Texts with white space outside ASCII are encoded in one go.
+
+Strings of special tokens (`<|endoftext|>`) in a text become those tokens, as in the library's plain call, and such texts are encoded
+in one go; with `special_as_text` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """ids(text) gives the ids of UTF-8 bytes as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.lower().encode() if self.tokenizer.normalizer is not None else t.encode() for t in added]
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.letters = [byte_letters()[b] for b in range(256)]
         self.cut, self.known = cut, {}
@@ -69,8 +74,11 @@ class Encoder:
         return got
 
     def ids(self, text: bytes) -> bytes:
+        lowered = text.lower() if self.normalizer is not None else text  # the tokenizer lowers letters anyway; A-Z may be lowered first
+        if any(x in lowered for x in self.special):
+            return self.whole(text)
         if self.cut == "words":
-            pieces = text.lower().split()  # the tokenizer lowers letters anyway; A-Z may be lowered first
+            pieces = lowered.split()
         elif any(b in text for b in WIDE_BYTES) and WIDE_SPACE.search(text.decode("utf-8", "replace")):
             return self.whole(text)
         else:
@@ -85,9 +93,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cut: str) -> Encoder:
+def encoder(path: str, cut: str, special_as_text: bool = False) -> Encoder:
     """One encoder per worker process."""
-    return Encoder(path, cut)
+    return Encoder(path, cut, special_as_text)
 
 
 def public_path(name: str) -> str:
