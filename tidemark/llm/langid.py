@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import mapped, sliced
 
 #: Words that a worker remembers; emptied when full, which changes no result.
 REMEMBERED = 300_000
@@ -136,7 +136,7 @@ def training_rows(docs: DataFrame, learn_from: Column, s: Settings) -> DataFrame
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("lang", pa.string()), ("fold", pa.int64()), ("b", pa.list_(pa.int32())), ("c", pa.list_(pa.int32()))]))
 
     sample = labelled.withColumn("_h", F.xxhash64("doc_id", F.lit(s.seed))).filter(in_sample)
-    return sample.select("lang", "_h", "text").mapInArrow(task, "lang string, fold long, b array<int>, c array<int>")
+    return mapped(sample.select("lang", "_h", "text"), task, "lang string, fold long, b array<int>, c array<int>")
 
 
 def fit(rows: list[tuple[str, int, np.ndarray, np.ndarray]], s: Settings) -> Model:
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     own = docs.drop("lang_pred", "score", "rejected")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields] + [added])
-    return own.mapInArrow(task, schema)
+    return mapped(own, task, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, free, sliced, texts_of, written
+from .common import binaries, free, mapped, sliced, texts_of, written
 from .graph import components
 
 #: For each byte, its bits as eight byte-wide counters in one 64-bit lane.
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), binaries(fps)], names=["doc_id", "row", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, row long, fp binary")
+    return mapped(rows, task, "doc_id long, row long, fp binary")
 
 
 def masks(words: int, blocks: int, cover: str) -> list[np.ndarray]:
@@ -140,7 +140,7 @@ def ball_keys(fps: DataFrame, words: int, blocks: int, cover: str, flips: int) -
                     index = pa.array(np.repeat(np.arange(len(part)), keys.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.take(index)], names=["key", "fp"])
 
-    return fps.select("fp").mapInArrow(task, "key long, fp binary")
+    return mapped(fps.select("fp"), task, "key long, fp binary")
 
 
 def _near(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
@@ -267,7 +267,7 @@ def links(keys: DataFrame, words: int, radius: int, wide: int = 256) -> DataFram
         if len(held) > 1:
             yield from out(held_keys, held)
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(task, "a binary, b binary").distinct()
+    return mapped(keys.repartition("key").sortWithinPartitions("key"), task, "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 36, blocks: int = 8, cover: str = "keep", flips: int = 1) -> DataFrame:
@@ -377,7 +377,7 @@ def candidates(keys: DataFrame, words: int, radius: int, few: int = 24, leaders:
 
     # the order within a key starts at another byte of the SimHash for each key
     turned = F.substring("node", F.pmod("key", F.lit(8 * words)).cast("int") + 1, 8)
-    return keys.repartition("key").sortWithinPartitions("key", turned, "node").mapInArrow(task, "a binary, b binary").distinct()
+    return mapped(keys.repartition("key").sortWithinPartitions("key", turned, "node"), task, "a binary, b binary").distinct()
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str, most: int = 256) -> DataFrame:
@@ -409,7 +409,7 @@ def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, ban
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), binaries(list(nodes)), each, sets], names=["doc_id", "row", "node", "keys", "set"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    all_ = written(plain.mapInArrow(task, "doc_id long, row long, node binary, keys array<long>, set array<long>"), "shingles")
+    all_ = written(mapped(plain, task, "doc_id long, row long, node binary, keys array<long>, set array<long>"), "shingles")
     # equal sets are one node; each of its rows has the same keys and the same set
     distinct = all_.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
     distinct = written(distinct, "nodes")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, free, sliced, texts_of, written
+from .common import binaries, free, mapped, sliced, texts_of, written
 from .fm_index import FMIndex
 
 NOTHING = (1 << 63) - 1
@@ -101,7 +101,7 @@ def all_runs(docs: DataFrame, s: Settings) -> DataFrame:
                 names=["key", "doc_id", "row", "start", "n"],
             )
 
-    return _rows(docs).filter("doc_id is not null").mapInArrow(task, "key long, doc_id long, row long, start long, n long")
+    return mapped(_rows(docs).filter("doc_id is not null"), task, "key long, doc_id long, row long, start long, n long")
 
 
 def segments(docs: DataFrame, s: Settings) -> DataFrame:
@@ -125,7 +125,7 @@ def segments(docs: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k in ("segment", "words") else pa.int64()) for k, v in out.items()], names=list(out))
 
     texts = _rows(docs).join(own, ["doc_id", "row"])
-    return written(texts.mapInArrow(task, "key long, segment binary, words binary, doc_id long, row long, start long, n long"), "segments")
+    return written(mapped(texts, task, "key long, segment binary, words binary, doc_id long, row long, start long, n long"), "segments")
 
 
 def _search(table: pa.Table, s: Settings) -> pa.Table:
@@ -224,4 +224,4 @@ def remove(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             )
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own] + ["n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>"])
-    return joined.mapInArrow(task, schema)
+    return mapped(joined, task, schema)

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, sliced, texts_of, written
+from .common import fresh_path, mapped, sliced, texts_of, written
 from .tokens import encoder
 
 MAGIC, BLOCK = b"TMIDS001", 4096
@@ -152,7 +152,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, cut: str, end_id: int) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    manifest = written(dealt.mapInArrow(shard, MANIFEST), "manifest")
+    manifest = written(mapped(dealt, shard, MANIFEST), "manifest")
     # one row per shard, so one task is enough
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("start", F.coalesce(before, F.lit(0)))
@@ -185,7 +185,7 @@ def read(manifest: DataFrame, most: int = 4 << 20) -> DataFrame:
 
     # a fixed number of tasks: by size, the few bytes of the manifest would all go to one
     spread = manifest.select("shard", "path", "start").repartition(max(1, min(manifest.count(), 20_000)), "shard")
-    return spread.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(spread, docs, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, cut: str, end_id: int) -> DataFrame:
