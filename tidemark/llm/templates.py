@@ -1,22 +1,27 @@
 """Line deduplication with a log-template tree of fixed depth.
 
-A line goes down a tree: first by its number of tokens, then by its first `depth` tokens, tokens with a digit counting as the
-variable field <*>. In the leaf, the tokens that follow are generalised by halves: one template keeps those at even places and
-lets the others vary, one keeps those at odd places. Lines of a leaf that differ in one field, or in several on one side, so
-share a template whatever the order in which they come, which lets the tree be built by counting alone. Lines with too few
-tokens for that have the one template of all their tokens.
+A line goes down the tree by its number of tokens, then by its two leading tokens, then by what else is kept of it in the leaf. A
+token with a digit is always the variable field <*>. Any other token, a leading one too, may vary as well; so a line goes down
+several paths, each of which keeps some places and has <*> at the others:
 
-A template recurs if it is found in at least `min_docs` documents that are no copies of each other. Copies are told by the document
-as a whole: documents with the same three-word shingles are one, and those that meet under a band of min-hashes and whose SimHashes
-(192 bits) are within `radius`, about six tenths of all their shingles, are linked; what is linked counts once, however large the
-group. So a template of very many copies still recurs if enough other documents have it, and a block of lines that is shorter than
-the rest of its documents doesn't make them look alike. The lines of a text and its copies, which are for document deduplication to
-judge, stay.
+* fewer than `short` tokens: one path that keeps all places;
+* fewer than `long` tokens: for each place a path that lets it vary;
+* `few` tokens or more: eight paths, in pairs that share out the places by halves: first and last, even and odd, by twos, and
+  first by twos against last by twos. Wherever any two fields stand, and wherever a run of fields within a half of the line
+  stands, some path keeps clear of them.
 
-Lines of recurring templates are dropped from all documents.
+Lines of one path have its kept tokens in common. A path recurs if at least `min_docs` documents that are no copies of each other go
+down it. A line's template is the union of what its recurring paths keep; the line is dropped if that is at least `share` of its
+places, with a letter among them if there is a field. Counting paths needs no order of lines and no group of lines in one place.
+
+Copies are told by the document as a whole: one-permutation min-hashes of its five-word shingles in `bands` of `rows`. Documents
+that meet under a band take the least document that they meet as their label, and its label in turn, twice over; documents of
+similarity 0.8 meet with 0.98 directly, in a group of copies almost always. A label counts once, however large its group, so copies
+neither make a template nor hide one. A block of lines that is less than the rest of its documents doesn't make them alike.
 
 Cases: a null text stays null; an empty text stays empty; line ends are kept for the lines that stay; empty lines stay; rows
-that repeat count as copies; an empty table gives no rows; all other columns are kept, and n_chars is brought up to date.
+that repeat are copies; an empty table gives no rows; all other columns are kept, and n_chars is brought up to date. Columns n_lines
+and n_dropped give way to those added.
 """
 
 from __future__ import annotations
@@ -24,6 +29,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -32,133 +40,171 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, sliced, texts_of, written
-from .graph import components
-from .simhash import alike_keys, candidates
+from .common import free, mapped, sliced, texts_of, written
 
 DIGIT = re.compile(rb"[0-9]")
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 FIELD = b"<*>"
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 @dataclass(frozen=True)
 class Settings:
     min_docs: int = 5
-    own_share: float = 0.0  # signatures that a template needs for each of its documents: none, as copies count once
-    radius: int = 44
-    min_tokens: int = 3
-    depth: int = 2
-    broadcast_keys: int = 1 << 20  # up to so many recurring templates (8 bytes each) are broadcast; beyond, they are joined
+    share: float = 0.6
+    short: int = 4
+    few: int = 6
+    long: int = 8
+    bands: int = 10
+    rows: int = 5
+    shingle: int = 5
+    broadcast_keys: int = 1 << 20  # up to so many recurring paths (8 bytes each) are broadcast; beyond, they are joined
+
+
+@cache
+def kept_places(n: int, s: Settings) -> tuple[tuple[int, ...], ...]:
+    """The places that each path of a line of n tokens keeps."""
+    every = range(n)
+    if n < s.short:
+        return (tuple(every),)
+    out = [tuple(i for i in every if i != gone) for gone in every] if n < s.long else []
+    if n >= s.few:
+        for side in (lambda i: 2 * i >= n, lambda i: i & 1, lambda i: i >> 1 & 1, lambda i: (2 * i >= n) ^ (i >> 1 & 1)):
+            out += [tuple(i for i in every if not side(i)), tuple(i for i in every if side(i))]
+    return tuple(out)
+
+
+@cache
+def _getters(n: int, s: Settings) -> tuple:
+    return tuple((itemgetter(*p) if len(p) > 1 else lambda t, i=p[0]: (t[i],), n << 8 | k) for k, p in enumerate(kept_places(n, s)) if p)
+
+
+def tokens_of(line: bytes) -> list[bytes]:
+    tokens = line.split()
+    return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
-def line_keys(line: bytes, s: Settings) -> tuple[int, ...]:
-    """The templates of a line, as signed 64-bit hashes."""
+def path_keys(tokens: list[bytes], s: Settings) -> list[int]:
+    """A 64-bit number for each path of the line, in the order of `kept_places`."""
     from xxhash import xxh64_intdigest
 
-    tokens = line.split()
-    n = len(tokens)
-    if n < s.min_tokens:
-        return ()
-    if DIGIT.search(line):
-        tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
-    if n - s.depth < 4:
-        keys = (xxh64_intdigest(b" ".join(tokens), seed=n),)
-    else:
-        lead = b"%d %b" % (n, b" ".join(tokens[: s.depth]))
-        keys = (xxh64_intdigest(lead + b"\0e" + b" ".join(tokens[s.depth :: 2])), xxh64_intdigest(lead + b"\0o" + b" ".join(tokens[s.depth + 1 :: 2])))
-    return tuple(k - (1 << 64) if k >> 63 else k for k in keys)
-
-
-def least_hash(line: bytes) -> int:
-    words = line.split()
-    return min(map(crc32, [w for w in words if len(w) > 7] or words), default=0)
-
-
-def keys_of(text: bytes, s: Settings) -> dict[int, int]:
-    """Template -> signature of the longest other lines, for the first line that has the template: what the tests count by."""
-    lines = text.split(b"\n")
-    # the three longest lines: of any line, two of them are others
-    longest = sorted(range(len(lines)), key=lambda i: -len(lines[i]))[:3]
-    least = {i: least_hash(lines[i]) for i in longest}
-    out: dict[int, int] = {}
-    for i, line in enumerate(lines):
-        for key in line_keys(line, s):
-            if key not in out:
-                other = [least[j] for j in longest if j != i][:2] or [least[i]]
-                out[key] = other[0] << 31 ^ other[-1]
-    return out
-
-
-def doc_templates(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, row, key: each template of a document once."""
+    return [xxh64_intdigest(b" ".join(get(tokens)), seed=k) for get, k in _getters(len(tokens), s)] if tokens else []
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            index, keys = [], []
-            for i, text in enumerate(texts_of(batch)):
-                own = {k for line in text.split(b"\n") for k in line_keys(line, s)}
-                index += [i] * len(own)
-                keys += own
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(keys, pa.int64())], names=["doc_id", "row", "key"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, row long, key long")
+def is_template(tokens: list[bytes], recurs: list[bool], s: Settings) -> bool:
+    places = set(chain.from_iterable(p for p, yes in zip(kept_places(len(tokens), s), recurs) if yes))
+    if len(places) < s.share * len(tokens):
+        return False
+    words = [tokens[i] for i in places if tokens[i] != FIELD]
+    return bool(words) and (len(words) == len(tokens) or any(LETTER.search(w) for w in words))
+
+
+def band_keys(text: bytes, s: Settings) -> np.ndarray:
+    """One number for each band of the least shingle hashes of `bands` x `rows` bins; bins without a shingle take the next one's."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    codes = np.fromiter(map(crc32, words), np.uint64, len(words))
+    width = min(s.shingle, len(codes))
+    h = np.zeros(len(codes) - width + 1, np.uint64)
+    for k in range(width):
+        h = h * MIX[0] + codes[k : k + len(h)] + np.uint64(1)
+    h = (h ^ (h >> np.uint64(31))) * MIX[1]
+    h ^= h >> np.uint64(29)
+    bins = s.bands * s.rows
+    least = np.full(bins, ~np.uint64(0))
+    np.minimum.at(least, ((h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64), h)
+    full = np.flatnonzero(least != ~np.uint64(0))
+    if len(full) < bins:
+        at = np.searchsorted(full, np.arange(bins)) % len(full)
+        least = least[full[at]] + ((full[at] - np.arange(bins)) % bins).astype(np.uint64) * MIX[1]
+    keys = np.arange(s.bands, dtype=np.uint64)
+    for row in least.reshape(s.bands, s.rows).T:
+        keys = (keys ^ row ^ (row >> np.uint64(32))) * MIX[0]
+    return keys.view(np.int64)
+
 
+def signed(keys: list[int]) -> np.ndarray:
+    return np.array(keys, np.uint64).view(np.int64)
 
-def _nodes(docs: DataFrame, s: Settings, bands: int = 12, rows: int = 4) -> DataFrame:
-    """node, bands, keys: of each text, what tells its copies and its templates."""
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
+def document_paths(docs: DataFrame, s: Settings) -> DataFrame:
+    """node (hash of the text), bands, keys: what tells a text's copies, and its paths, each once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts = texts_of(batch)
-            nodes, own, _ = zip(*(alike_keys(t, 3, 3, bands, rows) for t in texts))
-            keys = [list({k for line in t.split(b"\n") for k in line_keys(line, s)}) for t in texts]
-            each = [k.view(np.int64) for k in own]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(each, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands", "keys"])
+            bands, keys = [], []
+            for text in texts_of(batch):
+                bands.append(band_keys(text, s))
+                keys.append(signed(list({k for line in text.split(b"\n") for k in path_keys(tokens_of(line), s)})))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(bands), _lists(keys)], names=["node", "bands", "keys"])
+
+    return mapped(docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text")), task, "node long, bands array<long>, keys array<long>")
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "node binary, bands array<long>, keys array<long>")
+
+def copy_labels(texts: DataFrame) -> DataFrame:
+    """node, label: the least node met under a band, and from there twice on. Rows are small and counted where they are first."""
+    met = texts.select(F.explode("bands").alias("band"), "node").distinct()
+    least = met.groupBy("band").agg(F.min("node").alias("least"))
+    labels = written(met.join(least, "band").groupBy("node").agg(F.min("least").alias("label")), "labels")
+    for _ in range(2):
+        on = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        labels = labels.join(on, F.col("label") == F.col("at"), "left").select("node", F.coalesce("next", "label").alias("label"))
+    return labels
 
 
 def recurring(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The keys of recurring templates. Counts are pre-aggregated, so a template of very many documents is no hot spot."""
-    nodes = written(_nodes(docs, s), "texts")
-    found = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    often = found.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
-    found = written(found.join(often, "key", "left_semi"), "found")
-    keyed = nodes.select(F.explode("bands").alias("key"), "node").distinct()
-    groups = written(components(candidates(keyed, 3, s.radius), "node", "label"), "copies")
-    by_group = found.join(groups, "node", "left").select("key", F.coalesce("label", "node").alias("label")).distinct()
-    return by_group.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
+    """The keys of recurring paths. Counts are pre-aggregated, so a path of very many documents is no hot spot."""
+    texts = written(document_paths(docs, s), "paths")
+    each = texts.select("node", F.explode("keys").alias("key"))
+    often = each.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
+    found = written(each.join(often, "key", "left_semi").distinct(), "found")
+    by_label = found.join(copy_labels(texts), "node").select("key", "label").distinct()
+    return by_label.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
 
 
 def dedup_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """`docs` with the lines of recurring templates dropped, and n_lines, n_dropped."""
     keys = written(recurring(docs, s), "templates")
     if keys.count() <= s.broadcast_keys:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.collect()], np.int64)))
-        return _without(docs, s, lambda: set(shared.value.tolist()), None)
-    found = doc_templates(docs, s).join(keys, "key", "left_semi")
-    # a document's own recurring templates: no more than it has lines
-    mine, row = free(docs, "_keys", "_row")
-    own = found.groupBy("doc_id", "row").agg(F.collect_set("key").alias("keys"))
-    named = docs.withColumn(row, F.xxhash64("text"))
-    joined = named.alias("d").join(own.alias("o"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("o.doc_id")) & (F.col(f"d.{row}") == F.col("o.row")), "left")
-    return _without(joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("o.keys").alias(mine)), s, lambda: None, mine)
-
-
-def _without(docs: DataFrame, s: Settings, shared_keys, own_keys: str | None) -> DataFrame:
+        return _without(docs, s, np.sort(keys.toArrow().column("key").to_numpy()), None)
+    # a document's own recurring paths: a few for each of its lines
+    mine, node = free(docs, "_keys", "_node")
+    own = document_paths(docs, s).select("node", F.explode("keys").alias("key")).distinct().join(keys, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    own = own.select(F.col("node").alias(node), F.col("keys").alias(mine))
+    return _without(docs.withColumn(node, F.xxhash64("text")).join(own, node, "left").drop(node), s, None, mine)
+
+
+def _without(docs: DataFrame, s: Settings, shared: np.ndarray | None, own_keys: str | None) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name not in (own_keys, "n_lines", "n_dropped")]
     names = [f.name for f in kept]
+    sent = None if shared is None else docs.sparkSession.sparkContext.broadcast(shared)
+
+    def found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+        if not len(among):
+            return np.zeros(len(keys), bool)
+        return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop = shared_keys()
         for batch in sliced(batches):
             texts, totals, dropped = batch.column("text").cast(pa.binary()).to_pylist(), [], []
-            each = batch.column(own_keys).to_pylist() if own_keys else None
+            each = batch.column(own_keys) if own_keys else None
             for i, text in enumerate(texts):
-                own = set(each[i] or ()) if each else drop
                 lines = text.split(b"\n") if text else []
-                stay = [x for x in lines if not any(k in own for k in line_keys(x, s))] if own else lines
+                among = sent.value if sent else np.sort(np.array(each[i].as_py() or [], np.int64))
+                stay = lines
+                if lines and len(among):
+                    tokens = [tokens_of(line) for line in lines]
+                    keys = [path_keys(t, s) for t in tokens]
+                    recurs = found(signed(list(chain.from_iterable(keys))), among)
+                    if recurs.any():
+                        ends = np.cumsum([len(k) for k in keys])
+                        stay = [x for x, t, k, e in zip(lines, tokens, keys, ends.tolist()) if not (k and (r := recurs[e - len(k) : e]).any() and is_template(t, r.tolist(), s))]
                 totals.append(len(lines))
                 dropped.append(len(lines) - len(stay))
                 if len(stay) < len(lines):
@@ -170,4 +216,4 @@ def _without(docs: DataFrame, s: Settings, shared_keys, own_keys: str | None) ->
             yield pa.RecordBatch.from_arrays([columns[c] for c in names] + [pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_lines long, n_dropped long"])
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(task, schema)
+    return mapped(docs.withColumn("text", F.col("text").cast("string")), task, schema)
