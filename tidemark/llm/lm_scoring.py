@@ -1,14 +1,24 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained on the corpus.
 
-The network predicts each word from the two before it and the two after it: embeddings, one tanh layer, and a softmax in two
-steps, over classes of words and over the words of the class, classes being ranges of the frequency order. A document's score is
-the sum over all its words of log P(word | both sides).
+Each word is predicted from the two before it and the two after it. What the network predicts is the word's unit: embeddings, one
+tanh layer, and a softmax in two steps, over classes of units and over the units of the class. Frequent words are units of their
+own; the others share places, a word's place being certain from its last letters. Within a place words have their share of the
+place's count over the whole corpus, less what the scored document itself gave; unseen words share what Witten and Bell leave
+them, a part for each different word of the place, by a bigram model of bytes learned from all different words. So
 
-The vocabulary is the most frequent words of the corpus, counted over all documents; other words share hashed places, a word's
-place being certain from its spelling. Training sees every document: of each, every `mask`-th word, from an offset drawn by its
-hash, is masked and predicted. Tasks train copies of the network on their own rows by SGD from the same start, and the copies are
-averaged by the number of words that each has seen; this is done `rounds` times. The average is a sum over rows of parameters, so
-what reaches the driver is one network, whatever the number of tasks.
+    log P(word | both sides) = log P(unit | both sides) + log P(word | place)
+
+and a document's score is the sum over all its words. Of any place, known words and the unseen part add up to 1; the spelled
+share of a word is over all strings, those of other places too, so unseen words get somewhat less than all of theirs.
+
+The corpus is read once and written as chunks: word numbers, two bytes each, and the chunk's different words. Word counts are a
+table with a row for each different word, which is joined to the chunks for scoring. The number of units grows with the cube
+root of the number of words, so that the copies that tasks train are a fixed share of the input or less at any size.
+
+Training starts from the unigram distribution and has `rounds` rounds; round r masks every position at r modulo `rounds`, so each
+position of the corpus is predicted once. Tasks train copies by Adagrad on their own chunks; the copies are averaged by the number of
+positions that each has seen. More and smaller tasks average more and learn less each. The average is a sum over rows of
+parameters, so what reaches the driver is one network, whatever the number of tasks.
 
 Cases: a null or empty text has no words, score 0 and a null mean; repeated rows each get a row; an empty table gives no rows (and
 an untrained network); other columns are ignored.
@@ -16,7 +26,7 @@ an untrained network); other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -26,222 +36,326 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, texts_of
+from .common import mapped, sliced, texts_of, written
 
 LANE = 64  # parameters in a row when copies are averaged
+CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<long>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    classes: int = 32
-    per_class: int = 32
-    hashed: int = 64  # places that words outside the vocabulary share
     side: int = 2
-    dim: int = 16
-    hidden: int = 32
-    mask: int = 8
-    rounds: int = 2
-    batch: int = 64
-    rate: float = 1.5
+    dim: int = 12
+    hidden: int = 24
+    rounds: int = 4
+    batch: int = 4096
+    rate: float = 0.1
+    growth: float = 2.0  # classes for the sixth root of the number of words; as many units in each
+    least: int = 8  # classes
+    tail: int = 3  # last bytes of a word that tell its place
+    chunk_words: int = 500_000
+    chunk_different: int = 60_000
     seed: int = 3
 
+    def classes(self, words: int) -> int:
+        return max(self.least, round(self.growth * words ** (1 / 6)))
+
+
+@dataclass
+class Model:
+    settings: Settings
+    classes: int
+    top: dict[bytes, int]  # frequent words, each a unit of its own
+    n: np.ndarray  # words of each place
+    types: np.ndarray  # different words of each place
+    spelled: np.ndarray  # log P(byte | byte before), 256 x 256; a word begins and ends with a line feed
+    flat: np.ndarray
+
     @property
-    def size(self) -> int:
-        return self.classes * self.per_class
+    def places(self) -> int:
+        return len(self.n)
+
+    def units(self, words: list[bytes]) -> np.ndarray:
+        first, tail = self.classes**2 - self.places, self.settings.tail
+        return np.array([self.top[w] if w in self.top else first + crc32(w[-tail:]) % self.places for w in words], np.int64)
+
+    def spelling(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        code = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8)
+        steps = self.spelled[code[:-1], code[1:]]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        return np.add.reduceat(steps, np.r_[0, ends[:-1]])
 
 
-def shapes(s: Settings) -> list[tuple[int, ...]]:
-    wide = 2 * s.side * s.dim
-    return [(s.size + 1, s.dim), (wide, s.hidden), (s.hidden,), (s.hidden, s.classes), (s.classes,), (s.classes, s.hidden, s.per_class), (s.classes, s.per_class)]
+def shapes(classes: int, s: Settings) -> list[tuple[int, ...]]:
+    return [(classes**2 + 1, s.dim), (2 * s.side * s.dim, s.hidden), (s.hidden,), (s.hidden, classes), (classes,), (classes, s.hidden, classes), (classes, classes)]
 
 
-def unflatten(flat: np.ndarray, s: Settings) -> list[np.ndarray]:
+def unflatten(flat: np.ndarray, classes: int, s: Settings) -> list[np.ndarray]:
     out, at = [], 0
-    for shape in shapes(s):
-        n = int(np.prod(shape))
+    for shape in shapes(classes, s):
+        n = math.prod(shape)
         out.append(flat[at : at + n].reshape(shape))
         at += n
     return out
 
 
-def start(s: Settings) -> np.ndarray:
+def start(counts: np.ndarray, classes: int, s: Settings) -> np.ndarray:
+    """A network that gives each unit its share of the corpus, whatever is around."""
     rng = np.random.default_rng(s.seed)
-    parts = [rng.normal(0, 0.1 if len(shape) > 1 else 0.0, shape) for shape in shapes(s)]
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+    flat = np.zeros(sum(map(math.prod, shapes(classes, s))), np.float32)
+    emb, w1, _, _, bc, _, bw = unflatten(flat, classes, s)
+    emb[:] = rng.normal(0, 0.3, emb.shape)
+    w1[:] = rng.normal(0, 0.3, w1.shape)
+    share = counts.reshape(classes, classes) + 0.5
+    bc[:] = np.log(share.sum(1) / share.sum())
+    bw[:] = np.log(share / share.sum(1, keepdims=True))
+    return flat
+
+
+def powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z), but for a factor that all rows share, and its sums by row."""
+    e = np.exp(z - z.max(initial=0))
+    return e, e @ np.ones(e.shape[1], e.dtype) + np.float32(1e-30)
 
 
 def soft(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    e, total = powers(z)
+    e *= (1 / total)[:, None]
+    return e
 
 
-def ids_of(text: bytes, vocabulary: dict[bytes, int], s: Settings) -> np.ndarray:
-    """Word ids; 1 + id is the row of the embedding, row 0 being what lies outside the document."""
-    first = s.size - s.hashed
-    words = text.lower().split()
-    return np.array([vocabulary[w] if w in vocabulary else first + crc32(w) % s.hashed for w in words], np.int64)
+def log_soft(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+    e, total = powers(z)
+    return np.log((e[np.arange(len(z)), which] + np.float32(1e-30)) / total)
 
 
-def contexts(ids: np.ndarray, s: Settings) -> np.ndarray:
-    """Embedding rows around each word, those before it and those after it."""
-    padded = np.zeros(len(ids) + 2 * s.side, np.int64)
-    padded[s.side : s.side + len(ids)] = ids + 1
-    return np.stack([padded[k : k + len(ids)] for k in range(2 * s.side + 1) if k != s.side], axis=1)
+def _hidden(context: np.ndarray, emb: np.ndarray, w1: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = emb[context].reshape(len(context), -1)
+    return x, np.tanh(x @ w1 + b1)
 
 
-def log_likelihood(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], s: Settings) -> np.ndarray:
+def log_likelihood(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], classes: int) -> np.ndarray:
     emb, w1, b1, wc, bc, ww, bw = net
-    h = np.tanh(emb[context].reshape(len(context), -1) @ w1 + b1)
-    group, inside = target // s.per_class, target % s.per_class
-    z = h @ wc + bc
-    top = z.max(1)
-    out = z[np.arange(len(z)), group] - top - np.log(np.exp(z - top[:, None]).sum(1))
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(s.classes + 1))
-    for c in range(s.classes):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            z = h[rows] @ ww[c] + bw[c]
-            top = z.max(1)
-            out[rows] += z[np.arange(len(rows)), inside[rows]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    order = np.argsort(target // classes, kind="stable")
+    group, inside = target[order] // classes, target[order] % classes
+    _, h = _hidden(context[order], emb, w1, b1)
+    got = log_soft(h @ wc + bc, group)
+    cuts = np.searchsorted(group, np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[c], cuts[c + 1]
+        got[a:b] += log_soft(h[a:b] @ ww[c] + bw[c], inside[a:b])
+    out = np.empty(len(target))
+    out[order] = got
     return out
 
 
-def learn(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], rate: float, s: Settings) -> None:
-    """One SGD step on the mean negative log-likelihood of a batch."""
+def gradients(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], classes: int) -> list:
+    """Of the mean negative log-likelihood; that of the embeddings as (rows, gradient of each)."""
     emb, w1, b1, wc, bc, ww, bw = net
+    order = np.argsort(target // classes, kind="stable")
+    context, group, inside = context[order], target[order] // classes, target[order] % classes
     n = len(target)
-    x = emb[context].reshape(n, -1)
-    h = np.tanh(x @ w1 + b1)
-    group, inside = target // s.per_class, target % s.per_class
+    x, h = _hidden(context, emb, w1, b1)
     dz = soft(h @ wc + bc)
     dz[np.arange(n), group] -= 1
+    dz /= n
     dh = dz @ wc.T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(s.classes + 1))
-    step = np.float32(rate / n)
-    for c in np.unique(group):
-        rows = order[cuts[c] : cuts[c + 1]]
-        d = soft(h[rows] @ ww[c] + bw[c])
-        d[np.arange(len(rows)), inside[rows]] -= 1
-        dh[rows] += d @ ww[c].T
-        ww[c] -= step * (h[rows].T @ d)
-        bw[c] -= step * d.sum(0)
-    wc -= step * (h.T @ dz)
-    bc -= step * dz.sum(0)
+    gww, gbw = np.zeros_like(ww), np.zeros_like(bw)
+    cuts = np.searchsorted(group, np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[c], cuts[c + 1]
+        d = soft(h[a:b] @ ww[c] + bw[c])
+        d[np.arange(b - a), inside[a:b]] -= 1
+        d /= n
+        dh[a:b] += d @ ww[c].T
+        gww[c] = h[a:b].T @ d
+        gbw[c] = d.sum(0)
     da = dh * (1 - h * h)
-    dx = (da @ w1.T).reshape(n, -1, emb.shape[1])
-    w1 -= step * (x.T @ da)
-    b1 -= step * da.sum(0)
-    np.subtract.at(emb, context, step * dx)
+    dx = (da @ w1.T).reshape(-1, emb.shape[1])
+    flat = context.ravel()
+    by = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
+    return [(flat[by][first], np.add.reduceat(dx[by], first)), x.T @ da, da.sum(0), h.T @ dz, dz.sum(0), gww, gbw]
+
+
+def learn(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], sums: list[np.ndarray], rate: float, classes: int) -> None:
+    """One Adagrad step; `sums` are those of squared gradients."""
+    for p, s, g in zip(net, sums, gradients(context, target, net, classes)):
+        if isinstance(g, tuple):
+            rows, g = g
+            s[rows] += g * g
+            p[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-8)
+        else:
+            s += g * g
+            p -= rate * g / (np.sqrt(s) + 1e-8)
+
+
+def padded(units: np.ndarray, lengths: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embeddings with `side` zeros between documents, and where each word stands among them."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(units)) + side * (doc + 1)
+    out = np.zeros(len(units) + side * (len(lengths) + 1), np.int64)
+    out[place] = units + 1
+    return out, place
 
 
-def vocabulary(docs: DataFrame, s: Settings) -> dict[bytes, int]:
-    """The most frequent words; counts are gathered by task before they are shuffled."""
+def around(row: np.ndarray, place: np.ndarray, side: int) -> np.ndarray:
+    return row[place[:, None] + np.array([k for k in range(-side, side + 1) if k])]
+
+
+def chunks(docs: DataFrame, s: Settings) -> DataFrame:
+    """The corpus as word numbers: a row for some hundred thousand words of whole documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        from pyspark import TaskContext
+
+        chunk, doc_ids, lengths, ids, known = TaskContext.get().partitionId() << 32, [], [], [], {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            numbers = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            kind = "<u2" if len(known) <= 1 << 16 else "<u4"
+            columns = [[chunk], [doc_ids], [lengths], [numbers.astype(kind).tobytes()], [list(known)], [np.bincount(numbers, minlength=len(known)).tolist()]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc_ids", "lengths", "ids", "words", "counts"])
 
         for batch in sliced(batches):
-            for text in texts_of(batch):
-                counts.update(text.lower().split())
-            if len(counts) > 300_000:
-                yield out()
-                counts.clear()
-        if counts:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+                words = text.lower().split()
+                doc_ids.append(doc_id)
+                lengths.append(len(words))
+                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
+                if len(known) > s.chunk_different or sum(lengths) > s.chunk_words:
+                    yield out()
+                    chunk, doc_ids, lengths, ids, known = chunk + 1, [], [], [], {}
+        if doc_ids:
             yield out()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(s.size - s.hashed).collect()
-    return {bytes(r["word"]): i for i, r in enumerate(top)}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(mapped(rows, task, CHUNK), "chunks")
+
+
+def word_counts(table: DataFrame) -> DataFrame:
+    """word, n: over the whole corpus."""
+    each = table.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    return written(each.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def numbers(data: bytes, different: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if different <= 1 << 16 else "<u4")
 
 
-def train(docs: DataFrame, words: dict[bytes, int], s: Settings) -> np.ndarray:
-    spark = docs.sparkSession
-    flat = start(s)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+def untrained(counts: DataFrame, s: Settings) -> Model:
+    """Units, places and spelling from the counts of all words, and a network that knows no more than those."""
+    total = counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
+    classes = s.classes(total)
+    places = classes**2 // 2
+    best = counts.orderBy(F.desc("n"), "word").limit(classes**2 - places).collect()
+    top = {bytes(r["word"]): i for i, r in enumerate(best)}
+    shared = counts.sparkSession.sparkContext.broadcast(set(top))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, types, pairs = np.zeros(places, np.int64), np.zeros(places, np.int64), np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            words, own = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            code = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
+            pairs += np.bincount(code[:-1] << 8 | code[1:], minlength=1 << 16)
+            rare = np.array([i for i, w in enumerate(words) if w not in shared.value], np.int64)
+            at = np.array([crc32(words[i][-s.tail :]) % places for i in rare], np.int64)
+            np.add.at(n, at, own[rare])
+            np.add.at(types, at, 1)
+        key = np.r_[np.flatnonzero(types), -1 - np.flatnonzero(pairs)]
+        a, b = np.r_[n[types > 0], pairs[pairs > 0]], np.r_[types[types > 0], np.zeros((pairs > 0).sum(), np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+
+    got = mapped(counts, task, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    key, a, b = (got.column(c).to_numpy() for c in ("key", "a", "b"))
+    n, types, pairs = np.zeros(places), np.zeros(places), np.zeros(1 << 16)
+    n[key[key >= 0]], types[key[key >= 0]], pairs[-1 - key[key < 0]] = a[key >= 0], b[key >= 0], a[key < 0]
+    pairs = pairs.reshape(256, 256) + 0.1
+    spelled = np.log(pairs / pairs.sum(1, keepdims=True))
+    by_unit = np.r_[[r["n"] for r in best], np.zeros(classes**2 - places - len(best)), n + types]
+    return Model(s, classes, top, n, types, spelled, start(by_unit, classes, s))
+
+
+def train(table: DataFrame, model: Model) -> Model:
+    s, spark = model.settings, table.sparkSession
     for round_ in range(s.rounds):
-        shared = spark.sparkContext.broadcast((flat, words))
+        shared = spark.sparkContext.broadcast(model)
 
         def task(batches: Iterator[pa.RecordBatch], round_: int = round_, shared=shared) -> Iterator[pa.RecordBatch]:
-            before, known = shared.value
-            mine = before.copy()
-            net, seen, waiting = unflatten(mine, s), 0, []
-            rng = np.random.default_rng([s.seed, round_])
-
-            def study() -> None:
-                context, target = (np.concatenate(x) for x in zip(*waiting))
-                mixed = rng.permutation(len(target))
-                for at in range(0, len(mixed), s.batch):
-                    rows = mixed[at : at + s.batch]
-                    learn(context[rows], target[rows], net, s.rate, s)
-                waiting.clear()
-
-            for batch in sliced(batches):
-                for text in texts_of(batch):
-                    ids = ids_of(text, known, s)
-                    if len(ids):
-                        at = np.arange((crc32(text) + round_) % s.mask % len(ids), len(ids), s.mask)
-                        waiting.append((contexts(ids, s)[at], ids[at]))
-                        seen += len(at)
-                if waiting:
-                    study()
+            m = shared.value
+            mine, seen = m.flat.copy(), 0
+            net, sums = unflatten(mine, m.classes, s), unflatten(np.full_like(mine, 1e-7), m.classes, s)
+            for batch in batches:
+                for chunk, lengths, data, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "ids", "words"))):
+                    row, place = padded(m.units(words)[numbers(data, len(words))], np.array(lengths, np.int64), s.side)
+                    place = place[np.arange(len(place)) % s.rounds == round_]
+                    place = place[np.random.default_rng([s.seed, round_, chunk]).permutation(len(place))]
+                    for at in range(0, len(place), s.batch):
+                        some = place[at : at + s.batch]
+                        learn(around(row, some, s.side), row[some] - 1, net, sums, s.rate, m.classes)
+                    seen += len(place)
             if seen:
-                full = np.zeros(-(-len(mine) // LANE) * LANE)
+                full = np.zeros(-(-len(mine) // LANE) * LANE, np.float32)
                 full[: len(mine)] = mine
-                lanes = (full * seen).reshape(-1, LANE)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lanes))), pa.array(np.full(len(lanes), float(seen))), pa.array(list(lanes), pa.list_(pa.float64()))], names=["lane", "seen", "v"])
+                lanes = full.reshape(-1, LANE)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(lanes) + 1, dtype=np.int32) * LANE), pa.array(full))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lanes))), pa.array(np.full(len(lanes), float(seen))), values], names=["lane", "seen", "v"])
 
-        copies = texts.mapInArrow(task, "lane long, seen double, v array<double>")
-        sums = copies.groupBy("lane").agg(F.sum("seen").alias("seen"), *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(LANE)])
+        copies = mapped(table.select("chunk", "lengths", "ids", "words"), task, "lane long, seen double, v array<float>")
+        sums = copies.groupBy("lane").agg(F.sum("seen").alias("seen"), *[F.sum(F.get("v", F.lit(i)) * F.col("seen")).alias(f"v{i}") for i in range(LANE)])
         rows = sums.toArrow().sort_by("lane")
         if rows.num_rows:
             values = np.stack([rows.column(f"v{i}").to_numpy() for i in range(LANE)], axis=1) / rows.column("seen").to_numpy()[:, None]
-            flat = values.ravel()[: len(flat)].astype(np.float32)
-    return flat
+            model = Model(s, model.classes, model.top, model.n, model.types, model.spelled, values.ravel()[: len(model.flat)].astype(np.float32))
+        shared.unpersist()
+    return model
 
 
-def score(docs: DataFrame, words: dict[bytes, int], flat: np.ndarray, s: Settings) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((flat, words))
+def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) -> DataFrame:
+    """Scores of the documents in chunks. With `leave_out` a document's own words are taken off the counts, which have them."""
+    s = model.settings
+    shared = table.sparkSession.sparkContext.broadcast(model)
+    each = table.select("chunk", F.posexplode("words").alias("i", "word")).join(counts, "word", "left").select("chunk", "i", F.coalesce("n", F.lit(0)).alias("n"))
+    known = each.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("n"))
+    joined = table.join(known, "chunk", "left").select("doc_ids", "lengths", "ids", "words", "n")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, known = shared.value
-        net = unflatten(mine, s)
-        for batch in sliced(batches):
-            ids = [ids_of(t, known, s) for t in texts_of(batch)]
-            n = np.array([len(x) for x in ids])
-            sums = np.zeros(len(ids))
-            waiting, count = [], 0
-
-            def flush() -> None:
-                values = log_likelihood(np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting]), net, s)
-                at = 0
-                for i, _, target in waiting:
-                    sums[i] += values[at : at + len(target)].sum(dtype=np.float64)
-                    at += len(target)
-                waiting.clear()
-
-            for i, x in enumerate(ids):
-                around = contexts(x, s)
-                for at in range(0, len(x), 8192):
-                    waiting.append((i, around[at : at + 8192], x[at : at + 8192]))
-                    count += len(waiting[-1][2])
-                    if count >= 8192:
-                        flush()
-                        count = 0
-            if waiting:
-                flush()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums)], names=["doc_id", "n_words", "log_likelihood"])
+    def own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
+        """How often each one's document has what it has."""
+        _, back, n = np.unique(doc * (int(what.max(initial=0)) + 1) + what, return_inverse=True, return_counts=True)
+        return n[back]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(task, "doc_id long, n_words long, log_likelihood double")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        net, first = unflatten(m.flat, m.classes, s), m.classes**2 - m.places
+        for batch in batches:
+            for doc_ids, lengths, data, words, n in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "ids", "words", "n"))):
+                lengths, ids, n = np.array(lengths, np.int64), numbers(data, len(words)).astype(np.int64), np.array(n or [], np.float64)
+                unit, spelled = m.units(words), m.spelling(words)
+                row, place = padded(unit[ids], lengths, s.side)
+                values = np.zeros(len(ids))
+                for at in range(0, len(ids), 16_384):
+                    some = place[at : at + 16_384]
+                    values[at : at + 16_384] = log_likelihood(around(row, some, s.side), row[some] - 1, net, m.classes)
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                rare = np.flatnonzero(unit[ids] >= first)
+                word, at = ids[rare], unit[ids[rare]] - first
+                had, of = n[word], m.n[at]
+                if leave_out:
+                    had, of = had - own(doc[rare], word), of - own(doc[rare], at)
+                types = np.maximum(m.types[at], 1)
+                values[rare] += np.log(had / (of + types) + np.exp(np.log(types / (of + types)) + spelled[word]) + 1e-300)
+                sums = np.bincount(doc, values, len(lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(sums)], names=["doc_id", "n_words", "log_likelihood"])
+
+    got = mapped(joined, task, "doc_id long, n_words long, log_likelihood double")
     return got.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_words, log_likelihood, per_word."""
-    words = vocabulary(docs, s)
-    return score(docs, words, train(docs, words, s), s)
+    table = chunks(docs, s)
+    counts = word_counts(table)
+    return score(table, counts, train(table, untrained(counts, s)), True)
