@@ -113,6 +113,35 @@ def test_vessel_day_files(spark, tmp_path):
     assert [(r["mmsi"], r["vessel_name"], r["speed_over_ground_knots"], r["sea_area_id"]) for r in got] == [("1", None, 0.0, "CARIB_PR_NORTH")]
 
 
+def test_day_files_of_any_width(spark, tmp_path):
+    """Columns beyond the hundredth, quoted line ends and commas, names by another feed, a byte order mark, an empty file."""
+    filler = ",".join(f"x{i}" for i in range(120))
+    (tmp_path / "wide.csv").write_text(f'{filler},mmsi,base_date_time,latitude,longitude,VesselName,vessel_name\n{"," * 119},7,2025-08-17 00:00:02,18.0,-64.5,,"A,\nB"\n', encoding="utf-8-sig")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "short.csv").write_text("MMSI,BaseDateTime,LAT,LON\n8,2025-08-17 00:00:03,18.0,-64.5\n9,2025-08-17 00:00:03\n")
+    got = dicts(marine.read_positions(spark, str(tmp_path)).orderBy("mmsi"))
+    assert [(r["mmsi"], r["vessel_name"]) for r in got] == [("7", "A,\nB"), ("8", None)]
+    assert marine.read_positions(spark, str(tmp_path), "wide.csv, nothing*").count() == 1
+
+
+def test_buoys_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "41052.txt").write_text("#YY  MM DD hh mm WDIR WSPD WVHT\n#yr  mo dy hr mn degT m/s  m\n2025 08 17 00 10 120 5.0 1.5\n2025 08 18 00 10 MM 5.0 1.0\n")
+    (tmp_path / "in" / "abcd1.txt").write_text("2025 08 17 00 10 1\n#YY  MM DD hh mm WVHT WSPD\n2025 08 17 02 00 2.5 7.0\n")
+    places = marine.station_places(spark, "41052:CARIB_USVI:18.249:-64.763, ABCD1:X:1:2")
+    q = marine.buoys_stream(spark, str(tmp_path / "in"), places, (date(2025, 8, 17), date(2025, 8, 17))).writeStream.format("memory").queryName("buoys_seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and q.exception() is None
+    got = dicts(spark.table("buoys_seen").orderBy("buoy_id"))
+    assert [(r["buoy_id"], r["observed_at"], r["sea_area_id"], r["wave_height_meters"], r["wind_speed_mps"]) for r in got] == [("41052", at("2025-08-17 00:10"), "CARIB_USVI", 1.5, 5.0), ("ABCD1", at("2025-08-17 02:00"), "X", 2.5, 7.0)]
+    with pytest.raises(ValueError):
+        marine.station_places(spark, "41052:CARIB")
+
+
+def test_countries_of_the_whole_world(spark):
+    names = stations.country_names(spark)
+    assert (names["IS"], names["GL"], names["NG"], names["UK"], names["SZ"]) == ("Iceland", "Greenland", "Nigeria", "United Kingdom", "Switzerland") and len(names) > 240
+
+
 def test_buoy_table(spark):
     lines = ["#YY  MM DD hh mm WDIR WSPD WVHT", "#yr  mo dy hr mn degT m/s  m", "2025 08 17 00 10 120 5.0 1.5", "2025 08 17 01 10 MM 5.0 99.00", "2025 08 18 00 10 MM 5.0 1.0", "2025 13 17 01 10 1 5.0 1.0", "", "2025 08"]
     text = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file_name string, record_number long, line string")

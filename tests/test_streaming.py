@@ -10,7 +10,8 @@ from tests.helpers import A, B, at, buoy_rows, dicts, readings, vessels
 from tidemark.config import Config
 from tidemark.plans import marine, weather
 from tidemark.schemas import KEYS
-from tidemark.streaming.runners import start
+from tidemark.streaming.processors import rapid_change_stream
+from tidemark.streaming.runners import LearnedRegimes, counters, result_tables, start
 from tidemark.streaming.sinks import CounterTable, UpsertTable, discard, publish
 
 
@@ -61,16 +62,67 @@ def test_streams_give_the_batch_results(spark, tmp_path):
         "marine_route_recommendations": marine.routes(marine.route_pairs(ships, buoys)),
     }
     for name, batch in expected.items():
-        got = UpsertTable(f"{out}/{name}", KEYS[name]).read(spark)
+        got = result_tables(out, config)[name].read(spark)
         same(got, batch, [c for c in batch.columns if c in got.columns])
-    days = UpsertTable(f"{out}/weather_regimes", KEYS["weather_regimes"]).read(spark)
+    days = result_tables(out, config)["weather_regimes"].read(spark)
     same(days, weather.station_days(obs), weather.station_days(obs).columns)
-    counts = {r.kind: r.total for r in CounterTable(f"{out}/stream_counts").read(spark).collect()}
+    counts = {r.kind: r.total for r in counters(out, config).read(spark).collect()}
     assert counts["wet_period_events"] == expected["wet_period_events"].count()
-    publish(spark, {"daily_station_average": UpsertTable(f"{out}/daily_station_average", KEYS["daily_station_average"])}, "t_")
+    publish(spark, {"daily_station_average": result_tables(out, config)["daily_station_average"]}, "t_")
     assert spark.sql("SELECT count(*) AS n FROM t_daily_station_average").first().n == weather.daily_average(obs).count()
 
 
+def test_other_settings_start_anew(spark, tmp_path):
+    """With another threshold nothing of the old run's rows and counts is left in what is read."""
+    obs = some_readings(spark)
+    (tmp_path / "obs").mkdir()
+    as_stream(spark, obs, str(tmp_path / "obs"), "arrival_seq", parts=4)
+    out = str(tmp_path / "out")
+
+    def run(config, files):
+        rows = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "obs"))
+        for q in start(rows, spark.createDataFrame([], "station_id string, region_id string, region_name string"), out, config):
+            assert q.awaitTermination(240) and q.exception() is None
+        return result_tables(out, config), counters(out, config)
+
+    run(Config(stream_pattern=("blizzard", "wet-dry-period")), 1)  # four batches
+    config = Config(stream_pattern=("blizzard", "wet-dry-period"), blizzard_wind_threshold_mps=15.0)
+    tables, counts = run(config, 10)  # one batch
+    same(tables["blizzard_events"].read(spark), weather.blizzards(obs, strong_wind=15.0), ["station_id", "window_start", "strong_wind_observation_count"])
+    assert {r.kind: r.total for r in counts.read(spark).collect()} == {"wet_period_events": weather.wet_periods(obs).count()}
+
+
+def test_rapid_change_forgets_closed_windows_and_late_readings(spark, tmp_path):
+    rows = [(A, f"2025-01-{1 + i // 4:02d} {i % 4 * 6:02d}:00", {"temperature_celsius": float(i)}) for i in range(40)]
+    rows += [(A, "2025-01-01 23:00", {"temperature_celsius": 99.0}), (A, "2025-01-10 23:00", {"temperature_celsius": 5.0})]  # the first one comes nine days late
+    obs = readings(spark, *rows)
+    (tmp_path / "obs").mkdir()
+    got = rapid_change_stream(as_stream(spark, obs, str(tmp_path / "obs"), "arrival_seq", parts=7))
+    table = UpsertTable(str(tmp_path / "t"), KEYS["rapid_temperature_change"])
+    q = table.sink(got, str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
+    same(table.read(spark), weather.rapid_change(obs, late=True), ["station_id", "window_start", "min_rate_of_change", "max_rate_of_change", "rate_of_change_count"])
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6  # of ten days, those that may still get readings
+
+
+def test_regimes_are_learned_once_and_outlive_the_driver(spark, tmp_path):
+    days = weather.station_days(readings(spark, *[(s, f"2025-01-{d:02d} {h:02d}:00", {"temperature_celsius": float(d + h), "wind_speed_mps": float(h), "sky_clarity_score": 50.0}) for s in (A, B) for d in range(1, 9) for h in (1, 5)]))
+
+    def learned(name, batches):
+        table = UpsertTable(str(tmp_path / name), KEYS["weather_regimes"])
+        for i, (first, last) in batches:
+            # another driver each time
+            LearnedRegimes(str(tmp_path / f"{name}-model"), table, 3, 10_000.0).write(days.filter(F.dayofmonth("observation_date").between(first, last)), i)
+        kept = spark.read.parquet(str(tmp_path / f"{name}-model")).orderBy(F.desc("batch_id")).first()
+        return kept.stats, kept.upto, table.read(spark).count()
+
+    once = learned("once", [(0, (1, 3)), (1, (3, 5)), (2, (6, 8))])
+    assert once == learned("twice", [(0, (1, 3)), (1, (3, 5)), (1, (3, 5)), (2, (6, 8)), (2, (6, 8))])
+    import json
+
+    assert sum(s["n"] for s in json.loads(once[0])) == 14 and str(once[1]) == "2025-01-08" and once[2] == 16  # the newest day isn't finished
+
+
 def test_upserts_and_counts_can_run_twice(spark, tmp_path):
     table, counts = UpsertTable(str(tmp_path / "t"), ["k"]), CounterTable(str(tmp_path / "c"))
     first, second = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
@@ -111,7 +163,8 @@ def test_from_a_landing_folder(spark, tmp_path, monkeypatch):
         with gzip.open(tmp_path / "in" / f"{n}-2025.gz", "wt") as f:
             f.write(LINE.replace("AA199999999", code).replace("202503271100", "202503271100" if n == "a" else "202503271200") + "\n")
         main(str(tmp_path / "in"), str(tmp_path / "stations.txt"), str(tmp_path / "out"))
-    daily = dicts(UpsertTable(str(tmp_path / "out" / "daily_station_average"), KEYS["daily_station_average"]).read(spark))
+    tables = result_tables(str(tmp_path / "out"), Config.from_env())
+    daily = dicts(tables["daily_station_average"].read(spark))
     assert [(r["station_id"], r["avg_temperature_celsius"], r["sample_count"]) for r in daily] == [("010010-99999", -6.5, 2)]
-    wet = dicts(UpsertTable(str(tmp_path / "out" / "wet_period_events"), KEYS["wet_period_events"]).read(spark))
+    wet = dicts(tables["wet_period_events"].read(spark))
     assert [(r["duration_minutes"], r["precipitation_observation_count"]) for r in wet] == [(60, 1)]

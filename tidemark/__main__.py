@@ -1,21 +1,26 @@
 """Run the selected analyses over a landing folder: python -m tidemark LANDING STATIONS OUT [AIS BUOYS]
 
-LANDING holds weather files (.gz, .zst or plain), STATIONS is the station history list, OUT gets the result tables. AIS and BUOYS are
-folders of Parquet files with vessel positions and buoy readings. Settings come from the environment, see `config.Config`; with
-RUN_ONCE=false the streams go on and look for new files every POLL_SECONDS.
+LANDING holds weather files (.gz, .zst or plain) whose names fit one of FILE_GLOB's patterns, STATIONS is the station history list,
+OUT gets the result tables, under the settings' id. AIS is a folder of vessel day files (.csv, .csv.zst) and BUOYS one of standard
+meteorological tables; BUOY_STATIONS names the buoys, as id:area:latitude:longitude with commas between, and MARINE_DAYS
+(first:last) the days that count. Without BUOY_STATIONS both are folders of Parquet files. Settings come from the environment, see
+`config.Config`; with RUN_ONCE=false the streams go on and look for new files every POLL_SECONDS.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from datetime import date
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .config import Config, boolean
 from .schemas import AIS_POSITION, BUOY_OBSERVATION
 from .sources import files, stations, weather
+from .sources.marine import buoys_stream, positions_stream, station_places
 from .streaming.runners import STATE_STORE, start
 
 
@@ -26,10 +31,20 @@ def main(landing: str, station_list: str, out: str, ais: str | None = None, buoy
     # files of a micro-batch in order of their names, and a file's records in theirs
     obs = weather.observations(weather.envelopes(lines)).withColumn("arrival_seq", F.struct("source_path", "record_number"))
     listed = files.lines(spark, station_list)
-    stations.metadata(listed).write.mode("overwrite").parquet(f"{out}/station_metadata/batch_id=0")
+    stations.metadata(listed).write.mode("overwrite").parquet(f"{out}/{config.progress_id()}/station_metadata/batch_id=0")
     trigger = {"availableNow": True} if boolean(os.environ.get("RUN_ONCE") or "true") else {"processingTime": f"{os.environ.get('POLL_SECONDS') or 86400} seconds"}
+    days = os.environ.get("MARINE_DAYS")
+    between = tuple(date.fromisoformat(d) for d in days.split(":")) if days else None
+    if os.environ.get("BUOY_STATIONS") and ais and buoys:
+        at = station_places(spark, os.environ["BUOY_STATIONS"])
+        feeds = (positions_stream(spark, ais, days=between), buoys_stream(spark, buoys, at, between))
+        return run(start(obs, stations.regions(listed), out, config, *feeds, trigger=trigger))
     marine = [spark.readStream.schema(s).parquet(p) for s, p in ((AIS_POSITION, ais), (BUOY_OBSERVATION, buoys)) if p]
-    for query in start(obs, stations.regions(listed), out, config, *(marine if len(marine) == 2 else (None, None)), trigger=trigger):
+    run(start(obs, stations.regions(listed), out, config, *(marine if len(marine) == 2 else (None, None)), trigger=trigger))
+
+
+def run(queries: list[StreamingQuery]) -> None:
+    for query in queries:
         query.awaitTermination()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,6 +77,13 @@ class MicroClusters:
     least_radius: float = 0.05
     stats: list[dict] = field(default_factory=list)
 
+    def dump(self) -> str:
+        """All that has been learned, as JSON."""
+        return json.dumps([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in s.items()} for s in self.stats])
+
+    def load(self, text: str) -> None:
+        self.stats = [{k: np.array(v) if isinstance(v, list) else v for k, v in s.items()} for s in json.loads(text)]
+
     def centres(self) -> list[list[float]]:
         return [(s["ls"] / s["n"]).tolist() for s in self.stats]
 

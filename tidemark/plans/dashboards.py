@@ -51,8 +51,8 @@ def _or_zero(x: Column, name: str, zero: float | int = 0.0) -> Column:
 
 
 def _counter(t: Tables, kind: str, name: str) -> DataFrame:
-    total = F.max(F.when(F.col("kind") == kind, F.col("total")))
-    return t["stream_counts"].agg(_or_zero(total, name, 0))
+    """The filter on `kind` comes first, so that only the branch of that kind is read."""
+    return t["stream_counts"].filter(F.col("kind") == kind).agg(_or_zero(F.max("total"), name, 0))
 
 
 # Counters and daily averages

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import first_box
 from ..functions.numeric import round_half_up
 from ..operators.regimes import ARCHETYPES, MicroClusters
+from ..operators.saved import written
 from ..plans import weather
 from ..plans.dashboards import PANELS
 from ..sources import marine as marine_feed
@@ -130,7 +131,7 @@ def feed_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-clusters learned by slices of a week, then each station-day with its nearest one."""
-    days = Results(spark, sf_dir)["station_days"]
+    days = written(Results(spark, sf_dir)["station_days"], "station-days")  # once, not in each week
     span = days.agg(F.min("observation_date").alias("a"), F.datediff(F.max("observation_date"), F.min("observation_date")).alias("n")).first()
     model = MicroClusters(len(ARCHETYPES))
     for k in range(0, (span["n"] or 0) + 1, 7):

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import first_box
 from ..functions.text import first_timestamp, marine_number
-from .files import lines
+from . import files
 
 TIMES = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")
-MOST_COLUMNS = 40
 #: Names by which feeds call a column, the first that is there and not empty counts.
 NAMES = {
     "latitude": ("LAT", "latitude"), "longitude": ("LON", "longitude"), "observed_at": ("BaseDateTime", "basedatetime", "base_date_time"),
@@ -44,19 +43,34 @@ def positions(rows: DataFrame) -> DataFrame:
     return parsed.dropna(subset=["mmsi", "observed_at", "latitude", "longitude", "sea_area_id"])
 
 
+def _columns() -> dict[str, tuple[str, ...]]:
+    return {names[0]: names for names in NAMES.values()}
+
+
 def read_positions(spark: SparkSession, path: str, glob: str = "*.csv*") -> DataFrame:
-    """Day files of positions, also as .csv.zst, which the CSV reader can't open: lines come from tasks that decompress files,
-    and are split by the first line of their own file."""
-    text = lines(spark, path, glob)
-    # a file's heading is its first line: one short row per file
-    cells = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(MOST_COLUMNS))))
-    cut = text.select("path", "record_number", cells.alias("v"))
-    cut = cut.select("path", "record_number", F.array(*[F.trim(F.col(f"v.c{i}")) for i in range(MOST_COLUMNS)]).alias("v"))
-    heads = cut.filter("record_number = 1").select("path", F.col("v").alias("head"))
-    rows = cut.filter("record_number > 1").join(heads, "path")
-    at = {n: [F.array_position("head", a) for a in names] for n, names in NAMES.items()}
-    picked = [F.coalesce(*[F.nullif(F.when(p > 0, F.get("v", (p - 1).cast("int"))), F.lit("")) for p in at[n]]).alias(NAMES[n][0]) for n in NAMES]
-    return positions(rows.select(*picked))
+    """Day files of positions, also as .csv.zst, which Spark's own CSV reader can't open."""
+    return positions(files.tables(spark, path, glob, _columns()))
+
+
+def positions_stream(spark: SparkSession, path: str, glob: str = "*.csv*", files_per_trigger: int = 10, days: tuple[date, date] | None = None) -> DataFrame:
+    """The same as a stream: day files are taken up once, as they arrive."""
+    return _within(positions(files.tables_stream(spark, path, glob, _columns(), files_per_trigger)), days)
+
+
+def _within(rows: DataFrame, days: tuple[date, date] | None) -> DataFrame:
+    return rows.filter(F.to_date("observed_at").between(*[F.lit(str(d)).cast("date") for d in days])) if days else rows
+
+
+def station_places(spark: SparkSession, text: str) -> DataFrame:
+    """Buoys from a comma list of id:area:latitude:longitude; a buoy's file is <id>.txt or <id in small letters>.txt, or either with .gz."""
+    rows = []
+    for part in [p.strip() for p in text.split(",") if p.strip()]:
+        cells = [c.strip() for c in part.split(":")]
+        if len(cells) != 4:
+            raise ValueError(f"a buoy is id:area:latitude:longitude, not {part!r}")
+        for name in sorted({cells[0], cells[0].lower()}):
+            rows += [(f"{name}.txt{end}", cells[0], float(cells[2]), float(cells[3]), cells[1]) for end in ("", ".gz")]
+    return spark.createDataFrame(rows, "file_name string, buoy_id string, latitude double, longitude double, sea_area_id string")
 
 
 def buoy_readings(text: DataFrame, stations: DataFrame, days: tuple[date, date] | None = None) -> DataFrame:
@@ -68,7 +82,19 @@ def buoy_readings(text: DataFrame, stations: DataFrame, days: tuple[date, date]
     """
     cut = text.withColumn("v", F.split(F.trim("line"), r"\s+"))
     heads = cut.filter(F.col("line").startswith("#YY")).groupBy("file_name").agg(F.min_by("v", "record_number").alias("head"))
-    rows = cut.filter(~F.trim("line").startswith("#") & (F.trim("line") != "")).join(heads, "file_name").join(stations, "file_name")
+    rows = cut.filter(~F.trim("line").startswith("#") & (F.trim("line") != "")).join(heads, "file_name")
+    return _readings(rows, stations, days)
+
+
+def buoys_stream(spark: SparkSession, path: str, stations: DataFrame, days: tuple[date, date] | None = None, glob: str = "*.txt*", files_per_trigger: int = 100) -> DataFrame:
+    """The same as a stream. A file's lines come with the heading that stands before them, so no lines have to be joined up."""
+    rows = files.lines_stream(spark, path, glob, files_per_trigger, heading="#YY").filter(~F.trim("line").startswith("#") & (F.trim("line") != "") & F.col("heading").isNotNull())
+    split = lambda c: F.split(F.trim(c), r"\s+")
+    return _readings(rows.withColumns({"v": split("line"), "head": split("heading")}), stations, days)
+
+
+def _readings(rows: DataFrame, stations: DataFrame, days: tuple[date, date] | None) -> DataFrame:
+    rows = rows.join(stations, "file_name")
 
     def cell(name: str) -> Column:
         at = F.array_position("head", name)
@@ -80,9 +106,7 @@ def buoy_readings(text: DataFrame, stations: DataFrame, days: tuple[date, date]
         "buoy_id", F.try_make_timestamp(*clock, F.lit(0)).alias("observed_at"), "latitude", "longitude", "sea_area_id",
         wave.alias("wave_height_meters"), wind.alias("wind_speed_mps"), F.coalesce(marine_number(cell("WDIR")), F.lit(0.0)).alias("wind_direction_degrees"),
     ).dropna(subset=["observed_at", "wave_height_meters", "wind_speed_mps"])
-    if days:
-        out = out.filter(F.to_date("observed_at").between(*[F.lit(str(d)).cast("date") for d in days]))
-    return out
+    return _within(out, days)
 
 
 def timeline(positions: DataFrame, buoys: DataFrame) -> DataFrame:

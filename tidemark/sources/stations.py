@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import loose_field, number_unless
@@ -12,22 +12,20 @@ COUNTRY_NAMES = {
     "GM": "Germany", "UK": "United Kingdom", "SV": "Svalbard", "EZ": "Czech Republic", "DA": "Denmark",
     "JA": "Japan", "KS": "South Korea", "RS": "Russia", "SP": "Spain", "SZ": "Switzerland",
 }
-# English names of ISO codes.
-ISO_NAMES = {
-    "AR": "Argentina", "AT": "Austria", "AU": "Australia", "BE": "Belgium", "BR": "Brazil", "CA": "Canada", "CH": "Switzerland",
-    "CL": "Chile", "CN": "China", "CO": "Colombia", "CZ": "Czechia", "DE": "Germany", "DK": "Denmark", "EG": "Egypt", "ES": "Spain",
-    "FI": "Finland", "FR": "France", "GB": "United Kingdom", "GR": "Greece", "HU": "Hungary", "ID": "Indonesia", "IE": "Ireland",
-    "IN": "India", "IT": "Italy", "JP": "Japan", "KE": "Kenya", "KR": "South Korea", "MA": "Morocco", "MX": "Mexico", "NL": "Netherlands",
-    "NO": "Norway", "NZ": "New Zealand", "PE": "Peru", "PL": "Poland", "PT": "Portugal", "RO": "Romania", "RU": "Russia",
-    "SE": "Sweden", "TH": "Thailand", "TR": "Türkiye", "UA": "Ukraine", "US": "United States", "ZA": "South Africa",
-}
 #: Where a station without a known region goes.
 UNKNOWN = ("unknown", "Unknown region")
 
 
-def _country_name(code: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in {**ISO_NAMES, **COUNTRY_NAMES}.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, code), code)
+def country_names(spark: SparkSession) -> dict[str, str]:
+    """By code: English names of all ISO countries, as the Java runtime has them, and the list's own codes over those."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    iso = {code: locale.Builder().setRegion(code).build().getDisplayCountry(locale.ENGLISH) for code in locale.getISOCountries()}
+    return {**iso, **COUNTRY_NAMES}
+
+
+def _country_name(code: Column, names: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, code), code)
 
 
 def _station_id(line: Column) -> Column:
@@ -61,7 +59,7 @@ def regions(lines: DataFrame) -> DataFrame:
     parsed = _rows(lines, 51).select("record_number", _station_id(line).alias("station_id"), country.alias("c"), state.alias("s"))
     parsed = parsed.filter(F.col("station_id").isNotNull() & F.col("c").rlike("^[A-Z]{2}$"))
     last = parsed.groupBy("station_id").agg(F.max_by(F.struct("c", "s"), "record_number").alias("r")).select("station_id", "r.*")
-    named = _country_name(F.col("c"))
+    named = _country_name(F.col("c"), country_names(lines.sparkSession))
     return last.select(
         "station_id", F.concat_ws("-", "c", "s").alias("region_id"),
         F.when(F.col("s").isNull(), named).otherwise(F.concat(named, F.lit(" / "), F.col("s"))).alias("region_name"),

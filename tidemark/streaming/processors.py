@@ -43,13 +43,25 @@ class WetPeriods(StatefulProcessor):
 
 
 class RapidChange(StatefulProcessor):
-    """Least, greatest, sum and number of rates of one station and window, and its last reading."""
+    """Least, greatest, sum and number of rates of one station and window, and its last reading.
+
+    Stream time is the watermark and the delay it was given, a window and the grace. Readings whose window ended a grace or more
+    before it are dropped, and a timer at the window's start, which the watermark passes at that very time, takes the state away.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("rates", "last_us long, last double, low double, high double, total double, n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        at, last, low, high, total, n = tuple(self.state.get()) if self.state.exists() else (None, None, None, None, 0.0, 0)
+        start_ms = key[1] // 1000
+        if start_ms <= timerValues.getCurrentWatermarkInMs():
+            return
+        if self.state.exists():
+            at, last, low, high, total, n = tuple(self.state.get())
+        else:
+            at, last, low, high, total, n = None, None, None, None, 0.0, 0
+            self.handle.registerTimer(start_ms)
         for row in sorted(rows, key=lambda r: r.arrival_seq):
             if at is not None:
                 ms = (row.us - at) // 1000
@@ -61,6 +73,10 @@ class RapidChange(StatefulProcessor):
         self.state.update((at, last, low, high, total, n))
         yield Row(station_id=key[0], start_us=key[1], min_rate_of_change=low or 0.0, max_rate_of_change=high or 0.0, average_rate_of_change=total / n if n else 0.0, rate_of_change_count=n)
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -76,10 +92,11 @@ def wet_periods_stream(obs: DataFrame, year: int | None = 2025) -> DataFrame:
     )
 
 
-def rapid_change_stream(obs: DataFrame, year: int | None = 2025, window_hours: int = 24) -> DataFrame:
-    """As a stream, in update mode: a window's figures each time it gets readings."""
+def rapid_change_stream(obs: DataFrame, year: int | None = 2025, window_hours: int = 24, grace_minutes: int = 10) -> DataFrame:
+    """As a stream, in update mode: a window's figures each time it gets readings. State is held for open windows alone."""
     kept = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull() & in_year("observed_at", year))
     size = window_hours * 3_600_000_000
-    rows = kept.select("station_id", F.unix_micros("observed_at").alias("us"), "temperature_celsius", "arrival_seq").withColumn("start_us", F.floor(F.col("us") / size) * size)
-    found = rows.groupBy("station_id", "start_us").transformWithState(RapidChange(), RATES, "Update", "None")
+    kept = kept.withWatermark("observed_at", f"{60 * window_hours + grace_minutes} minutes")
+    rows = kept.select("station_id", "observed_at", F.unix_micros("observed_at").alias("us"), "temperature_celsius", "arrival_seq").withColumn("start_us", F.floor(F.col("us") / size) * size)
+    found = rows.groupBy("station_id", "start_us").transformWithState(RapidChange(), RATES, "Update", "EventTime")
     return found.select("station_id", F.timestamp_micros("start_us").alias("window_start"), F.timestamp_micros(F.col("start_us") + size).alias("window_end"), *[c for c in found.columns if c not in ("station_id", "start_us")])

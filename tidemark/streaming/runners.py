@@ -7,8 +7,9 @@ the stream's greatest time; Spark moves it between micro-batches, so it drops le
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -86,20 +87,67 @@ def routes_stream(positions: DataFrame, buoys: DataFrame, c: Config) -> DataFram
     return marine.recommend(a.join(b, near).drop(F.col("b.sea_area_id")), m, c.wave_weight)
 
 
+def result_tables(out: str, c: Config) -> dict[str, UpsertTable]:
+    """The result tables of a configuration. They lie beside its progress, under its own id, so that a run with other settings
+    neither reads nor adds to what this one has written."""
+    return {name: UpsertTable(f"{out}/{c.progress_id()}/{name}", keys) for name, keys in KEYS.items()}
+
+
+def counters(out: str, c: Config) -> CounterTable:
+    return CounterTable(f"{out}/{c.progress_id()}/stream_counts")
+
+
+class LearnedRegimes:
+    """Micro-clusters that outlive the driver: what was learned up to a micro-batch is kept under the batch's id.
+
+    A station-day is learned once, when the first reading of a later day has come: until then its features still change. A batch
+    that runs again starts from what the batch before it left, and so learns the same.
+    """
+
+    def __init__(self, path: str, days: UpsertTable, k: int, horizon: float):
+        self.path, self.days, self.k, self.horizon = path, days, k, horizon
+
+    def _before(self, spark: SparkSession, batch_id: int) -> tuple[MicroClusters, date | None]:
+        model, upto = MicroClusters(self.k, self.horizon), None
+        if batch_id:
+            kept = spark.read.schema("batch_id long, stats string, upto date").parquet(self.path).filter(F.col("batch_id") < batch_id)
+            last = kept.orderBy(F.desc("batch_id")).first()
+            if last:
+                model.load(last["stats"])
+                upto = last["upto"]
+        return model, upto
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        model, upto = self._before(spark, batch_id)
+        batch = batch.persist()
+        self.days.write(model.assign(batch), batch_id)
+        newest = batch.agg(F.max("observation_date").alias("d")).first()["d"]
+        batch.unpersist()
+        if newest and (upto is None or newest > upto):
+            finished = self.days.read(spark, batch_id).filter(F.col("observation_date") < F.lit(newest))
+            if upto:
+                finished = finished.filter(F.col("observation_date") >= F.lit(upto))
+            model.update(finished)
+            upto = newest
+        kept = spark.createDataFrame([(model.dump(), upto)], "stats string, upto date")
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+
 def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: DataFrame | None = None, buoys: DataFrame | None = None, trigger: dict | None = None) -> list[StreamingQuery]:
-    """Start the selected analyses over streaming observations (with arrival_seq) and marine feeds; results go to tables under `out`.
+    """Start the selected analyses over streaming observations (with arrival_seq) and marine feeds; results go to `result_tables(out, c)`.
 
-    Checkpoints lie under the configuration's own id: with other settings, analyses start from the beginning.
+    Checkpoints and tables lie under the configuration's own id: with other settings, analyses start from the beginning.
     """
     obs.sparkSession.conf.set(*STATE_STORE)
-    counts, trigger = CounterTable(f"{out}/stream_counts"), trigger or {"availableNow": True}
-    model = MicroClusters(c.weather_regime_cluster_count, c.weather_regime_horizon)
+    home, tables, counts, trigger = f"{out}/{c.progress_id()}", result_tables(out, c), counters(out, c), trigger or {"availableNow": True}
+    learned = LearnedRegimes(f"{home}/regime_model", tables["weather_regimes"], c.weather_regime_cluster_count, c.weather_regime_horizon)
 
     def run(name: str, stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-        return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/progress/{c.progress_id()}/{name}").foreachBatch(sink).trigger(**trigger).queryName(name).start()
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/progress/{name}").foreachBatch(sink).trigger(**trigger).queryName(name).start()
 
     def upsert(table: str, kind: str | None = None, change: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
-        target = UpsertTable(f"{out}/{table}", KEYS[table])
+        target = tables[table]
 
         def write(batch: DataFrame, batch_id: int) -> None:
             if kind:
@@ -110,8 +158,9 @@ def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: Da
         return write
 
     def regimes(batch: DataFrame, batch_id: int) -> None:
-        model.update(batch)
-        upsert("weather_regimes", "weather_regime_events", model.assign)(batch, batch_id)
+        counts.write("weather_regime_events", batch, batch_id)
+        if c.dashboard_sink_enabled:
+            learned.write(batch, batch_id)
 
     made: dict[str, Callable[[], tuple[DataFrame, str, Callable[[DataFrame, int], None]]]] = {
         "temperature": lambda: (weather.daily_average(obs), "update", upsert("daily_station_average")),
@@ -119,7 +168,7 @@ def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: Da
         "frost-days": lambda: (weather.frost_days(obs, c.frost_count_year), "update", upsert("monthly_station_frost_days")),
         "temperature-ranking": lambda: (peaks_stream(obs, c.temperature_ranking_year), "complete", upsert("temperature_window_ranking", change=lambda b: rank_batch(b, c.temperature_ranking_year))),
         "blizzard": lambda: (blizzards_stream(obs, c), "update", upsert("blizzard_events")),
-        "rapid-temperature-change": lambda: (rapid_change_stream(obs, c.rapid_change_year, c.rapid_change_window_hours), "update", upsert("rapid_temperature_change")),
+        "rapid-temperature-change": lambda: (rapid_change_stream(obs, c.rapid_change_year, c.rapid_change_window_hours, c.rapid_change_grace_minutes), "update", upsert("rapid_temperature_change")),
         "tourism-weather-quality": lambda: (comfort_stream(obs, regions, c), "update", upsert("tourism_weather_quality")),
         "temperature-forecast": lambda: (forecast_stream(obs, c), "update", upsert("temperature_forecast")),
         "wet-dry-period": lambda: (wet_periods_stream(obs, c.wet_dry_period_year), "append", upsert("wet_period_events", "wet_period_events")),

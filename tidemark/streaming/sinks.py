@@ -28,8 +28,11 @@ class UpsertTable:
         last = batch.withColumn("updated_at", F.current_timestamp())
         last.dropDuplicates(self.keys).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        """The last row of each key, of batches up to `upto` where that is given."""
         rows = spark.read.option("basePath", self.path).parquet(self.path)
+        if upto is not None:
+            rows = rows.filter(F.col(BATCH) <= upto)
         return latest_per_key(rows, self.keys, [BATCH]).drop(BATCH)
 
     def compact(self, spark: SparkSession, into: str) -> UpsertTable:
