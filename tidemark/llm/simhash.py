@@ -330,25 +330,26 @@ def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(keys: DataFrame, words: int, radius: int, few: int = 24, leaders: int = 64, most: int = 512) -> DataFrame:
-    """(key, node) -> distinct pairs (a, b) to be checked.
+    """(key, node) -> distinct pairs (a, b) to be checked, and d, the distance of their SimHashes.
 
     Up to `few` nodes of a key: all pairs within the radius. More: a spanning tree of least distances, so that a cut at any
     distance leaves the groups of single linkage. Beyond `most` nodes the key goes by in runs, each with the key's first
     `leaders` nodes; what such a run parts can meet under the other bands, where its neighbours are others.
     """
 
-    def pairs(nodes: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def pairs(nodes: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
         fps = np.array([np.frombuffer(x, "<u8", words) for x in nodes])
         if len(nodes) <= few:
             i, j = np.triu_indices(len(nodes), 1)
         else:
             i, j = _tree(fps)
-        ok = _near(fps, i, j, radius)
-        for x, y in zip(i[ok].tolist(), j[ok].tolist()):
-            yield (nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x])
+        d = np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64)
+        ok = d <= radius
+        for x, y, z in zip(i[ok].tolist(), j[ok].tolist(), d[ok].tolist()):
+            yield (nodes[x], nodes[y], z) if nodes[x] < nodes[y] else (nodes[y], nodes[x], z)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[bytes, bytes]] = set()
+        seen: set[tuple[bytes, bytes, int]] = set()
         key, first, run = None, [], []
 
         def flush() -> None:
@@ -356,9 +357,9 @@ def candidates(keys: DataFrame, words: int, radius: int, few: int = 24, leaders:
                 seen.update(pairs(first + run))
 
         def out() -> pa.RecordBatch:
-            a, b = zip(*seen)
+            a, b, d = zip(*seen)
             seen.clear()
-            return pa.RecordBatch.from_arrays([binaries(list(a)), binaries(list(b))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([binaries(list(a)), binaries(list(b)), pa.array(d, pa.int64())], names=["a", "b", "d"])
 
         for batch in batches:
             for k, node in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist()):
@@ -377,7 +378,7 @@ def candidates(keys: DataFrame, words: int, radius: int, few: int = 24, leaders:
 
     # the order within a key starts at another byte of the SimHash for each key
     turned = F.substring("node", F.pmod("key", F.lit(8 * words)).cast("int") + 1, 8)
-    return mapped(keys.repartition("key").sortWithinPartitions("key", turned, "node"), task, "a binary, b binary").distinct()
+    return mapped(keys.repartition("key").sortWithinPartitions("key", turned, "node"), task, "a binary, b binary, d long").distinct()
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str, most: int = 256) -> DataFrame:
@@ -390,56 +391,89 @@ def _beside(pairs: DataFrame, sets: DataFrame, side: str, name: str, most: int =
     return own.join(dealt.withColumnRenamed("node", side).drop("parts"), [side, "part"]).drop("part")
 
 
-def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, bands: int = 20, rows: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast where it has no more than `most` rows, which are counted; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    both = _beside(_beside(pairs.select("a", "b"), sets, "a", "sa"), sets, "b", "sb")
+    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    return written(both.filter(shared * (share[0] + share[1]) >= total * share[0]).select("a", "b"), "links")
+
+
+def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, bands: int = 20, rows: int = 5, share: tuple[int, int] = (4, 5), small: int = 500_000) -> DataFrame:
     """doc_id, row, fp, label, component_id: the smallest doc_id that can be reached over pairs of Jaccard similarity 4/5 or more.
 
     Components whose smallest doc_id is the same differ in label.
 
     The similarity is that of the sets of shingles, and every link is checked on the sets themselves. Pairs meet if the min-hashes
-    of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. Hashes of 64 bits stand for shingles. SimHash orders what has met;
-    the radius is seven deviations above the mean distance at 0.8.
+    of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. SimHash orders what has met; the radius is seven deviations above
+    the mean distance at 0.8. Each text's closest pair is checked first, then of the others those whose ends the links so far
+    haven't joined, as the rest could join nothing new. Sets, of 32-bit hashes, are made for texts in pairs alone, from a second
+    look at the documents that stand for them.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            nodes, keys, _ = zip(*(alike_keys(t, width, words, bands, rows) for t in texts_of(batch)))
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), binaries(list(nodes)), each], names=["doc_id", "row", "node", "keys"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=1 << 20):
-            nodes, keys, own = zip(*(alike_keys(t, width, words, bands, rows) for t in texts_of(batch)))
+            own = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)]).astype(np.uint32)) for t in texts_of(batch)]
             ends = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), binaries(list(nodes)), each, sets], names=["doc_id", "row", "node", "keys", "set"])
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "set"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    all_ = written(mapped(plain, task, "doc_id long, row long, node binary, keys array<long>, set array<long>"), "shingles")
+    all_ = written(mapped(plain, task, "doc_id long, row long, node binary, keys array<long>"), "minhashes")
     # equal sets are one node; each of its rows has the same keys and the same set
-    distinct = all_.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    distinct = all_.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("of"), F.first("keys").alias("keys"))
     distinct = written(distinct, "nodes")
     keyed = distinct.select(F.explode("keys").alias("key"), "node")
     pairs = written(candidates(keyed, words, radius), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(all_.join(ends, "node", "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
-    both = _beside(_beside(pairs, sets, "a", "sa"), sets, "b", "sb")
-    shared, total = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    edges = both.filter(shared * (share[0] + share[1]) >= total * share[0]).select("a", "b")
-    labels = components(edges, "node", "label")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct.select("node", "of"), "node")
+    ends = written(ends.select("node", F.col("of.doc_id").alias("i"), F.col("of.row").alias("r")), "ends")
+    texts = plain.join(_small(ends, small), plain.doc_id.eqNullSafe(ends.i) & (plain.row == ends.r)).select("node", "text")
+    sets = written(mapped(texts, shingles, "node binary, set array<int>").dropDuplicates(["node"]), "sets")
+    each = pairs.select(F.col("a").alias("node"), "a", "b", "d").union(pairs.select(F.col("b").alias("node"), "a", "b", "d"))
+    closest = written(each.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "closest")
+    near = _verified(closest, sets, share)
+    so_far = components(near, "node", "label")
+    rest = pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")
+    for side in ("a", "b"):
+        rest = rest.join(so_far.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    far = _verified(rest.filter("la <> lb"), sets, share)
+    labels = so_far
+    if not far.isEmpty():
+        labels = components(near.union(far), "node", "label")
     of = distinct.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of = written(of, "labels")
     smallest = of.groupBy("label").agg(F.min("least").alias("component_id"))
     of = of.join(smallest, "label").select("node", "label", "component_id")
-    return all_.join(of, "node").select("doc_id", "row", F.col("node").alias("fp"), "label", "component_id")
+    return all_.select("doc_id", "row", "node").join(of, "node").select("doc_id", "row", F.col("node").alias("fp"), "label", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, small: int = 500_000, **options) -> DataFrame:
     """Of each group one row stays, with all its columns: that of the smallest doc_id, and of the smallest text hash if ids tie.
 
-    A row without doc_id stays if its group has no doc_id at all. Of rows that repeat both doc_id and text one stays.
+    A row without doc_id stays if its group has no doc_id at all. Of rows that repeat both doc_id and text one stays. Rows that
+    nothing is to be done about stay where they are, as long as those that go are few enough to broadcast.
     """
-    known = alike(docs, **options)
-    kept = known.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k"))
-    lowest = F.lit(-(1 << 63)).cast("long")
     id_, row, n = free(docs, "_id", "_row", "_first")
-    kept = kept.select(F.coalesce("k.doc_id", lowest).alias(id_), F.col("k.row").alias(row)).distinct()
+    lowest = F.lit(-(1 << 63)).cast("long")
+    known = alike(docs, small=small, **options).groupBy("label", F.coalesce("doc_id", lowest).alias(id_), F.col("row").alias(row)).agg(F.count("*").alias("rows"))
+    known = written(known, "rows-by-group")
+    # null ids are last
+    first = known.groupBy("label").agg(F.min(F.struct((F.col(id_) == lowest).alias("none"), id_, row)).alias("k")).select("label", F.col(f"k.{id_}").alias(id_), F.col(f"k.{row}").alias(row), F.lit(True).alias("stays"))
+    judged = known.join(first, ["label", id_, row], "left")
+    lost = written(judged.filter("stays IS NULL OR rows > 1").select(id_, row, F.coalesce("stays", F.lit(False)).alias("stays")), "lost")
     named = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), lowest), row: F.xxhash64("text")})
-    stay = named.join(kept, [id_, row], "left_semi")
-    # the join has dealt the rows out by these two columns and sorted them, so that this needs no shuffle of its own
-    first = F.row_number().over(Window.partitionBy(id_, row).orderBy(row))
-    return stay.withColumn(n, first).filter(F.col(n) == 1).select(*docs.columns)
+    kept = named.join(_small(lost.select(id_, row), small), [id_, row], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = lost.filter("stays").select(id_, row)
+    if repeated.isEmpty():
+        return kept
+    again = named.join(_small(repeated, small), [id_, row], "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(id_, row).orderBy(row)))
+    return kept.union(again.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
