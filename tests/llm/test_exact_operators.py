@@ -193,7 +193,7 @@ def test_substrings(spark):
     assert key([tuple(r) for r in got]) == want and sum(r[2] for r in want) > 300
 
 
-@pytest.mark.parametrize("settings", [substrings.Settings(window=20, gram=4, longest_run=8, shard_words=500), substrings.Settings(window=20, gram=4, most_segments=2, shard_words=500)])
+@pytest.mark.parametrize("settings", [substrings.Settings(window=20, gram=4, longest_run=8, shard_words=500), substrings.Settings(window=20, gram=4, shard_words=60)])
 def test_substrings_in_few_different_words(spark, settings):
     """Words of a small vocabulary repeat inside documents too; small shards and split minimizers give the same."""
     rng = np.random.default_rng(5)
@@ -212,6 +212,21 @@ def test_substrings_in_few_different_words(spark, settings):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_a_hot_minimizer_is_cut_down_to_what_is_shared(spark):
+    """A passage that all documents have between words of their own: one segment is left of its minimizer, however many there are."""
+    passage = [f"q{i}" for i in range(55)]
+    rows = [(d, " ".join([f"a{d}x{i}" for i in range(60)] + passage + [f"b{d}x{i}" for i in range(60)]), None, None, 0) for d in range(60)]
+    s = substrings.Settings(shard_words=2000)
+    segs = substrings.segments(frame(spark, rows), s)
+    merged = substrings.merged_segments(segs)
+    hot = substrings.heavy(merged, s)
+    assert hot.count() and merged.count() >= 60
+    after = substrings.merged_segments(substrings.trimmed(segs, merged, hot, s))
+    assert after.count() <= 10 and substrings.heavy(after, s).count() == 0
+    got = substrings.remove(frame(spark, rows), s)
+    assert key([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got.collect()]) == removed_words(rows, 50)
+
+
 def test_fm_index_counts_like_a_scan():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 5, 800)

@@ -6,9 +6,11 @@ A window is `window` consecutive words. The work is dealt out by content, so tha
    windows have equal minimizers. Runs whose minimizer only one document has can't repeat and go no further.
 2. The words of the remaining runs, as 40-bit word hashes, are the segments. Equal segments are merged, keeping the least doc_id,
    so a passage that very many documents share is one segment.
+   Where a minimizer has more words than a shard takes, as each document goes on in its own way after a passage that all share, its
+   segments are first trimmed to windows whose 64-bit hash two documents have; so what is left of them is the passage.
 3. Segments are dealt by minimizer into shards of about `shard_words` words. Each shard builds a compressed FM-index of its
    segments and streams them through it by backward search; a window's interval of suffixes gives the least doc_id that has it.
-   A minimizer with more than `most_segments` segments is split: each part is indexed in a shard of its own, the minimizer's
+   A minimizer that has more words even then is split: each part is indexed in a shard of its own, the minimizer's
    segments are streamed through all its parts, and the least answer counts.
 4. Windows whose least doc_id is smaller than their own document's are intervals to remove.
 
@@ -43,7 +45,6 @@ class Settings:
     gram: int = 8
     longest_run: int = 256  # windows; longer runs are cut
     shard_words: int = 1_500_000
-    most_segments: int = 30_000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -139,6 +140,8 @@ def _search(table: pa.Table, s: Settings) -> pa.Table:
     start = np.cumsum(sizes) - sizes
     # the text: indexed segments, each followed by a 0
     own = np.flatnonzero(indexed)
+    if not len(own):  # a part that no segment fell to; each segment is answered where it is indexed
+        return pa.table({"segment": pa.array([], pa.binary()), "first_doc": pa.array([], pa.list_(pa.int64()))})
     text = np.zeros(int(sizes[own].sum()) + len(own), np.int64)
     place = np.cumsum(sizes[own] + 1) - (sizes[own] + 1)
     spread = np.repeat(place - start[own], sizes[own]) + np.concatenate([np.arange(start[i], start[i] + sizes[i]) for i in own])
@@ -154,18 +157,73 @@ def _search(table: pa.Table, s: Settings) -> pa.Table:
     return pa.table({"segment": table.column("segment").take(pa.array(mine[keep], pa.int64())), "first_doc": pa.array([lists[k] for k in keep], pa.list_(pa.int64()))})
 
 
-def first_docs(segs: DataFrame, s: Settings) -> DataFrame:
+def merged_segments(segs: DataFrame) -> DataFrame:
+    merged = segs.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("words").alias("words"))
+    return written(merged.withColumn("several", F.col("least") < F.col("most")), "merged-segments")
+
+
+def heavy(merged: DataFrame, s: Settings) -> DataFrame:
+    """key, parts: the minimizers with more words than a shard takes."""
+    sizes = merged.groupBy("key").agg(F.sum(F.length("words")).alias("size")).filter(F.col("size") > s.shard_words * BYTES)
+    return written(sizes.select("key", F.ceil(F.col("size") / (s.shard_words * BYTES)).cast("int").alias("parts")), "heavy-minimizers")
+
+
+def window_hashes(words: bytes, s: Settings) -> np.ndarray:
+    raw = np.zeros((len(words) // BYTES, 8), np.uint8)
+    raw[:, :BYTES] = np.frombuffer(words, np.uint8).reshape(-1, BYTES)
+    codes = raw.view("<u8").ravel()
+    h = np.zeros(len(codes) - s.window + 1, np.uint64)
+    for k in range(s.window):
+        h = h * MIX[0] + codes[k : k + len(h)]
+    h = (h ^ (h >> np.uint64(32))) * MIX[1]
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def trimmed(segs: DataFrame, merged: DataFrame, hot: DataFrame, s: Settings) -> DataFrame:
+    """`segs` with those of hot minimizers cut down to the windows that two documents have, by their hashes."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                each = [window_hashes(w, s) for w in some.column("words").to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(each)), [len(h) for h in each]))
+                place = np.concatenate([np.arange(len(h)) for h in each])
+                yield pa.RecordBatch.from_arrays([some.column("segment").take(at), pa.array(place), pa.array(np.concatenate(each)), some.column("least").take(at), some.column("most").take(at)], names=["segment", "at", "h", "least", "most"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"segment": [], "off": [], "m": []}
+            for segment, at in zip(batch.column("segment").to_pylist(), batch.column("at").to_pylist()):
+                at = np.sort(np.array(at))
+                cuts = np.flatnonzero(np.diff(at) > 1) + 1
+                for run in np.split(at, cuts):
+                    for k, v in zip(out, (segment, int(run[0]), len(run))):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["segment"], pa.binary()), pa.array(out["off"], pa.int64()), pa.array(out["m"], pa.int64())], names=list(out))
+
+    mine = merged.join(hot, "key", "left_semi").select("segment", "words", "least", "most")
+    each = written(mapped(mine, windows, "segment binary, at long, h long, least long, most long"), "windows")
+    shared = each.groupBy("h").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a < b").select("h")
+    # no more than a run has windows
+    left = each.join(shared, "h", "left_semi").groupBy("segment").agg(F.collect_list("at").alias("at"))
+    cut = mapped(left, stretches, "segment binary, off long, m long")
+    words = F.substring(F.col("words"), (F.col("off") * BYTES + 1).cast("int"), ((F.col("m") + s.window - 1) * BYTES).cast("int"))
+    again = segs.join(hot, "key", "left_semi").join(cut, "segment").withColumn("w", words)
+    again = again.select("key", F.unhex(F.md5("w")).alias("segment"), F.col("w").alias("words"), "doc_id", "row", (F.col("start") + F.col("off")).alias("start"), F.col("m").alias("n"))
+    return written(segs.join(hot, "key", "left_anti").unionByName(again), "trimmed-segments")
+
+
+def first_docs(merged: DataFrame, s: Settings) -> DataFrame:
     """segment, first_doc (array: for each window the least doc_id that has it), where that matters to some document."""
-    merged = segs.groupBy("key", "segment").agg(F.min("doc_id").alias("least"), (F.min("doc_id") < F.max("doc_id")).alias("several"), F.first("words").alias("words"))
-    merged = written(merged, "merged-segments")
     size = merged.agg(F.sum(F.length("words"))).collect()[0][0] or 0
     shards = max(1, math.ceil(size / BYTES / s.shard_words))
-    hot = written(merged.groupBy("key").count().filter(F.col("count") > s.most_segments), "hot-minimizers")
+    hot = heavy(merged, s)
     split = not hot.isEmpty()
     if split:
-        parts = F.coalesce(F.ceil(F.col("count") / s.most_segments), F.lit(1)).cast("int")
-        dealt = merged.join(hot, "key", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("segment"), "parts").cast("int"))
+        dealt = merged.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("segment"), "parts").cast("int"))
         dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("indexed", F.col("part") == F.col("own"))
+        shards += hot.agg(F.sum("parts")).collect()[0][0]
     else:
         dealt = merged.withColumns({"part": F.lit(0), "indexed": F.lit(True)})
     dealt = dealt.select(F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard"), "segment", "least", "several", "words", "indexed", F.lit(True).alias("asks"))
@@ -179,7 +237,12 @@ def first_docs(segs: DataFrame, s: Settings) -> DataFrame:
 def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, row, found: array of (start, first_doc), first_doc being for each window from start on the least doc_id with it."""
     segs = segments(docs, s)
-    found = segs.select("segment", "doc_id", "row", "start").join(first_docs(segs, s), "segment")
+    merged = merged_segments(segs)
+    hot = heavy(merged, s)
+    if not hot.isEmpty():
+        segs = trimmed(segs, merged, hot, s)
+        merged = merged_segments(segs)
+    found = segs.select("segment", "doc_id", "row", "start").join(first_docs(merged, s), "segment")
     earlier = F.exists("first_doc", lambda d: d < F.col("doc_id"))
     return found.filter(earlier).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "first_doc")).alias("found"))
 
