@@ -1,9 +1,10 @@
 """Exact top-k search by Hamming distance over binary codes: incremental multi-index hashing.
 
-A code has one bit per dimension (1 where it is above zero), cut into segments of 16 bits; four segments are kept in one long. The
-index has a row for each segment of each distinct code. In round r every open query asks each segment for the values at exactly r
-flips; after it, every code within m (r + 1) - 1 of the query has been met, m being the number of segments, for one that no segment
-finds differs by r + 1 or more in each. A query closes when k verified neighbours lie within that radius, and only open queries go on.
+A code has one bit per dimension (1 where it is above zero), kept in longs and cut into segments of about as many bits as the number
+of different codes takes to write, so that a segment's value is shared by few codes at any size of the table. The index has a row
+for each segment of each distinct code. In round r every open query asks each segment for the values at exactly r flips; after it,
+every code within m (r + 1) - 1 of the query has been met, m being the number of segments, for one that no segment finds differs by
+r + 1 or more in each. A query closes when k verified neighbours lie within that radius, and only open queries go on.
 
 A pair is taken up in the one round and segment where it is met first, which is worked out from the two codes, so nothing has
 to be made distinct; it is kept if it is no farther than the query's k-th so far. Asks are very many small rows: they hold the value
@@ -26,69 +27,87 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BITS = 16
 #: Asks that one task makes, about; few bytes of queries make very many asks.
 ASKS_PER_TASK = 2_000_000
-PER_LONG = 64 // BITS
+#: Segments of fewer bits have hardly any values, and those of more too many at a few flips.
+LEAST_BITS, MOST_BITS = 8, 24
 
 
 def codes(vectors: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, int]:
-    """id and w0, w1, ...: the code in longs; and the number of segments."""
+    """id and w0, w1, ...: the code in longs; and the number of bits."""
     rows = vectors.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
-    dims = rows.agg(F.max(F.size(vector))).collect()[0][0] or 1
-    m = max(1, -(-dims // BITS))
+    dims = max(1, rows.agg(F.max(F.size(vector))).collect()[0][0] or 1)
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("_v"))
 
     def word(k: int) -> Column:
         out = F.lit(0).cast("long")
-        for i in range(min(64, m * BITS - 64 * k)):
+        for i in range(min(64, dims - 64 * k)):
             out = out.bitwiseOR(F.when(F.get("_v", F.lit(64 * k + i)) > 0, F.lit((1 << i) - ((1 << 64) if i == 63 else 0))).otherwise(F.lit(0).cast("long")))
         return out
 
-    return rows.select("id", *[word(k).alias(f"w{k}") for k in range(-(-m // PER_LONG))]), m
+    return rows.select("id", *[word(k).alias(f"w{k}") for k in range(-(-dims // 64))]), dims
 
 
-def segment(word: Column, j: int) -> Column:
-    return F.shiftrightunsigned(word, BITS * (j % PER_LONG)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+def cuts(dims: int, distinct: int) -> list[tuple[int, int, int]]:
+    """(long, first bit, bits) of each segment: none reaches over the end of a long."""
+    bits, out = min(max(LEAST_BITS, math.ceil(math.log2(max(2, distinct)))), MOST_BITS), []
+    for k in range(-(-dims // 64)):
+        held = min(64, dims - 64 * k)
+        parts = max(1, round(held / bits))
+        ends = [held * i // parts for i in range(parts + 1)]
+        out += [(k, a, b - a) for a, b in zip(ends[:-1], ends[1:])]
+    return out
 
 
-def segment_keys(m: int) -> Column:
-    """(segment's number, its value) as one integer, for each segment."""
-    return F.array(*[(segment(F.col(f"w{j // PER_LONG}"), j) + (j << BITS)).cast("int") for j in range(m)])
+def segment(word: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(word, first).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long"))
 
 
-def apart(j: int) -> Column:
-    return F.bit_count(segment(F.col(f"q.w{j // PER_LONG}").bitwiseXOR(F.col(f"c.w{j // PER_LONG}")), j))
+def segment_key(j: int, cut: tuple[int, int, int]) -> Column:
+    """A segment's number and value as one long."""
+    k, first, bits = cut
+    return segment(F.col(f"w{k}"), first, bits).bitwiseOR(F.lit(j << 40).cast("long"))
+
+
+def apart(cut: tuple[int, int, int]) -> Column:
+    k, first, bits = cut
+    return F.bit_count(segment(F.col(f"q.w{k}").bitwiseXOR(F.col(f"c.w{k}")), first, bits))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), neighbour_id, distance. `is_query` is over the column `id`."""
-    rows, m = codes(vectors, id_column, vector)
+    rows, dims = codes(vectors, id_column, vector)
     words = [c for c in rows.columns if c != "id"]
     asking = [f"q{w}" for w in words]
     rows = written(rows, "codes")
     least = F.row_number().over(Window.partitionBy(*words).orderBy("id"))
     members = written(rows.withColumn("i", least).filter(F.col("i") <= k + 1).select(*words, "id"), "members")
     total = members.count()
-    classes = members.groupBy(*words).agg(F.count("*").cast("int").alias("n"), F.min("id").alias("least"))
-    index = written(classes.select("*", F.explode(segment_keys(m)).alias("key")), "segment-index")
+    classes = written(members.groupBy(*words).agg(F.count("*").cast("int").alias("n"), F.min("id").alias("least")), "distinct-codes")
+    parts = cuts(dims, classes.count())
+    m = len(parts)
+    index = written(classes.select("*", F.explode(F.array(*[segment_key(j, c) for j, c in enumerate(parts)])).alias("key")), "segment-index")
     queries = written(rows.filter(is_query).select("id", *words), "queries")
     farthest = 64 * len(words)
     open_ = written(queries.select(*words).distinct().withColumn("bound", F.lit(farthest)), "open-queries")
     found = None
-    for r in range(BITS + 1):
-        flips = F.array(*[F.lit(sum(1 << i for i in c)) for c in combinations(range(BITS), r)])
+    for r in range(max(bits for *_, bits in parts) + 1):
         waiting = open_.count()
         if found is not None and not waiting:
             break
-        spread = open_.repartition(max(1, math.ceil(waiting * m * math.comb(BITS, r) / ASKS_PER_TASK)))
-        asks = spread.select("*", F.explode(segment_keys(m)).alias("own")).select(*words, "bound", "own", F.explode(flips).alias("f"))
-        asks = asks.select(*words, "bound", F.col("own").bitwiseXOR(F.col("f")).alias("key"))
-        met = asks.alias("q").join(index.hint("merge").alias("c"), "key")
+        spread = open_.repartition(max(1, math.ceil(waiting * sum(math.comb(bits, r) for *_, bits in parts) / ASKS_PER_TASK)))
+        asked = None
+        for width in sorted({bits for *_, bits in parts if bits >= r}):  # segments of two widths at most in a long
+            flips = F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in combinations(range(width), r)])
+            own = F.array(*[segment_key(j, c) for j, c in enumerate(parts) if c[2] == width])
+            some = spread.select("*", F.explode(own).alias("own")).select(*words, "bound", "own", F.explode(flips).alias("f"))
+            some = some.select(*words, "bound", F.col("own").bitwiseXOR(F.col("f")).alias("key"))
+            asked = some if asked is None else asked.unionByName(some)
+        met = asked.alias("q").join(index.hint("merge").alias("c"), "key")
         # taken up where it is met first: no segment is closer than this one, and none before it as close
         first = F.lit(True)
-        for j in range(m):
-            first = first & F.when(F.col("key") >= (j + 1) << BITS, apart(j) > r).otherwise(apart(j) >= r)
+        for j, c in enumerate(parts):
+            first = first & F.when(F.col("key") >= F.lit((j + 1) << 40).cast("long"), apart(c) > r).otherwise(apart(c) >= r)
         distance = sum(F.bit_count(F.col(f"q.{w}").bitwiseXOR(F.col(f"c.{w}"))) for w in words)
         met = met.filter((distance <= F.col("q.bound")) & first).select(*[F.col(f"q.{w}").alias(a) for w, a in zip(words, asking)], *[F.col(f"c.{w}") for w in words], "n", "least", distance.cast("int").alias("distance"))
         met = met if found is None else met.unionByName(found)
