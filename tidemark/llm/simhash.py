@@ -24,6 +24,7 @@ component unless all are null; repeated rows each get a row; an empty table give
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -270,13 +271,15 @@ def links(keys: DataFrame, words: int, radius: int, wide: int = 256) -> DataFram
     return mapped(keys.repartition("key").sortWithinPartitions("key"), task, "a binary, b binary").distinct()
 
 
-def groups(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 36, blocks: int = 8, cover: str = "keep", flips: int = 1) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 36, blocks: int = 8, cover: str = "keep", flips: int = 1, per_task: int = 20_000) -> DataFrame:
     """doc_id, row, fp, component_id: the smallest doc_id that can be reached over links of at most `radius` differing bits."""
     if cover == "erase" and radius > 2 * flips + 1:
         raise ValueError("with cover='erase', the radius is at most twice the flips and one")
     fps = written(fingerprints(docs, width, words), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    edges = links(ball_keys(distinct, words, blocks, cover, flips), words, radius)
+    # a fingerprint makes some hundred rows, so a small table is many tasks' work
+    spread = distinct.select("fp").repartition(max(1, math.ceil(distinct.count() / per_task)))
+    edges = written(links(ball_keys(spread, words, blocks, cover, flips), words, radius), "links")
     labels = components(edges, "fp", "label")
     # fingerprints without a link are their own component
     of = distinct.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
