@@ -2,10 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links among n rows, a spanning forest as (least row of the tree, row)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            own = np.flatnonzero(label != np.arange(n))
+            return label[own], own
+
+
+def thinned(edges: DataFrame, block: int = 200_000) -> DataFrame:
+    """Edges with the same components and fewer of them: of each block of a task's edges, a spanning forest."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ends = pa.chunked_array([*t.column("a").chunks, *t.column("b").chunks]).combine_chunks().dictionary_encode()
+            index = ends.indices.to_numpy()
+            a, b = forest(len(ends.dictionary), index[: t.num_rows], index[t.num_rows :])
+            return pa.RecordBatch.from_arrays([ends.dictionary.take(pa.array(a)), ends.dictionary.take(pa.array(b))], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > block:
+                yield out(held)
+                held, n = [], 0
+        if n:
+            yield out(held)
+
+    return mapped(edges, task, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema.fields))
 
 
 def components(edges: DataFrame, node: str = "node", label: str = "label", most_rounds: int = 60) -> DataFrame:
@@ -16,7 +58,7 @@ def components(edges: DataFrame, node: str = "node", label: str = "label", most_
     rounds end when none did. Sums over a node's edges are pre-aggregated before they are shuffled, so that a node with very
     many edges costs no more than its share; each round is cut off at a table in the shared folder.
     """
-    both = edges.filter(F.col("a") != F.col("b")).select("a", "b")
+    both = thinned(edges.filter(F.col("a") != F.col("b")).select("a", "b"))
     both = written(both.union(both.select("b", "a")).distinct(), "edges")
     parents = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents")
     for _ in range(most_rounds):

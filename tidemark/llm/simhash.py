@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binaries, free, mapped, sliced, texts_of, written
-from .graph import components
+from .graph import components, forest
 
 #: For each byte, its bits as eight byte-wide counters in one 64-bit lane.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -148,20 +148,6 @@ def _near(fps: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndar
     return np.bitwise_count(fps[i] ^ fps[j]).sum(1, dtype=np.int64) <= radius
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links among n rows, a spanning forest as (least row of the tree, row)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            own = np.flatnonzero(label != np.arange(n))
-            return label[own], own
-
-
 def _link_wide(fps: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among the fingerprints of one key that has very many of them, without comparing all pairs.
 
@@ -232,7 +218,7 @@ def links(keys: DataFrame, words: int, radius: int, wide: int = 256) -> DataFram
         if i_all:
             i, j = np.concatenate(i_all), np.concatenate(j_all)
             nodes, back = np.unique(np.r_[i, j], return_inverse=True)
-            a, b = _forest(len(nodes), back[: len(i)], back[len(i) :])
+            a, b = forest(len(nodes), back[: len(i)], back[len(i) :])
             yield nodes[a], nodes[b]
         for g in np.flatnonzero(sizes > wide):
             a, b = _link_wide(raw[start[g] : start[g] + sizes[g]], radius, wide)
