@@ -12,18 +12,21 @@ def tumbling(df: DataFrame, ts: str, size: str) -> DataFrame:
     return df.withColumns({"window_start": w["start"], "window_end": w["end"]})
 
 
-def hopping_from_panes(panes: DataFrame, pane: str, size_s: int, slide_s: int) -> DataFrame:
+def hopping_from_panes(panes: DataFrame, pane: str, size_s: int, slide_s: int, first_open: str | None = None) -> DataFrame:
     """Rows pre-aggregated by pane (a window of the slide's length, its start in `pane`) dealt to the windows that hold them.
 
     Rows are aggregated before they are multiplied: a group of any number of rows becomes one pane, and size / slide copies of the
-    pane are shuffled instead of as many copies of each row.
+    pane are shuffled instead of as many copies of each row. Where rows came late, `first_open` (seconds) is a key of the panes too:
+    the start of the first window that they still count in, see `first_open_window`.
     """
     if size_s % slide_s:
         raise ValueError("the window's size must be a multiple of its slide")
     first = F.unix_seconds(pane) - (size_s - slide_s)
+    if first_open:
+        first = F.greatest(first, F.col(first_open))
     starts = F.explode(F.sequence(first, F.unix_seconds(pane), F.lit(slide_s)))
     return panes.select("*", starts.alias("_s")).select(
-        *panes.columns, F.timestamp_seconds("_s").alias("window_start"), F.timestamp_seconds(F.col("_s") + size_s).alias("window_end")
+        *[c for c in panes.columns if c != first_open], F.timestamp_seconds("_s").alias("window_start"), F.timestamp_seconds(F.col("_s") + size_s).alias("window_end")
     )
 
 
@@ -41,6 +44,18 @@ def running_max(df: DataFrame, value: str, order: str, chunk: int = 1 << 16) ->
     return joined.withColumn("stream_time", F.greatest("_i", "_b")).drop("_c", "_i", "_b")
 
 
+def first_open_window(df: DataFrame, ts: str, order: str, pane: str, size_s: int, slide_s: int, grace_s: int, chunk: int = 1 << 16) -> DataFrame:
+    """`df` with _open: the start, in seconds, of the first hopping window of each row's pane that was open when the row arrived.
+
+    Windows that ended a grace or more before the stream time are closed; a row with no other goes. Rows in time, which are
+    nearly all, have the pane's first window, so that panes stay few.
+    """
+    earliest = F.unix_seconds(pane) - (size_s - slide_s)
+    closed = F.floor((F.unix_micros("stream_time") - (earliest + (size_s + grace_s)) * 1_000_000) / (slide_s * 1_000_000)) + 1
+    rows = running_max(df, ts, order, chunk).withColumn("_open", earliest + F.greatest(F.lit(0), closed) * slide_s)
+    return rows.filter(F.col("_open") <= F.unix_seconds(pane)).drop("stream_time")
+
+
 def drop_late(df: DataFrame, ts: str, order: str, window_end: str = "window_end", grace: str = "10 minutes", chunk: int = 1 << 16) -> DataFrame:
     """Rows, one for each row and window, whose window was open when they arrived: window_end + grace > stream time.
 

@@ -15,7 +15,7 @@ from ..functions.scores import comfort_class, comfort_score
 from ..operators.ordered import rates, spells, top_k
 from ..operators.regimes import by_archetype
 from ..operators.regression import pane_sums, trends
-from ..operators.windows import drop_late, hopping_from_panes, tumbling
+from ..operators.windows import drop_late, first_open_window, hopping_from_panes, tumbling
 from ..sources.stations import with_region
 
 DAY, HOUR = 86_400, 3_600
@@ -40,7 +40,7 @@ def frost_days(obs: DataFrame, year: int | None = 2025, freezing: float = 0.0) -
     return cold.groupBy("station_id", month).agg(days.cast("long").alias("frost_day_count"))
 
 
-def rapid_change(obs: DataFrame, year: int | None = 2025, window_hours: int = 24, late: bool = False, chunk: int = 1 << 16) -> DataFrame:
+def rapid_change(obs: DataFrame, year: int | None = 2025, window_hours: int = 24, late: bool = False, grace_minutes: int = 10, chunk: int = 1 << 16) -> DataFrame:
     """Least, greatest and mean change per hour between consecutive readings of a station inside a tumbling window.
 
     Readings of any quality count. A window's first reading has no predecessor; a window without rates has zeros.
@@ -49,7 +49,7 @@ def rapid_change(obs: DataFrame, year: int | None = 2025, window_hours: int = 24
     rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull() & in_year("observed_at", year))
     rows = tumbling(rows.select("station_id", "observed_at", "temperature_celsius", "arrival_seq"), "observed_at", f"{window_hours} hours")
     if late:
-        rows = drop_late(rows, "observed_at", "arrival_seq", chunk=chunk)
+        rows = drop_late(rows, "observed_at", "arrival_seq", grace=f"{grace_minutes} minutes", chunk=chunk)
     keys = ["station_id", "window_start", "window_end"]
     paired = rates(rows, keys, "arrival_seq", "observed_at", "temperature_celsius")
     zero = F.lit(0.0)
@@ -59,9 +59,14 @@ def rapid_change(obs: DataFrame, year: int | None = 2025, window_hours: int = 24
     )
 
 
-def comfort(obs: DataFrame, regions: DataFrame, year: int | None = 2025, window_hours: int = 24) -> DataFrame:
-    """A comfort score of 0 to 100 for each region and tumbling window, from readings whose three signals are all usable."""
+def comfort(obs: DataFrame, regions: DataFrame, year: int | None = 2025, window_hours: int = 24, late: bool = False, grace_minutes: int = 10, chunk: int = 1 << 16) -> DataFrame:
+    """A comfort score of 0 to 100 for each region and tumbling window, from readings whose three signals are all usable.
+
+    `late` as in `rapid_change`.
+    """
     rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & usable_temperature() & usable_wind() & usable_clarity() & in_year("observation_date", year))
+    if late:
+        rows = drop_late(tumbling(rows, "observed_at", f"{window_hours} hours"), "observed_at", "arrival_seq", grace=f"{grace_minutes} minutes", chunk=chunk)
     rows = rows.select("station_id", "observed_at", "temperature_celsius", "wind_speed_mps", "sky_clarity_score")
     w = F.window("observed_at", f"{window_hours} hours")
     means = with_region(rows, regions).groupBy("region_id", "region_name", w.alias("w")).agg(
@@ -116,15 +121,18 @@ def ranking_rows(nested: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def forecast(obs: DataFrame, window_days: int = 30, slide_days: int = 1, ahead_s: int = DAY) -> DataFrame:
+def forecast(obs: DataFrame, window_days: int = 30, slide_days: int = 1, ahead_s: int = DAY, late: bool = False, grace_minutes: int = 10, chunk: int = 1 << 16) -> DataFrame:
     """Linear trend of each station over hopping windows, carried on for a day after the window's last reading.
 
     Sums are made by pane of one slide and added up over the panes of a window. Readings of any quality count.
+    With `late`, a reading counts only in those of its windows that were open when it came.
     """
     rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull())
-    rows = rows.select("station_id", "observed_at", "temperature_celsius", F.window("observed_at", f"{slide_days} days")["start"].alias("pane"))
-    panes = pane_sums(rows, ["station_id"], "pane", "observed_at", "temperature_celsius")
-    held = trends(hopping_from_panes(panes, "pane", window_days * DAY, slide_days * DAY), ["station_id", "window_start", "window_end"], "pane")
+    rows = rows.withColumn("pane", F.window("observed_at", f"{slide_days} days")["start"])
+    if late:
+        rows = first_open_window(rows, "observed_at", "arrival_seq", "pane", window_days * DAY, slide_days * DAY, 60 * grace_minutes, chunk)
+    panes = pane_sums(rows, ["station_id", *["_open"] * late], "pane", "observed_at", "temperature_celsius")
+    held = trends(hopping_from_panes(panes, "pane", window_days * DAY, slide_days * DAY, "_open" if late else None), ["station_id", "window_start", "window_end"], "pane")
     return held.select(
         "station_id", "window_start", "window_end", "slope_per_second", F.col("mean").alias("current_average"),
         (F.col("at_last") + F.col("slope_per_second") * ahead_s).alias("forecast_next_24h"), F.col("n").alias("observation_count"),
@@ -142,16 +150,22 @@ def wet_periods(obs: DataFrame, year: int | None = 2025) -> DataFrame:
     )
 
 
-def blizzards(obs: DataFrame, year: int | None = 2025, window_hours: int = 24, slide_hours: int = 1, freezing: float = 0.0, strong_wind: float = 12.0) -> DataFrame:
-    """Hopping windows in which a station has freezing, strong wind and precipitation. Evidence is counted by pane of one slide first."""
+def blizzards(obs: DataFrame, year: int | None = 2025, window_hours: int = 24, slide_hours: int = 1, freezing: float = 0.0, strong_wind: float = 12.0, late: bool = False, grace_minutes: int = 10, chunk: int = 1 << 16) -> DataFrame:
+    """Hopping windows in which a station has freezing, strong wind and precipitation. Evidence is counted by pane of one slide first.
+
+    With `late`, a reading counts only in those of its windows that were open when it came.
+    """
     temperature, wind = usable_temperature(), usable_wind()
     rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & in_year("observed_at", year) & (temperature | wind | wet()))
-    panes = rows.groupBy("station_id", F.window("observed_at", f"{slide_hours} hours")["start"].alias("pane")).agg(
+    rows = rows.withColumn("pane", F.window("observed_at", f"{slide_hours} hours")["start"])
+    if late:
+        rows = first_open_window(rows, "observed_at", "arrival_seq", "pane", window_hours * HOUR, slide_hours * HOUR, 60 * grace_minutes, chunk)
+    panes = rows.groupBy("station_id", "pane", *["_open"] * late).agg(
         F.count("*").alias("sample_count"), F.count_if(temperature & (F.col("temperature_celsius") <= freezing)).alias("freezing_observation_count"),
         F.count_if(wind & (F.col("wind_speed_mps") >= strong_wind)).alias("strong_wind_observation_count"), F.count_if(wet()).alias("precipitation_observation_count"),
         F.min(F.when(temperature, F.col("temperature_celsius"))).alias("min_temperature_celsius"), F.max(F.when(wind, F.col("wind_speed_mps"))).alias("max_wind_speed_mps"),
     )
-    held = hopping_from_panes(panes, "pane", window_hours * HOUR, slide_hours * HOUR)
+    held = hopping_from_panes(panes, "pane", window_hours * HOUR, slide_hours * HOUR, "_open" if late else None)
     counts = ["sample_count", "freezing_observation_count", "strong_wind_observation_count", "precipitation_observation_count"]
     events = held.groupBy("station_id", "window_start", "window_end").agg(
         *[F.sum(c).alias(c) for c in counts], F.coalesce(F.min("min_temperature_celsius"), F.lit(0.0)).alias("min_temperature_celsius"),

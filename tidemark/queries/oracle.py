@@ -109,19 +109,35 @@ CTES = {
 }
 
 
-def over(select: str) -> str:
-    """`select` with those of CTES that it needs, one after the other."""
+def over(select: str, ctes: dict[str, str] = CTES) -> str:
+    """`select` with those of the CTEs that it needs, one after the other."""
     needed, todo = set(), [select]
     while todo:
         text = todo.pop()
-        for name in CTES:
+        for name in ctes:
             if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 needed.add(name)
-                todo.append(CTES[name])
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
+                todo.append(ctes[name])
+    parts = [f"{name} AS ({ctes[name]})" for name in ctes if name in needed]
     return f"WITH {', '.join(parts)} {select}" if parts else select
 
 
+def late(table: str, where: str, start: str, size: str) -> str:
+    """A result table over readings that arrive out of order; those that come ten minutes after their window's end don't count in it.
+
+    Stream time is the greatest time among the readings of `where` up to each.
+    """
+    order = "(arrival_seq + arrival_seq * 7919 % 1009 % 400) * 16777216 + arrival_seq"
+    arrived = f"SELECT *, max(observed_at) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS stream_time FROM readings WHERE {where}"
+    open_ = f"{start} + {size} + INTERVAL 10 MINUTE > stream_time"
+    ctes = {"readings": CTES["obs"], "obs": f"{arrived}"} | {k: v for k, v in CTES.items() if k != "obs"}
+    if start == "window_start":  # a row for each of a reading's windows
+        ctes |= {k: f"SELECT * FROM ({CTES[k]}) WHERE {open_}" for k in ("hopped", "hourly")}
+    else:
+        ctes["obs"] = f"SELECT * FROM ({arrived}) WHERE {open_}"
+    return over(f"SELECT * FROM {table}", ctes)
+
+
 _IN = f">= TIMESTAMP '{YEAR}-01-01' AND {{0}} < TIMESTAMP '{YEAR + 1}-01-01'"
 _WITHIN = f"window_start >= TIMESTAMP '{YEAR}-01-01' AND window_end <= TIMESTAMP '{YEAR + 1}-01-01'"
 _ENDS = f"window_end >= TIMESTAMP '{YEAR}-01-01' AND window_end <= TIMESTAMP '{YEAR + 1}-01-01'"

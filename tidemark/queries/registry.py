@@ -17,7 +17,7 @@ from ..sources import marine as marine_feed
 from ..sources import stations as station_list
 from ..sources import weather as weather_feed
 from . import oracle
-from .feeds import YEAR, Results, observations, positions, buoys, rounded, table
+from .feeds import YEAR, Results, buoys, observations, positions, rounded, stations, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = [
@@ -76,11 +76,31 @@ def sea_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(area.alias("sea_area_id")).agg(F.count("*").alias("n"))
 
 
+def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("arrival_seq")
+    return observations(spark, sf_dir).withColumn("arrival_seq", (n + n * 7919 % 1009 % 400) * (1 << 24) + n)
+
+
+#: Positions of arrival_seq, as it is out of order, that one task takes.
+CHUNK = 1 << 40
+
+
 def late_rapid_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings that arrive out of order, those that come too late for their window dropped."""
-    n = F.col("arrival_seq")
-    obs = observations(spark, sf_dir).withColumn("arrival_seq", (n + n * 7919 % 1009 % 400) * (1 << 24) + n)
-    return plain(rounded(weather.rapid_change(obs, YEAR, late=True, chunk=1 << 40)))
+    return plain(rounded(weather.rapid_change(out_of_order(spark, sf_dir), YEAR, late=True, chunk=CHUNK)))
+
+
+def late_tourism_weather_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(rounded(weather.comfort(out_of_order(spark, sf_dir), stations(spark, sf_dir), YEAR, late=True, chunk=CHUNK)))
+
+
+def late_temperature_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reading counts in those of its thirty windows that are still open."""
+    return plain(rounded(weather.forecast(out_of_order(spark, sf_dir), late=True, chunk=CHUNK)))
+
+
+def late_blizzard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(rounded(weather.blizzards(out_of_order(spark, sf_dir), YEAR, late=True, chunk=CHUNK)))
 
 
 def nested_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +162,7 @@ def regime_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTRA: dict[str, Query] = {
     f.__name__: f
     for f in (
-        weather_records, message_fields, sea_areas, late_rapid_change, nested_ranking, station_history, vessel_records, buoy_records, feed_timeline, regime_clusters,
+        weather_records, message_fields, sea_areas, late_rapid_change, late_tourism_weather_quality, late_temperature_forecast, late_blizzard_events, nested_ranking, station_history, vessel_records, buoy_records, feed_timeline, regime_clusters,
     )
 }
 QUERIES: dict[str, Query] = {**{name: _table(name) for name in TABLES}, **{name: _panel(name) for name in PANELS}, **EXTRA}
@@ -161,6 +181,9 @@ EXTRA_SQL = {
         l AS (SELECT *, temperature_celsius - lag(temperature_celsius) OVER w AS dv, (epoch_us(observed_at) - epoch_us(lag(observed_at) OVER w)) AS us FROM f WINDOW w AS (PARTITION BY station_id, window_start ORDER BY k)),
         r AS (SELECT *, CASE WHEN us >= 1000 THEN dv / (CAST(us // 1000 AS DOUBLE) / 3600000.0::DOUBLE) END AS r FROM l)
         SELECT station_id, window_start, window_start + INTERVAL 24 HOUR AS window_end, coalesce(min(r), 0.0) AS min_rate_of_change, coalesce(max(r), 0.0) AS max_rate_of_change, {oracle.half_up('coalesce(avg(r), 0.0)', 3)} AS average_rate_of_change, count(r) AS rate_of_change_count FROM r GROUP BY 1, 2""",
+    "late_tourism_weather_quality": oracle.late("tourism_weather_quality", f"{oracle._T} AND {oracle._W} AND {oracle._C} AND {oracle._Y}", oracle._DAY, "INTERVAL 24 HOUR"),
+    "late_temperature_forecast": oracle.late("temperature_forecast", "temperature_celsius IS NOT NULL", "window_start", "INTERVAL 30 DAY"),
+    "late_blizzard_events": oracle.late("blizzard_events", f"{oracle._Y} AND (({oracle._T}) OR ({oracle._W}) OR rain_duration_hours > 0)", "window_start", "INTERVAL 24 HOUR"),
     "nested_ranking": oracle.over("SELECT window_start, window_end, ranking_type, rank_position, station_id, peak_temperature_celsius FROM temperature_window_ranking"),
     "station_history": """SELECT printf('%06d-99999', c_custkey) AS station_id, CASE WHEN c_custkey % 13 <> 0 THEN c_name END AS station_location, CASE WHEN c_custkey % 13 = 0 THEN 'BOGUS STATION' ELSE c_name END AS station_name,
         CASE c_custkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'UK' ELSE 'NO' END AS country_code, CASE WHEN c_custkey % 3 = 0 THEN 'CA' END AS state_code, 'ICAO' AS icao_code, CAST(c_custkey % 90 AS DOUBLE) AS latitude,
