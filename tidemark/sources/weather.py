@@ -44,13 +44,9 @@ def from_json(messages: DataFrame, schema: str = ENVELOPE, mode: str = "FAILFAST
     return messages.select(F.from_json(F.col(value).cast("string"), schema, {"mode": mode}).alias("_m")).select("_m.*")
 
 
-def _rain(payload: Column, group: str) -> Column:
-    at = F.instr(payload, group)  # from 1, 0 if there is none
-
-    def part(begin: int, end: int) -> Column:
-        return F.when((at > 0) & (F.length(payload) >= at - 1 + end), F.substring(payload, at + begin, F.lit(end - begin)))
-
-    period, depth, code = part(3, 5), part(5, 9), part(10, 11)
+def _hours(group: Column) -> Column:
+    """Hours of a rain group, which begins with its name."""
+    period, depth, code = field(group, 3, 5), field(group, 5, 9), field(group, 10, 11)
     told = (period != "99") & (depth != "9999") & (code != "9") & (whole_number(depth) > 0)
     return F.when(told, whole_number(period))
 
@@ -68,11 +64,14 @@ def observations(envelopes: DataFrame) -> DataFrame:
     seen, seen_code = field(p, 78, 84), field(p, 84, 85)
     clarity = round_half_up(clamp(whole_number(seen) / 10000.0 * 100.0, 0, 100), 1)
     clarity = F.when((seen != "999999") & ~F.coalesce(seen_code == "9", F.lit(False)), clarity)
+    # lambdas, so that a group is looked for and cut out once, and the method stays small enough for the JVM to compile it
+    groups = F.transform(F.array(*[F.lit(g) for g in RAIN_GROUPS]), lambda name: F.when(F.contains(p, name), F.substring(p, F.instr(p, name), F.lit(11))))
+    rain = F.transform(groups, _hours)
     return envelopes.select(
         station.alias("station_id"), F.when(p.isNotNull(), F.to_date(moment)).alias("observation_date"), moment.alias("observed_at"),
         temperature.alias("temperature_celsius"), field(p, 92, 93).alias("temperature_quality"),
         wind_speed.alias("wind_speed_mps"), wind_code.alias("wind_quality"), clarity.alias("sky_clarity_score"), seen_code.alias("visibility_quality"),
-        F.coalesce(*[_rain(p, g) for g in RAIN_GROUPS]).alias("rain_duration_hours"),
+        F.get(F.filter(rain, lambda hours: hours.isNotNull()), F.lit(0)).alias("rain_duration_hours"),
         F.col("source.path").alias("source_path"), "record_number", p.alias("raw_payload"),
     )
 
