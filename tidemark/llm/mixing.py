@@ -112,9 +112,13 @@ def _times(member: Column) -> Column:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, row, size, source, source_size, target, copies, finish (of the first copy, or null): one row per row of `docs`."""
+    """doc_id, row, size, source, source_size, target, copies, finish (of the first copy, or null): one row per row of `docs`.
+
+    In the order of the queue: sorted by finish time over all sources, what the mix doesn't take last.
+    """
     each = queue(docs, **options).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("member")).withColumn("times", _times(F.col("member")))
-    return each.select("doc_id", "row", "size", "source", "source_size", "target", F.size("times").alias("copies"), F.get("times", F.lit(0)).alias("finish"))
+    rows = each.select("doc_id", "row", "size", "source", "source_size", "target", F.size("times").alias("copies"), F.get("times", F.lit(0)).alias("finish"))
+    return rows.orderBy(F.asc_nulls_last("finish"), "source", "doc_id", "row")
 
 
 def mixed(docs: DataFrame, words_per_range: int = 4_000_000, **options) -> DataFrame:

@@ -52,7 +52,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "finish")
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = fingerprints.compared(table(spark, sf_dir, "documents"))
-    return got.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
