@@ -71,13 +71,13 @@ def test_rejection_is_calibrated(spark):
 # 6: scoring
 
 
-PLAIN = lm_scoring.Settings(rounds=2, chunk_words=300, chunk_different=100)
+PLAIN = lm_scoring.Settings(rounds=2, chunk_words=300)
 
 
 def tables(spark, rows, s=PLAIN):
     table = lm_scoring.chunks(frame(spark, rows), s)
-    counts = lm_scoring.word_counts(table)
-    return table, counts, lm_scoring.untrained(counts, s)
+    counts = lm_scoring.word_counts(table, s)
+    return table, counts, lm_scoring.untrained(table, counts, s)
 
 
 def test_counts_and_chunks_are_of_all_words(spark):
@@ -87,10 +87,11 @@ def test_counts_and_chunks_are_of_all_words(spark):
     want, got = Counter(), []
     for r in ROWS:
         want.update((r[1] or "").encode().lower().split())
-    assert {bytes(r.word): r.n for r in counts.collect()} == want
-    assert model.n.sum() + sum(want[w] for w in model.top) == sum(want.values()) and model.types.sum() + len(model.top) == len(want)
+    codes = dict(zip(lm_scoring.word_codes(list(want), 3).tolist(), want))
+    assert {codes[r.code]: r.n for r in counts.collect()} == want
+    assert model.n.sum() + sum(want[codes[c]] for c in model.top.tolist()) == sum(want.values()) and model.types.sum() + len(model.top) == len(want)
     for c in table.collect():
-        words, at = lm_scoring.numbers(c.ids, len(c.words)), 0
+        words, at = lm_scoring.from_planes(c.ids), 0
         for d, n in zip(c.doc_ids, c.lengths):
             got.append((d, b" ".join(bytes(c.words[i]) for i in words[at : at + n])))
             at += n
@@ -106,8 +107,10 @@ def test_likelihoods_are_of_a_distribution(spark):
     assert np.exp(lm_scoring.log_likelihood(context, np.arange(units), net, model.classes)).sum() == pytest.approx(1, abs=1e-4)
     assert np.exp(model.spelled).sum(1) == pytest.approx(1)
     # the words of a place and what is left to unseen ones
-    words = [bytes(r.word) for r in counts.collect()]
-    n = {bytes(r.word): r.n for r in counts.collect()}
+    from collections import Counter
+
+    n = Counter(w for r in ROWS for w in (r[1] or "").encode().lower().split())
+    words = list(n)
     first = units - model.places
     for place in range(model.places):
         own = [w for w, u in zip(words, model.units(words)) if u == first + place]
@@ -171,15 +174,17 @@ def test_score_is_the_sum_over_all_words(spark):
     n = Counter()
     for r in rows:
         n.update((r[1] or "").encode().lower().split())
+    codes = dict(zip(lm_scoring.word_codes(list(n), 3).tolist(), n))
+    top = {codes[c]: u for c, u in zip(model.top.tolist(), model.top_units.tolist())}
     for d, t, *_ in rows[:12] + rows[-6:]:
         words, total = (t or "").encode().lower().split(), 0.0
-        units = [model.top[w] if w in model.top else first + crc32(w[-3:]) % model.places for w in words]
+        units = [top[w] if w in top else first + (crc32(w[-3:]) & 0xFFFFFF) % model.places for w in words]
         for i, (w, u) in enumerate(zip(words, units)):
             near = [units[j] + 1 if 0 <= j < len(words) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
             total += float(lm_scoring.log_likelihood(np.array([near]), np.array([u]), net, model.classes)[0])
-            if w not in model.top:
+            if w not in top:
                 others = n[w] - words.count(w)
-                of = sum(c for x, c in n.items() if x not in model.top and first + crc32(x[-3:]) % model.places == u) - sum(x not in model.top and y == u for x, y in zip(words, units))
+                of = sum(c for x, c in n.items() if x not in top and first + (crc32(x[-3:]) & 0xFFFFFF) % model.places == u) - sum(x not in top and y == u for x, y in zip(words, units))
                 spelled = sum(model.spelled[a, b] for a, b in zip(b"\n" + w, w + b"\n"))
                 total += np.log((others + model.types[u - first] * np.exp(spelled)) / (of + model.types[u - first]))
         assert got[d, len(words)] == pytest.approx(total, rel=1e-4, abs=1e-3)
@@ -200,8 +205,8 @@ def test_order_counts_and_junk_scores_below_text(spark):
     """With the settings as they are: held-out text above the unigram model by half a nat, shuffled text below, junk far below."""
     s = lm_scoring.Settings()
     table = lm_scoring.chunks(frame(spark, [(i, " ".join(sentences(i, 400)), None, None, 0) for i in range(300)]), s)
-    counts = lm_scoring.word_counts(table)
-    before = lm_scoring.untrained(counts, s)
+    counts = lm_scoring.word_counts(table, s)
+    before = lm_scoring.untrained(table, counts, s)
     model = lm_scoring.train(table, before)
     r, texts = random.Random(4), {}
     for i in range(40):

@@ -11,9 +11,10 @@ them, a part for each different word of the place, by a bigram model of bytes le
 and a document's score is the sum over all its words. Of any place, known words and the unseen part add up to 1; the spelled
 share of a word is over all strings, those of other places too, so unseen words get somewhat less than all of theirs.
 
-The corpus is read once and written as chunks: word numbers, two bytes each, and the chunk's different words. Word counts are a
-table with a row for each different word, which is joined to the chunks for scoring. The number of units grows with the cube
-root of the number of words, so that the copies that tasks train are a fixed share of the input or less at any size.
+The corpus is read once and written as chunks: word numbers and the chunk's different words. Word counts are a table with a row for
+each different word, which is joined to the chunks for scoring; words go by 64 bits, 24 of their last letters and 40 of the whole.
+The number of units grows with the cube root of the number of words, so that the copies that tasks train are a fixed share of the
+input or less at any size.
 
 Training starts from the unigram distribution and has `rounds` rounds; round r masks every position at r modulo `rounds`, so each
 position of the corpus is predicted once. Tasks train copies by Adagrad on their own chunks; the copies are averaged by the number of
@@ -28,18 +29,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped, sliced, texts_of, written
 
 LANE = 64  # parameters in a row when copies are averaged
-CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<long>"
+CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<int>"
+LOW = (1 << 40) - 1
 
 
 @dataclass(frozen=True)
@@ -53,19 +55,30 @@ class Settings:
     growth: float = 2.0  # classes for the sixth root of the number of words; as many units in each
     least: int = 8  # classes
     tail: int = 3  # last bytes of a word that tell its place
-    chunk_words: int = 500_000
-    chunk_different: int = 60_000
+    chunk_words: int = 2_000_000
     seed: int = 3
 
     def classes(self, words: int) -> int:
         return max(self.least, round(self.growth * words ** (1 / 6)))
 
 
+def word_codes(words: list[bytes], tail: int) -> np.ndarray:
+    """Of each word, 24 bits of its last bytes' CRC and 40 of its XXH64 (seed 42); `code_column` gives the same."""
+    from xxhash import xxh64_intdigest
+
+    return np.array([(crc32(w[-tail:]) & 0xFFFFFF) << 40 | xxh64_intdigest(w, 42) & LOW for w in words], np.uint64).view(np.int64)
+
+
+def code_column(word: Column, tail: int) -> Column:
+    return F.shiftleft(F.crc32(F.when(F.length(word) > tail, F.substring(word, -tail, tail)).otherwise(word)), 40).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit(LOW)))
+
+
 @dataclass
 class Model:
     settings: Settings
     classes: int
-    top: dict[bytes, int]  # frequent words, each a unit of its own
+    top: np.ndarray  # codes of frequent words in order; each is a unit of its own
+    top_units: np.ndarray
     n: np.ndarray  # words of each place
     types: np.ndarray  # different words of each place
     spelled: np.ndarray  # log P(byte | byte before), 256 x 256; a word begins and ends with a line feed
@@ -76,8 +89,13 @@ class Model:
         return len(self.n)
 
     def units(self, words: list[bytes]) -> np.ndarray:
-        first, tail = self.classes**2 - self.places, self.settings.tail
-        return np.array([self.top[w] if w in self.top else first + crc32(w[-tail:]) % self.places for w in words], np.int64)
+        codes = word_codes(words, self.settings.tail)
+        out = self.classes**2 - self.places + (codes.view(np.uint64) >> np.uint64(40)).astype(np.int64) % self.places
+        if len(self.top):
+            at = np.minimum(np.searchsorted(self.top, codes), len(self.top) - 1)
+            known = self.top[at] == codes
+            out[known] = self.top_units[at[known]]
+        return out
 
     def spelling(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -138,7 +156,7 @@ def _hidden(context: np.ndarray, emb: np.ndarray, w1: np.ndarray, b1: np.ndarray
 
 def log_likelihood(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], classes: int) -> np.ndarray:
     emb, w1, b1, wc, bc, ww, bw = net
-    order = np.argsort(target // classes, kind="stable")
+    order = np.argsort(narrow(target // classes, classes), kind="stable")
     group, inside = target[order] // classes, target[order] % classes
     _, h = _hidden(context[order], emb, w1, b1)
     got = log_soft(h @ wc + bc, group)
@@ -154,8 +172,10 @@ def log_likelihood(context: np.ndarray, target: np.ndarray, net: list[np.ndarray
 def gradients(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], classes: int) -> list:
     """Of the mean negative log-likelihood; that of the embeddings as (rows, gradient of each)."""
     emb, w1, b1, wc, bc, ww, bw = net
-    order = np.argsort(target // classes, kind="stable")
-    context, group, inside = context[order], target[order] // classes, target[order] % classes
+    order = np.argsort(narrow(target // classes, classes), kind="stable")
+    target = target[order]
+    context, group = context[order], target // classes
+    inside = target - group * classes
     n = len(target)
     x, h = _hidden(context, emb, w1, b1)
     dz = soft(h @ wc + bc)
@@ -163,21 +183,29 @@ def gradients(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], cl
     dz /= n
     dh = dz @ wc.T
     gww, gbw = np.zeros_like(ww), np.zeros_like(bw)
-    cuts = np.searchsorted(group, np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[c], cuts[c + 1]
-        d = soft(h[a:b] @ ww[c] + bw[c])
-        d[np.arange(b - a), inside[a:b]] -= 1
-        d /= n
-        dh[a:b] += d @ ww[c].T
-        gww[c] = h[a:b].T @ d
-        gbw[c] = d.sum(0)
+    cuts = np.searchsorted(group, np.arange(classes + 1)).tolist()
+    every, ones, step = np.arange(n), np.ones(n, h.dtype), h.dtype.type(1 / n)
+    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a < b:
+            own = h[a:b]
+            d, total = powers(own @ ww[c] + bw[c])
+            d *= (step / total)[:, None]
+            d[every[: b - a], inside[a:b]] -= step
+            dh[a:b] += d @ ww[c].T
+            gww[c] = own.T @ d
+            gbw[c] = ones[: b - a] @ d
     da = dh * (1 - h * h)
     dx = (da @ w1.T).reshape(-1, emb.shape[1])
-    flat = context.ravel()
+    flat = narrow(context.ravel(), len(emb))
     by = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
-    return [(flat[by][first], np.add.reduceat(dx[by], first)), x.T @ da, da.sum(0), h.T @ dz, dz.sum(0), gww, gbw]
+    flat = flat[by]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    return [(flat[first].astype(np.int64), np.add.reduceat(dx[by], first)), x.T @ da, ones @ da, h.T @ dz, ones @ dz, gww, gbw]
+
+
+def narrow(numbers: np.ndarray, size: int) -> np.ndarray:
+    """As integers of 16 bits where those do, which are sorted several times faster."""
+    return numbers.astype(np.uint16) if size <= 1 << 16 else numbers
 
 
 def learn(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], sums: list[np.ndarray], rate: float, classes: int) -> None:
@@ -205,19 +233,27 @@ def around(row: np.ndarray, place: np.ndarray, side: int) -> np.ndarray:
     return row[place[:, None] + np.array([k for k in range(-side, side + 1) if k])]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of up to four bytes, first all lowest bytes and so on, as the higher ones are nearly all the same and compress."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def chunks(docs: DataFrame, s: Settings) -> DataFrame:
-    """The corpus as word numbers: a row for some hundred thousand words of whole documents."""
+    """The corpus as word numbers: a row for some million words of whole documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, doc_ids, lengths, ids, known = TaskContext.get().partitionId() << 32, [], [], [], {}
+        chunk, doc_ids, lengths, ids, known, total = TaskContext.get().partitionId() << 20, [], [], [], {}, 0
 
         def out() -> pa.RecordBatch:
-            numbers = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            kind = "<u2" if len(known) <= 1 << 16 else "<u4"
-            columns = [[chunk], [doc_ids], [lengths], [numbers.astype(kind).tobytes()], [list(known)], [np.bincount(numbers, minlength=len(known)).tolist()]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            numbers = np.concatenate(ids)
+            columns = [[chunk], [doc_ids], [lengths], [planes(numbers)], [list(known)], [np.bincount(numbers, minlength=len(known)).astype(np.int32)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc_ids", "lengths", "ids", "words", "counts"])
 
         for batch in sliced(batches):
@@ -225,10 +261,11 @@ def chunks(docs: DataFrame, s: Settings) -> DataFrame:
                 words = text.lower().split()
                 doc_ids.append(doc_id)
                 lengths.append(len(words))
-                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64))
-                if len(known) > s.chunk_different or sum(lengths) > s.chunk_words:
+                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
+                total += len(words)
+                if total > s.chunk_words:
                     yield out()
-                    chunk, doc_ids, lengths, ids, known = chunk + 1, [], [], [], {}
+                    chunk, doc_ids, lengths, ids, known, total = chunk + 1, [], [], [], {}, 0
         if doc_ids:
             yield out()
 
@@ -236,47 +273,48 @@ def chunks(docs: DataFrame, s: Settings) -> DataFrame:
     return written(mapped(rows, task, CHUNK), "chunks")
 
 
-def word_counts(table: DataFrame) -> DataFrame:
-    """word, n: over the whole corpus."""
-    each = table.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    return written(each.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+def word_counts(table: DataFrame, s: Settings) -> DataFrame:
+    """code, n: of each different word of the whole corpus."""
+    each = table.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(code_column(F.col("w.words"), s.tail).alias("code"), F.col("w.counts").alias("n"))
+    return written(each.groupBy("code").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def spelling_counts(table: DataFrame) -> np.ndarray:
+    """How often a byte comes after another, over the different words of each chunk."""
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for words in batch.column("words"):
+                code = np.frombuffer(b"\n" + b"\n".join(words.as_py()) + b"\n", np.uint8).astype(np.int64)
+                pairs += np.bincount(code[:-1] << 8 | code[1:], minlength=1 << 16)
+        there = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(pairs[there])], names=["pair", "n"])
 
-def numbers(data: bytes, different: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if different <= 1 << 16 else "<u4")
+    got = mapped(table.select("words"), task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << 16)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(256, 256)
 
 
-def untrained(counts: DataFrame, s: Settings) -> Model:
+def untrained(table: DataFrame, counts: DataFrame, s: Settings) -> Model:
     """Units, places and spelling from the counts of all words, and a network that knows no more than those."""
     total = counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
     classes = s.classes(total)
     places = classes**2 // 2
-    best = counts.orderBy(F.desc("n"), "word").limit(classes**2 - places).collect()
-    top = {bytes(r["word"]): i for i, r in enumerate(best)}
-    shared = counts.sparkSession.sparkContext.broadcast(set(top))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, types, pairs = np.zeros(places, np.int64), np.zeros(places, np.int64), np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            words, own = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            code = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
-            pairs += np.bincount(code[:-1] << 8 | code[1:], minlength=1 << 16)
-            rare = np.array([i for i, w in enumerate(words) if w not in shared.value], np.int64)
-            at = np.array([crc32(words[i][-s.tail :]) % places for i in rare], np.int64)
-            np.add.at(n, at, own[rare])
-            np.add.at(types, at, 1)
-        key = np.r_[np.flatnonzero(types), -1 - np.flatnonzero(pairs)]
-        a, b = np.r_[n[types > 0], pairs[pairs > 0]], np.r_[types[types > 0], np.zeros((pairs > 0).sum(), np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], names=["key", "a", "b"])
-
-    got = mapped(counts, task, "key long, a long, b long").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-    key, a, b = (got.column(c).to_numpy() for c in ("key", "a", "b"))
-    n, types, pairs = np.zeros(places), np.zeros(places), np.zeros(1 << 16)
-    n[key[key >= 0]], types[key[key >= 0]], pairs[-1 - key[key < 0]] = a[key >= 0], b[key >= 0], a[key < 0]
-    pairs = pairs.reshape(256, 256) + 0.1
-    spelled = np.log(pairs / pairs.sum(1, keepdims=True))
-    by_unit = np.r_[[r["n"] for r in best], np.zeros(classes**2 - places - len(best)), n + types]
-    return Model(s, classes, top, n, types, spelled, start(by_unit, classes, s))
+    best = counts.orderBy(F.desc("n"), "code").limit(classes**2 - places).toArrow()
+    code, often = best.column("code").to_numpy(), best.column("n").to_numpy()
+    place = F.pmod(F.shiftrightunsigned("code", 40), F.lit(places)).alias("place")
+    got = counts.groupBy(place).agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()
+    n, types = np.zeros(places), np.zeros(places)
+    n[got.column("place").to_numpy()], types[got.column("place").to_numpy()] = got.column("n").to_numpy(), got.column("types").to_numpy()
+    own = (code.view(np.uint64) >> np.uint64(40)).astype(np.int64) % places  # frequent words leave their places
+    np.subtract.at(n, own, often)
+    np.subtract.at(types, own, 1)
+    pairs = spelling_counts(table) + 0.1
+    order = np.argsort(code)
+    by_unit = np.r_[often, np.zeros(classes**2 - places - len(often)), n + types]
+    return Model(s, classes, code[order], order, n, types, np.log(pairs / pairs.sum(1, keepdims=True)), start(by_unit, classes, s))
 
 
 def train(table: DataFrame, model: Model) -> Model:
@@ -285,17 +323,17 @@ def train(table: DataFrame, model: Model) -> Model:
         shared = spark.sparkContext.broadcast(model)
 
         def task(batches: Iterator[pa.RecordBatch], round_: int = round_, shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            mine, seen = m.flat.copy(), 0
-            net, sums = unflatten(mine, m.classes, s), unflatten(np.full_like(mine, 1e-7), m.classes, s)
+            classes = shared.value.classes
+            mine, seen = shared.value.flat.copy(), 0
+            net, sums = unflatten(mine, classes, s), unflatten(np.full_like(mine, 1e-7), classes, s)
             for batch in batches:
                 for chunk, lengths, data, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "ids", "words"))):
-                    row, place = padded(m.units(words)[numbers(data, len(words))], np.array(lengths, np.int64), s.side)
+                    row, place = padded(shared.value.units(words)[from_planes(data)], np.array(lengths, np.int64), s.side)
                     place = place[np.arange(len(place)) % s.rounds == round_]
                     place = place[np.random.default_rng([s.seed, round_, chunk]).permutation(len(place))]
                     for at in range(0, len(place), s.batch):
                         some = place[at : at + s.batch]
-                        learn(around(row, some, s.side), row[some] - 1, net, sums, s.rate, m.classes)
+                        learn(around(row, some, s.side), row[some] - 1, net, sums, s.rate, classes)
                     seen += len(place)
             if seen:
                 full = np.zeros(-(-len(mine) // LANE) * LANE, np.float32)
@@ -309,7 +347,7 @@ def train(table: DataFrame, model: Model) -> Model:
         rows = sums.toArrow().sort_by("lane")
         if rows.num_rows:
             values = np.stack([rows.column(f"v{i}").to_numpy() for i in range(LANE)], axis=1) / rows.column("seen").to_numpy()[:, None]
-            model = Model(s, model.classes, model.top, model.n, model.types, model.spelled, values.ravel()[: len(model.flat)].astype(np.float32))
+            model = replace(model, flat=values.ravel()[: len(model.flat)].astype(np.float32))
         shared.unpersist()
     return model
 
@@ -318,9 +356,14 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
     """Scores of the documents in chunks. With `leave_out` a document's own words are taken off the counts, which have them."""
     s = model.settings
     shared = table.sparkSession.sparkContext.broadcast(model)
-    each = table.select("chunk", F.posexplode("words").alias("i", "word")).join(counts, "word", "left").select("chunk", "i", F.coalesce("n", F.lit(0)).alias("n"))
-    known = each.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("n"))
-    joined = table.join(known, "chunk", "left").select("doc_ids", "lengths", "ids", "words", "n")
+    each = table.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w"))
+    each = each.select(code_column(F.col("w.words"), s.tail).alias("code"), F.shiftleft(F.col("chunk"), 22).bitwiseOR(F.col("i").cast("long")).alias("at"), F.col("w.counts").alias("c"))
+    if leave_out:  # a chunk's own count is all there is of words that no other chunk has
+        each = each.join(counts.filter("n > 1"), "code").filter("n > c")
+    else:
+        each = each.join(counts, "code")
+    known = each.groupBy(F.shiftright("at", 22).alias("chunk")).agg(F.collect_list(F.shiftleft(F.col("at").bitwiseAND(F.lit((1 << 22) - 1)), 40).bitwiseOR(F.col("n"))).alias("n"))
+    joined = table.join(known, "chunk", "left").select("doc_ids", "lengths", "ids", "words", *["counts"] * leave_out, "n")
 
     def own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
         """How often each one's document has what it has."""
@@ -331,8 +374,12 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
         m = shared.value
         net, first = unflatten(m.flat, m.classes, s), m.classes**2 - m.places
         for batch in batches:
-            for doc_ids, lengths, data, words, n in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "ids", "words", "n"))):
-                lengths, ids, n = np.array(lengths, np.int64), numbers(data, len(words)).astype(np.int64), np.array(n or [], np.float64)
+            for k in range(batch.num_rows):
+                doc_ids, lengths, ids, words = batch.column("doc_ids")[k].values, batch.column("lengths")[k].values.to_numpy(), from_planes(batch.column("ids")[k].as_py()), batch.column("words")[k].as_py()
+                n = batch.column("counts")[k].values.to_numpy().astype(np.float64) if leave_out else np.zeros(len(words))
+                if batch.column("n")[k].is_valid:
+                    more = batch.column("n")[k].values.to_numpy()
+                    n[more >> 40] = more & LOW
                 unit, spelled = m.units(words), m.spelling(words)
                 row, place = padded(unit[ids], lengths, s.side)
                 values = np.zeros(len(ids))
@@ -348,7 +395,7 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
                 types = np.maximum(m.types[at], 1)
                 values[rare] += np.log(had / (of + types) + np.exp(np.log(types / (of + types)) + spelled[word]) + 1e-300)
                 sums = np.bincount(doc, values, len(lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(lengths), pa.array(sums)], names=["doc_id", "n_words", "log_likelihood"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(lengths), pa.array(sums)], names=["doc_id", "n_words", "log_likelihood"])
 
     got = mapped(joined, task, "doc_id long, n_words long, log_likelihood double")
     return got.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
@@ -357,5 +404,5 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
 def scored(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_words, log_likelihood, per_word."""
     table = chunks(docs, s)
-    counts = word_counts(table)
-    return score(table, counts, train(table, untrained(counts, s)), True)
+    counts = word_counts(table, s)
+    return score(table, counts, train(table, untrained(table, counts, s)), True)
