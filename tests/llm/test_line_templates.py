@@ -101,5 +101,18 @@ def test_lines_that_share_less_than_a_template_stay(spark):
     assert all(x.n_dropped == 0 for x in templates.dedup_lines(frame(spark, rows)).collect())
 
 
+def test_paths_keep_their_places():
+    s = templates.Settings()
+    for n in range(6, 40):
+        tokens = [b"%d" % i for i in range(n)]
+        got = templates.halves(tokens)
+        assert [sorted(int(x) for x in t) for t in got] == [sorted(p) for p in templates.kept_places(n, s)[-8:]]
+        assert len(set(templates.path_keys(tokens, s))) == len(templates.kept_places(n, s))
+        # wherever two fields stand, some path keeps clear of them
+        for i in range(n):
+            for j in range(i):
+                assert any(i not in p and j not in p for p in templates.kept_places(n, s))
+
+
 def test_empty(spark):
     assert templates.dedup_lines(frame(spark, [])).count() == 0

@@ -29,9 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from itertools import chain
-from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -61,7 +59,6 @@ class Settings:
     broadcast_keys: int = 1 << 20  # up to so many recurring paths (8 bytes each) are broadcast; beyond, they are joined
 
 
-@cache
 def kept_places(n: int, s: Settings) -> tuple[tuple[int, ...], ...]:
     """The places that each path of a line of n tokens keeps."""
     every = range(n)
@@ -74,9 +71,12 @@ def kept_places(n: int, s: Settings) -> tuple[tuple[int, ...], ...]:
     return tuple(out)
 
 
-@cache
-def _getters(n: int, s: Settings) -> tuple:
-    return tuple((itemgetter(*p) if len(p) > 1 else lambda t, i=p[0]: (t[i],), n << 8 | k) for k, p in enumerate(kept_places(n, s)) if p)
+def halves(tokens: list[bytes]) -> tuple[list[bytes], ...]:
+    """What the eight paths keep, by slices: of each half of the line the tokens that stand first by twos and the others."""
+    h = (len(tokens) + 1) // 2
+    a, b = tokens[0:h:4] + tokens[1:h:4], tokens[2:h:4] + tokens[3:h:4]
+    c, d = tokens[h + -h % 4 :: 4] + tokens[h + (1 - h) % 4 :: 4], tokens[h + (2 - h) % 4 :: 4] + tokens[h + (3 - h) % 4 :: 4]
+    return tokens[:h], tokens[h:], tokens[0::2], tokens[1::2], a + c, b + d, a + d, b + c
 
 
 def tokens_of(line: bytes) -> list[bytes]:
@@ -88,7 +88,13 @@ def path_keys(tokens: list[bytes], s: Settings) -> list[int]:
     """A 64-bit number for each path of the line, in the order of `kept_places`."""
     from xxhash import xxh64_intdigest
 
-    return [xxh64_intdigest(b" ".join(get(tokens)), seed=k) for get, k in _getters(len(tokens), s)] if tokens else []
+    n = len(tokens)
+    if n < s.short:
+        kept = [tokens] if tokens else []
+    else:
+        kept = [tokens[:i] + tokens[i + 1 :] for i in range(n)] if n < s.long else []
+        kept += halves(tokens) if n >= s.few else ()
+    return [xxh64_intdigest(b" ".join(t), n << 8 | k) for k, t in enumerate(kept)]
 
 
 def is_template(tokens: list[bytes], recurs: list[bool], s: Settings) -> bool:
