@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,8 @@ def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         conf.set(key, f"{BATCH_BYTES}b")
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # many small lists live for a moment; Python's search for cycles would go through them all again and again
+        gc.set_threshold(100_000, 50, 100)
         yield from task(batches)
         give_back()
 

@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 from zlib import crc32
 
@@ -107,7 +108,7 @@ def is_template(tokens: list[bytes], recurs: list[bool], s: Settings) -> bool:
 
 def band_keys(text: bytes, s: Settings) -> np.ndarray:
     """One number for each band of the least shingle hashes of `bands` x `rows` bins; bins without a shingle take the next one's."""
-    words = text.lower().split()
+    words = text.split()
     if not words:
         return np.zeros(0, np.int64)
     codes = np.fromiter(map(crc32, words), np.uint64, len(words))
@@ -117,17 +118,25 @@ def band_keys(text: bytes, s: Settings) -> np.ndarray:
         h = h * MIX[0] + codes[k : k + len(h)] + np.uint64(1)
     h = (h ^ (h >> np.uint64(31))) * MIX[1]
     h ^= h >> np.uint64(29)
-    bins = s.bands * s.rows
-    least = np.full(bins, ~np.uint64(0))
-    np.minimum.at(least, ((h >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64), h)
-    full = np.flatnonzero(least != ~np.uint64(0))
-    if len(full) < bins:
-        at = np.searchsorted(full, np.arange(bins)) % len(full)
-        least = least[full[at]] + ((full[at] - np.arange(bins)) % bins).astype(np.uint64) * MIX[1]
-    keys = np.arange(s.bands, dtype=np.uint64)
-    for row in least.reshape(s.bands, s.rows).T:
-        keys = (keys ^ row ^ (row >> np.uint64(32))) * MIX[0]
-    return keys.view(np.int64)
+    h.sort()
+    border, odd, each = _bins(s.bands, s.rows)
+    at = np.searchsorted(h, border)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    least = h[at[full]]
+    if len(full) < len(border) - 1:
+        every = np.arange(len(border) - 1)
+        lent = np.searchsorted(full, every) % len(full)
+        least = least[lent] + ((full[lent] - every) % len(every)).astype(np.uint64) * MIX[1]
+    return ((least * odd).reshape(s.bands, s.rows).sum(1, dtype=np.uint64) * MIX[0] + each).view(np.int64)
+
+
+@cache
+def _bins(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Borders of bins, equal ranges of hashes, so that a bin's least hash is the first from its border on; odd factors; one number a band."""
+    border = np.arange(bands * rows + 1, dtype=np.uint64) * np.uint64((1 << 64) // (bands * rows))
+    border[-1] = ~np.uint64(0)
+    draw = np.random.default_rng(9)
+    return border, draw.integers(0, 1 << 64, bands * rows, np.uint64) | np.uint64(1), draw.integers(0, 1 << 64, bands, np.uint64)
 
 
 def signed(keys: list[int]) -> np.ndarray:
