@@ -22,7 +22,8 @@ LED = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: What the UTF-8 of WIDE_SPACE begins with; cheap to look for.
 WIDE_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
-#: Remembered pieces; at this many the memory is emptied, which bounds it and changes no result.
+#: Remembered pieces, half of them in each of two generations: when the younger is full, the older is forgotten and what is used of
+#: it moves up before. This bounds memory and changes no result.
 REMEMBERED, LONGEST = 600_000, 64
 
 
@@ -46,7 +47,7 @@ class Encoder:
         self.special = [t.lower().encode() if self.tokenizer.normalizer is not None else t.encode() for t in added]
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.letters = [byte_letters()[b] for b in range(256)]
-        self.cut, self.known = cut, {}
+        self.cut, self.known, self.older = cut, {}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def whole(self, text: bytes) -> bytes:
@@ -68,7 +69,7 @@ class Encoder:
 
     def one(self, piece: bytes) -> bytes:
         if (got := self.known.get(piece)) is None:
-            got = self.piece(piece)
+            got = self.older.get(piece) or self.piece(piece)
             if len(piece) <= LONGEST:
                 self.known[piece] = got
         return got
@@ -83,13 +84,14 @@ class Encoder:
             return self.whole(text)
         else:
             pieces = LED.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return b"".join(map(self.one, pieces))
+        got = list(map(self.known.get, pieces))
+        if None in got:
+            one = self.one
+            for i in [i for i, x in enumerate(got) if x is None]:
+                got[i] = one(pieces[i])
+            if len(self.known) > REMEMBERED // 2:
+                self.known, self.older = {}, self.known
+        return b"".join(got)
 
 
 @lru_cache(maxsize=4)
