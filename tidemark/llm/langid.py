@@ -34,6 +34,7 @@ PRIMES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 @dataclass(frozen=True)
 class Settings:
     per_language: int = 1500
+    most_rows: int = 20_000  # of all languages together: what the driver holds of the sample, about 11 KB each
     buckets: int = 1 << 15
     dim: int = 16
     epochs: int = 6
@@ -118,10 +119,11 @@ def training_rows(docs: DataFrame, learn_from: Column, s: Settings) -> DataFrame
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return labelled.select("lang", F.lit(0).alias("fold"), F.lit(None).cast("array<int>").alias("b"), F.lit(None).cast("array<int>").alias("c")).limit(0)
+    each = min(s.per_language, s.most_rows / len(counts))
     place = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
     in_sample = F.lit(False)
     for lang, n in counts.items():
-        in_sample = in_sample | ((F.col("lang") == lang) & (place < s.per_language / n))
+        in_sample = in_sample | ((F.col("lang") == lang) & (place < each / n))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
