@@ -77,6 +77,8 @@ def test_compressed_lines_in_batch_and_as_a_stream(spark, tmp_path):
 def test_directory_listing(spark):
     rows = spark.createDataFrame([("-rw-r--r-- 1 ftp ftp 123 Jan 01 12:00 LOWW.TXT",), ("drwxr-xr-x 2 ftp ftp 0 Jan 01 12:00 sub",), ("total 3",)], "line string")
     assert [tuple(r) for r in files.listing(rows, "/pub/").collect()] == [("/pub/LOWW.TXT", "LOWW.TXT", 123)]
+    rows = spark.createDataFrame([("Type=file;Size=77;Modify=20250101000000; a b.gz",), ("type=dir;modify=20250101000000; sub",), ("modify=2;type=file; x.gz",)], "line string")
+    assert [tuple(r) for r in files.listing(rows, "/pub").collect()] == [("/pub/a b.gz", "a b.gz", 77), ("/pub/x.gz", "x.gz", None)]
 
 
 def history(station, wban, name, country, state=""):

@@ -10,6 +10,7 @@ from tests.helpers import A, B, at, buoy_rows, dicts, readings, vessels
 from tidemark.config import Config
 from tidemark.plans import marine, weather
 from tidemark.schemas import KEYS
+from tidemark.sources.messages import as_message
 from tidemark.streaming.processors import rapid_change_stream
 from tidemark.streaming.runners import LearnedRegimes, counters, result_tables, start
 from tidemark.streaming.sinks import CounterTable, UpsertTable, discard, publish
@@ -50,8 +51,9 @@ def test_streams_give_the_batch_results(spark, tmp_path):
     buoys = buoy_rows(spark, *[(f"b{i}", at(f"2025-01-01 {i:02d}:20"), "X", float(i), 1.0) for i in range(9)])
     for name in ("obs", "ships", "buoys"):
         (tmp_path / name).mkdir()
-    config, out = Config(), str(tmp_path / "out")
-    queries = start(as_stream(spark, obs, str(tmp_path / "obs"), "arrival_seq"), regions, out, config, as_stream(spark, ships, str(tmp_path / "ships"), "observed_at"), as_stream(spark, buoys, str(tmp_path / "buoys"), "observed_at"))
+    config, out, sent = Config(), str(tmp_path / "out"), {}
+    send = lambda table, rows: sent.setdefault(table, set()).update(r.key for r in as_message(rows, KEYS[table]).collect())
+    queries = start(as_stream(spark, obs, str(tmp_path / "obs"), "arrival_seq"), regions, out, config, as_stream(spark, ships, str(tmp_path / "ships"), "observed_at"), as_stream(spark, buoys, str(tmp_path / "buoys"), "observed_at"), publish=send)
     assert len(queries) == 11
     for q in queries:
         assert q.awaitTermination(240) and q.exception() is None
@@ -64,6 +66,7 @@ def test_streams_give_the_batch_results(spark, tmp_path):
     for name, batch in expected.items():
         got = result_tables(out, config)[name].read(spark)
         same(got, batch, [c for c in batch.columns if c in got.columns])
+        assert sent[name] >= {r.key for r in as_message(batch, KEYS[name]).collect()}
     days = result_tables(out, config)["weather_regimes"].read(spark)
     same(days, weather.station_days(obs), weather.station_days(obs).columns)
     counts = {r.kind: r.total for r in counters(out, config).read(spark).collect()}

@@ -123,12 +123,12 @@ def _tables(files: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
 
 
 def listing(lines: DataFrame, base: str) -> DataFrame:
-    """path, name, size of the files in a UNIX directory listing (column `line`); directories and other lines are left out."""
-    part = F.regexp_extract
-    pattern = r"^([^d\s]\S*)\s+\S+\s+\S+\s+\S+\s+(\S+)\s+\S+\s+\S+\s+\S+\s+(.+?)\s*$"
-    name = part("line", pattern, 3)
-    rows = lines.filter(F.col("line").rlike(pattern))
-    size = F.when(part("line", pattern, 2).rlike("^[0-9]+$"), part("line", pattern, 2).cast("long"))
-    return rows.select(F.concat(F.lit(base.rstrip("/") + "/"), name).alias("path"), name.alias("name"), size.alias("size"))
-
-
+    """path, name, size of the files in a directory listing (column `line`), in UNIX form or in that of MLSD (facts, then the name);
+    directories and other lines are left out."""
+    part, line = F.regexp_extract, F.col("line")
+    unix, facts = r"^([^d\s]\S*)\s+\S+\s+\S+\s+\S+\s+(\S+)\s+\S+\s+\S+\s+\S+\s+(.+?)\s*$", r"^((?:[^;=\s]+=[^;]*;)+) (.+?)\s*$"
+    mlsd = line.rlike(facts)
+    name = F.when(mlsd, part(line, facts, 2)).otherwise(part(line, unix, 3))
+    told = F.when(mlsd, part(line, r"(?i)(?:^|;)size=([^;]*);", 1)).otherwise(part(line, unix, 2))
+    rows = lines.filter(F.when(mlsd, line.rlike(r"(?i)(?:^|;)type=file;")).otherwise(line.rlike(unix)))
+    return rows.select(F.concat(F.lit(base.rstrip("/") + "/"), name).alias("path"), name.alias("name"), F.when(told.rlike("^[0-9]+$"), told.cast("long")).alias("size"))

@@ -117,6 +117,10 @@ class LearnedRegimes:
                 upto = last["upto"]
         return model, upto
 
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What a batch has written."""
+        return spark.read.parquet(f"{self.days.path}/batch_id={batch_id}").drop("updated_at")
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         model, upto = self._before(spark, batch_id)
@@ -134,8 +138,8 @@ class LearnedRegimes:
         kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
 
-def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: DataFrame | None = None, buoys: DataFrame | None = None, trigger: dict | None = None) -> list[StreamingQuery]:
-    """Start the selected analyses over streaming observations (with arrival_seq) and marine feeds; results go to `result_tables(out, c)`.
+def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: DataFrame | None = None, buoys: DataFrame | None = None, trigger: dict | None = None, publish: Callable[[str, DataFrame], None] | None = None) -> list[StreamingQuery]:
+    """Start the selected analyses over streaming observations (with arrival_seq) and marine feeds; results go to `result_tables(out, c)`, and to `publish`, table by table and batch by batch, where that is given (`messages.publisher`).
 
     Checkpoints and tables lie under the configuration's own id: with other settings, analyses start from the beginning.
     """
@@ -154,13 +158,17 @@ def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: Da
                 counts.write(kind, batch, batch_id)
             if c.dashboard_sink_enabled:
                 target.write(change(batch), batch_id)
+            if publish:
+                publish(table, change(batch))
 
         return write
 
     def regimes(batch: DataFrame, batch_id: int) -> None:
         counts.write("weather_regime_events", batch, batch_id)
-        if c.dashboard_sink_enabled:
+        if c.dashboard_sink_enabled or publish:
             learned.write(batch, batch_id)
+        if publish:
+            publish("weather_regimes", learned.read(batch.sparkSession, batch_id))
 
     made: dict[str, Callable[[], tuple[DataFrame, str, Callable[[DataFrame, int], None]]]] = {
         "temperature": lambda: (weather.daily_average(obs), "update", upsert("daily_station_average")),
