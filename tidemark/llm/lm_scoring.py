@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, sliced, texts_of, written
+from .common import binaries, mapped, sliced, texts_of, written
 
 LANE = 64  # parameters in a row when copies are averaged
 CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<int>"
@@ -224,7 +224,7 @@ def padded(units: np.ndarray, lengths: np.ndarray, side: int) -> tuple[np.ndarra
     """Rows of the embeddings with `side` zeros between documents, and where each word stands among them."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(units)) + side * (doc + 1)
-    out = np.zeros(len(units) + side * (len(lengths) + 1), np.int64)
+    out = np.zeros(len(units) + side * (len(lengths) + 1), np.int32)
     out[place] = units + 1
     return out, place
 
@@ -317,22 +317,35 @@ def untrained(table: DataFrame, counts: DataFrame, s: Settings) -> Model:
     return Model(s, classes, code[order], order, n, types, np.log(pairs / pairs.sum(1, keepdims=True)), start(by_unit, classes, s))
 
 
+def unit_table(table: DataFrame, model: Model) -> DataFrame:
+    """chunk, lengths, units: what training reads in each round."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = [planes(shared.value.units(words.as_py())[from_planes(data.as_py())]) for data, words in zip(batch.column("ids"), batch.column("words"))]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("lengths"), binaries(units)], names=["chunk", "lengths", "units"])
+
+    return written(mapped(table.select("chunk", "lengths", "ids", "words"), task, "chunk long, lengths array<long>, units binary"), "units")
+
+
 def train(table: DataFrame, model: Model) -> Model:
     s, spark = model.settings, table.sparkSession
+    units = unit_table(table, model)
     for round_ in range(s.rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast((model.flat, model.classes))
 
         def task(batches: Iterator[pa.RecordBatch], round_: int = round_, shared=shared) -> Iterator[pa.RecordBatch]:
-            classes = shared.value.classes
-            mine, seen = shared.value.flat.copy(), 0
+            flat, classes = shared.value
+            mine, seen = flat.copy(), 0
             net, sums = unflatten(mine, classes, s), unflatten(np.full_like(mine, 1e-7), classes, s)
             for batch in batches:
-                for chunk, lengths, data, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "ids", "words"))):
-                    row, place = padded(shared.value.units(words)[from_planes(data)], np.array(lengths, np.int64), s.side)
+                for chunk, lengths, data in zip(batch.column("chunk").to_pylist(), batch.column("lengths"), batch.column("units")):
+                    row, place = padded(from_planes(data.as_py()), lengths.values.to_numpy(), s.side)
                     place = place[np.arange(len(place)) % s.rounds == round_]
                     place = place[np.random.default_rng([s.seed, round_, chunk]).permutation(len(place))]
                     for at in range(0, len(place), s.batch):
-                        some = place[at : at + s.batch]
+                        some = np.sort(place[at : at + s.batch])  # drawn at random, read in order
                         learn(around(row, some, s.side), row[some] - 1, net, sums, s.rate, classes)
                     seen += len(place)
             if seen:
@@ -342,7 +355,7 @@ def train(table: DataFrame, model: Model) -> Model:
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(lanes) + 1, dtype=np.int32) * LANE), pa.array(full))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lanes))), pa.array(np.full(len(lanes), float(seen))), values], names=["lane", "seen", "v"])
 
-        copies = mapped(table.select("chunk", "lengths", "ids", "words"), task, "lane long, seen double, v array<float>")
+        copies = mapped(units, task, "lane long, seen double, v array<float>")
         sums = copies.groupBy("lane").agg(F.sum("seen").alias("seen"), *[F.sum(F.get("v", F.lit(i)) * F.col("seen")).alias(f"v{i}") for i in range(LANE)])
         rows = sums.toArrow().sort_by("lane")
         if rows.num_rows:
