@@ -40,15 +40,15 @@ from pyspark.sql import functions as F
 from .common import binaries, mapped, sliced, texts_of, written
 
 LANE = 64  # parameters in a row when copies are averaged
-CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<int>"
+CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<int>, pairs array<int>, seen array<int>"
 LOW = (1 << 40) - 1
 
 
 @dataclass(frozen=True)
 class Settings:
     side: int = 2
-    dim: int = 12
-    hidden: int = 24
+    dim: int = 8
+    hidden: int = 16
     rounds: int = 4
     batch: int = 4096
     rate: float = 0.1
@@ -251,10 +251,13 @@ def chunks(docs: DataFrame, s: Settings) -> DataFrame:
         chunk, doc_ids, lengths, ids, known, total = TaskContext.get().partitionId() << 20, [], [], [], {}, 0
 
         def out() -> pa.RecordBatch:
-            numbers = np.concatenate(ids)
-            columns = [[chunk], [doc_ids], [lengths], [planes(numbers)], [list(known)], [np.bincount(numbers, minlength=len(known)).astype(np.int32)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc_ids", "lengths", "ids", "words", "counts"])
+            numbers, words = np.concatenate(ids), list(known)
+            code = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
+            pairs = np.bincount(code[:-1] << 8 | code[1:], minlength=1 << 16)
+            there = np.flatnonzero(pairs)
+            columns = [[chunk], [doc_ids], [lengths], [planes(numbers)], [words], [np.bincount(numbers, minlength=len(known)).astype(np.int32)], [there.astype(np.int32)], [pairs[there].astype(np.int32)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
         for batch in sliced(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
@@ -281,17 +284,8 @@ def word_counts(table: DataFrame, s: Settings) -> DataFrame:
 
 def spelling_counts(table: DataFrame) -> np.ndarray:
     """How often a byte comes after another, over the different words of each chunk."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for words in batch.column("words"):
-                code = np.frombuffer(b"\n" + b"\n".join(words.as_py()) + b"\n", np.uint8).astype(np.int64)
-                pairs += np.bincount(code[:-1] << 8 | code[1:], minlength=1 << 16)
-        there = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(pairs[there])], names=["pair", "n"])
-
-    got = mapped(table.select("words"), task, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    each = table.select(F.explode(F.arrays_zip("pairs", "seen")).alias("p"))
+    got = each.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.seen").alias("n")).toArrow()
     out = np.zeros(1 << 16)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(256, 256)
@@ -376,7 +370,7 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
     else:
         each = each.join(counts, "code")
     known = each.groupBy(F.shiftright("at", 22).alias("chunk")).agg(F.collect_list(F.shiftleft(F.col("at").bitwiseAND(F.lit((1 << 22) - 1)), 40).bitwiseOR(F.col("n"))).alias("n"))
-    joined = table.join(known, "chunk", "left").select("doc_ids", "lengths", "ids", "words", *["counts"] * leave_out, "n")
+    joined = table.join(known, "chunk", "left").select("doc_ids", "lengths", "ids", "words", "n")
 
     def own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
         """How often each one's document has what it has."""
@@ -389,7 +383,7 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
         for batch in batches:
             for k in range(batch.num_rows):
                 doc_ids, lengths, ids, words = batch.column("doc_ids")[k].values, batch.column("lengths")[k].values.to_numpy(), from_planes(batch.column("ids")[k].as_py()), batch.column("words")[k].as_py()
-                n = batch.column("counts")[k].values.to_numpy().astype(np.float64) if leave_out else np.zeros(len(words))
+                n = np.bincount(ids, minlength=len(words)).astype(np.float64) if leave_out else np.zeros(len(words))
                 if batch.column("n")[k].is_valid:
                     more = batch.column("n")[k].values.to_numpy()
                     n[more >> 40] = more & LOW
