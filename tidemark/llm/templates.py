@@ -111,11 +111,11 @@ def band_keys(text: bytes, s: Settings) -> np.ndarray:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64)
-    codes = np.fromiter(map(crc32, words), np.uint64, len(words))
+    codes = np.fromiter(map(crc32, words), np.uint64, len(words)) + np.uint64(1)
     width = min(s.shingle, len(codes))
     h = np.zeros(len(codes) - width + 1, np.uint64)
     for k in range(width):
-        h = h * MIX[0] + codes[k : k + len(h)] + np.uint64(1)
+        h = h * MIX[0] + codes[k : k + len(h)]
     h = (h ^ (h >> np.uint64(31))) * MIX[1]
     h ^= h >> np.uint64(29)
     h.sort()
@@ -143,9 +143,8 @@ def signed(keys: list[int]) -> np.ndarray:
     return np.array(keys, np.uint64).view(np.int64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+def _lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
 
 def document_paths(docs: DataFrame, s: Settings) -> DataFrame:
@@ -153,11 +152,13 @@ def document_paths(docs: DataFrame, s: Settings) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            bands, keys = [], []
+            bands, keys, each = [], [], []
             for text in texts_of(batch):
                 bands.append(band_keys(text, s))
-                keys.append(signed(list({k for line in text.split(b"\n") for k in path_keys(tokens_of(line), s)})))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(bands), _lists(keys)], names=["node", "bands", "keys"])
+                own = {k for line in text.split(b"\n") for k in path_keys(tokens_of(line), s)}
+                keys += own
+                each.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(np.concatenate(bands), [len(b) for b in bands]), _lists(signed(keys), each)], names=["node", "bands", "keys"])
 
     return mapped(docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text")), task, "node long, bands array<long>, keys array<long>")
 
@@ -178,7 +179,9 @@ def recurring(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts = written(document_paths(docs, s), "paths")
     each = texts.select("node", F.explode("keys").alias("key"))
     often = each.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
-    found = written(each.join(often, "key", "left_semi").distinct(), "found")
+    often = written(often, "often")
+    few = F.broadcast(often) if often.count() <= s.broadcast_keys else often
+    found = written(each.join(few, "key", "left_semi").distinct(), "found")
     by_label = found.join(copy_labels(texts), "node").select("key", "label").distinct()
     return by_label.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
 
@@ -208,21 +211,29 @@ def _without(docs: DataFrame, s: Settings, shared: np.ndarray | None, own_keys:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts, totals, dropped = batch.column("text").cast(pa.binary()).to_pylist(), [], []
-            each = batch.column(own_keys) if own_keys else None
-            for i, text in enumerate(texts):
-                lines = text.split(b"\n") if text else []
-                among = sent.value if sent else np.sort(np.array(each[i].as_py() or [], np.int64))
-                stay = lines
-                if lines and len(among):
-                    tokens = [tokens_of(line) for line in lines]
-                    keys = [path_keys(t, s) for t in tokens]
-                    recurs = found(signed(list(chain.from_iterable(keys))), among)
-                    if recurs.any():
-                        ends = np.cumsum([len(k) for k in keys])
-                        stay = [x for x, t, k, e in zip(lines, tokens, keys, ends.tolist()) if not (k and (r := recurs[e - len(k) : e]).any() and is_template(t, r.tolist(), s))]
-                totals.append(len(lines))
-                dropped.append(len(lines) - len(stay))
-                if len(stay) < len(lines):
+            lines = [text.split(b"\n") if text else [] for text in texts]
+            keys = [[path_keys(tokens_of(line), s) for line in own] for own in lines]
+            sizes = [sum(map(len, own)) for own in keys]
+            flat, ends = signed(list(chain.from_iterable(chain.from_iterable(keys)))), np.cumsum(sizes)
+            if sent:
+                recurs = found(flat, sent.value)
+            else:
+                each = batch.column(own_keys)
+                parts = [found(flat[e - n : e], np.sort(np.array(each[i].as_py() or [], np.int64))) for i, (n, e) in enumerate(zip(sizes, ends.tolist()))]
+                recurs = np.concatenate(parts)
+            hits = np.concatenate(([0], np.cumsum(recurs)))
+            for i, (own, end) in enumerate(zip(lines, ends.tolist())):
+                stay, at = own, end - sizes[i]
+                if hits[end] > hits[at]:
+                    stay = []
+                    for line, k in zip(own, keys[i]):
+                        yes = recurs[at : at + len(k)]
+                        at += len(k)
+                        if not (yes.any() and is_template(tokens_of(line), yes.tolist(), s)):
+                            stay.append(line)
+                totals.append(len(own))
+                dropped.append(len(own) - len(stay))
+                if len(stay) < len(own):
                     texts[i] = b"\n".join(stay)
             columns = dict(zip(batch.schema.names, batch.columns))
             columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
