@@ -133,9 +133,10 @@ def start(counts: np.ndarray, classes: int, s: Settings) -> np.ndarray:
 
 
 def powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z), but for a factor that all rows share, and its sums by row."""
-    e = np.exp(z - z.max(initial=0))
-    return e, e @ np.ones(e.shape[1], e.dtype) + np.float32(1e-30)
+    """exp(z), in its place, but for a factor that all rows share, and its sums by row."""
+    z -= z.max(initial=0)
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype) + np.float32(1e-30)
 
 
 def soft(z: np.ndarray) -> np.ndarray:
@@ -188,13 +189,17 @@ def gradients(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], cl
     for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
             own = h[a:b]
-            d, total = powers(own @ ww[c] + bw[c])
+            z = own @ ww[c]
+            z += bw[c]
+            d, total = powers(z)
             d *= (step / total)[:, None]
             d[every[: b - a], inside[a:b]] -= step
             dh[a:b] += d @ ww[c].T
             gww[c] = own.T @ d
             gbw[c] = ones[: b - a] @ d
-    da = dh * (1 - h * h)
+    da = h * h
+    np.subtract(1, da, out=da)
+    da *= dh
     dx = (da @ w1.T).reshape(-1, emb.shape[1])
     flat = narrow(context.ravel(), len(emb))
     by = np.argsort(flat, kind="stable")
@@ -216,8 +221,13 @@ def learn(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], sums:
             s[rows] += g * g
             p[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-8)
         else:
-            s += g * g
-            p -= rate * g / (np.sqrt(s) + 1e-8)
+            step = g * g
+            s += step
+            np.sqrt(s, out=step)
+            step += 1e-8
+            np.divide(g, step, out=step)
+            step *= rate
+            p -= step
 
 
 def padded(units: np.ndarray, lengths: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
