@@ -1,14 +1,16 @@
 """Line templates against a plain version over token places, and lines that must go or stay."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.fixtures import clashing, documents, frame, key, words
 from tidemark.llm import templates
 
 ROWS = documents()
-NAMES = ["".join(random.Random(i).choice("bcdfgaeiou") for _ in range(7)) for i in range(400)]
+NAMES = ["".join(r.choice("bcdfgaeiou") for _ in range(7)) for r in map(random.Random, range(400))]
 
 
 def plain(text):
@@ -20,44 +22,46 @@ def own(i, n=60):
     return plain(" ".join(words(1000 + i, n, 100_000)))
 
 
-def brute(rows, group_of, s=templates.Settings()):
-    """Kept text, lines and dropped lines of each row; group_of says which documents are copies of each other."""
+def brute(rows, group_of, min_docs=5):
+    """Kept text, lines and dropped lines of each row; group_of says which documents are copies of each other.
+
+    A line goes if enough groups have a line of as many tokens that differs from it in the same few places at most, whichever these are.
+    """
 
     def tokens(line):
         return ["<*>" if any(c in "0123456789" for c in t.decode("latin1")) else t for t in line.split()]
 
     def ways(n):
-        if n < 4:
-            return [set(range(n))] if n else []
-        out = [set(range(n)) - {i} for i in range(n)] if n < 8 else []
-        if n >= 6:
-            first, even, twos = {i for i in range(n) if 2 * i < n}, {i for i in range(n) if i % 2 == 0}, {i for i in range(n) if i // 2 % 2 == 0}
-            mixed = {i for i in range(n) if (i in first) == (i in twos)}
-            for half in (first, even, twos, mixed):
-                out += [half, set(range(n)) - half]
-        return out
+        most = 0 if n < 3 else 1 if n == 3 else 2 if n < 8 else 3
+        for k in range(min(most, 3 if n <= 12 else 0) + 1):
+            yield from itertools.combinations(range(n), k)
+
+    def need(n, gone):
+        return min_docs * (2 ** min(3, max(0, 5 - (n - len(gone)))) if gone else 1)
+
+    def kept(t, gone):
+        return len(t), gone, tuple(x for i, x in enumerate(t) if i not in gone)
 
     having = {}
     for i, (_, text, *_) in enumerate(rows):
         for line in (text or "").encode().split(b"\n"):
             t = tokens(line)
-            for k, w in enumerate(ways(len(t))):
-                having.setdefault((len(t), k, tuple(t[j] for j in sorted(w))), set()).add(group_of(i))
+            for gone in ways(len(t)) if t else ():
+                having.setdefault(kept(t, gone), set()).add(group_of(i))
     out = []
     for d, text, *_ in rows:
         lines = text.encode().split(b"\n") if text else []
         stay = []
         for line in lines:
-            t, covered = tokens(line), set()
-            for k, w in enumerate(ways(len(t))):
-                if len(having[len(t), k, tuple(t[j] for j in sorted(w))]) >= s.min_docs:
-                    covered |= w
-            fixed = [t[j] for j in covered if t[j] != "<*>"]
-            letters = any(c.isalpha() or c > "\x7f" for x in fixed for c in x.decode("latin1"))
-            if not (t and len(covered) >= s.share * len(t) and fixed and (letters or len(fixed) == len(t))):
+            t, goes = tokens(line), False
+            for gone in ways(len(t)) if t else ():
+                words = [x for x in kept(t, gone)[2] if x != "<*>"]
+                letters = any(c.isalpha() or c > "\x7f" for x in words for c in x.decode("latin1"))
+                goes |= len(having[kept(t, gone)]) >= need(len(t), gone) and (letters or not gone and len(words) == len(t))
+            if not goes:
                 stay.append(line)
-        kept = text if text is None or len(stay) == len(lines) else b"\n".join(stay).decode()
-        out.append((d, kept, len(lines), len(lines) - len(stay)))
+        text_left = text if text is None or len(stay) == len(lines) else b"\n".join(stay).decode()
+        out.append((d, text_left, len(lines), len(lines) - len(stay)))
     return out
 
 
@@ -66,8 +70,9 @@ def test_against_plain_version(spark, most):
     r = random.Random(5)
     rows = [(d, f"{t}\nCopyright 20{i:02d} by Example Corp number {i * 7}\nshort line\n" if t is not None and i % 2 else t, a, b, 0) for i, (d, t, a, b, _) in enumerate(ROWS)]
     rows += [(500 + i, f"the same text in every copy here and {own(77)}\nCopyright 2030 by Example Corp number {i}", "en", "a", 0) for i in range(9)]
-    for i in range(30):
-        lines = [own(i), *(r.choice(["a b c d", "p q", "end", "- - -", "1 2 3", f"x {r.choice(NAMES)} y z u v w q", f"{r.choice('ab')} {r.choice('cd')} {r.choice('ef')} {r.choice('gh')} i j"]) for _ in range(4))]
+    for i in range(80):
+        few = [f"{r.choice('ab')} {r.choice('cd')} {r.choice('ef')} {r.choice('gh')} i j", f"x {r.choice(NAMES)} y z {r.choice(NAMES)} v w {r.choice(NAMES[:9])}", f"hi {r.choice(NAMES)}", f"hi {r.choice(NAMES)} ho", f"{r.choice('abc')} {r.choice('cde')} {r.choice('efg')}", f"x {r.choice(NAMES)} y {r.choice(NAMES)} z", f"{' '.join(r.choice('abc') for _ in range(7))}"]
+        lines = [own(i), *(r.choice(["a b c d", "p q", "end", "- - -", "1 2 3", "1 x 3", *few]) for _ in range(6))]
         rows.append((600 + i, "\n".join(lines), "en", "a", 0))
     got = templates.dedup_lines(clashing(spark, rows), templates.Settings(broadcast_keys=most)).collect()
     first = {}
@@ -78,12 +83,26 @@ def test_against_plain_version(spark, most):
     assert not any("Example Corp" in (x.text or "") for x in got) and sum("the same text in every copy" in (x.text or "") for x in got) == 9
 
 
-@pytest.mark.parametrize("line", ["Posted by {} {} in the forum today", "{} posted this in the forum today", "See you {} soon", "Read more", "Menu", "Page 12{} of 300", "{} wrote on {} that it was very good indeed", "the {} of all who read it here is {}"])
-def test_recurring_lines_go(spark, line):
-    r = random.Random(9)
-    rows = [(i, f"{own(i, 30)}\n{line.format(r.choice(NAMES), r.choice(NAMES))}\n{own(1000 + i, 30)}", "en", "a", 0) for i in range(200)]
-    got = templates.dedup_lines(frame(spark, rows)).collect()
-    assert [x.doc_id for x in got if x.n_dropped != 1] == [] and {x.doc_id: x.text for x in got}[3] == f"{own(3, 30)}\n{own(1003, 30)}"
+LINES = [
+    "Posted by {} {} in the forum today", "{} posted this in the forum today", "See you {} soon", "Read more", "Menu", "Page 12{} of 300", "{} wrote on {} that it was very good indeed",
+    "the {} of all who read it here is {}", "From {} to {}", "Posted by {}", "Dear {} {} we thank you", "Welcome {} to the {} page", "{} and {} like what {} wrote about the town in the evening news today",
+]
+
+
+def test_names_differ():
+    assert len(set(NAMES)) == 400
+
+
+@pytest.mark.parametrize("names", [400, 12])
+def test_recurring_lines_go(spark, names):
+    """Each of these lines in 200 documents, whether names are all different or a few that recur."""
+    for line in LINES:
+        r = random.Random(9)
+        pick = lambda: r.choice(NAMES[:names])
+        rows = [(i, f"{own(i, 30)}\n{line.format(pick(), pick(), pick())}\n{own(1000 + i, 30)}", "en", "a", 0) for i in range(200)]
+        got = templates.dedup_lines(frame(spark, rows)).collect()
+        assert [x.doc_id for x in got if x.n_dropped != 1] == [], line
+        assert {x.doc_id: x.text for x in got}[3] == f"{own(3, 30)}\n{own(1003, 30)}"
 
 
 def test_copies_neither_make_nor_hide_a_template(spark):
@@ -101,17 +120,34 @@ def test_lines_that_share_less_than_a_template_stay(spark):
     assert all(x.n_dropped == 0 for x in templates.dedup_lines(frame(spark, rows)).collect())
 
 
-def test_paths_keep_their_places():
-    s = templates.Settings()
-    for n in range(6, 40):
-        tokens = [b"%d" % i for i in range(n)]
-        got = templates.halves(tokens)
-        assert [sorted(int(x) for x in t) for t in got] == [sorted(p) for p in templates.kept_places(n, s)[-8:]]
-        assert len(set(templates.path_keys(tokens, s))) == len(templates.kept_places(n, s))
-        # wherever two fields stand, some path keeps clear of them
-        for i in range(n):
-            for j in range(i):
-                assert any(i not in p and j not in p for p in templates.kept_places(n, s))
+def test_any_three_fields_leave_a_branch_and_a_leaf():
+    """Of lines of 8 to 40 tokens: whatever three places are changed, a quarter and a leaf keep their numbers."""
+    r = np.random.default_rng(3)
+    for n in range(8, 41):
+        tokens = [b"t%c" % (97 + i % 26) + bytes([97 + i // 26]) for i in range(n)]
+        changed = [tokens]
+        for _ in range(30):
+            t = list(tokens)
+            for i in r.choice(n, 3, replace=False):
+                t[i] = b"other"
+            changed.append(t)
+        lines = templates.Lines([b" ".join(t) for t in changed])
+        quarters, (leaves, _) = lines.quarters(), lines.long_leaves(lines.long)
+        assert (quarters == quarters[0]).any(1).all() and (leaves == leaves[0]).any(1).all()
+        assert len(np.unique(np.concatenate([quarters[0], leaves[0]]))) == 60
+
+
+def test_lines_and_tokens_are_those_of_split():
+    texts = [b"", b"\n", b"a  b\tc\n\nd\x0be\x0c f\r\n", b" lead", b"x1 y\n2", "é 　ü\u2028z".encode(), b"w" * 70_000 + b" v"]
+    lines = templates.Lines(texts)
+    at = 0
+    for i, text in enumerate(texts):
+        own = text.split(b"\n")
+        assert lines.first_line[i + 1] - lines.first_line[i] == len(own)
+        for line in own:
+            assert lines.n[at] == len(line.split()) and lines.raw[lines.starts[at] : lines.ends[at]] == line
+            at += 1
+    assert lines.words_of(2)[0] == templates.Lines([b"q a"]).words_of(0)[1] and len(lines.words_of(2)) == 6
 
 
 def test_empty(spark):

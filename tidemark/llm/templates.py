@@ -1,18 +1,20 @@
 """Line deduplication with a log-template tree of fixed depth.
 
-A line goes down the tree by its number of tokens, then by its two leading tokens, then by what else is kept of it in the leaf. A
-token with a digit is always the variable field <*>. Any other token, a leading one too, may vary as well; so a line goes down
-several paths, each of which keeps some places and has <*> at the others:
+A line goes down the tree by its number of tokens, then by parts of its tokens, leading ones and others, and ends in leaves that each
+generalise some of its places to fields. A token with a digit is always the variable field <*>; any other may vary as well:
 
-* fewer than `short` tokens: one path that keeps all places;
-* fewer than `long` tokens: for each place a path that lets it vary;
-* `few` tokens or more: eight paths, in pairs that share out the places by halves: first and last, even and odd, by twos, and
-  first by twos against last by twos. Wherever any two fields stand, and wherever a run of fields within a half of the line
-  stands, some path keeps clear of them.
+* one or two tokens: one leaf, which keeps all places;
+* three to seven: a leaf for all places, and one for each set of places that may vary, up to two and no more than half of them;
+* eight or more: four branches by the quarters of the line, the leading one first. Lines of a branch that recurs have 56 leaves: the line
+  is eight stretches of places, and each leaf generalises three of them. So any three fields, wherever they stand, and longer ones that
+  lie within three stretches, leave some quarter and some leaf unchanged.
 
-Lines of one path have its kept tokens in common. A path recurs if at least `min_docs` documents that are no copies of each other go
-down it. A line's template is the union of what its recurring paths keep; the line is dropped if that is at least `share` of its
-places, with a letter among them if there is a field. Counting paths needs no order of lines and no group of lines in one place.
+A leaf is a template if at least `min_docs` documents that are no copies of each other have a line in it; twice as many for each kept
+place under five where something is generalised, as short lines agree by chance. A line in such a leaf is dropped if a kept place has a
+letter, or nothing in it varies. Counting leaves needs no order of lines and no group of lines in one place. Leading tokens alone
+are no safe branch: where a leading field has a value that is common elsewhere, its line would part from its template.
+
+A leaf's number is a sum over the places that it keeps, so the leaves of all lines of a batch are made by numpy from sums over stretches.
 
 Copies are told by the document as a whole: one-permutation min-hashes of its five-word shingles in `bands` of `rows`. Documents
 that meet under a band take the least document that they meet as their label, and its label in turn, twice over; documents of
@@ -20,18 +22,16 @@ similarity 0.8 meet with 0.98 directly, in a group of copies almost always. A la
 neither make a template nor hide one. A block of lines that is less than the rest of its documents doesn't make them alike.
 
 Cases: a null text stays null; an empty text stays empty; line ends are kept for the lines that stay; empty lines stay; rows
-that repeat are copies; an empty table gives no rows; all other columns are kept, and n_chars is brought up to date. Columns n_lines
-and n_dropped give way to those added.
+that repeat are copies; a long text is a batch of its own; nothing depends on doc_id, null or tied; an empty table gives no rows; all
+other columns are kept, and n_chars is brought up to date. Columns n_lines and n_dropped give way to those added.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
-from zlib import crc32
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,77 +41,133 @@ from pyspark.sql import functions as F
 
 from .common import free, mapped, sliced, texts_of, written
 
-DIGIT = re.compile(rb"[0-9]")
-LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
-FIELD = b"<*>"
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+LONG, STRETCHES = 8, 8
+FIELD = np.uint64(0x2A3C2A3E)
+SPACE, DIGIT, LETTER = (np.array([f(b) for b in range(256)]) for f in (lambda b: b == 32 or 9 <= b <= 13, lambda b: 48 <= b <= 57, lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
+_BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, np.uint64)
 
 
 @dataclass(frozen=True)
 class Settings:
     min_docs: int = 5
-    share: float = 0.6
-    short: int = 4
-    few: int = 6
-    long: int = 8
     bands: int = 10
     rows: int = 5
     shingle: int = 5
-    broadcast_keys: int = 1 << 20  # up to so many recurring paths (8 bytes each) are broadcast; beyond, they are joined
-
+    broadcast_keys: int = 1 << 20  # up to so many recurring numbers (8 bytes each) are broadcast; beyond, they are joined
 
-def kept_places(n: int, s: Settings) -> tuple[tuple[int, ...], ...]:
-    """The places that each path of a line of n tokens keeps."""
-    every = range(n)
-    if n < s.short:
-        return (tuple(every),)
-    out = [tuple(i for i in every if i != gone) for gone in every] if n < s.long else []
-    if n >= s.few:
-        for side in (lambda i: 2 * i >= n, lambda i: i & 1, lambda i: i >> 1 & 1, lambda i: (2 * i >= n) ^ (i >> 1 & 1)):
-            out += [tuple(i for i in every if not side(i)), tuple(i for i in every if side(i))]
-    return tuple(out)
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX[1]
+    return (h ^ (h >> np.uint64(29))) * MIX[2] ^ (h >> np.uint64(32))
 
-def halves(tokens: list[bytes]) -> tuple[list[bytes], ...]:
-    """What the eight paths keep, by slices: of each half of the line the tokens that stand first by twos and the others."""
-    h = (len(tokens) + 1) // 2
-    a, b = tokens[0:h:4] + tokens[1:h:4], tokens[2:h:4] + tokens[3:h:4]
-    c, d = tokens[h + -h % 4 :: 4] + tokens[h + (1 - h) % 4 :: 4], tokens[h + (2 - h) % 4 :: 4] + tokens[h + (3 - h) % 4 :: 4]
-    return tokens[:h], tokens[h:], tokens[0::2], tokens[1::2], a + c, b + d, a + d, b + c
 
+def may_vary(n: int) -> tuple[tuple[int, ...], ...]:
+    """The sets of places that the leaves of a line of n tokens, under LONG, let vary."""
+    most = 0 if n < 3 else 1 if n == 3 else 2
+    return tuple(out for k in range(most + 1) for out in combinations(range(n), k))
 
-def tokens_of(line: bytes) -> list[bytes]:
-    tokens = line.split()
-    return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
+OUT = tuple(combinations(range(STRETCHES), 3))
 
-def path_keys(tokens: list[bytes], s: Settings) -> list[int]:
-    """A 64-bit number for each path of the line, in the order of `kept_places`."""
-    from xxhash import xxh64_intdigest
 
-    n = len(tokens)
-    if n < s.short:
-        kept = [tokens] if tokens else []
-    else:
-        kept = [tokens[:i] + tokens[i + 1 :] for i in range(n)] if n < s.long else []
-        kept += halves(tokens) if n >= s.few else ()
-    return [xxh64_intdigest(b" ".join(t), n << 8 | k) for k, t in enumerate(kept)]
+def rarity(n: int, varies: int) -> int:
+    """How often twice `min_docs` are asked for; kept in the two lowest bits of a leaf's number."""
+    return min(3, max(0, 5 - (n - varies))) if varies else 0
 
 
-def is_template(tokens: list[bytes], recurs: list[bool], s: Settings) -> bool:
-    places = set(chain.from_iterable(p for p, yes in zip(kept_places(len(tokens), s), recurs) if yes))
-    if len(places) < s.share * len(tokens):
-        return False
-    words = [tokens[i] for i in places if tokens[i] != FIELD]
-    return bool(words) and (len(words) == len(tokens) or any(LETTER.search(w) for w in words))
+def key_need(column: str, min_docs: int) -> str:
+    return f"shiftleft({min_docs}L, CAST({column} & 3 AS INT))"
 
 
-def band_keys(text: bytes, s: Settings) -> np.ndarray:
+@cache
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, MIX[0], np.uint64))))
+
+
+class Lines:
+    """The lines of some texts: where they lie, their tokens, and numbers for what they have in common with others."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = b"\n".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        self.raw, self.n_texts = raw, len(texts)
+        ends = np.flatnonzero(data == 10)
+        self.starts, self.ends = np.concatenate(([0], ends + 1)), np.concatenate((ends, [len(data)]))
+        at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        self.first_line = np.concatenate((np.searchsorted(self.starts, at[:-1]), [len(self.starts)]))
+        self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first_line))
+        inside = ~SPACE[data]
+        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
+        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        size = stop - begin
+        own = data[inside]
+        first = np.cumsum(size) - size
+        if len(own):
+            offset = np.arange(len(own)) - np.repeat(first, size)
+            word = np.add.reduceat(_BYTES[own] * _powers(1 << int(size.max()).bit_length())[offset], first)
+            has_digit, self.letter = (np.logical_or.reduceat(kind[own], first) for kind in (DIGIT, LETTER))
+        else:
+            word, has_digit, self.letter = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
+        self.word = mixed(word + size.astype(np.uint64))
+        self.letter = self.letter & ~has_digit
+        line = np.searchsorted(self.starts, begin, "right") - 1
+        self.n = np.bincount(line, minlength=len(self.starts))
+        self.first = np.cumsum(self.n) - self.n
+        place = (np.arange(len(begin)) - self.first[line]).astype(np.uint64)
+        count = self.n[line].astype(np.uint64)
+        self.number = mixed(np.where(has_digit, FIELD, self.word) + place * MIX[0] + count * MIX[1])
+        self.field = has_digit
+        self.long = np.flatnonzero(self.n >= LONG)
+
+    def words_of(self, i: int) -> np.ndarray:
+        a, b = self.first_line[i], self.first_line[i + 1]
+        return self.word[self.first[a] : self.first[b - 1] + self.n[b - 1]] if b > a else self.word[:0]
+
+    def _keys(self, sums: np.ndarray, which: int, rare: int) -> np.ndarray:
+        return mixed(sums + np.array([which + 1], np.uint64) * MIX[2]) & ~np.uint64(3) | np.uint64(rare)
+
+    def short_leaves(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Lines, their leaves' numbers, and whether the leaf may count for the line: a column for each leaf."""
+        for n in range(1, LONG):
+            lines = np.flatnonzero(self.n == n)
+            if not len(lines):
+                continue
+            at = self.first[lines][:, None] + np.arange(n)
+            number, letter, no_field = self.number[at], self.letter[at], ~self.field[at].any(1)
+            keys, good = [], []
+            for k, out in enumerate(may_vary(n)):
+                kept = [i for i in range(n) if i not in out]
+                keys.append(self._keys(number[:, kept].sum(1, dtype=np.uint64), k, rarity(n, len(out))))
+                good.append(letter[:, kept].any(1) | (no_field if not out else False))
+            yield lines, np.stack(keys, 1), np.stack(good, 1)
+
+    def _stretches(self, values: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Sums over the stretches of the given long lines."""
+        if not len(lines):
+            return np.zeros((0, STRETCHES), values.dtype)
+        n = self.n[lines][:, None]
+        borders = self.first[lines][:, None] + -(-np.arange(STRETCHES + 1) * n // STRETCHES)
+        total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)))
+        return np.diff(total[borders], axis=1)
+
+    def quarters(self) -> np.ndarray:
+        """Of each long line, the numbers of its four branches."""
+        s = self._stretches(self.number, self.long)
+        return np.stack([self._keys(s[:, 2 * q] + s[:, 2 * q + 1], q, 0) for q in range(4)], 1)
+
+    def long_leaves(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, letters = self._stretches(self.number, lines), self._stretches(self.letter.astype(np.int64), lines)
+        total, all_letters = s.sum(1, dtype=np.uint64), letters.sum(1)
+        keys = [self._keys(total - s[:, a] - s[:, b] - s[:, c], k, 0) for k, (a, b, c) in enumerate(OUT)]
+        good = [all_letters > letters[:, a] + letters[:, b] + letters[:, c] for a, b, c in OUT]
+        return np.stack(keys, 1), np.stack(good, 1)
+
+
+def band_keys(codes: np.ndarray, s: Settings) -> np.ndarray:
     """One number for each band of the least shingle hashes of `bands` x `rows` bins; bins without a shingle take the next one's."""
-    words = text.split()
-    if not words:
+    if not len(codes):
         return np.zeros(0, np.int64)
-    codes = np.fromiter(map(crc32, words), np.uint64, len(words)) + np.uint64(1)
     width = min(s.shingle, len(codes))
     h = np.zeros(len(codes) - width + 1, np.uint64)
     for k in range(width):
@@ -139,28 +195,87 @@ def _bins(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return border, draw.integers(0, 1 << 64, bands * rows, np.uint64) | np.uint64(1), draw.integers(0, 1 << 64, bands, np.uint64)
 
 
-def signed(keys: list[int]) -> np.ndarray:
-    return np.array(keys, np.uint64).view(np.int64)
+def _lists(text_of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """`values` as one list for each of n texts."""
+    order = np.argsort(text_of, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(text_of, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order].view(np.int64)))
+
+
+def _flat(lines: Lines, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Numbers by line, several a line, as one list for each text."""
+    text_of = [np.repeat(lines.text_of[own], keys.shape[1]) for own, keys in found]
+    return _lists(np.concatenate([np.zeros(0, np.int64), *text_of]), np.concatenate([np.zeros(0, np.uint64), *[keys.ravel() for _, keys in found]]), lines.n_texts)
+
+
+def _named(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"), *more)
+
+
+def document_branches(docs: DataFrame, s: Settings) -> DataFrame:
+    """node (hash of the text), bands, keys, quarters: what tells a text's copies, the leaves of its short lines, the branches of others."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            lines = Lines(texts_of(batch))
+            bands = [band_keys(lines.words_of(i), s) for i in range(lines.n_texts)]
+            each = _lists(np.repeat(np.arange(lines.n_texts), [len(b) for b in bands]), np.concatenate([np.zeros(0, np.int64), *bands]).view(np.uint64), lines.n_texts)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), each, _flat(lines, [x[:2] for x in lines.short_leaves()]), _flat(lines, [(lines.long, lines.quarters())])], names=["node", "bands", "keys", "quarters"])
+
+    return mapped(_named(docs), task, "node long, bands array<long>, keys array<long>, quarters array<long>")
+
+
+def _known(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    if not len(among):
+        return np.zeros(keys.shape, bool)
+    keys = keys.view(np.int64)
+    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
+
 
+class Kept:
+    """A set of numbers for tasks: broadcast where it is small, else beside each document those of them that are its own."""
 
-def _lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+    def __init__(self, keys: DataFrame, own: DataFrame, s: Settings, name: str):
+        """keys: key; own: node, key, the numbers that each document has."""
+        self.name, self.sent, self.mine = name, None, None
+        if keys.count() <= s.broadcast_keys:
+            self.sent = keys.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow().column("key").to_numpy()))
+        else:
+            self.mine = written(own.join(keys, "key", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys")), "own")
 
+    def beside(self, docs: DataFrame, node: str) -> DataFrame:
+        if self.mine is None:
+            return docs
+        return docs.join(self.mine.select(F.col("node").alias(node), F.col("keys").alias(self.name)), node, "left")
 
-def document_paths(docs: DataFrame, s: Settings) -> DataFrame:
-    """node (hash of the text), bands, keys: what tells a text's copies, and its paths, each once."""
+    def reader(self) -> object:
+        """(batch, numbers by line, text of each line) -> which are in the set; holds nothing of the driver's."""
+        sent, name = self.sent, self.name
+
+        def known(batch: pa.RecordBatch, keys: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+            if sent is not None:
+                return _known(keys, sent.value)
+            out, lists = np.zeros(keys.shape, bool), batch.column(name)
+            for i in np.unique(text_of):
+                rows = text_of == i
+                out[rows] = _known(np.ascontiguousarray(keys[rows]), np.array(lists[int(i)].as_py() or [], np.int64))
+            return out
+
+        return known
+
+
+def document_leaves(docs: DataFrame, branches: Kept) -> DataFrame:
+    """node, keys: the leaves of long lines that have a recurring branch."""
+    known, name, node = branches.reader(), branches.name, "node"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            bands, keys, each = [], [], []
-            for text in texts_of(batch):
-                bands.append(band_keys(text, s))
-                own = {k for line in text.split(b"\n") for k in path_keys(tokens_of(line), s)}
-                keys += own
-                each.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(np.concatenate(bands), [len(b) for b in bands]), _lists(signed(keys), each)], names=["node", "bands", "keys"])
+            lines = Lines(texts_of(batch))
+            go_on = lines.long[known(batch, lines.quarters(), lines.text_of[lines.long]).any(1)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _flat(lines, [(go_on, lines.long_leaves(go_on)[0])])], names=["node", "keys"])
 
-    return mapped(docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text")), task, "node long, bands array<long>, keys array<long>")
+    given = branches.beside(_named(docs), node)
+    return mapped(given.select("node", "text", *[name] * (name in given.columns)), task, "node long, keys array<long>")
 
 
 def copy_labels(texts: DataFrame) -> DataFrame:
@@ -174,67 +289,48 @@ def copy_labels(texts: DataFrame) -> DataFrame:
     return labels
 
 
-def recurring(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The keys of recurring paths. Counts are pre-aggregated, so a path of very many documents is no hot spot."""
-    texts = written(document_paths(docs, s), "paths")
-    each = texts.select("node", F.explode("keys").alias("key"))
-    often = each.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
-    often = written(often, "often")
-    few = F.broadcast(often) if often.count() <= s.broadcast_keys else often
-    found = written(each.join(few, "key", "left_semi").distinct(), "found")
+def recurring(docs: DataFrame, s: Settings = Settings()) -> tuple[Kept, Kept]:
+    """The recurring branches and the templates. Counts are pre-aggregated, so a leaf of very many documents is no hot spot."""
+    texts = written(document_branches(docs, s), "branches")
+    quarters = texts.select("node", F.explode("quarters").alias("key"))
+    often = written(quarters.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key"), "often")
+    branches = Kept(often, quarters, s, "_branches")
+    wide = written(document_leaves(docs, branches), "leaves")
+    leaves = texts.select("node", F.explode("keys").alias("key")).union(wide.select("node", F.explode("keys").alias("key")))
+    enough = F.expr(f"count >= {key_need('key', s.min_docs)}")
+    many = written(leaves.groupBy("key").count().filter(enough).select("key"), "many")
+    few = F.broadcast(many) if many.count() <= s.broadcast_keys else many
+    found = written(leaves.join(few, "key", "left_semi").distinct(), "found")
     by_label = found.join(copy_labels(texts), "node").select("key", "label").distinct()
-    return by_label.groupBy("key").count().filter(F.col("count") >= s.min_docs).select("key")
+    keys = written(by_label.groupBy("key").count().filter(enough).select("key"), "templates")
+    return branches, Kept(keys, found, s, "_leaves")
 
 
 def dedup_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """`docs` with the lines of recurring templates dropped, and n_lines, n_dropped."""
-    keys = written(recurring(docs, s), "templates")
-    if keys.count() <= s.broadcast_keys:
-        return _without(docs, s, np.sort(keys.toArrow().column("key").to_numpy()), None)
-    # a document's own recurring paths: a few for each of its lines
-    mine, node = free(docs, "_keys", "_node")
-    own = document_paths(docs, s).select("node", F.explode("keys").alias("key")).distinct().join(keys, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    own = own.select(F.col("node").alias(node), F.col("keys").alias(mine))
-    return _without(docs.withColumn(node, F.xxhash64("text")).join(own, node, "left").drop(node), s, None, mine)
-
-
-def _without(docs: DataFrame, s: Settings, shared: np.ndarray | None, own_keys: str | None) -> DataFrame:
-    kept = [f for f in docs.schema.fields if f.name not in (own_keys, "n_lines", "n_dropped")]
+    branches, leaves = recurring(docs, s)
+    node, branches.name, leaves.name = free(docs, "_node", "_branches", "_leaves")
+    given = docs.withColumns({"text": F.col("text").cast("string"), node: F.xxhash64("text")})
+    given = leaves.beside(branches.beside(given, node), node).drop(node)
+    kept = [f for f in given.schema.fields if f.name not in (branches.name, leaves.name, "n_lines", "n_dropped")]
     names = [f.name for f in kept]
-    sent = None if shared is None else docs.sparkSession.sparkContext.broadcast(shared)
-
-    def found(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-        if not len(among):
-            return np.zeros(len(keys), bool)
-        return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
+    has_branch, is_template = branches.reader(), leaves.reader()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts, totals, dropped = batch.column("text").cast(pa.binary()).to_pylist(), [], []
-            lines = [text.split(b"\n") if text else [] for text in texts]
-            keys = [[path_keys(tokens_of(line), s) for line in own] for own in lines]
-            sizes = [sum(map(len, own)) for own in keys]
-            flat, ends = signed(list(chain.from_iterable(chain.from_iterable(keys)))), np.cumsum(sizes)
-            if sent:
-                recurs = found(flat, sent.value)
-            else:
-                each = batch.column(own_keys)
-                parts = [found(flat[e - n : e], np.sort(np.array(each[i].as_py() or [], np.int64))) for i, (n, e) in enumerate(zip(sizes, ends.tolist()))]
-                recurs = np.concatenate(parts)
-            hits = np.concatenate(([0], np.cumsum(recurs)))
-            for i, (own, end) in enumerate(zip(lines, ends.tolist())):
-                stay, at = own, end - sizes[i]
-                if hits[end] > hits[at]:
-                    stay = []
-                    for line, k in zip(own, keys[i]):
-                        yes = recurs[at : at + len(k)]
-                        at += len(k)
-                        if not (yes.any() and is_template(tokens_of(line), yes.tolist(), s)):
-                            stay.append(line)
-                totals.append(len(own))
-                dropped.append(len(own) - len(stay))
-                if len(stay) < len(own):
-                    texts[i] = b"\n".join(stay)
+            lines = Lines(texts_of(batch))
+            gone = np.zeros(len(lines.starts), bool)
+            for own, keys, good in lines.short_leaves():
+                gone[own] = (is_template(batch, keys, lines.text_of[own]) & good).any(1)
+            go_on = lines.long[has_branch(batch, lines.quarters(), lines.text_of[lines.long]).any(1)]
+            keys, good = lines.long_leaves(go_on)
+            gone[go_on] = (is_template(batch, keys, lines.text_of[go_on]) & good).any(1)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            totals = [int(n) if t else 0 for n, t in zip(np.diff(lines.first_line), texts)]
+            dropped = np.bincount(lines.text_of[gone], minlength=lines.n_texts)
+            for i in np.flatnonzero(dropped):
+                stay = [j for j in range(lines.first_line[i], lines.first_line[i + 1]) if not gone[j]]
+                texts[i] = b"\n".join([lines.raw[lines.starts[j] : lines.ends[j]] for j in stay])
             columns = dict(zip(batch.schema.names, batch.columns))
             columns["text"] = pa.array(texts, pa.binary()).cast(pa.string())
             if "n_chars" in columns:
@@ -242,4 +338,4 @@ def _without(docs: DataFrame, s: Settings, shared: np.ndarray | None, own_keys:
             yield pa.RecordBatch.from_arrays([columns[c] for c in names] + [pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_lines long, n_dropped long"])
-    return mapped(docs.withColumn("text", F.col("text").cast("string")), task, schema)
+    return mapped(given, task, schema)
