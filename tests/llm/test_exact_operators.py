@@ -372,6 +372,9 @@ def spark_hash(*values):
     return h - (1 << 64) if h >> 63 else h
 
 
+EMPTY_HASH = spark_hash(b"")  # a null text is an empty one before it is hashed
+
+
 def one_minhash(text):
     w = split(text)
     hashes = [spark_hash(b" ".join(w))] if len(w) < 5 else [spark_hash(*w[i : i + 5]) for i in range(len(w) - 4)]
@@ -392,27 +395,35 @@ def one_minhash(text):
     return "".join(f"{x:x}" for x in out)
 
 
-def test_fingerprints(spark):
-    rows = [r for r in ROWS if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values())
-    got = {r.doc_id: r for r in queries.op10_fingerprints(spark, stored(spark, rows)).collect()}
-    order = sorted(rows, key=lambda r: -r[0])
+WHITE = " \t\n\x0b\x0c\r"
+EDGES = ["f", "fox ran off", "fast foxes run through the field", "ast foxes run through the field", "ff f", "off", *[f"{c}some few words and more of them{c}" for c in WHITE], *[f"{c}f{c}f" for c in WHITE], "\u00a0nbsp words\u3000", "\x1cfile sep\x1f"]
+
+
+@pytest.mark.parametrize("per_range", [2000, 7])
+def test_fingerprints(spark, monkeypatch, per_range):
+    """Null ids are the smallest; ids that tie go by text hash; texts that begin and end in any letter or white space."""
+    real = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda rows: real(rows, per_range))
+    rows = [*ROWS, *[(1000 + i, t, None, None, 0) for i, t in enumerate(EDGES)], *[(7000, f"tie {i}", None, None, 0) for i in range(30)], *[(8000, "again", None, None, 0)] * 25]
+    got = queries.op10_fingerprints(spark, stored(spark, rows)).collect()
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], spark_hash((r[1]).encode()) if r[1] else EMPTY_HASH), reverse=True)
+    want = []
     for i, (d, text, *_) in enumerate(order):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = got[d]
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == one_minhash(text) and r.edited_fingerprint == one_minhash(edited)
-        for near, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, one_minhash(after))):
-            same = sum(a == b for a, b in zip(r.fingerprint, other)) / 256
-            assert near == pytest.approx(max(0.0, (same - 1 / 16) / (15 / 16)))
+        own, changed, beside = one_minhash(text), one_minhash(edited), one_minhash(after)
+        near = [round(max(0.0, (sum(a == b for a, b in zip(own, other)) / 256 - 1 / 16) / (15 / 16)), 9) for other in (changed, beside)]
+        want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, *near))
+    assert key([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]) == key(want)
+    by_text = {t: one_minhash(t) for t in EDGES}
+    assert by_text["fox ran off"] != one_minhash("ox ran o") and by_text["f"] != one_minhash("")
 
 
 def test_next_document_in_many_ranges(spark):
     rows = [(i * 2, f"text {i}", None, None, 0) for i in range(100)] + [(7, "odd", None, None, 0)]
     fps = fingerprints.fingerprints(frame(spark, rows))
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(fps, rows_per_bucket=9).collect()}
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(fps, rows_per_range=9).collect()}
     order = sorted(rows, key=lambda r: -r[0])
     assert got == {r[0]: order[(i + 1) % len(order)][1] for i, r in enumerate(order)}
 

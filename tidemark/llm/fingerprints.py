@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import positions
+
 BINS, BITS, WIDTH, PROBES = 256, 4, 5, 16
 TAIL = 64 - 8  # bits below the bin number
 PER_LONG = 64 // BITS
@@ -42,7 +44,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     empty = (1 << TAIL) - 1
     lasts = _ints([((b - BINS // 2) << TAIL) | empty for b in range(BINS)])
     tables = [_ints([probe(b, t) for b in range(BINS)]) for t in range(PROBES)]
-    df = df.withColumn("_t", F.expr(f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM coalesce(`{text}`, ''))"))
+    df = df.withColumn("_t", F.expr(f"trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM coalesce(`{text}`, ''))"))
     df = df.select(*kept, F.split("_t", SPACE).alias("_w"))
     one = F.array(F.xxhash64(F.concat_ws(" ", "_w")))
     many = F.transform(F.sequence(F.lit(0), F.size("_w") - WIDTH), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WIDTH)]))
@@ -99,40 +101,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "text", "fp")
 
 
-def with_next(rows: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
+def with_next(rows: DataFrame, rows_per_range: int = 2000) -> DataFrame:
     """`rows` (doc_id, text, fp) and next_text, next_fp: those of the next row by descending doc_id; after the last, the first.
 
-    Rows are dealt into ranges of doc_id whose bounds are quantiles; each range also gets a copy of the row that follows it, so
-    that a window inside the range finds every neighbour. Texts are shuffled once. The driver sees bounds and one row's key for
-    each range, of which there are at most `most_buckets`.
+    Keys (doc_id and text hash) are sorted and numbered without texts, so that bounds of equal ranges of rows are exact, whatever ids
+    tie or are null. Each range also gets a copy of the row that follows it, so that a window inside the range finds every neighbour.
+    Texts are shuffled once. Ranges have `rows_per_range` rows, or the square root of all rows where that is more: the driver sees
+    two keys for each range, as many as a range has rows at most. Only rows that agree in id and text are never parted.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    keyed = rows.withColumns({"_k": key, "_h": F.xxhash64("text")})
-    n = rows.select("doc_id").count()
-    buckets = max(1, min(most_buckets, math.ceil(n / rows_per_bucket)))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = rows.select(key.alias("_k")).agg(F.percentile_approx("_k", shares, max(10_000, 20 * buckets))).collect()[0][0] if shares else []
-    bounds = sorted(set(found or []))
+    lowest = F.lit(-(1 << 63)).cast("long")
+    keyed = rows.withColumns({"_k": F.coalesce(F.col("doc_id"), lowest), "_h": F.xxhash64("text")})
+    placed = positions(keyed.select("_k", "_h"), [], ["_k", "_h"])
+    n = placed.count()
+    if not n:
+        return rows.withColumns({"next_text": F.lit(None).cast("string"), "next_fp": F.col("fp")})
+    size = max(rows_per_range, math.isqrt(n))
+    found = placed.filter((F.col("pos") % size == 0) & (F.col("pos") > 0)).select("_k", "_h").distinct().collect()
+    bounds = sorted((r["_k"], r["_h"]) for r in found)
     step = max(1, math.isqrt(len(bounds)))
-    # bounds up to the key, counted in two steps so that few are looked at
-    if bounds:
-        coarse, all_bounds = _ints(bounds[step - 1 :: step]), _ints(bounds)
-        whole = F.size(F.filter(coarse, lambda x: x <= F.col("_k"))) * step
-        bucket = whole + F.size(F.filter(F.slice(all_bounds, whole + 1, step), lambda x: x <= F.col("_k")))
-    else:
-        bucket = F.lit(0)
-    keyed = keyed.withColumn("_bucket", bucket)
-    tops = {r["_bucket"]: tuple(r["top"]) for r in keyed.groupBy("_bucket").agg(F.max(F.struct("_k", "_h")).alias("top")).collect()}
+
+    def ranged(df: DataFrame) -> DataFrame:
+        """Bounds up to the key, counted in two steps so that few are looked at."""
+        if not bounds:
+            return df.withColumn("_range", F.lit(0))
+        me = F.struct("_k", "_h")
+        coarse, every = (F.arrays_zip(_ints([k for k, _ in b]).alias("_k"), _ints([h for _, h in b]).alias("_h")) for b in (bounds[step - 1 :: step], bounds))
+        df = df.withColumn("_whole", F.size(F.filter(coarse, lambda x: x <= me)) * step)
+        return df.withColumn("_range", F.col("_whole") + F.size(F.filter(F.slice(every, F.col("_whole") + 1, step), lambda x: x <= me))).drop("_whole")
+
+    keyed = ranged(keyed)
+    tops = {r["_range"]: tuple(r["top"]) for r in ranged(placed).groupBy("_range").agg(F.max(F.struct("_k", "_h")).alias("top")).collect()}
     order = sorted(tops)
-    follows = [(tops[order[i - 1]][0], tops[order[i - 1]][1], b) for i, b in enumerate(order)]
-    if not follows:
-        return rows.withColumns({"next_text": F.lit(None).cast("string"), "next_fp": F.col("fp")})
-    to = F.broadcast(rows.sparkSession.createDataFrame(follows, "_k long, _h long, _to int"))
-    ids = sorted({f[0] for f in follows})
-    there = (F.col("doc_id").isNull() if ids[0] == -(1 << 63) else F.lit(False)) | F.col("doc_id").isin(ids)
-    copies = keyed.filter(there).drop("_bucket").join(to, ["_k", "_h"]).withColumnRenamed("_to", "_bucket").withColumn("_copy", F.lit(1))
+    follows = [(*tops[order[i - 1]], b) for i, b in enumerate(order)]
+    copies = keyed.drop("_range").join(F.broadcast(rows.sparkSession.createDataFrame(follows, "_k long, _h long, _range int")), ["_k", "_h"])
+    copies = copies.dropDuplicates(["_k", "_h", "_range"]).withColumn("_copy", F.lit(1))
     both = keyed.withColumn("_copy", F.lit(0)).unionByName(copies)
-    w = Window.partitionBy("_bucket").orderBy("_copy", F.desc("_k"), F.desc("_h"))
+    w = Window.partitionBy("_range").orderBy("_copy", F.desc("_k"), F.desc("_h"))
     both = both.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)})
     return both.filter("_copy = 0").select(*rows.columns, "next_text", "next_fp")
 
