@@ -30,12 +30,14 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binaries, free, mapped, sliced, texts_of, written
 from .graph import components, forest
 
+#: Nodes of a key that are checked in all pairs; keys of more are checked along a tree first, see `across`.
+FEW = 24
 #: For each byte, its bits as eight byte-wide counters in one 64-bit lane.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 #: Odd constants that turn one 64-bit hash into further ones (multiplication and a shift, as in splitmix64).
@@ -318,12 +320,12 @@ def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def candidates(keys: DataFrame, words: int, radius: int, few: int = 24, leaders: int = 64, most: int = 512) -> DataFrame:
+def candidates(keys: DataFrame, words: int, radius: int, few: int = FEW, leaders: int = 64, most: int = 512) -> DataFrame:
     """(key, node) -> distinct pairs (a, b) to be checked, and d, the distance of their SimHashes.
 
-    Up to `few` nodes of a key: all pairs within the radius. More: a spanning tree of least distances, so that a cut at any
-    distance leaves the groups of single linkage. Beyond `most` nodes the key goes by in runs, each with the key's first
-    `leaders` nodes; what such a run parts can meet under the other bands, where its neighbours are others.
+    Up to `few` nodes of a key: all pairs within the radius. More: a spanning tree of least distances, which finds most links with
+    few checks; beyond `most` nodes the key goes by in runs, each with the key's first `leaders` nodes. What this leaves apart in
+    such keys is for `across`, which checks it whole.
     """
 
     def pairs(nodes: list[bytes]) -> Iterator[tuple[bytes, bytes, int]]:
@@ -391,6 +393,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
     return written(both.filter(shared * (share[0] + share[1]) >= total * share[0]).select("a", "b"), "links")
 
 
+class _Held:
+    """Sets in memory, found by what a set has in common with them."""
+
+    def __init__(self, sets: list[np.ndarray], share: tuple[int, int]):
+        self.sets, self.share = sets, share
+        self.size = np.array([len(x) for x in sets], np.int64)
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.values, self.first = np.unique(values[order], return_index=True)
+        self.end = np.append(self.first[1:], len(values))
+
+    def alike(self, one: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.values, one)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == one)]
+        if not len(at):
+            return at
+        n = self.end[at] - self.first[at]
+        places = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+        common = np.bincount(self.owner[places], minlength=len(self.sets))
+        return np.flatnonzero((common > 0) & (common * (self.share[0] + self.share[1]) >= (self.size + len(one)) * self.share[0]))
+
+
+def across(crowd: DataFrame, labels: DataFrame, sets: DataFrame, share: tuple[int, int], held: int = 2048, streamed: int = 100_000) -> DataFrame:
+    """(a, b): links between nodes of one key that `labels` has in different groups, as many as join up all that are alike.
+
+    crowd: key, node, of keys with many nodes. In a key whose nodes are all in one group nothing is left to check. In others those
+    outside the key's largest group are held, in blocks of about `held`, and all nodes of the key go past each block, in slices of
+    about `streamed`: whatever is alike meets, and a task holds no more than a block. Only the first link between two groups is told.
+    """
+    known = labels.select("node", "label")
+    named = written(crowd.join(known, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "crowd")
+    by_group = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    by_key = by_group.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    plan = written(by_key.select("key", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / held).cast("int").alias("parts"), F.ceil(F.col("n") / streamed).cast("int").alias("slices")), "unsettled")
+    rows = named.join(_small(plan, 500_000), "key").join(sets, "node")
+
+    def dealt(column: str, to: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(to)).cast("int")
+
+    out = rows.filter("label <> main").select("key", dealt("node", "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("past"), "main", "node", "label", "set")
+    past = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), dealt("node", "slices").alias("slice"), F.lit(1).alias("past"), "main", "node", "label", "set")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, root, own, block = None, {}, [], None
+        found: list[tuple[bytes, bytes]] = []
+
+        def top(x: bytes) -> bytes:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = root[x]
+            return x
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "part", "slice", "past", "main", "node", "label")]
+            lists = batch.column("set")
+            for i, (key, part, slice_, is_past, main, node, label) in enumerate(zip(*columns)):
+                if group != (key, part, slice_):
+                    group, root, own, block, joined = (key, part, slice_), {}, [], None, 0
+                one = lists[i].values.to_numpy()
+                if not is_past:
+                    own.append((node, label, one))
+                    continue
+                if not own:
+                    continue
+                if block is None:
+                    block = _Held([x[2] for x in own], share)
+                mine = top(label)
+                for j in block.alike(one).tolist():
+                    other = top(own[j][1])
+                    if other != mine:
+                        found.append((min(node, own[j][0]), max(node, own[j][0])))
+                        root[max(mine, other)] = mine = min(mine, other)
+                        joined += 1
+                if 2 * joined > len(own):  # those that are of the main group by now have nothing to find in it
+                    home = top(main)
+                    own, block, joined = [x for x in own if top(x[1]) != home], None, 0
+            if found:
+                a, b = zip(*found)
+                found.clear()
+                yield pa.RecordBatch.from_arrays([binaries(list(a)), binaries(list(b))], names=["a", "b"])
+
+    order = out.unionByName(past).repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice", "past", F.col("label") == F.col("main"))
+    return written(mapped(order, task, "a binary, b binary").distinct(), "links")
+
+
 def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, bands: int = 20, rows: int = 5, share: tuple[int, int] = (4, 5), small: int = 500_000) -> DataFrame:
     """doc_id, row, fp, label, component_id: the smallest doc_id that can be reached over pairs of Jaccard similarity 4/5 or more.
 
@@ -399,8 +487,9 @@ def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, ban
     The similarity is that of the sets of shingles, and every link is checked on the sets themselves. Pairs meet if the min-hashes
     of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. SimHash orders what has met; the radius is seven deviations above
     the mean distance at 0.8. Each text's closest pair is checked first, then of the others those whose ends the links so far
-    haven't joined, as the rest could join nothing new. Sets, of 32-bit hashes, are made for texts in pairs alone, from a second
-    look at the documents that stand for them.
+    haven't joined, as the rest could join nothing new. In keys of more than FEW texts, what then is outside the largest group is
+    checked against all texts of the key (`across`), so no link that could join groups is left out. Sets, of 32-bit hashes, are made
+    for texts in pairs and in such keys alone, from a second look at the documents that stand for them.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +512,9 @@ def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, ban
     distinct = written(distinct, "nodes")
     keyed = distinct.select(F.explode("keys").alias("key"), "node")
     pairs = written(candidates(keyed, words, radius), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(distinct.select("node", "of"), "node")
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("key")
+    crowd = written(keyed.join(_small(written(large, "large-keys"), small), "key"), "crowd")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct().join(distinct.select("node", "of"), "node")
     ends = written(ends.select("node", F.col("of.doc_id").alias("i"), F.col("of.row").alias("r")), "ends")
     texts = plain.join(_small(ends, small), plain.doc_id.eqNullSafe(ends.i) & (plain.row == ends.r)).select("node", "text")
     sets = written(mapped(texts, shingles, "node binary, set array<int>").dropDuplicates(["node"]), "sets")
@@ -438,6 +529,9 @@ def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, ban
     labels = so_far
     if not far.isEmpty():
         labels = components(near.union(far), "node", "label")
+    more = across(crowd, labels, sets, share)
+    if not more.isEmpty():
+        labels = components(near.union(far).union(more), "node", "label")
     of = distinct.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of = written(of, "labels")
     smallest = of.groupBy("label").agg(F.min("least").alias("component_id"))
