@@ -147,7 +147,9 @@ def test_lines_and_tokens_are_those_of_split():
         for line in own:
             assert lines.n[at] == len(line.split()) and lines.raw[lines.starts[at] : lines.ends[at]] == line
             at += 1
-    assert lines.words_of(2)[0] == templates.Lines([b"q a"]).words_of(0)[1] and len(lines.words_of(2)) == 6
+    own = lines.words_of(2)
+    assert lines.word[own][0] == templates.Lines([b"q a"]).word[1] and own.stop - own.start == 6
+    assert len(np.unique(templates.Lines([b" ".join(b"w" * n + t for n in range(0, 90, 3) for t in (b"a", b"b"))]).word)) == 60
 
 
 def test_empty(spark):

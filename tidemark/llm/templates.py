@@ -43,9 +43,9 @@ from .common import free, mapped, sliced, texts_of, written
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 LONG, STRETCHES = 8, 8
+BATCH = 1 << 20  # bytes of text whose arrays, some fifty times as large, are in memory at once
 FIELD = np.uint64(0x2A3C2A3E)
 SPACE, DIGIT, LETTER = (np.array([f(b) for b in range(256)]) for f in (lambda b: b == 32 or 9 <= b <= 13, lambda b: 48 <= b <= 57, lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128))
-_BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, np.uint64)
 
 
 @dataclass(frozen=True)
@@ -80,9 +80,24 @@ def key_need(column: str, min_docs: int) -> str:
     return f"shiftleft({min_docs}L, CAST({column} & 3 AS INT))"
 
 
-@cache
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, MIX[0], np.uint64))))
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_numbers(raw: bytes, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each token, made of its bytes eight at a time; the few tokens of over 64 bytes by XXH64."""
+    from xxhash import xxh64_intdigest
+
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    h = np.ascontiguousarray(eights[begin]).view("<u8").ravel() & _LOW[np.minimum(size, 8)]
+    h = mixed(h + size.astype(np.uint64) * MIX[0])
+    for at in range(8, 64, 8):
+        more = np.flatnonzero(size > at)
+        if not len(more):
+            break
+        h[more] = mixed(h[more] * MIX[0] + (np.ascontiguousarray(eights[begin[more] + at]).view("<u8").ravel() & _LOW[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > 64):
+        h[i] = xxh64_intdigest(raw[begin[i] : begin[i] + size[i]])
+    return h
 
 
 class Lines:
@@ -97,32 +112,35 @@ class Lines:
         at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
         self.first_line = np.concatenate((np.searchsorted(self.starts, at[:-1]), [len(self.starts)]))
         self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first_line))
-        inside = ~SPACE[data]
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = stop - begin
-        own = data[inside]
-        first = np.cumsum(size) - size
-        if len(own):
-            offset = np.arange(len(own)) - np.repeat(first, size)
-            word = np.add.reduceat(_BYTES[own] * _powers(1 << int(size.max()).bit_length())[offset], first)
-            has_digit, self.letter = (np.logical_or.reduceat(kind[own], first) for kind in (DIGIT, LETTER))
-        else:
-            word, has_digit, self.letter = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
-        self.word = mixed(word + size.astype(np.uint64))
-        self.letter = self.letter & ~has_digit
-        line = np.searchsorted(self.starts, begin, "right") - 1
-        self.n = np.bincount(line, minlength=len(self.starts))
+        inside = np.concatenate(([False], ~SPACE[data], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, stop = edges[::2], edges[1::2]
+        has_digit, letters = np.zeros(len(begin), bool), np.concatenate((np.zeros(1, np.int32), np.cumsum(LETTER[data], dtype=np.int32)))
+        has_digit[np.searchsorted(begin, np.flatnonzero(DIGIT[data]), "right") - 1] = True
+        self.letter = (letters[stop] > letters[begin]) & ~has_digit
+        self.word = word_numbers(raw, data, begin, stop - begin)
+        self.n = np.diff(np.searchsorted(begin, self.starts), append=len(begin))
         self.first = np.cumsum(self.n) - self.n
+        line = np.repeat(np.arange(len(self.n)), self.n)
         place = (np.arange(len(begin)) - self.first[line]).astype(np.uint64)
         count = self.n[line].astype(np.uint64)
         self.number = mixed(np.where(has_digit, FIELD, self.word) + place * MIX[0] + count * MIX[1])
         self.field = has_digit
         self.long = np.flatnonzero(self.n >= LONG)
 
-    def words_of(self, i: int) -> np.ndarray:
+    def words_of(self, i: int) -> slice:
+        """The tokens of a text."""
         a, b = self.first_line[i], self.first_line[i + 1]
-        return self.word[self.first[a] : self.first[b - 1] + self.n[b - 1]] if b > a else self.word[:0]
+        return slice(self.first[a], self.first[b - 1] + self.n[b - 1])
+
+    def bands(self, s: Settings) -> list[np.ndarray]:
+        """`band_keys` of each text; shingles are hashed for all texts at once."""
+        many = shingles(self.word, s.shingle)
+        out = []
+        for own in map(self.words_of, range(self.n_texts)):
+            n = own.stop - own.start
+            out.append(band_keys(many[own.start : own.stop - s.shingle + 1] if n >= s.shingle else shingles(self.word[own], max(n, 1)), s))
+        return out
 
     def _keys(self, sums: np.ndarray, which: int, rare: int) -> np.ndarray:
         return mixed(sums + np.array([which + 1], np.uint64) * MIX[2]) & ~np.uint64(3) | np.uint64(rare)
@@ -164,17 +182,18 @@ class Lines:
         return np.stack(keys, 1), np.stack(good, 1)
 
 
-def band_keys(codes: np.ndarray, s: Settings) -> np.ndarray:
-    """One number for each band of the least shingle hashes of `bands` x `rows` bins; bins without a shingle take the next one's."""
-    if not len(codes):
-        return np.zeros(0, np.int64)
-    width = min(s.shingle, len(codes))
-    h = np.zeros(len(codes) - width + 1, np.uint64)
+def shingles(codes: np.ndarray, width: int) -> np.ndarray:
+    h = np.zeros(max(0, len(codes) - width + 1), np.uint64)
     for k in range(width):
         h = h * MIX[0] + codes[k : k + len(h)]
-    h = (h ^ (h >> np.uint64(31))) * MIX[1]
-    h ^= h >> np.uint64(29)
-    h.sort()
+    return mixed(h)
+
+
+def band_keys(h: np.ndarray, s: Settings) -> np.ndarray:
+    """One number for each band of the least shingle hashes of `bands` x `rows` bins; bins without a shingle take the next one's."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    h = np.sort(h)
     border, odd, each = _bins(s.bands, s.rows)
     at = np.searchsorted(h, border)
     full = np.flatnonzero(at[1:] > at[:-1])
@@ -216,9 +235,9 @@ def document_branches(docs: DataFrame, s: Settings) -> DataFrame:
     """node (hash of the text), bands, keys, quarters: what tells a text's copies, the leaves of its short lines, the branches of others."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=BATCH):
             lines = Lines(texts_of(batch))
-            bands = [band_keys(lines.words_of(i), s) for i in range(lines.n_texts)]
+            bands = lines.bands(s)
             each = _lists(np.repeat(np.arange(lines.n_texts), [len(b) for b in bands]), np.concatenate([np.zeros(0, np.int64), *bands]).view(np.uint64), lines.n_texts)
             yield pa.RecordBatch.from_arrays([batch.column("node"), each, _flat(lines, [x[:2] for x in lines.short_leaves()]), _flat(lines, [(lines.long, lines.quarters())])], names=["node", "bands", "keys", "quarters"])
 
@@ -269,7 +288,7 @@ def document_leaves(docs: DataFrame, branches: Kept) -> DataFrame:
     known, name, node = branches.reader(), branches.name, "node"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=BATCH):
             lines = Lines(texts_of(batch))
             go_on = lines.long[known(batch, lines.quarters(), lines.text_of[lines.long]).any(1)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), _flat(lines, [(go_on, lines.long_leaves(go_on)[0])])], names=["node", "keys"])
@@ -317,7 +336,7 @@ def dedup_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     has_branch, is_template = branches.reader(), leaves.reader()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=BATCH):
             lines = Lines(texts_of(batch))
             gone = np.zeros(len(lines.starts), bool)
             for own, keys, good in lines.short_leaves():
