@@ -27,16 +27,16 @@ from .streaming.runners import STATE_STORE, start
 def main(landing: str, station_list: str, out: str, ais: str | None = None, buoys: str | None = None) -> None:
     config = Config.from_env()
     spark = SparkSession.builder.appName(config.progress_id()).config("spark.sql.session.timeZone", "UTC").config(*STATE_STORE).getOrCreate()
-    lines = files.lines_stream(spark, landing, os.environ.get("FILE_GLOB") or None, int(os.environ.get("MAX_FILES_PER_POLL") or 100))
+    lines = files.lines_stream(spark, landing, config.file_glob or None, int(os.environ.get("MAX_FILES_PER_POLL") or 100))
     # files of a micro-batch in order of their names, and a file's records in theirs
     obs = weather.observations(weather.envelopes(lines)).withColumn("arrival_seq", F.struct("source_path", "record_number"))
     listed = files.lines(spark, station_list)
     stations.metadata(listed).write.mode("overwrite").parquet(f"{out}/{config.progress_id()}/station_metadata/batch_id=0")
     trigger = {"availableNow": True} if boolean(os.environ.get("RUN_ONCE") or "true") else {"processingTime": f"{os.environ.get('POLL_SECONDS') or 86400} seconds"}
-    days = os.environ.get("MARINE_DAYS")
+    days = config.marine_days
     between = tuple(date.fromisoformat(d) for d in days.split(":")) if days else None
-    if os.environ.get("BUOY_STATIONS") and ais and buoys:
-        at = station_places(spark, os.environ["BUOY_STATIONS"])
+    if config.buoy_stations and ais and buoys:
+        at = station_places(spark, config.buoy_stations)
         feeds = (positions_stream(spark, ais, days=between), buoys_stream(spark, buoys, at, between))
         return run(start(obs, stations.regions(listed), out, config, *feeds, trigger=trigger))
     marine = [spark.readStream.schema(s).parquet(p) for s, p in ((AIS_POSITION, ais), (BUOY_OBSERVATION, buoys)) if p]

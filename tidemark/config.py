@@ -17,11 +17,11 @@ SHAPES = {
     "rain-duration": ("rain_duration_year",),
     "frost-days": ("frost_count_year",),
     "temperature-ranking": ("temperature_ranking_year",),
-    "blizzard": ("blizzard_year", "blizzard_window_hours", "blizzard_advance_hours", "blizzard_grace_minutes", "blizzard_freezing_threshold_c", "blizzard_wind_threshold_mps"),
-    "rapid-temperature-change": ("rapid_change_year", "rapid_change_window_hours", "rapid_change_grace_minutes"),
-    "tourism-weather-quality": ("tourism_quality_year", "tourism_quality_window_hours", "tourism_quality_grace_minutes"),
-    "temperature-forecast": ("forecast_window_days", "forecast_advance_days", "forecast_grace_minutes"),
-    "maritime-routing": ("maritime_routing_year", "maritime_routing_join_window_minutes"),
+    "blizzard": ("blizzard_year", "blizzard_window_hours", "blizzard_advance_hours", "blizzard_grace_minutes", "blizzard_freezing_threshold_c", "blizzard_wind_threshold_mps", "grace_by_record"),
+    "rapid-temperature-change": ("rapid_change_year", "rapid_change_window_hours", "rapid_change_grace_minutes", "grace_by_record"),
+    "tourism-weather-quality": ("tourism_quality_year", "tourism_quality_window_hours", "tourism_quality_grace_minutes", "grace_by_record"),
+    "temperature-forecast": ("forecast_window_days", "forecast_advance_days", "forecast_grace_minutes", "grace_by_record"),
+    "maritime-routing": ("maritime_routing_year", "maritime_routing_join_window_minutes", "wave_weight", "buoy_stations", "marine_days"),
     "wet-dry-period": ("wet_dry_period_year",),
     "weather-regimes": ("weather_regime_year", "weather_regime_cluster_count", "weather_regime_horizon"),
 }
@@ -78,6 +78,10 @@ class Config:
     maritime_routing_year: int = 2025
     maritime_routing_join_window_minutes: int = 30
     wave_weight: float = 22.0
+    buoy_stations: str = ""
+    marine_days: str = ""
+    file_glob: str = ""
+    grace_by_record: bool = False
     dashboard_sink_enabled: bool = True
 
     @staticmethod
@@ -104,14 +108,17 @@ class Config:
         return self.stream_pattern != ("maritime-routing",)
 
     def shape(self, analysis: str) -> str:
-        return "-".join([analysis, *[f"{name}{getattr(self, name):g}" for name in SHAPES.get(analysis, ())]])
+        """The settings that matter; texts and switches that aren't set say nothing."""
+        values = [(name, getattr(self, name)) for name in SHAPES.get(analysis, ())]
+        return "-".join([analysis, *[f"{name}{v if isinstance(v, str) else format(v, 'g')}" for name, v in values if v != "" and v is not False]])
 
     def progress_id(self) -> str:
         """Names the checkpoint folder: the same for equal inputs, analyses and settings that matter, in any order."""
         if self.application_id:
             return self.application_id
         names = sorted(self.stream_pattern)
-        state = _short_hash("-".join([*sorted(self.input_topics), *[self.shape(n) for n in names]]))
+        read = [f"file_glob{self.file_glob}"] * bool(self.file_glob and self.needs_stations)
+        state = _short_hash("-".join([*sorted(self.input_topics), *read, *[self.shape(n) for n in names]]))
         full = safe_id(f"{self.application_id_prefix}-{'-'.join(names)}-{state}")
         return full if len(full) <= LONGEST_ID else safe_id(f"{self.application_id_prefix}-{_short_hash('-'.join(names))}-{state}")
 

@@ -42,6 +42,11 @@ def spells(df: DataFrame, key: str, order: str, ts: str, is_on: Column, chunk: i
     return inner.unionByName(joined)
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """`df` with a number that ascends as `order` does, by one range sort; the numbers of a range lie in one stretch of 2^33."""
+    return df.orderBy(order).withColumn(name, F.monotonically_increasing_id())
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is last by `order`; aggregated by task before it is shuffled."""
     rest = [c for c in df.columns if c not in keys]

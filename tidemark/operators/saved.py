@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def files(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Hadoop's file system of `path`, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, at = files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def moved_in(spark: SparkSession, made: str, done: str) -> None:
+    """A folder that was made elsewhere gets its place in one step."""
+    fs, to = files(spark, done)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(files(spark, made)[1], to):
+        raise OSError(f"can't move {made} to {done}")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

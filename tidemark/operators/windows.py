@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def hopping_from_panes(panes: DataFrame, pane: str, size_s: int, slide_s: int, f
     )
 
 
-def running_max(df: DataFrame, value: str, order: str, chunk: int = 1 << 16) -> DataFrame:
-    """`df` with stream_time: the greatest `value` up to and including each row, over all rows in `order` (a number).
+def running_max(df: DataFrame, value: str, order: str, chunk: int = 1 << 16, since: datetime | None = None) -> DataFrame:
+    """`df` with stream_time: the greatest `value` up to and including each row, over all rows in `order` (a number), and `since`.
 
     In two levels: the greatest of each chunk of the order and of all chunks before it, one row per chunk; then inside each chunk.
     So no task holds more than a chunk.
@@ -41,10 +43,10 @@ def running_max(df: DataFrame, value: str, order: str, chunk: int = 1 << 16) ->
     before = tops.select("_c", F.max("_m").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
     inside = F.max(value).over(Window.partitionBy("_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     joined = chunks.withColumn("_i", inside).join(before, "_c")
-    return joined.withColumn("stream_time", F.greatest("_i", "_b")).drop("_c", "_i", "_b")
+    return joined.withColumn("stream_time", F.greatest("_i", "_b", *[F.lit(since)] * (since is not None))).drop("_c", "_i", "_b")
 
 
-def first_open_window(df: DataFrame, ts: str, order: str, pane: str, size_s: int, slide_s: int, grace_s: int, chunk: int = 1 << 16) -> DataFrame:
+def first_open_window(df: DataFrame, ts: str, order: str, pane: str, size_s: int, slide_s: int, grace_s: int, chunk: int = 1 << 16, since: datetime | None = None) -> DataFrame:
     """`df` with _open: the start, in seconds, of the first hopping window of each row's pane that was open when the row arrived.
 
     Windows that ended a grace or more before the stream time are closed; a row with no other goes. Rows in time, which are
@@ -52,14 +54,14 @@ def first_open_window(df: DataFrame, ts: str, order: str, pane: str, size_s: int
     """
     earliest = F.unix_seconds(pane) - (size_s - slide_s)
     closed = F.floor((F.unix_micros("stream_time") - (earliest + (size_s + grace_s)) * 1_000_000) / (slide_s * 1_000_000)) + 1
-    rows = running_max(df, ts, order, chunk).withColumn("_open", earliest + F.greatest(F.lit(0), closed) * slide_s)
+    rows = running_max(df, ts, order, chunk, since).withColumn("_open", earliest + F.greatest(F.lit(0), closed) * slide_s)
     return rows.filter(F.col("_open") <= F.unix_seconds(pane)).drop("stream_time")
 
 
-def drop_late(df: DataFrame, ts: str, order: str, window_end: str = "window_end", grace: str = "10 minutes", chunk: int = 1 << 16) -> DataFrame:
+def drop_late(df: DataFrame, ts: str, order: str, window_end: str = "window_end", grace: str = "10 minutes", chunk: int = 1 << 16, since: datetime | None = None) -> DataFrame:
     """Rows, one for each row and window, whose window was open when they arrived: window_end + grace > stream time.
 
     Stream time is the greatest time that has arrived, among the rows that are given.
     """
     open_ = F.col(window_end) + F.expr(f"INTERVAL {grace}") > F.col("stream_time")
-    return running_max(df, ts, order, chunk).filter(open_).drop("stream_time")
+    return running_max(df, ts, order, chunk, since).filter(open_).drop("stream_time")

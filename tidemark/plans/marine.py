@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.quality import in_year
 from ..functions.scores import advice, delay_minutes, risk_class, route_risk
 from ..operators.interval_join import interval_join
+from ..operators.ordered import latest_per_key
 
 
 def recommend(pairs: DataFrame, within_minutes: int = 30, wave_weight: float = 22.0) -> DataFrame:
@@ -37,8 +38,14 @@ def route_pairs(positions: DataFrame, buoys: DataFrame, year: int | None = 2025,
     return recommend(interval_join(a, buoy_side(b), "sea_area_id", "observed_at", "buoy_observed_at", within_minutes * 60), within_minutes, wave_weight)
 
 
+#: What tells which of a vessel's recommendations for one time holds: the one of the latest reading, the greatest buoy id if they tie.
+READING = ["buoy_observed_at", "buoy_id"]
+
+
+def latest_routes(pairs: DataFrame) -> DataFrame:
+    """One recommendation for each vessel and time, with its reading's time and buoy."""
+    return latest_per_key(pairs, ["event_key"], READING)
+
+
 def routes(pairs: DataFrame) -> DataFrame:
-    """One recommendation for each vessel and time: that of the latest reading, of the greatest buoy id if readings tie."""
-    rest = [c for c in pairs.columns if c not in ("event_key", "buoy_id", "buoy_observed_at")]
-    last = pairs.groupBy("event_key").agg(F.max_by(F.struct(*rest), F.struct("buoy_observed_at", "buoy_id")).alias("r"))
-    return last.select("event_key", "r.*")
+    return latest_routes(pairs).drop(*READING)

@@ -26,6 +26,21 @@ def _temperatures(obs: DataFrame, year: int | None, by: str) -> DataFrame:
     return obs.filter(named & usable_temperature() & in_year(by, year))
 
 
+def changing(obs: DataFrame, year: int | None) -> DataFrame:
+    """Readings with a temperature, of any quality."""
+    return obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull() & in_year("observed_at", year))
+
+
+def comfortable(obs: DataFrame, year: int | None) -> DataFrame:
+    """Readings whose three signals of comfort are all usable."""
+    return obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & usable_temperature() & usable_wind() & usable_clarity() & in_year("observation_date", year))
+
+
+def stormy(obs: DataFrame, year: int | None) -> DataFrame:
+    """Readings with any signal that tells of a blizzard."""
+    return obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & in_year("observed_at", year) & (usable_temperature() | usable_wind() | wet()))
+
+
 def daily_average(obs: DataFrame) -> DataFrame:
     """Mean temperature of each station and day, over all years."""
     days = _temperatures(obs, None, "observation_date").groupBy("station_id", F.col("observation_date").alias("observation_day"))
@@ -46,7 +61,7 @@ def rapid_change(obs: DataFrame, year: int | None = 2025, window_hours: int = 24
     Readings of any quality count. A window's first reading has no predecessor; a window without rates has zeros.
     With `late`, readings that came after their window had closed are dropped; `chunk` is how much of arrival_seq a task takes then.
     """
-    rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull() & in_year("observed_at", year))
+    rows = changing(obs, year)
     rows = tumbling(rows.select("station_id", "observed_at", "temperature_celsius", "arrival_seq"), "observed_at", f"{window_hours} hours")
     if late:
         rows = drop_late(rows, "observed_at", "arrival_seq", grace=f"{grace_minutes} minutes", chunk=chunk)
@@ -64,7 +79,7 @@ def comfort(obs: DataFrame, regions: DataFrame, year: int | None = 2025, window_
 
     `late` as in `rapid_change`.
     """
-    rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & usable_temperature() & usable_wind() & usable_clarity() & in_year("observation_date", year))
+    rows = comfortable(obs, year)
     if late:
         rows = drop_late(tumbling(rows, "observed_at", f"{window_hours} hours"), "observed_at", "arrival_seq", grace=f"{grace_minutes} minutes", chunk=chunk)
     rows = rows.select("station_id", "observed_at", "temperature_celsius", "wind_speed_mps", "sky_clarity_score")
@@ -127,7 +142,7 @@ def forecast(obs: DataFrame, window_days: int = 30, slide_days: int = 1, ahead_s
     Sums are made by pane of one slide and added up over the panes of a window. Readings of any quality count.
     With `late`, a reading counts only in those of its windows that were open when it came.
     """
-    rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull())
+    rows = changing(obs, None)
     rows = rows.withColumn("pane", F.window("observed_at", f"{slide_days} days")["start"])
     if late:
         rows = first_open_window(rows, "observed_at", "arrival_seq", "pane", window_days * DAY, slide_days * DAY, 60 * grace_minutes, chunk)
@@ -156,7 +171,7 @@ def blizzards(obs: DataFrame, year: int | None = 2025, window_hours: int = 24, s
     With `late`, a reading counts only in those of its windows that were open when it came.
     """
     temperature, wind = usable_temperature(), usable_wind()
-    rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & in_year("observed_at", year) & (temperature | wind | wet()))
+    rows = stormy(obs, year)
     rows = rows.withColumn("pane", F.window("observed_at", f"{slide_hours} hours")["start"])
     if late:
         rows = first_open_window(rows, "observed_at", "arrival_seq", "pane", window_hours * HOUR, slide_hours * HOUR, 60 * grace_minutes, chunk)

@@ -1,26 +1,32 @@
 """The analyses over streams of observations, and all selected ones together.
 
 Filters, windows and aggregates run as they are. Windowed ones get a watermark, which drops what comes later than the grace after
-the stream's greatest time; Spark moves it between micro-batches, so it drops less than `operators.windows.drop_late` does.
+the stream's greatest time; Spark moves it between micro-batches, so it drops less than `operators.windows.drop_late` does. With
+`grace_by_record`, lateness is told record by record by a query of its own before (`stream_time.InTime`), as in batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import Config
 from ..functions.quality import in_year, usable_temperature, usable_wind, wet
-from ..operators.ordered import top_k
 from ..operators.regimes import MicroClusters
+from ..operators.windows import drop_late, first_open_window, tumbling
 from ..plans import marine, weather
 from ..schemas import KEYS
+from .panes import hopping_stream, joined
 from .processors import rapid_change_stream, wet_periods_stream
+from .ranking import ranking_stream
 from .sinks import CounterTable, UpsertTable
+from .stream_time import InTime, Keep
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -33,64 +39,94 @@ def comfort_stream(obs: DataFrame, regions: DataFrame, c: Config) -> DataFrame:
     return weather.comfort(graced(obs, "observed_at", c.tourism_quality_grace_minutes), regions, c.tourism_quality_year, c.tourism_quality_window_hours)
 
 
+#: What a pane of an hour keeps for blizzards, and one of a day for forecasts.
+EVIDENCE = [("sample_count", "long", "sum"), ("freezing", "long", "sum"), ("strong_wind", "long", "sum"), ("precipitation", "long", "sum"), ("low", "double", "min"), ("wind", "double", "max")]
+TREND = [("n", "long", "sum"), ("sx", "double", "sum"), ("sy", "double", "sum"), ("sxy", "double", "sum"), ("sxx", "double", "sum"), ("last_us", "long", "max")]
+
+
+def blizzard_figures(panes: list[tuple[int, list]]) -> tuple | None:
+    all_ = reduce(lambda a, b: joined(EVIDENCE, a, b), [values for _, values in panes])
+    return (*all_[:4], all_[4] or 0.0, all_[5] or 0.0) if min(all_[1:4]) > 0 else None
+
+
+def trend_figures(panes: list[tuple[int, list]]) -> tuple:
+    """As `operators.regression.trends`: seconds are counted from the first pane, so that no digits are lost."""
+    origin, n, sx, sy, sxy, sxx, last = panes[0][0], 0, 0.0, 0.0, 0.0, 0.0, 0
+    for pane, (m, x, y, xy, xx, us) in panes:
+        o = (pane - origin) / 1e6
+        n, sx, sy, sxy, sxx, last = n + m, sx + x + m * o, sy + y, sxy + xy + o * y, sxx + xx + 2 * o * x + m * o * o, max(last, us)
+    spread = n * sxx - sx * sx
+    slope = (n * sxy - sx * sy) / spread if n > 1 and spread else 0.0
+    return slope, sy / n, sy / n + slope * ((last - origin) / 1e6 - sx / n + weather.DAY), n
+
+
 def blizzards_stream(obs: DataFrame, c: Config) -> DataFrame:
-    """In one aggregation, as a second one could only run in append mode: rows are dealt to their windows instead of panes."""
+    """By panes of an advance, see `panes`. Needs the RocksDB state store."""
     t, w = usable_temperature(), usable_wind()
-    rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & in_year("observed_at", c.blizzard_year) & (t | w | wet()))
-    held = F.window("observed_at", f"{c.blizzard_window_hours} hours", f"{c.blizzard_advance_hours} hours")
-    events = graced(rows, "observed_at", c.blizzard_grace_minutes).groupBy("station_id", held.alias("w")).agg(
-        F.count("*").alias("sample_count"), F.count_if(t & (F.col("temperature_celsius") <= c.blizzard_freezing_threshold_c)).alias("freezing_observation_count"),
-        F.count_if(w & (F.col("wind_speed_mps") >= c.blizzard_wind_threshold_mps)).alias("strong_wind_observation_count"), F.count_if(wet()).alias("precipitation_observation_count"),
-        F.coalesce(F.min(F.when(t, F.col("temperature_celsius"))), F.lit(0.0)).alias("min_temperature_celsius"), F.coalesce(F.max(F.when(w, F.col("wind_speed_mps"))), F.lit(0.0)).alias("max_wind_speed_mps"),
-    )
-    seen = events.filter("freezing_observation_count > 0 AND strong_wind_observation_count > 0 AND precipitation_observation_count > 0")
-    return seen.select("station_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *events.columns[2:])
+    columns = {
+        "sample_count": F.lit(1).cast("long"), "freezing": (t & (F.col("temperature_celsius") <= c.blizzard_freezing_threshold_c)).cast("long"),
+        "strong_wind": (w & (F.col("wind_speed_mps") >= c.blizzard_wind_threshold_mps)).cast("long"), "precipitation": wet().cast("long"),
+        "low": F.when(t, F.col("temperature_celsius")), "wind": F.when(w, F.col("wind_speed_mps")),
+    }
+    columns = {k: F.coalesce(v, F.lit(0).cast("long")) if k in ("freezing", "strong_wind") else v for k, v in columns.items()}
+    told = "sample_count long, freezing_observation_count long, strong_wind_observation_count long, precipitation_observation_count long, min_temperature_celsius double, max_wind_speed_mps double"
+    return hopping_stream(weather.stormy(obs, c.blizzard_year), "station_id", "observed_at", columns, EVIDENCE, c.blizzard_window_hours * weather.HOUR, c.blizzard_advance_hours * weather.HOUR, 60 * c.blizzard_grace_minutes, blizzard_figures, told)
 
 
 def forecast_stream(obs: DataFrame, c: Config) -> DataFrame:
-    """Slope and means by Spark's own aggregates, in one aggregation."""
-    rows = obs.filter(F.col("station_id").isNotNull() & F.col("observed_at").isNotNull() & F.col("temperature_celsius").isNotNull())
-    x = F.unix_micros("observed_at") / 1e6
-    held = F.window("observed_at", f"{c.forecast_window_days} days", f"{c.forecast_advance_days} days")
-    fitted = graced(rows, "observed_at", c.forecast_grace_minutes).groupBy("station_id", held.alias("w")).agg(
-        F.coalesce(F.regr_slope("temperature_celsius", x), F.lit(0.0)).alias("slope_per_second"), F.avg("temperature_celsius").alias("current_average"),
-        F.avg(x).alias("_x"), F.max(x).alias("_last"), F.count("*").alias("observation_count"),
-    )
-    ahead = F.col("current_average") + F.col("slope_per_second") * (F.col("_last") - F.col("_x") + weather.DAY)
-    return fitted.select("station_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "slope_per_second", "current_average", ahead.alias("forecast_next_24h"), "observation_count")
-
-
-def peaks_stream(obs: DataFrame, year: int) -> DataFrame:
-    """Each station's extremes so far; the ranking is made of these in each micro-batch."""
-    named = F.col("station_id").isNotNull() & F.col("observation_date").isNotNull() & F.col("observed_at").isNotNull()
-    return obs.filter(named & usable_temperature() & in_year("observed_at", year)).groupBy("station_id").agg(
-        F.avg("temperature_celsius").alias("avg_temperature_celsius"), F.count("*").alias("sample_count"),
-        F.min("temperature_celsius").alias("min_temperature_celsius"), F.max("temperature_celsius").alias("max_temperature_celsius"),
-    )
-
-
-def rank_batch(peaks: DataFrame, year: int, k: int = 10) -> DataFrame:
-    start, end = (F.lit(f"{y}-01-01 00:00:00").cast("timestamp").alias(n) for y, n in ((year, "window_start"), (year + 1, "window_end")))
-    parts = []
-    for kind, peak, first in (("hot", "max_temperature_celsius", F.desc), ("cold", "min_temperature_celsius", F.asc)):
-        ranked = top_k(peaks, k, [first(peak), F.asc("station_id")])
-        parts.append(ranked.select(start, end, F.lit(kind).alias("ranking_type"), "rank_position", "station_id", F.col(peak).alias("peak_temperature_celsius"), *peaks.columns[1:]))
-    return parts[0].unionByName(parts[1])
+    """By panes of an advance, whose sums are those of `operators.regression.pane_sums`. Needs the RocksDB state store."""
+    us, slide = F.unix_micros("observed_at"), c.forecast_advance_days * weather.DAY
+    x, y = (us - F.floor(us / (slide * 1_000_000)) * (slide * 1_000_000)) / 1e6, F.col("temperature_celsius")
+    columns = {"n": F.lit(1).cast("long"), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "last_us": us}
+    told = "slope_per_second double, current_average double, forecast_next_24h double, observation_count long"
+    return hopping_stream(weather.changing(obs, None), "station_id", "observed_at", columns, TREND, c.forecast_window_days * weather.DAY, slide, 60 * c.forecast_grace_minutes, trend_figures, told)
+
+
+def lateness(c: Config) -> dict[str, tuple[Callable[[DataFrame], DataFrame], Keep]]:
+    """Of each analysis with a grace, the readings that it looks at, and what is in time of them."""
+
+    def tumbling_in_time(hours: int, minutes: int) -> Keep:
+        def keep(rows: DataFrame, order: str, since: datetime | None) -> DataFrame:
+            return drop_late(tumbling(rows, "observed_at", f"{hours} hours"), "observed_at", order, grace=f"{minutes} minutes", chunk=chunk_of(order), since=since).drop("window_start", "window_end")
+
+        return keep
+
+    def hopping_in_time(size: int, slide: int, minutes: int) -> Keep:
+        def keep(rows: DataFrame, order: str, since: datetime | None) -> DataFrame:
+            rows = rows.withColumn("pane", F.window("observed_at", f"{slide} seconds")["start"])
+            return first_open_window(rows, "observed_at", order, "pane", size, slide, 60 * minutes, chunk_of(order), since).drop("pane")
+
+        return keep
+
+    def chunk_of(order: str) -> int:
+        return 1 << 33 if order == "_order" else 1 << 16
+
+    return {
+        "blizzard": (lambda obs: weather.stormy(obs, c.blizzard_year), hopping_in_time(c.blizzard_window_hours * weather.HOUR, c.blizzard_advance_hours * weather.HOUR, c.blizzard_grace_minutes)),
+        "rapid-temperature-change": (lambda obs: weather.changing(obs, c.rapid_change_year), tumbling_in_time(c.rapid_change_window_hours, c.rapid_change_grace_minutes)),
+        "tourism-weather-quality": (lambda obs: weather.comfortable(obs, c.tourism_quality_year), tumbling_in_time(c.tourism_quality_window_hours, c.tourism_quality_grace_minutes)),
+        "temperature-forecast": (lambda obs: weather.changing(obs, None), hopping_in_time(c.forecast_window_days * weather.DAY, c.forecast_advance_days * weather.DAY, c.forecast_grace_minutes)),
+    }
 
 
 def routes_stream(positions: DataFrame, buoys: DataFrame, c: Config) -> DataFrame:
-    """Pairs as they come together; `UpsertTable` keeps one for each vessel and time. State is held for the interval alone."""
+    """Pairs as they come together; `UpsertTable` keeps one for each vessel and time, that of the latest reading. State is held for the
+    interval alone. Areas are few, so stretches of time are part of the key: a reading goes to each that its interval touches."""
     m = c.maritime_routing_join_window_minutes
-    a = positions.filter(in_year("observed_at", c.maritime_routing_year)).withWatermark("observed_at", "0 minutes").alias("a")
-    b = marine.buoy_side(buoys.filter(in_year("observed_at", c.maritime_routing_year))).withWatermark("buoy_observed_at", "0 minutes").alias("b")
-    near = F.expr(f"a.sea_area_id = b.sea_area_id AND b.buoy_observed_at BETWEEN a.observed_at - INTERVAL {m} MINUTES AND a.observed_at + INTERVAL {m} MINUTES")
-    return marine.recommend(a.join(b, near).drop(F.col("b.sea_area_id")), m, c.wave_weight)
+    stretch = lambda us: F.floor(us / (60_000_000 * max(1, 2 * m))).cast("long")
+    a = positions.filter(in_year("observed_at", c.maritime_routing_year)).withColumn("a_at", stretch(F.unix_micros("observed_at"))).withWatermark("observed_at", "0 minutes").alias("a")
+    b = marine.buoy_side(buoys.filter(in_year("observed_at", c.maritime_routing_year)))
+    us = F.unix_micros("buoy_observed_at")
+    b = b.withColumn("b_at", F.explode(F.sequence(stretch(us - m * 60_000_000), stretch(us + m * 60_000_000)))).withWatermark("buoy_observed_at", "0 minutes").alias("b")
+    near = F.expr(f"a.sea_area_id = b.sea_area_id AND a.a_at = b.b_at AND b.buoy_observed_at BETWEEN a.observed_at - INTERVAL {m} MINUTES AND a.observed_at + INTERVAL {m} MINUTES")
+    return marine.recommend(a.join(b, near).drop(F.col("b.sea_area_id"), F.col("a_at"), F.col("b_at")), m, c.wave_weight)
 
 
 def result_tables(out: str, c: Config) -> dict[str, UpsertTable]:
     """The result tables of a configuration. They lie beside its progress, under its own id, so that a run with other settings
     neither reads nor adds to what this one has written."""
-    return {name: UpsertTable(f"{out}/{c.progress_id()}/{name}", keys) for name, keys in KEYS.items()}
+    order = {"marine_route_recommendations": marine.READING}
+    return {name: UpsertTable(f"{out}/{c.progress_id()}/{name}", keys, order.get(name, [])) for name, keys in KEYS.items()}
 
 
 def counters(out: str, c: Config) -> CounterTable:
@@ -154,34 +190,60 @@ def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: Da
         target = tables[table]
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            if kind:
-                counts.write(kind, batch, batch_id)
-            if c.dashboard_sink_enabled:
-                target.write(change(batch), batch_id)
-            if publish:
-                publish(table, change(batch))
+            if not c.dashboard_sink_enabled and not publish:
+                if kind:
+                    counts.write(kind, batch, batch_id)
+                return
+            with counts.observed(kind, batch, batch_id) as rows:
+                rows = change(rows)
+                both = bool(c.dashboard_sink_enabled and publish)
+                rows = rows.persist() if both else rows  # a micro-batch is worked out once, stateful Python and all
+                if c.dashboard_sink_enabled:
+                    target.write(rows, batch_id)
+                if publish:
+                    publish(table, rows)
+                if both:
+                    rows.unpersist()
 
         return write
 
     def regimes(batch: DataFrame, batch_id: int) -> None:
-        counts.write("weather_regime_events", batch, batch_id)
-        if c.dashboard_sink_enabled or publish:
-            learned.write(batch, batch_id)
+        with counts.observed("weather_regime_events", batch, batch_id) as rows:
+            if c.dashboard_sink_enabled or publish:
+                learned.write(rows, batch_id)
+            else:
+                rows.write.format("noop").mode("overwrite").save()
         if publish:
             publish("weather_regimes", learned.read(batch.sparkSession, batch_id))
 
+    timed, first = lateness(c), []
+
+    def in_time(name: str) -> DataFrame:
+        """The readings of an analysis, those that come too late left out record by record where that is asked for."""
+        if not c.grace_by_record:
+            return obs
+        seen, keep = timed[name]
+        stage = InTime(f"{home}/in_time/{name}", "observed_at", "arrival_seq", keep)
+        rows = seen(obs).drop("raw_payload")
+        query = stage.sink(rows, f"{home}/progress/{name}-in-time").trigger(**trigger).queryName(f"{name}-in-time").start()
+        first.append(query)
+        if "availableNow" in trigger:  # what follows takes up what is there when it starts
+            query.awaitTermination()
+        columns = StructType([*rows.schema.fields, *[StructField("_open", LongType())] * (name in ("blizzard", "temperature-forecast"))])
+        return stage.stream(obs.sparkSession, columns)
+
     made: dict[str, Callable[[], tuple[DataFrame, str, Callable[[DataFrame, int], None]]]] = {
         "temperature": lambda: (weather.daily_average(obs), "update", upsert("daily_station_average")),
         "rain-duration": lambda: (weather.rain_duration(obs, c.rain_duration_year), "update", upsert("yearly_station_rain_duration")),
         "frost-days": lambda: (weather.frost_days(obs, c.frost_count_year), "update", upsert("monthly_station_frost_days")),
-        "temperature-ranking": lambda: (peaks_stream(obs, c.temperature_ranking_year), "complete", upsert("temperature_window_ranking", change=lambda b: rank_batch(b, c.temperature_ranking_year))),
-        "blizzard": lambda: (blizzards_stream(obs, c), "update", upsert("blizzard_events")),
-        "rapid-temperature-change": lambda: (rapid_change_stream(obs, c.rapid_change_year, c.rapid_change_window_hours, c.rapid_change_grace_minutes), "update", upsert("rapid_temperature_change")),
-        "tourism-weather-quality": lambda: (comfort_stream(obs, regions, c), "update", upsert("tourism_weather_quality")),
-        "temperature-forecast": lambda: (forecast_stream(obs, c), "update", upsert("temperature_forecast")),
+        "temperature-ranking": lambda: (ranking_stream(obs, c.temperature_ranking_year), "append", upsert("temperature_window_ranking")),
+        "blizzard": lambda: (blizzards_stream(in_time("blizzard"), c), "update", upsert("blizzard_events")),
+        "rapid-temperature-change": lambda: (rapid_change_stream(in_time("rapid-temperature-change"), c.rapid_change_year, c.rapid_change_window_hours, c.rapid_change_grace_minutes), "update", upsert("rapid_temperature_change")),
+        "tourism-weather-quality": lambda: (comfort_stream(in_time("tourism-weather-quality"), regions, c), "update", upsert("tourism_weather_quality")),
+        "temperature-forecast": lambda: (forecast_stream(in_time("temperature-forecast"), c), "update", upsert("temperature_forecast")),
         "wet-dry-period": lambda: (wet_periods_stream(obs, c.wet_dry_period_year), "append", upsert("wet_period_events", "wet_period_events")),
         "weather-regimes": lambda: (weather.station_days(obs, c.weather_regime_year), "update", regimes),
-        "maritime-routing": lambda: (routes_stream(positions, buoys, c), "append", upsert("marine_route_recommendations", "marine_route_recommendations", marine.routes)),
+        "maritime-routing": lambda: (routes_stream(positions, buoys, c), "append", upsert("marine_route_recommendations", "marine_route_recommendations", marine.latest_routes)),
     }
     chosen = [n for n in c.stream_pattern if n != "maritime-routing" or (positions is not None and buoys is not None)]
-    return [run(name, *made[name]()) for name in chosen]
+    return [run(name, *made[name]()) for name in chosen] + first
