@@ -133,7 +133,9 @@ def with_next(rows: DataFrame, rows_per_range: int = 2000) -> DataFrame:
     tops = {r["_range"]: tuple(r["top"]) for r in ranged(placed).groupBy("_range").agg(F.max(F.struct("_k", "_h")).alias("top")).collect()}
     order = sorted(tops)
     follows = [(*tops[order[i - 1]], b) for i, b in enumerate(order)]
-    copies = keyed.drop("_range").join(F.broadcast(rows.sparkSession.createDataFrame(follows, "_k long, _h long, _range int")), ["_k", "_h"])
+    ids = sorted({k for k, _, _ in follows})
+    there = (F.col("doc_id").isNull() if ids[0] == -(1 << 63) else F.lit(False)) | F.col("doc_id").isin(ids)  # goes down to the scan
+    copies = keyed.filter(there).drop("_range").join(F.broadcast(rows.sparkSession.createDataFrame(follows, "_k long, _h long, _range int")), ["_k", "_h"])
     copies = copies.dropDuplicates(["_k", "_h", "_range"]).withColumn("_copy", F.lit(1))
     both = keyed.withColumn("_copy", F.lit(0)).unionByName(copies)
     w = Window.partitionBy("_range").orderBy("_copy", F.desc("_k"), F.desc("_h"))
