@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import first_box
 from ..functions.text import first_timestamp, marine_number
-from . import files
+from . import feed_source, files
 
 TIMES = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")
 #: Names by which feeds call a column, the first that is there and not empty counts.
@@ -47,9 +48,17 @@ def _columns() -> dict[str, tuple[str, ...]]:
     return {names[0]: names for names in NAMES.values()}
 
 
-def read_positions(spark: SparkSession, path: str, glob: str = "*.csv*") -> DataFrame:
-    """Day files of positions, also as .csv.zst, which Spark's own CSV reader can't open."""
-    return positions(files.tables(spark, path, glob, _columns()))
+def read_positions(spark: SparkSession, path: str, glob: str = "*.csv*", days: tuple[date, date] | None = None, max_bytes: int = 0) -> DataFrame:
+    """Day files of positions, also as .csv.zst, which Spark's own CSV reader can't open.
+
+    With `days`, first and last, files whose names tell another day are never opened; `max_bytes` is how much of a file's text is read.
+    """
+    feed_source.register(spark)
+    reader = spark.read.format("feed").option("path", path).option("glob", glob).option("columns", json.dumps(_columns())).option("max_bytes", max_bytes)
+    rows = reader.schema(", ".join([*[f"`{c}` string" for c in _columns()], *["file_day date"] * bool(days)])).load()
+    if days:
+        rows = rows.filter(F.col("file_day").between(*[F.lit(str(d)).cast("date") for d in days]))
+    return _within(positions(rows), days)
 
 
 def positions_stream(spark: SparkSession, path: str, glob: str = "*.csv*", files_per_trigger: int = 10, days: tuple[date, date] | None = None) -> DataFrame:
