@@ -138,6 +138,13 @@ def late(table: str, where: str, start: str, size: str) -> str:
     return over(f"SELECT * FROM {table}", ctes)
 
 
+def corrected(table: str) -> str:
+    """A result table over readings of which every seventh is corrected by a later one of its station and time."""
+    both = "SELECT * FROM readings UNION ALL SELECT * REPLACE (temperature_celsius + 5.0 AS temperature_celsius, arrival_seq + 1000000000 AS arrival_seq) FROM readings WHERE arrival_seq % 7 = 0"
+    last = f"SELECT * FROM ({both}) QUALIFY row_number() OVER (PARTITION BY station_id, observed_at ORDER BY arrival_seq DESC) = 1"
+    return over(f"SELECT * FROM {table}", {"readings": CTES["obs"], "obs": last} | {k: v for k, v in CTES.items() if k != "obs"})
+
+
 _IN = f">= TIMESTAMP '{YEAR}-01-01' AND {{0}} < TIMESTAMP '{YEAR + 1}-01-01'"
 _WITHIN = f"window_start >= TIMESTAMP '{YEAR}-01-01' AND window_end <= TIMESTAMP '{YEAR + 1}-01-01'"
 _ENDS = f"window_end >= TIMESTAMP '{YEAR}-01-01' AND window_end <= TIMESTAMP '{YEAR + 1}-01-01'"

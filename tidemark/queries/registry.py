@@ -16,7 +16,7 @@ from ..plans.dashboards import PANELS
 from ..sources import marine as marine_feed
 from ..sources import stations as station_list
 from ..sources import weather as weather_feed
-from . import oracle
+from . import oracle, streams
 from .feeds import YEAR, Results, buoys, observations, positions, rounded, stations, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,16 @@ EXTRA: dict[str, Query] = {
         weather_records, message_fields, sea_areas, late_rapid_change, late_tourism_weather_quality, late_temperature_forecast, late_blizzard_events, nested_ranking, station_history, vessel_records, buoy_records, feed_timeline, regime_clusters,
     )
 }
+LATE_STREAMS = {"rapid-temperature-change": "late_rapid_change", "tourism-weather-quality": "late_tourism_weather_quality", "temperature-forecast": "late_temperature_forecast", "blizzard": "late_blizzard_events"}
+
+
+def _stream(query: Query) -> Query:
+    return lambda spark, sf_dir: plain(query(spark, sf_dir))
+
+
+EXTRA |= {f"streamed_{streams.STREAMED[a]}": _stream(streams.streamed(a)) for a in streams.STREAMED}
+EXTRA |= {f"streamed_{name}": _stream(streams.streamed_late(a, out_of_order)) for a, name in LATE_STREAMS.items()}
+EXTRA |= {f.__name__: _stream(f) for f in (streams.streamed_corrected_frost_days, streams.streamed_feed_timeline, streams.streamed_counts)}
 QUERIES: dict[str, Query] = {**{name: _table(name) for name in TABLES}, **{name: _panel(name) for name in PANELS}, **EXTRA}
 
 _I = "event_id"
@@ -197,4 +207,11 @@ EXTRA_SQL = {
         CASE WHEN event_id % 5 = 0 OR event_id % 360 = 99 THEN 0.0::DOUBLE ELSE CAST(event_id % 360 AS DOUBLE) END AS wind_direction_degrees FROM events WHERE event_id % 7 <> 0 AND event_id % 9 <> 0""",
     "feed_timeline": oracle.over("SELECT 'ais' AS kind, mmsi AS event_key, observed_at FROM ais UNION ALL SELECT 'buoy', buoy_id, buoy_observed_at FROM buoys"),
 }
+_OF = {f"streamed_{t}": (t, oracle.over(f"SELECT * FROM {t}")) for t in streams.STREAMED.values()} | {f"streamed_{n}": (streams.STREAMED[a], EXTRA_SQL[n]) for a, n in LATE_STREAMS.items()}
+EXTRA_SQL |= {name: f"SELECT {streams.COLUMNS.get(table, '*')} FROM ({sql})" for name, (table, sql) in _OF.items()}
+EXTRA_SQL |= {
+    "streamed_corrected_frost_days": oracle.corrected("monthly_station_frost_days"),
+    "streamed_feed_timeline": EXTRA_SQL["feed_timeline"],
+    "streamed_counts": oracle.over("SELECT * FROM stream_counts WHERE kind = 'wet_period_events'"),
+}
 ORACLE: dict[str, str] = {**{name: oracle.over(f"SELECT * FROM {name}") for name in TABLES}, **{name: oracle.over(sql) for name, sql in oracle.PANELS.items()}, **EXTRA_SQL}

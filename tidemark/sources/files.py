@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from . import feed_source
+
 LINES = "path string, file_name string, record_number long, line string"
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -76,6 +78,14 @@ def lines_stream(spark: SparkSession, path: str, glob: str | None = None, files_
     return _numbered(_binary(spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_trigger), path, glob), heading)
 
 
+def resumable_lines_stream(spark: SparkSession, path: str, progress: str, glob: str | None = None, batch_bytes: int = 1 << 30) -> DataFrame:
+    """The same by the feed source: a micro-batch takes about `batch_bytes` of text, may end inside a file and goes on there, and a file
+    that has changed is read again. `progress` is a folder for one query alone."""
+    feed_source.register(spark)
+    reader = spark.readStream.format("feed").option("path", path).option("progress", progress).option("batch_bytes", batch_bytes)
+    return (reader.option("glob", glob) if glob else reader).load().drop("file_day")
+
+
 def tables(spark: SparkSession, path: str, glob: str, columns: dict[str, tuple[str, ...]]) -> DataFrame:
     """Comma-separated files, compressed or not, each with a heading of its own: `columns` as strings.
 

@@ -82,25 +82,26 @@ def forecast_stream(obs: DataFrame, c: Config) -> DataFrame:
     return hopping_stream(weather.changing(obs, None), "station_id", "observed_at", columns, TREND, c.forecast_window_days * weather.DAY, slide, 60 * c.forecast_grace_minutes, trend_figures, told)
 
 
+#: Numbers of one range, as `operators.ordered.numbered` gives them.
+RANGE = 1 << 33
+
+
 def lateness(c: Config) -> dict[str, tuple[Callable[[DataFrame], DataFrame], Keep]]:
     """Of each analysis with a grace, the readings that it looks at, and what is in time of them."""
 
     def tumbling_in_time(hours: int, minutes: int) -> Keep:
         def keep(rows: DataFrame, order: str, since: datetime | None) -> DataFrame:
-            return drop_late(tumbling(rows, "observed_at", f"{hours} hours"), "observed_at", order, grace=f"{minutes} minutes", chunk=chunk_of(order), since=since).drop("window_start", "window_end")
+            return drop_late(tumbling(rows, "observed_at", f"{hours} hours"), "observed_at", order, grace=f"{minutes} minutes", chunk=RANGE, since=since).drop("window_start", "window_end")
 
         return keep
 
     def hopping_in_time(size: int, slide: int, minutes: int) -> Keep:
         def keep(rows: DataFrame, order: str, since: datetime | None) -> DataFrame:
             rows = rows.withColumn("pane", F.window("observed_at", f"{slide} seconds")["start"])
-            return first_open_window(rows, "observed_at", order, "pane", size, slide, 60 * minutes, chunk_of(order), since).drop("pane")
+            return first_open_window(rows, "observed_at", order, "pane", size, slide, 60 * minutes, RANGE, since).drop("pane")
 
         return keep
 
-    def chunk_of(order: str) -> int:
-        return 1 << 33 if order == "_order" else 1 << 16
-
     return {
         "blizzard": (lambda obs: weather.stormy(obs, c.blizzard_year), hopping_in_time(c.blizzard_window_hours * weather.HOUR, c.blizzard_advance_hours * weather.HOUR, c.blizzard_grace_minutes)),
         "rapid-temperature-change": (lambda obs: weather.changing(obs, c.rapid_change_year), tumbling_in_time(c.rapid_change_window_hours, c.rapid_change_grace_minutes)),
@@ -174,12 +175,14 @@ class LearnedRegimes:
         kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
 
-def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: DataFrame | None = None, buoys: DataFrame | None = None, trigger: dict | None = None, publish: Callable[[str, DataFrame], None] | None = None) -> list[StreamingQuery]:
+def start(obs: DataFrame | Callable[[str], DataFrame], regions: DataFrame, out: str, c: Config, positions: DataFrame | None = None, buoys: DataFrame | None = None, trigger: dict | None = None, publish: Callable[[str, DataFrame], None] | None = None) -> list[StreamingQuery]:
     """Start the selected analyses over streaming observations (with arrival_seq) and marine feeds; results go to `result_tables(out, c)`, and to `publish`, table by table and batch by batch, where that is given (`messages.publisher`).
 
-    Checkpoints and tables lie under the configuration's own id: with other settings, analyses start from the beginning.
+    Checkpoints and tables lie under the configuration's own id: with other settings, analyses start from the beginning. A source that
+    notes its own progress must not be shared: `obs` may be a function that makes the observations of the analysis it is given.
     """
-    obs.sparkSession.conf.set(*STATE_STORE)
+    feed = obs if callable(obs) else lambda name: obs
+    spark = regions.sparkSession
     home, tables, counts, trigger = f"{out}/{c.progress_id()}", result_tables(out, c), counters(out, c), trigger or {"availableNow": True}
     learned = LearnedRegimes(f"{home}/regime_model", tables["weather_regimes"], c.weather_regime_cluster_count, c.weather_regime_horizon)
 
@@ -221,29 +224,34 @@ def start(obs: DataFrame, regions: DataFrame, out: str, c: Config, positions: Da
     def in_time(name: str) -> DataFrame:
         """The readings of an analysis, those that come too late left out record by record where that is asked for."""
         if not c.grace_by_record:
-            return obs
+            return feed(name)
         seen, keep = timed[name]
         stage = InTime(f"{home}/in_time/{name}", "observed_at", "arrival_seq", keep)
-        rows = seen(obs).drop("raw_payload")
+        rows = seen(feed(f"{name}-in-time")).drop("raw_payload")
         query = stage.sink(rows, f"{home}/progress/{name}-in-time").trigger(**trigger).queryName(f"{name}-in-time").start()
         first.append(query)
         if "availableNow" in trigger:  # what follows takes up what is there when it starts
             query.awaitTermination()
         columns = StructType([*rows.schema.fields, *[StructField("_open", LongType())] * (name in ("blizzard", "temperature-forecast"))])
-        return stage.stream(obs.sparkSession, columns)
+        return stage.stream(spark, columns)
 
     made: dict[str, Callable[[], tuple[DataFrame, str, Callable[[DataFrame, int], None]]]] = {
-        "temperature": lambda: (weather.daily_average(obs), "update", upsert("daily_station_average")),
-        "rain-duration": lambda: (weather.rain_duration(obs, c.rain_duration_year), "update", upsert("yearly_station_rain_duration")),
-        "frost-days": lambda: (weather.frost_days(obs, c.frost_count_year), "update", upsert("monthly_station_frost_days")),
-        "temperature-ranking": lambda: (ranking_stream(obs, c.temperature_ranking_year), "append", upsert("temperature_window_ranking")),
+        "temperature": lambda: (weather.daily_average(feed("temperature")), "update", upsert("daily_station_average")),
+        "rain-duration": lambda: (weather.rain_duration(feed("rain-duration"), c.rain_duration_year), "update", upsert("yearly_station_rain_duration")),
+        "frost-days": lambda: (weather.frost_days(feed("frost-days"), c.frost_count_year), "update", upsert("monthly_station_frost_days")),
+        "temperature-ranking": lambda: (ranking_stream(feed("temperature-ranking"), c.temperature_ranking_year), "append", upsert("temperature_window_ranking")),
         "blizzard": lambda: (blizzards_stream(in_time("blizzard"), c), "update", upsert("blizzard_events")),
         "rapid-temperature-change": lambda: (rapid_change_stream(in_time("rapid-temperature-change"), c.rapid_change_year, c.rapid_change_window_hours, c.rapid_change_grace_minutes), "update", upsert("rapid_temperature_change")),
         "tourism-weather-quality": lambda: (comfort_stream(in_time("tourism-weather-quality"), regions, c), "update", upsert("tourism_weather_quality")),
         "temperature-forecast": lambda: (forecast_stream(in_time("temperature-forecast"), c), "update", upsert("temperature_forecast")),
-        "wet-dry-period": lambda: (wet_periods_stream(obs, c.wet_dry_period_year), "append", upsert("wet_period_events", "wet_period_events")),
-        "weather-regimes": lambda: (weather.station_days(obs, c.weather_regime_year), "update", regimes),
+        "wet-dry-period": lambda: (wet_periods_stream(feed("wet-dry-period"), c.wet_dry_period_year), "append", upsert("wet_period_events", "wet_period_events")),
+        "weather-regimes": lambda: (weather.station_days(feed("weather-regimes"), c.weather_regime_year), "update", regimes),
         "maritime-routing": lambda: (routes_stream(positions, buoys, c), "append", upsert("marine_route_recommendations", "marine_route_recommendations", marine.latest_routes)),
     }
     chosen = [n for n in c.stream_pattern if n != "maritime-routing" or (positions is not None and buoys is not None)]
-    return [run(name, *made[name]()) for name in chosen] + first
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)  # queries take it over when they start
+    try:
+        return [run(name, *made[name]()) for name in chosen] + first
+    finally:
+        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])

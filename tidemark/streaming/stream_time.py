@@ -14,11 +14,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import IntegralType, StructType
+from pyspark.sql.types import StructType
 
 from ..operators.ordered import numbered
 from ..operators.saved import files, listed, moved_in
 
+NUMBER = "_order"
 #: (rows, name of the order, stream time before the batch) -> the rows that are in time
 Keep = Callable[[DataFrame, str, datetime | None], DataFrame]
 
@@ -50,12 +51,8 @@ class InTime:
         since = self._before(spark, batch_id)
         batch = batch.persist()
         try:
-            rows, order = batch, self.order
-            if not isinstance(batch.schema[order].dataType, IntegralType):
-                order = "_order"
-                rows = numbered(batch, self.order, order)
-            kept = self.keep(rows, order, since)
-            kept.select(*[c for c in kept.columns if c != "_order"]).write.mode("overwrite").parquet(f"{self.path}/_made/{part}")
+            kept = self.keep(numbered(batch, self.order, NUMBER), NUMBER, since).drop(NUMBER)
+            kept.write.mode("overwrite").parquet(f"{self.path}/_made/{part}")
             newest = batch.agg(F.max(self.ts)).first()[0]
         finally:
             batch.unpersist()
