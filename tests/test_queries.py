@@ -61,6 +61,15 @@ def replayed_regimes(days, k=6, reach=2.0, least=0.05, horizon=10_000):
     points = [(r.observation_date, unit([r[c] for c in FEATURES])) for r in days]
     first, clusters = min(d for d, _ in points), []  # a cluster: its members and the last day of one
     for week in range(0, (max(d for d, _ in points) - first).days + 1, 7):
+        slice_ = [(d, p) for d, p in points if week <= (d - first).days <= week + 6]
+        if not clusters:  # k-means from the archetypes
+            centres, before = shapes, None
+            while before is None or any(np.abs(a - b).max() > 1e-12 for a, b in zip(centres, before)):
+                own = [nearest(p, centres) for _, p in slice_]
+                before, centres = centres, [np.mean([p for o, (_, p) in zip(own, slice_) if o == i], axis=0) if i in own else c for i, c in enumerate(centres)]
+            own = [nearest(p, before) for _, p in slice_]
+            clusters = [([p for o, (_, p) in zip(own, slice_) if o == i], max(d for o, (d, _) in zip(own, slice_) if o == i)) for i in sorted(set(own))]
+            continue
         centres = [np.mean(m, axis=0) for m, _ in clusters]
         radius = [max(reach * math.sqrt(np.var(m, axis=0).sum()), least) for m, _ in clusters]
         fed = {}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -61,28 +63,50 @@ def by_archetype(days: DataFrame, k: int = len(ARCHETYPES)) -> DataFrame:
     return _labelled(days, unit_archetypes(k), list(ARCHETYPES)[:k])
 
 
+def added(a: dict, b: dict) -> dict:
+    """One cluster of two."""
+    return {k: max(a[k], b[k]) if k == "last" else sorted({*a[k], *b[k]}) if k == "ids" else a[k] + b[k] for k in a}
+
+
+def _sums(rows: DataFrame, at: str) -> dict[int, dict]:
+    """n, sums and sums of squares by _new; rows have the scaled features _u0, ... There are twice as many groups as clusters at most."""
+    d = len(FEATURES)
+    day = F.unix_seconds(F.col(at).cast("timestamp")) / 86400.0
+    units = [F.col(f"_u{i}") for i in range(d)]
+    sums = [F.sum(u).alias(f"l{i}") for i, u in enumerate(units)] + [F.sum(u * u).alias(f"s{i}") for i, u in enumerate(units)]
+    found = rows.groupBy(F.col("_new").alias("g")).agg(F.count("*").alias("n"), F.sum(day).alias("lt"), F.sum(day * day).alias("st"), F.max(day).alias("last"), *sums)
+    return {r["g"]: {"n": r["n"], "lt": r["lt"], "st": r["st"], "last": r["last"], "ls": np.array([r[f"l{i}"] for i in range(d)]), "ss": np.array([r[f"s{i}"] for i in range(d)])} for r in found.collect()}
+
+
 @dataclass
 class MicroClusters:
     """Micro-clusters (n, sums and sums of squares of the features and of time), after Aggarwal et al., "A Framework for Clustering
     Evolving Data Streams", learned by slices of time.
 
-    Sums of a slice's rows by nearest cluster are one aggregation over the slice, so rows stay in their tasks and the driver holds
-    k clusters. Rows outside a cluster's reach found new ones: they are summed by nearest archetype, and where that makes more
-    than k clusters, one that hasn't been fed for `horizon` time units goes, or else the nearest two become one.
+    The first slice is clustered by k-means from the archetypes, a step of it one aggregation over the slice. After that, sums of a
+    slice's rows by nearest cluster are one aggregation, so rows stay in their tasks and the driver holds k clusters. Rows outside a
+    cluster's reach found new ones: they are summed by nearest archetype, and where that makes more than k clusters, the one goes whose
+    relevance stamp is more than `horizon` time units behind, or else the nearest two become one.
+
+    A cluster has an id, or several after it has taken up others, so that `operators.snapshots` can take an earlier state from it.
     """
 
     k: int = len(ARCHETYPES)
     horizon: float = 10_000.0
     reach: float = 2.0
     least_radius: float = 0.05
+    last_points: int = 100
+    rounds: int = 20
     stats: list[dict] = field(default_factory=list)
+    next_id: int = 0
 
     def dump(self) -> str:
         """All that has been learned, as JSON."""
         return json.dumps([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in s.items()} for s in self.stats])
 
     def load(self, text: str) -> None:
-        self.stats = [{k: np.array(v) if isinstance(v, list) else v for k, v in s.items()} for s in json.loads(text)]
+        self.stats = [{k: np.array(v) if k in ("ls", "ss") else v for k, v in s.items()} for s in json.loads(text)]
+        self.next_id = max((i + 1 for s in self.stats for i in s["ids"]), default=0)
 
     def centres(self) -> list[list[float]]:
         return [(s["ls"] / s["n"]).tolist() for s in self.stats]
@@ -92,42 +116,63 @@ class MicroClusters:
         spread = np.maximum(s["ss"] / s["n"] - (s["ls"] / s["n"]) ** 2, 0).sum()
         return max(self.reach * float(np.sqrt(spread)), self.least_radius)
 
+    def relevance(self, s: dict) -> float:
+        """About the middle time of a cluster's last `last_points` rows, as if its times were normal: their m / 2n-th percentile from above.
+
+        A cluster of fewer than twice as many rows has its mean time.
+        """
+        mean = s["lt"] / s["n"]
+        if s["n"] < 2 * self.last_points:
+            return mean
+        spread = math.sqrt(max(s["st"] / s["n"] - mean * mean, 0.0))
+        return mean + spread * NormalDist().inv_cdf(1 - self.last_points / (2 * s["n"]))
+
+    def _found(self, s: dict) -> dict:
+        self.next_id += 1
+        return s | {"ids": [self.next_id - 1]}
+
+    def start(self, days: DataFrame, at: str = "observation_date") -> None:
+        """Clusters of a first slice by k-means from the archetypes, until no centre moves; ones without rows are left out."""
+        centres, sums = unit_archetypes(self.k), {}
+        for _ in range(self.rounds):
+            sums = _sums(with_nearest(days, centres).withColumn("_new", F.col("_i")), at)
+            moved = [(sums[i]["ls"] / sums[i]["n"]).tolist() if i in sums else c for i, c in enumerate(centres)]
+            still = np.allclose(moved, centres, rtol=0, atol=1e-12)
+            centres = moved
+            if still:
+                break
+        self.stats = [self._found(sums[i]) for i in sorted(sums)]
+
     def update(self, days: DataFrame, at: str = "observation_date") -> None:
         """Learn from a slice, a DataFrame with FEATURES and a date or time."""
-        d, known = len(FEATURES), self.centres()
+        if not self.stats:
+            return self.start(days, at)
+        known = self.centres()
         rows = with_nearest(days, unit_archetypes()).withColumn("_new", F.col("_i") + len(known))
-        if known:
-            rows = with_nearest(rows.drop("_i", "_far"), known)
-            radius = F.get(F.array(*[F.lit(self._radius(i)) for i in range(len(known))]), F.col("_i"))
-            rows = rows.withColumn("_new", F.when(F.col("_far") <= radius, F.col("_i")).otherwise(F.col("_new")))
-        day = F.unix_seconds(F.col(at).cast("timestamp")) / 86400.0
-        units = [F.col(f"_u{i}") for i in range(d)]
-        sums = [F.sum(u).alias(f"l{i}") for i, u in enumerate(units)] + [F.sum(u * u).alias(f"s{i}") for i, u in enumerate(units)]
-        rows = rows.groupBy(F.col("_new").alias("g")).agg(F.count("*").alias("n"), F.sum(day).alias("lt"), F.sum(day * day).alias("st"), F.max(day).alias("last"), *sums)
+        rows = with_nearest(rows.drop("_i", "_far"), known)
+        radius = F.get(F.array(*[F.lit(self._radius(i)) for i in range(len(known))]), F.col("_i"))
+        rows = rows.withColumn("_new", F.when(F.col("_far") <= radius, F.col("_i")).otherwise(F.col("_new")))
         now = None
-        for r in sorted(rows.collect(), key=lambda r: r["g"]):  # 2k rows at most
-            s = {"n": r["n"], "lt": r["lt"], "st": r["st"], "last": r["last"], "ls": np.array([r[f"l{i}"] for i in range(d)]), "ss": np.array([r[f"s{i}"] for i in range(d)])}
+        for g, s in sorted(_sums(rows, at).items()):
             now = s["last"] if now is None else max(now, s["last"])
-            if r["g"] < len(known):
-                old = self.stats[r["g"]]
-                self.stats[r["g"]] = {k: (max(old[k], s[k]) if k == "last" else old[k] + s[k]) for k in s}
+            if g < len(known):
+                self.stats[g] = added(self.stats[g], s | {"ids": []})
             else:
-                self.stats.append(s)
+                self.stats.append(self._found(s))
         while len(self.stats) > self.k:
             self._shrink(now)
 
     def _shrink(self, now: float) -> None:
-        stale = [i for i, s in enumerate(self.stats) if s["last"] < now - self.horizon]
-        if stale:
-            self.stats.pop(min(stale, key=lambda i: self.stats[i]["last"]))
+        stamps = [self.relevance(s) for s in self.stats]
+        if min(stamps) < now - self.horizon:
+            self.stats.pop(stamps.index(min(stamps)))
             return
         c = np.array(self.centres())
         far = ((c[:, None] - c[None]) ** 2).sum(2)
         far[np.tril_indices(len(c))] = np.inf
         i, j = np.unravel_index(int(far.argmin()), far.shape)
         b = self.stats.pop(int(j))
-        a = self.stats[int(i)]
-        self.stats[int(i)] = {k: (max(a[k], b[k]) if k == "last" else a[k] + b[k]) for k in a}
+        self.stats[int(i)] = added(self.stats[int(i)], b)
 
     def assign(self, days: DataFrame) -> DataFrame:
         """cluster_id, cluster_label (that of the archetype nearest to the cluster's centre) and distance_to_center."""
