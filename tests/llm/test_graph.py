@@ -33,29 +33,24 @@ def shapes():
     return chain + star + loose + chain[:20] + [(5, 5), (9999, 9999)]
 
 
-@pytest.mark.parametrize("block", [200_000, 7])
-def test_components(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, few", [(200_000, 200_000), (7, 0), (7, 200_000)])
+def test_components(spark, block, few, monkeypatch):
     edges = shapes()
     random.Random(1).shuffle(edges)
     monkeypatch.setattr(graph, "thinned", lambda e, thin=graph.thinned: thin(e, block))
-    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5))
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5), few=few)
     assert {r.node: r.label for r in got.collect()} == brute(edges)
 
 
-def test_binary_nodes_and_nothing(spark):
-    edges = [(b"b", b"a"), (b"c", b"b"), (b"z", b"y")]
-    got = {bytes(r.node): bytes(r.label) for r in graph.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
-    assert got == {b"a": b"a", b"b": b"a", b"c": b"a", b"y": b"y", b"z": b"y"}
-    assert graph.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_binary_nodes_repeated_edges_and_nothing(spark, few):
+    edges = [(b"b", b"a"), (b"c", b"b"), (b"z", b"y"), (b"z", b"y"), (b"\xff", b"\x00"), (None, b"a"), (b"q", None), (b"s", b"s")]
+    got = {bytes(r.node): bytes(r.label) for r in graph.components(spark.createDataFrame(edges, "a binary, b binary"), few=few).collect()}
+    assert got == {b"a": b"a", b"b": b"a", b"c": b"a", b"y": b"y", b"z": b"y", b"\x00": b"\x00", b"\xff": b"\x00"}
+    assert graph.components(spark.createDataFrame([], "a binary, b binary"), few=few).count() == 0
 
 
 def test_thinning_keeps_components(spark):
     edges = [(i % 50, (i * i + 1) % 50) for i in range(5000)]
     thin = graph.thinned(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()
     assert len(thin) < 50 and brute([tuple(r) for r in thin]) == brute(edges)
-
-
-def test_too_few_rounds_are_an_error(spark):
-    edges = [(i, i + 1) for i in range(300)]
-    with pytest.raises(RuntimeError):
-        graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7), most_rounds=1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, sliced
+from .common import give_back, mapped, sliced
 
 #: Words that a worker remembers; emptied when full, which changes no result.
 REMEMBERED = 300_000
@@ -211,7 +211,10 @@ def train(docs: DataFrame, learn_from: Column, s: Settings = Settings()) -> Mode
     got = training_rows(docs, learn_from, s).toArrow()
     (b, at), (c, _) = flat(got.column("b")), flat(got.column("c"))
     langs, folds = got.column("lang").to_pylist(), got.column("fold").to_pylist()
-    return fit([(lang, fold, b[i:j], c[i:j]) for lang, fold, i, j in zip(langs, folds, at[:-1], at[1:])], s)
+    model = fit([(lang, fold, b[i:j], c[i:j]) for lang, fold, i, j in zip(langs, folds, at[:-1], at[1:])], s)
+    del got, b, c
+    give_back()  # the sample has done its work on the driver
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
