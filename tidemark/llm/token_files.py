@@ -130,7 +130,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, cut: str, end_id: int) ->
     """Tokenize the texts of `docs` (doc_id, text) and write shards under `path` in ascending doc_id order.
 
     Returns the manifest: shard, path, n_docs, n_tokens, start (ids in earlier shards). The rows are dealt out by ranges of
-    doc_id, so only texts are shuffled, once; each task streams its range into one file. A task that runs again writes a new
+    doc_id and text hash, so only texts are shuffled, once, and many rows of one id or of none are several tasks; each task streams its range into one file. A task that runs again writes a new
     file, and the manifest names the file of the run that counted.
     """
 
@@ -151,7 +151,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, cut: str, end_id: int) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = written(mapped(dealt, shard, MANIFEST), "manifest")
     # one row per shard, so one task is enough
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
