@@ -11,7 +11,8 @@ buckets, whatever the size of the table. As the model is linear,
 a bucket's embedding is folded into one logit per language, and a word's logits are worked out once per worker.
 
 Cases: a null text or one without a letter is `und` with score 0 and is rejected; so is every text if nothing could be learned.
-Null labels are not learned from. Repeated rows get the same answer; an empty table gives no rows; all other columns are kept.
+Null labels are not learned from. Labels that tie in score are decided by their order. A text of any length is read whole, a batch
+of its own. Rows with null or tied ids are judged each; repeated rows get the same answer; an empty table gives no rows; all other columns are kept.
 """
 
 from __future__ import annotations

@@ -21,8 +21,11 @@ position of the corpus is predicted once. Tasks train copies by Adagrad on their
 positions that each has seen. More and smaller tasks average more and learn less each. The average is a sum over rows of
 parameters, so what reaches the driver is one network, whatever the number of tasks.
 
-Cases: a null or empty text has no words, score 0 and a null mean; repeated rows each get a row; an empty table gives no rows (and
-an untrained network); other columns are ignored.
+Scores depend on how the corpus is dealt to tasks, as their copies see other words first: `tests/llm/test_learned_operators.py` holds
+what that may change.
+
+Cases: a null or empty text has no words, score 0 and a null mean; a very long text is a chunk of its own; null doc_ids and ids that tie are
+documents of their own; repeated rows each get a row; an empty table gives no rows (and an untrained network); other columns are ignored.
 """
 
 from __future__ import annotations
