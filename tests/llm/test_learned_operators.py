@@ -219,6 +219,18 @@ def test_order_counts_and_junk_scores_below_text(spark):
     assert mean(model, 0) > mean(before, 0) + 0.5 and mean(model, 0) > mean(model, 100) + 0.5 and mean(model, 100) > mean(model, 200) + 5
 
 
+def test_scores_order_documents_alike_whatever_the_number_of_tasks(spark):
+    """Copies trained by one task, three and eight. So few words make levels differ by up to a nat, but documents keep their order."""
+    rows = [(i, " ".join(sentences(i, 300) if i % 3 else random.Random(i).sample(sentences(i, 300), 300)), None, None, 0) for i in range(150)]
+    means = []
+    for n in (1, 3, 8):
+        got = {r.doc_id: r.per_word for r in lm_scoring.scored(frame(spark, rows).repartition(n)).collect()}
+        means.append(np.array([got[i] for i in range(150)]))
+    for other in means:
+        assert np.abs(other - means[0]).max() < 1.2 and np.corrcoef(other, means[0])[0, 1] > 0.99
+        assert np.delete(other, slice(None, None, 3)).min() > other[::3].max()  # in order above shuffled, each
+
+
 # 8: mixing
 
 
