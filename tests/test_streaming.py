@@ -173,3 +173,31 @@ def test_from_a_landing_folder(spark, tmp_path, monkeypatch):
     assert [(r["station_id"], r["avg_temperature_celsius"], r["sample_count"]) for r in daily] == [("010010-99999", -6.5, 2)]
     wet = dicts(tables["wet_period_events"].read(spark))
     assert [(r["duration_minutes"], r["precipitation_observation_count"]) for r in wet] == [(60, 1)]
+
+
+def test_bytes_topics_and_clearing_from_the_command_line(spark, tmp_path, monkeypatch):
+    """A file is taken up in parts, once; result rows go to topics; a cleared run starts from the beginning."""
+    import gzip
+
+    import tidemark.__main__ as command
+    from tests.test_sources import LINE, history
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "stations.txt").write_text(history("010010", "99999", "JAN MAYEN", "NO") + "\n")
+    sent = []
+    for k, v in {"STREAM_PATTERN": "temperature", "BATCH_BYTES": str(2 * len(LINE)), "PUBLISH_SERVERS": "broker:1", "PUBLISH_TOPICS": "daily_station_average=days"}.items():
+        monkeypatch.setenv(k, v)
+    monkeypatch.setattr(command, "publisher", lambda servers, topics: lambda table, rows: sent.append((servers, topics[table], rows.count())))
+    with gzip.open(tmp_path / "in" / "a-2025.gz", "wt") as f:
+        for hour in range(5):
+            f.write(LINE.replace("202503271100", f"2025032711{hour:02d}") + "\n")
+
+    def run():
+        command.main(str(tmp_path / "in"), str(tmp_path / "stations.txt"), str(tmp_path / "out"))
+        return sum(r["sample_count"] for r in dicts(result_tables(str(tmp_path / "out"), Config.from_env())["daily_station_average"].read(spark)))
+
+    counts = [run() for _ in range(4)]
+    assert counts == sorted(counts) and counts[0] < 5 and counts[-1] == 5 == counts[-2]
+    assert {s[:2] for s in sent} == {("broker:1", "days")}
+    monkeypatch.setenv("CLEAR_TABLES", "true")
+    assert run() == counts[0]

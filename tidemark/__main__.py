@@ -6,7 +6,7 @@ meteorological tables; BUOY_STATIONS names the buoys, as id:area:latitude:longit
 (first:last) the days that count. Without BUOY_STATIONS both are folders of Parquet files. Settings come from the environment, see
 `config.Config`; with RUN_ONCE=false the streams go on and look for new files every POLL_SECONDS. With BATCH_BYTES, weather files are taken up by so much text
 at a time, also in parts. PUBLISH_SERVERS and PUBLISH_TOPICS (table=topic with commas between) send result rows to a broker. GRACE_BY_RECORD
-tells lateness record by record.
+tells lateness record by record. CLEAR_TABLES starts anew, without what earlier runs of the same settings have left.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from .schemas import AIS_POSITION, BUOY_OBSERVATION
 from .sources import files, stations, weather
 from .sources.marine import buoys_stream, positions_stream, station_places
 from .sources.messages import publisher
-from .streaming.runners import STATE_STORE, start
+from .streaming.runners import STATE_STORE, clear, start
 
 
 def main(landing: str, station_list: str, out: str, ais: str | None = None, buoys: str | None = None) -> None:
     config = Config.from_env()
     spark = SparkSession.builder.appName(config.progress_id()).config("spark.sql.session.timeZone", "UTC").config(*STATE_STORE).getOrCreate()
+    if boolean(os.environ.get("CLEAR_TABLES") or "false"):
+        clear(spark, out, config)
     batch_bytes = int(os.environ.get("BATCH_BYTES") or 0)
 
     def obs(analysis: str) -> DataFrame:

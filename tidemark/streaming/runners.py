@@ -19,6 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..config import Config
 from ..functions.quality import in_year, usable_temperature, usable_wind, wet
 from ..operators.regimes import MicroClusters
+from ..operators.saved import files
 from ..operators.windows import drop_late, first_open_window, tumbling
 from ..plans import marine, weather
 from ..schemas import KEYS
@@ -134,6 +135,12 @@ def counters(out: str, c: Config) -> CounterTable:
     return CounterTable(f"{out}/{c.progress_id()}/stream_counts")
 
 
+def clear(spark: SparkSession, out: str, c: Config) -> None:
+    """Take away all that runs of these settings have left, tables and progress: the next one starts from the beginning."""
+    fs, at = files(spark, f"{out}/{c.progress_id()}")
+    fs.delete(at, True)
+
+
 class LearnedRegimes:
     """Micro-clusters that outlive the driver: what was learned up to a micro-batch is kept under the batch's id.
 
