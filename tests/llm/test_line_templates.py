@@ -96,13 +96,15 @@ def test_names_differ():
 @pytest.mark.parametrize("names", [400, 12])
 def test_recurring_lines_go(spark, names):
     """Each of these lines in 200 documents, whether names are all different or a few that recur."""
-    for line in LINES:
+    rows = []
+    for k, line in enumerate(LINES):
         r = random.Random(9)
         pick = lambda: r.choice(NAMES[:names])
-        rows = [(i, f"{own(i, 30)}\n{line.format(pick(), pick(), pick())}\n{own(1000 + i, 30)}", "en", "a", 0) for i in range(200)]
-        got = templates.dedup_lines(frame(spark, rows)).collect()
-        assert [x.doc_id for x in got if x.n_dropped != 1] == [], line
-        assert {x.doc_id: x.text for x in got}[3] == f"{own(3, 30)}\n{own(1003, 30)}"
+        rows += [(1000 * k + i, f"{own(1000 * k + i, 30)}\n{line.format(pick(), pick(), pick())}\n{own(500_000 + 1000 * k + i, 30)}", "en", "a", 0) for i in range(200)]
+    got = {x.doc_id: x for x in templates.dedup_lines(frame(spark, rows)).collect()}
+    for k, line in enumerate(LINES):
+        assert [i for i in range(200) if got[1000 * k + i].n_dropped != 1] == [], line
+        assert got[1000 * k + 3].text == f"{own(1000 * k + 3, 30)}\n{own(500_000 + 1000 * k + 3, 30)}"
 
 
 def test_copies_neither_make_nor_hide_a_template(spark):

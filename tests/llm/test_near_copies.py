@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from tests.llm.fixtures import DOCS, words
 from tidemark.llm import simhash
@@ -88,8 +87,7 @@ def groups_of_family(texts):
         label = low[low]
 
 
-@pytest.mark.parametrize("few", [2000, 100_000])
-def test_documents_kept_of_a_large_family(spark, monkeypatch, few):
+def test_documents_kept_of_a_large_family(spark, monkeypatch, few=2000):
     """3,000 texts, each 2 to 4 words from one of 200: pairs lie about 0.8, and links are few. As many stay as there are groups."""
     r = random.Random(21)
     base = words(8, 200, 100000)
