@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """The session with other settings (__ for .) for as long as the block lasts; streams that start in it keep them."""
+    named = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    for k, v in named.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def files(spark: SparkSession, path: str) -> tuple[Any, Any]:
     """Hadoop's file system of `path`, and the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators.ordered import numbered
-from ..operators.saved import fresh_path
+from ..operators.saved import fresh_path, settings
 from ..streaming.changelog import frost_days_stream
 from ..streaming.reorder import timeline_stream
 from ..streaming.runners import STATE_STORE, counters, result_tables, start
@@ -44,6 +44,11 @@ def cut(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
 
 
+def few_parts(spark: SparkSession) -> dict[str, str]:
+    """As many parts of state as there are cores: streams keep the number they start with, and adaptive plans don't reduce it."""
+    return {"spark__sql__shuffle__partitions": str(spark.sparkContext.defaultParallelism)}
+
+
 def config(analysis: str, by_record: bool = False) -> Config:
     years = {f: YEAR for f in Config.__dataclass_fields__ if f.endswith("_year")}
     return Config(stream_pattern=(analysis,), grace_by_record=by_record, **years)
@@ -54,7 +59,10 @@ def run(spark: SparkSession, sf_dir: str, c: Config, obs: DataFrame) -> str:
     out = fresh_path(spark, "streams")
     marine = "maritime-routing" in c.stream_pattern
     feeds = [cut(spark, f(spark, sf_dir), "observed_at") if marine else None for f in (positions, buoys)]
-    for q in start(obs, stations(spark, sf_dir).select("station_id", "region_id", "region_name"), out, c, *feeds):
+    regions = stations(spark, sf_dir).select("station_id", "region_id", "region_name")
+    with settings(spark, **few_parts(spark)):
+        started = start(obs, regions, out, c, *feeds)
+    for q in started:
         q.awaitTermination()
     return out
 
@@ -85,12 +93,8 @@ def streamed_late(analysis: str, arrived: Callable[[SparkSession, str], DataFram
 
 
 def _ended(spark: SparkSession, stream: DataFrame, table: UpsertTable) -> DataFrame:
-    before = spark.conf.get(STATE_STORE[0], None)
-    spark.conf.set(*STATE_STORE)
-    try:
+    with settings(spark, **few_parts(spark), **{STATE_STORE[0].replace(".", "__"): STATE_STORE[1]}):
         query = table.sink(stream, fresh_path(spark, "progress"), "append").trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
     query.awaitTermination()
     return table.read(spark)
 

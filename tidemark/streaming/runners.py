@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..config import Config
 from ..functions.quality import in_year, usable_temperature, usable_wind, wet
 from ..operators.regimes import MicroClusters
-from ..operators.saved import files
+from ..operators.saved import files, settings
 from ..operators.windows import drop_late, first_open_window, tumbling
 from ..plans import marine, weather
 from ..schemas import KEYS
@@ -256,9 +256,5 @@ def start(obs: DataFrame | Callable[[str], DataFrame], regions: DataFrame, out:
         "maritime-routing": lambda: (routes_stream(positions, buoys, c), "append", upsert("marine_route_recommendations", "marine_route_recommendations", marine.latest_routes)),
     }
     chosen = [n for n in c.stream_pattern if n != "maritime-routing" or (positions is not None and buoys is not None)]
-    before = spark.conf.get(STATE_STORE[0], None)
-    spark.conf.set(*STATE_STORE)  # queries take it over when they start
-    try:
+    with settings(spark, **{STATE_STORE[0].replace(".", "__"): STATE_STORE[1]}):
         return [run(name, *made[name]()) for name in chosen] + first
-    finally:
-        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
