@@ -31,7 +31,10 @@ def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     if int(re.sub(r"\D", "", conf.get(key))) > BATCH_BYTES or not re.fullmatch(r"\d+b?", conf.get(key)):
         conf.set(key, f"{BATCH_BYTES}b")
 
+    operator = task.__module__
+
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
         # many small lists live for a moment; Python's search for cycles would go through them all again and again
         gc.set_threshold(100_000, 50, 100)
         yield from task(batches)
@@ -40,6 +43,20 @@ def mapped(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(tidy, schema)
 
 
+#: What empties the memory that operators keep in a worker from one task to the next, and the operator that ran in it last.
+forget: list[Callable[[], None]] = []
+_last = [""]
+
+
+def begin(operator: str) -> None:
+    """Workers live on through the stages of an application: one that goes on to another operator forgets what it kept for the last."""
+    if _last[0] not in ("", operator):
+        for clear in forget:
+            clear()
+        give_back()
+    _last[0] = operator
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

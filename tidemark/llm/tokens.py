@@ -18,6 +18,8 @@ import re
 from array import array
 from functools import lru_cache
 
+from .common import forget
+
 LED = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: What the UTF-8 of WIDE_SPACE begins with; cheap to look for.
@@ -100,6 +102,9 @@ def encoder(path: str, cut: str, special_as_text: bool = False) -> Encoder:
     return Encoder(path, cut, special_as_text)
 
 
+forget.append(encoder.cache_clear)
+
+
 def public_path(name: str) -> str:
     """Where a public tokenizer file lies."""
     import public_tokenizers
