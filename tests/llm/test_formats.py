@@ -176,7 +176,8 @@ def test_template_language():
         return Template(source).render(given).text()
 
     assert said("{% for x in xs -%}  {{ x.a ~ '-' }} {%- endfor %}", xs=[{"a": 1}, {"a": None}]) == "1--"
-    assert said("{% if a and not b or c == 'z' %}1{% elif b in ['x'] %}2{% else %}3{% endif %}" if False else "{% if a and not b or c == 'z' %}1{% else %}3{% endif %}", a=1, b=0) == "1"
+    for given, want in (({"a": 1, "b": 0}, "1"), ({"c": "z"}, "1"), ({"b": "x"}, "2"), ({"b": "w"}, "3")):
+        assert said("{% if a and not b or c == 'z' %}1{% elif b == 'x' %}2{% else %}3{% endif %}", **given) == want
     assert said("{{ ' x ' | trim | upper }}{{ 1 + 2 }}{{ 'a' + 1 }}{{ a['k'].b }}{{ a.none.b }}", a={"k": {"b": "v"}}) == "X3a1v"
     assert said("{% set x = 'q' ~ y %}{{ x }}{% if x == 'q1' %}{% if false %}no{% else %}yes{% endif %}{% endif %}", y=1) == "q1yes"
     assert said("{% if x in 'abc' %}in{% endif %}{{ 'it\\'s' }}{{ (xs | length) }}", x="b", xs=[1, 2]) == "init's2"

@@ -149,19 +149,17 @@ def rebuilt(output: bytes, form: str) -> bytes:
 
 def transformed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """`docs` and the columns of ADDED."""
-    added = [c.split() for c in ADDED.split(", ")]
-    kept = [f for f in docs.schema.fields if f.name.lower() not in {name for name, _ in added}]
+    added = [c.split()[0] for c in ADDED.split(", ")]
+    typed = docs.withColumns({"text": F.col("text").cast("string"), "doc_id": F.col("doc_id").cast("long")})
+    kept = {f.name: f.dataType.simpleString() for f in typed.schema.fields if f.name.lower() not in added}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             found = list(zip(*cut(batch.column("text"), batch.column("doc_id").to_pylist(), s)))
             new = [pa.array(found[k], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))] + [pa.array(found[4], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + new, names=[f.name for f in kept] + [name for name, _ in added])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, *added])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [ADDED])
-    typed = docs.withColumns({"text": F.col("text").cast("string"), "doc_id": F.col("doc_id").cast("long")})
-    kept = [f for f in typed.schema.fields if f.name in {k.name for k in kept}]
-    return mapped(typed, task, schema)
+    return mapped(typed, task, ", ".join([*[f"`{c}` {kind}" for c, kind in kept.items()], ADDED]))
 
 
 def restored(done: DataFrame) -> DataFrame:
