@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -57,6 +58,18 @@ def moved_in(spark: SparkSession, made: str, done: str) -> None:
         raise OSError(f"can't move {made} to {done}")
 
 
+def in_order(spark: SparkSession, path: str) -> None:
+    """Files of a folder get times of change that ascend as their names do, a second apart, so that a stream takes them up in that order."""
+    names = [n for n in listed(spark, path) if n.startswith("part-")]
+    fs, _ = files(spark, path)
+    first = int(time.time() - len(names)) * 1000
+    for i, name in enumerate(names):
+        fs.setTimes(files(spark, f"{path}/{name}")[1], first + 1000 * i, -1)
+    told = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(files(spark, path)[1])]
+    if [n for _, n in sorted(told) if n in names] != names:
+        raise OSError(f"the file system of {path} doesn't keep times of change")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
