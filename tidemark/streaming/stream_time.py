@@ -49,13 +49,14 @@ class InTime:
         if part in listed(spark, f"{self.path}/rows"):
             return
         since = self._before(spark, batch_id)
-        batch = batch.persist()
-        try:
-            kept = self.keep(numbered(batch, self.order, NUMBER), NUMBER, since).drop(NUMBER)
-            kept.write.mode("overwrite").parquet(f"{self.path}/_made/{part}")
-            newest = batch.agg(F.max(self.ts)).first()[0]
-        finally:
-            batch.unpersist()
+        # written, as a sort that is made again for each use may number rows otherwise: its ranges are sampled and made fewer as data go by
+        arrived = f"{self.path}/_arrived/{part}"
+        numbered(batch, self.order, NUMBER).write.mode("overwrite").parquet(arrived)
+        rows = spark.read.parquet(arrived)
+        self.keep(rows, NUMBER, since).drop(NUMBER).write.mode("overwrite").parquet(f"{self.path}/_made/{part}")
+        newest = rows.agg(F.max(self.ts)).first()[0]
+        fs, at = files(spark, arrived)
+        fs.delete(at, True)
         newest = since if newest is None or (since and since > newest) else newest
         if newest is not None:
             spark.createDataFrame([(newest,)], "time timestamp").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/times/{part}")
