@@ -95,7 +95,7 @@ class Results(dict):
             "temperature_window_ranking": lambda: weather.ranking(obs(), YEAR),
             "temperature_forecast": lambda: weather.forecast(obs()),
             "route_pairs": lambda: marine.route_pairs(positions(self.spark, self.sf_dir), buoys(self.spark, self.sf_dir), YEAR),
-            "marine_route_recommendations": lambda: marine.routes(self["route_pairs"]),
+            "marine_route_recommendations": lambda: marine.last_routes(positions(self.spark, self.sf_dir), buoys(self.spark, self.sf_dir), YEAR),
             "wet_period_events": lambda: weather.wet_periods(obs(), YEAR),
             "blizzard_events": lambda: weather.blizzards(obs(), YEAR),
             "station_days": lambda: weather.station_days(obs(), YEAR),

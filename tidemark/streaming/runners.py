@@ -116,18 +116,18 @@ def routes_stream(positions: DataFrame, buoys: DataFrame, c: Config) -> DataFram
     interval alone. Areas are few, so stretches of time are part of the key: a reading goes to each that its interval touches."""
     m = c.maritime_routing_join_window_minutes
     stretch = lambda us: F.floor(us / (60_000_000 * max(1, 2 * m))).cast("long")
-    a = positions.filter(in_year("observed_at", c.maritime_routing_year)).withColumn("a_at", stretch(F.unix_micros("observed_at"))).withWatermark("observed_at", "0 minutes").alias("a")
+    a = marine.around(positions.filter(in_year("observed_at", c.maritime_routing_year)), m).withColumn("a_at", stretch(F.unix_micros("observed_at"))).withWatermark("observed_at", "0 minutes").alias("a")
     b = marine.buoy_side(buoys.filter(in_year("observed_at", c.maritime_routing_year)))
     us = F.unix_micros("buoy_observed_at")
     b = b.withColumn("b_at", F.explode(F.sequence(stretch(us - m * 60_000_000), stretch(us + m * 60_000_000)))).withWatermark("buoy_observed_at", "0 minutes").alias("b")
     near = F.expr(f"a.sea_area_id = b.sea_area_id AND a.a_at = b.b_at AND b.buoy_observed_at BETWEEN a.observed_at - INTERVAL {m} MINUTES AND a.observed_at + INTERVAL {m} MINUTES")
-    return marine.recommend(a.join(b, near).drop(F.col("b.sea_area_id"), F.col("a_at"), F.col("b_at")), m, c.wave_weight)
+    return marine.recommend(a.join(b, near).drop(F.col("b.sea_area_id"), F.col("a_at"), F.col("b_at")), c.wave_weight)
 
 
 def result_tables(out: str, c: Config) -> dict[str, UpsertTable]:
     """The result tables of a configuration. They lie beside its progress, under its own id, so that a run with other settings
     neither reads nor adds to what this one has written."""
-    order = {"marine_route_recommendations": marine.READING}
+    order = {"marine_route_recommendations": [*marine.READING, *marine.TIES]}
     return {name: UpsertTable(f"{out}/{c.progress_id()}/{name}", keys, order.get(name, [])) for name, keys in KEYS.items()}
 
 
