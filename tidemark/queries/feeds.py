@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: a small file is one task, however dear what is done with each of its rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def station_of(number: str) -> Column:
     return F.format_string("%06d-99999", F.col(number))
 

@@ -17,7 +17,7 @@ from ..sources import marine as marine_feed
 from ..sources import stations as station_list
 from ..sources import weather as weather_feed
 from . import oracle, streams
-from .feeds import YEAR, Results, buoys, observations, positions, rounded, stations, table
+from .feeds import YEAR, Results, buoys, observations, positions, rounded, spread, stations, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = [
@@ -110,7 +110,7 @@ def nested_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def station_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as the fixed-width station list and parsed again, with regions."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     k = F.col("c_custkey")
     country = F.when(k % 3 == 0, "US").when(k % 3 == 1, "UK").otherwise("NO")
     text = F.format_string(
@@ -136,7 +136,7 @@ def vessel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def buoy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as meteorological tables, one for each of three buoys, and parsed again."""
     i = F.col("event_id")
-    e = table(spark, sf_dir, "events").withColumn("file_name", F.concat(F.lit("b"), i % 3))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts")).withColumn("file_name", F.concat(F.lit("b"), i % 3))
     line = F.concat_ws("  ", F.date_format("ts", "yyyy MM dd HH mm"), F.when(i % 5 == 0, "MM").otherwise((i % 360).cast("string")), F.when(i % 7 == 0, "99.0").otherwise(F.format_string("%.1f", i % 200 / 10.0)), F.when(i % 9 == 0, "99.00").otherwise(F.format_string("%.2f", i % 45 / 10.0)))
     rows = e.select("file_name", (i + 10).alias("record_number"), line.alias("line"))
     heads = spark.createDataFrame([(f"b{k}", n, t) for k in range(3) for n, t in ((1, "#YY  MM DD hh mm WDIR WSPD WVHT"), (2, "#yr  mo dy hr mn degT m/s m"))], "file_name string, record_number long, line string")

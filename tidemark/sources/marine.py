@@ -91,7 +91,7 @@ def buoy_readings(text: DataFrame, stations: DataFrame, days: tuple[date, date]
     """
     cut = text.withColumn("v", F.split(F.trim("line"), r"\s+"))
     heads = cut.filter(F.col("line").startswith("#YY")).groupBy("file_name").agg(F.min_by("v", "record_number").alias("head"))
-    rows = cut.filter(~F.trim("line").startswith("#") & (F.trim("line") != "")).join(heads, "file_name")
+    rows = cut.filter(~F.trim("line").startswith("#") & (F.trim("line") != "")).join(F.broadcast(heads), "file_name")  # one row a file; files are few, and would each be one task
     return _readings(rows, stations, days)
 
 
@@ -103,7 +103,7 @@ def buoys_stream(spark: SparkSession, path: str, stations: DataFrame, days: tupl
 
 
 def _readings(rows: DataFrame, stations: DataFrame, days: tuple[date, date] | None) -> DataFrame:
-    rows = rows.join(stations, "file_name")
+    rows = rows.join(F.broadcast(stations), "file_name")
 
     def cell(name: str) -> Column:
         at = F.array_position("head", name)
