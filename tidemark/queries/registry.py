@@ -117,7 +117,8 @@ def station_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "%-6s %-5s %-30s%-5s%-3s%-6s%8s%9s%8s %-8s %-8s", F.format_string("%06d", k), F.lit("99999"), F.when(k % 13 == 0, "BOGUS STATION").otherwise(F.col("c_name")), country, F.when(k % 3 == 0, "CA").otherwise(""),
         F.lit("ICAO"), F.format_string("%+.3f", (k % 90).cast("double")), F.when(k % 17 == 0, "+999.9").otherwise(F.format_string("%+.3f", (k % 180).cast("double"))), F.format_string("%+.1f", (k % 2000).cast("double")), F.lit("19310101"), F.lit("20260530"),
     )
-    lines = c.select(F.lit("list").alias("path"), k.alias("record_number"), text.alias("line"))
+    # written once, as conditions on its fields would otherwise go down to the customers and make each line anew for each field
+    lines = written(c.select(F.lit("list").alias("path"), k.alias("record_number"), text.alias("line")), "station-list")
     meta = station_list.metadata(lines)
     return station_list.with_region(meta, station_list.regions(lines))
 

@@ -23,9 +23,11 @@ def country_names(spark: SparkSession) -> dict[str, str]:
     return {**iso, **COUNTRY_NAMES}
 
 
-def _country_name(code: Column, names: dict[str, str]) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, code), code)
+def _with_country(rows: DataFrame, code: str) -> DataFrame:
+    """`rows` with _country: the name of the country's code, the code itself if it has none. A join, as a map of all names in an
+    expression is looked through, name by name, for each row."""
+    names = rows.sparkSession.createDataFrame(list(country_names(rows.sparkSession).items()), "_code string, _name string")
+    return rows.join(F.broadcast(names), F.col(code) == F.col("_code"), "left").withColumn("_country", F.coalesce("_name", code)).drop("_code", "_name")
 
 
 def _station_id(line: Column) -> Column:
@@ -59,8 +61,8 @@ def regions(lines: DataFrame) -> DataFrame:
     parsed = _rows(lines, 51).select("record_number", _station_id(line).alias("station_id"), country.alias("c"), state.alias("s"))
     parsed = parsed.filter(F.col("station_id").isNotNull() & F.col("c").rlike("^[A-Z]{2}$"))
     last = parsed.groupBy("station_id").agg(F.max_by(F.struct("c", "s"), "record_number").alias("r")).select("station_id", "r.*")
-    named = _country_name(F.col("c"), country_names(lines.sparkSession))
-    return last.select(
+    named = F.col("_country")
+    return _with_country(last, "c").select(
         "station_id", F.concat_ws("-", "c", "s").alias("region_id"),
         F.when(F.col("s").isNull(), named).otherwise(F.concat(named, F.lit(" / "), F.col("s"))).alias("region_name"),
     )
