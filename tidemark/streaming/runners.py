@@ -42,7 +42,7 @@ def comfort_stream(obs: DataFrame, regions: DataFrame, c: Config) -> DataFrame:
 
 #: What a pane of an hour keeps for blizzards, and one of a day for forecasts.
 EVIDENCE = [("sample_count", "long", "sum"), ("freezing", "long", "sum"), ("strong_wind", "long", "sum"), ("precipitation", "long", "sum"), ("low", "double", "min"), ("wind", "double", "max")]
-TREND = [("n", "long", "sum"), ("sx", "double", "sum"), ("sy", "double", "sum"), ("sxy", "double", "sum"), ("sxx", "double", "sum"), ("last_us", "long", "max")]
+TREND = [("n", "long", "sum"), ("sx", "long", "sum"), ("sy", "double", "sum"), ("sxy", "double", "sum"), ("sxx", "decimal(38,0)", "sum"), ("last_us", "long", "max")]
 
 
 def blizzard_figures(panes: list[tuple[int, list]]) -> tuple | None:
@@ -51,14 +51,17 @@ def blizzard_figures(panes: list[tuple[int, list]]) -> tuple | None:
 
 
 def trend_figures(panes: list[tuple[int, list]]) -> tuple:
-    """As `operators.regression.trends`: seconds are counted from the first pane, so that no digits are lost."""
-    origin, n, sx, sy, sxy, sxx, last = panes[0][0], 0, 0.0, 0.0, 0.0, 0.0, 0
+    """As `operators.regression.trends`: microseconds from the first pane, sums about the means, so that readings a moment apart stay apart."""
+    origin, n, sx, sy, cxy, cxx, last = panes[0][0], 0, 0, 0.0, 0.0, 0.0, 0
     for pane, (m, x, y, xy, xx, us) in panes:
-        o = (pane - origin) / 1e6
-        n, sx, sy, sxy, sxx, last = n + m, sx + x + m * o, sy + y, sxy + xy + o * y, sxx + xx + 2 * o * x + m * o * o, max(last, us)
-    spread = n * sxx - sx * sx
-    slope = (n * sxy - sx * sy) / spread if n > 1 and spread else 0.0
-    return slope, sy / n, sy / n + slope * ((last - origin) / 1e6 - sx / n + weather.DAY), n
+        cxy, cxx = cxy + (m * xy - x * y) / m, cxx + (m * int(xx) - x * x) / m  # x and xx are whole numbers
+        x += m * (pane - origin)
+        if n:
+            dx, dy, weight = (n * x - m * sx) / (n * m), y / m - sy / n, n * m / (n + m)
+            cxy, cxx = cxy + dx * dy * weight, cxx + dx * dx * weight
+        n, sx, sy, last = n + m, sx + x, sy + y, max(last, us)
+    slope = cxy / cxx * 1e6 if n > 1 and cxx else 0.0
+    return slope, sy / n, sy / n + slope * ((last - origin - sx / n) / 1e6) + slope * weather.DAY, n
 
 
 def blizzards_stream(obs: DataFrame, c: Config) -> DataFrame:
@@ -77,8 +80,9 @@ def blizzards_stream(obs: DataFrame, c: Config) -> DataFrame:
 def forecast_stream(obs: DataFrame, c: Config) -> DataFrame:
     """By panes of an advance, whose sums are those of `operators.regression.pane_sums`. Needs the RocksDB state store."""
     us, slide = F.unix_micros("observed_at"), c.forecast_advance_days * weather.DAY
-    x, y = (us - F.floor(us / (slide * 1_000_000)) * (slide * 1_000_000)) / 1e6, F.col("temperature_celsius")
-    columns = {"n": F.lit(1).cast("long"), "sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "last_us": us}
+    x, y = F.pmod(us, F.lit(slide * 1_000_000)), F.col("temperature_celsius")
+    whole = x.cast("decimal(19,0)")  # squares of microseconds are more than a double or a long holds
+    columns = {"n": F.lit(1).cast("long"), "sx": x, "sy": y, "sxy": x * y, "sxx": (whole * whole).cast("decimal(38,0)"), "last_us": us}
     told = "slope_per_second double, current_average double, forecast_next_24h double, observation_count long"
     return hopping_stream(weather.changing(obs, None), "station_id", "observed_at", columns, TREND, c.forecast_window_days * weather.DAY, slide, 60 * c.forecast_grace_minutes, trend_figures, told)
 
