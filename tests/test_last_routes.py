@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.plans import marine
+from tidemark.streaming.sinks import UpsertTable
 
 POSITION = "mmsi string, vessel_name string, observed_at timestamp, latitude double, longitude double, speed_over_ground_knots double, course_over_ground_degrees double, reported_eta timestamp, sea_area_id string"
 BUOY = "buoy_id string, observed_at timestamp, sea_area_id string, wave_height_meters double, wind_speed_mps double"
@@ -36,6 +37,20 @@ def test_readings_that_tie_are_decided_alike(spark):
     assert len(answers) == 1 and len(next(iter(answers))) == 5
 
 
+def test_the_first_position_of_a_second_holds(spark, tmp_path):
+    """Of two positions of a vessel within one second that meet the same reading the first one counts, in batches and in tables of streams."""
+    ships, buoys = feeds(spark, 2)
+    ships = ships.withColumns({"mmsi": F.lit("m"), "observed_at": F.timestamp_micros(F.lit(10_000_100_000) + F.col("latitude").cast("long") * 500_000), "sea_area_id": F.lit("A")})
+    buoys = buoys.limit(1).withColumns({"observed_at": F.timestamp_seconds(F.lit(10_060)), "sea_area_id": F.lit("A")})
+    pairs = marine.route_pairs(ships, buoys, None)
+    table = UpsertTable(str(tmp_path / "t"), ["event_key"], marine.last_order())
+    for i, second in enumerate((1.0, 0.0)):
+        table.write(marine.latest_routes(pairs.filter(F.col("latitude") == second)), i)
+    assert pairs.count() == 2
+    for got in (marine.last_routes(ships, buoys, None), marine.routes(pairs), table.read(spark)):
+        assert [r.latitude for r in got.collect()] == [0.0]
+
+
 def test_pairs_are_not_made(spark):
     plan = marine.last_routes(*feeds(spark), None)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan

@@ -47,7 +47,7 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     return df.orderBy(order).withColumn(name, F.monotonically_increasing_id())
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The row of each key that is last by `order`; aggregated by task before it is shuffled."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)

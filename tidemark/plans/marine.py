@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quality import in_year
@@ -50,13 +50,21 @@ def route_pairs(positions: DataFrame, buoys: DataFrame, year: int | None = 2025,
 
 #: What tells which of a vessel's recommendations for one time holds: the one of the latest reading, the greatest buoy id if they tie.
 READING = ["buoy_observed_at", "buoy_id"]
-#: What decides between readings that tie in these, so that each run takes the same one.
-TIES = ["wave_height_meters", "wind_speed_mps", "observed_at", "latitude", "longitude", "speed_over_ground_knots", "course_over_ground_degrees", "vessel_name", "reported_eta"]
+#: What decides between recommendations that tie in these and in the position's time, so that each run takes the same one.
+TIES = ["wave_height_meters", "wind_speed_mps", "latitude", "longitude", "speed_over_ground_knots", "course_over_ground_degrees", "vessel_name", "reported_eta"]
+
+
+def last_order() -> list[str | Column]:
+    """The order in which the last recommendation of a vessel and time holds.
+
+    A time is a second, in which a vessel may have sent several positions: the first of them holds where they meet the same reading.
+    """
+    return [*READING, (-F.unix_micros("observed_at")).alias("sent"), *TIES]
 
 
 def latest_routes(pairs: DataFrame) -> DataFrame:
     """One recommendation for each vessel and time, with its reading's time and buoy."""
-    return latest_per_key(pairs, ["event_key"], [*READING, *TIES])
+    return latest_per_key(pairs, ["event_key"], last_order())
 
 
 def routes(pairs: DataFrame) -> DataFrame:

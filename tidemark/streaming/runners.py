@@ -131,7 +131,7 @@ def routes_stream(positions: DataFrame, buoys: DataFrame, c: Config) -> DataFram
 def result_tables(out: str, c: Config) -> dict[str, UpsertTable]:
     """The result tables of a configuration. They lie beside its progress, under its own id, so that a run with other settings
     neither reads nor adds to what this one has written."""
-    order = {"marine_route_recommendations": [*marine.READING, *marine.TIES]}
+    order = {"marine_route_recommendations": marine.last_order()}
     return {name: UpsertTable(f"{out}/{c.progress_id()}/{name}", keys, order.get(name, [])) for name, keys in KEYS.items()}
 
 

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -28,7 +28,7 @@ class UpsertTable:
 
     path: str
     keys: list[str]
-    order: list[str] = field(default_factory=list)
+    order: list[str | Column] = field(default_factory=list)
     every: int = 50
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
