@@ -114,3 +114,17 @@ def test_each_component_keeps_one_though_ids_tie_or_lack(spark):
     rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (None, " ".join(c)), (None, near(c))]
     kept = simhash.keep_one(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)).collect()
     assert sorted((r.doc_id or 0, r.text[:20]) for r in kept) == sorted([(7, rows[0][1][:20]), (7, rows[1][1][:20]), (0, rows[4][1][:20])])
+
+
+def test_simhash_brings_near_copies_together(spark):
+    """Where min-hashes hardly ever agree (one band of sixty), texts whose SimHashes are three bits apart or less are joined all the same."""
+    r = random.Random(4)
+    texts = []
+    for i in range(40):
+        base = words(3000 + i, 400, 100000)
+        texts += [" ".join(base), edited(r, base, 1)]
+    codes = [int.from_bytes(simhash.alike_keys(t.encode(), 5, 3, 1, 60)[0][:8], "big") for t in texts]
+    near = [i for i in range(0, len(texts), 2) if (codes[i] ^ codes[i + 1]).bit_count() <= 3]
+    got = {r.doc_id: r.component_id for r in simhash.alike(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS).repartition(3), bands=1, rows=60).collect()}
+    assert len(near) > 20 and all(got[i] == got[i + 1] == i for i in near)
+    assert all(got[i] == i for i in range(0, len(texts), 2))

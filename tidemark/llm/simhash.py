@@ -11,7 +11,8 @@ variants of 64 bits would be too many rows, so the flips are made within masks:
 * `keep`: each mask keeps one block alone. All pairs within m (2k + 1) - 1 meet, most pairs a little beyond too, and keys are
   short; this is for radii at which whole balls would be too large.
 
-No radius of these says what the Jaccard similarity is, so `keep_one` goes another way: see `alike`.
+No radius of these says what the Jaccard similarity is, so `keep_one` checks the pairs that meet on their sets of shingles, and looks by
+min-hashes for those that SimHash leaves apart: see `alike`.
 
 Rows that share a key are brought together by one shuffle of (key, fingerprint) rows over distinct fingerprints. Within a key,
 colliding pairs are verified on all bits and only a spanning forest of those that hold is passed on: at most one row for each
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -479,14 +480,37 @@ def across(crowd: DataFrame, labels: DataFrame, sets: DataFrame, share: tuple[in
     return written(mapped(order, task, "a binary, b binary").distinct(), "links")
 
 
+def balls(nodes: DataFrame, flips: int = 1, per_task: int = 20_000) -> DataFrame:
+    """Of nodes, pairs (a, b) whose SimHashes are at most 2 flips + 1 of 64 bits apart: as many as join up all such fingerprints.
+
+    Nodes of one fingerprint are each paired with its least node, and least nodes stand for their fingerprints.
+    """
+    own = nodes.select(F.substring("node", 1, 8).alias("fp"), "node")
+    heads = written(own.groupBy("fp").agg(F.min("node").alias("head")), "distinct-fingerprints")
+    spread = heads.select("fp").repartition(max(1, math.ceil(heads.count() / per_task)))
+    edges = links(ball_keys(spread, 1, 2 * flips + 2, "erase", flips), 1, 2 * flips + 1)
+    for side in ("a", "b"):
+        edges = edges.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"h{side}")), side)
+    same = own.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return written(same.union(edges.select(F.least("ha", "hb"), F.greatest("ha", "hb"))), "met")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends `labels` has in different groups."""
+    for side in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    return pairs.filter("la <> lb").drop("la", "lb")
+
+
 def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, bands: int = 20, rows: int = 5, share: tuple[int, int] = (4, 5), small: int = 500_000) -> DataFrame:
     """doc_id, row, fp, label, component_id: the smallest doc_id that can be reached over pairs of Jaccard similarity 4/5 or more.
 
     Components whose smallest doc_id is the same differ in label.
 
-    The similarity is that of the sets of shingles, and every link is checked on the sets themselves. Pairs meet if the min-hashes
-    of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. SimHash orders what has met; the radius is seven deviations above
-    the mean distance at 0.8. Each text's closest pair is checked first, then of the others those whose ends the links so far
+    The similarity is that of the sets of shingles, and every link is checked on the sets themselves. Pairs meet first by ball hashing
+    of their SimHashes (`balls`: three of 64 bits), and what is linked there is done with. SimHash has 15 of 100 bits apart at 0.8, so
+    the pairs that it leaves meet if the min-hashes of one band agree: 1 - (1 - J^rows)^bands, 0.9996 at 0.8. There SimHash says what to
+    check first; the radius is seven deviations above the mean distance at 0.8. Each text's closest pair that is still apart is checked, then of the others those whose ends the links so far
     haven't joined, as the rest could join nothing new. In keys of more than FEW texts, what then is outside the largest group is
     checked against all texts of the key (`across`), so no link that could join groups is left out. Sets, of 32-bit hashes, are made
     for texts in pairs and in such keys alone, from a second look at the documents that stand for them.
@@ -514,18 +538,18 @@ def alike(docs: DataFrame, width: int = 5, words: int = 3, radius: int = 64, ban
     pairs = written(candidates(keyed, words, radius), "candidates")
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("key")
     crowd = written(keyed.join(_small(written(large, "large-keys"), small), "key"), "crowd")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct().join(distinct.select("node", "of"), "node")
+    met = balls(distinct.select("node"))
+    ends = reduce(DataFrame.union, [df.select(c) for df in (pairs, met) for c in ("a", "b")], crowd.select("node")).distinct().join(distinct.select("node", "of"), "node")
     ends = written(ends.select("node", F.col("of.doc_id").alias("i"), F.col("of.row").alias("r")), "ends")
     texts = plain.join(_small(ends, small), plain.doc_id.eqNullSafe(ends.i) & (plain.row == ends.r)).select("node", "text")
     sets = written(mapped(texts, shingles, "node binary, set array<int>").dropDuplicates(["node"]), "sets")
-    each = pairs.select(F.col("a").alias("node"), "a", "b", "d").union(pairs.select(F.col("b").alias("node"), "a", "b", "d"))
+    linked = _verified(met, sets, share)
+    left = written(_apart(pairs, components(linked, "node", "label")), "left")
+    each = left.select(F.col("a").alias("node"), "a", "b", "d").union(left.select(F.col("b").alias("node"), "a", "b", "d"))
     closest = written(each.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "closest")
-    near = _verified(closest, sets, share)
+    near = linked.union(_verified(closest, sets, share))
     so_far = components(near, "node", "label")
-    rest = pairs.join(closest, ["a", "b"], "left_anti").select("a", "b")
-    for side in ("a", "b"):
-        rest = rest.join(so_far.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    far = _verified(rest.filter("la <> lb"), sets, share)
+    far = _verified(_apart(left.join(closest, ["a", "b"], "left_anti").select("a", "b"), so_far), sets, share)
     labels = so_far
     if not far.isEmpty():
         labels = components(near.union(far), "node", "label")
