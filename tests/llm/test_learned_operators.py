@@ -138,6 +138,47 @@ def test_gradients_are_those_of_the_loss(spark):
         assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(full[i], abs=1e-5)
 
 
+def test_entries_are_worked_on_once_a_batch_not_once_a_class(spark, monkeypatch):
+    """Products alone are made class by class: two exponentials a batch, whatever the number of classes; losses as plainly worked out."""
+    *_, model = tables(spark, ROWS)
+    rng, units, calls = np.random.default_rng(5), model.classes**2, []
+    net = lm_scoring.unflatten(rng.normal(0, 0.5, len(model.flat)), model.classes, PLAIN)
+    context, target = rng.integers(0, units + 1, (500, 2 * PLAIN.side)), rng.integers(0, units, 500)
+    emb, w1, b1, wc, bc, ww, bw = net
+    h = np.tanh(emb[context].reshape(500, -1) @ w1 + b1)
+    c, i = target // model.classes, target % model.classes
+    first, second = h @ wc + bc, (h[:, None] @ ww[c])[:, 0] + bw[c]
+    want = first[range(500), c] - np.log(np.exp(first).sum(1)) + second[range(500), i] - np.log(np.exp(second).sum(1))
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: (calls.append(1), exp(*a, **k))[1])
+    lm_scoring.gradients(context, target, net, model.classes)
+    assert len(calls) == 2
+    assert lm_scoring.log_likelihood(context, target, net, model.classes) == pytest.approx(want, abs=1e-9) and len(calls) == 4
+
+
+def test_texts_without_words(spark):
+    got = lm_scoring.scored(frame(spark, [(1, None, None, None, 0), (2, " \n", None, None, 0), (None, "", None, None, 0)])).collect()
+    assert key([tuple(r) for r in got]) == key([(d, 0, 0.0, None) for d in (1, 2, None)])
+
+
+def test_words_are_split_and_numbered_as_plain_python_does():
+    import pyarrow as pa
+
+    texts = [b"A  b\tc", b" lead", b"trail\n", b"", None, b" \r\n ", b"x\x1cY\x0bz\x0c\xc2\x85\xc3\x89", b"B\xff b", b"a" * 3000 + b" A"]
+    want = [(t or b"").lower().split() for t in texts]
+    words, n = lm_scoring.split(pa.array(texts, pa.binary()).view(pa.string()))
+    flat = [w for ws in want for w in ws]
+    assert n.tolist() == [len(ws) for ws in want] and lm_scoring.bytes_of(words) == flat
+    assert lm_scoring.bytes_of(words[2:5]) == flat[2:5] and lm_scoring.bytes_of(words[:0]) == []
+    known = lm_scoring.Vocabulary()
+    for a in range(0, len(words), 3):
+        known.add(words[a : a + 3])
+        if a % 2:
+            known.merge()
+    known.merge()
+    assert [lm_scoring.bytes_of(known.words)[i] for i in np.concatenate(known.ids)] == flat and lm_scoring.bytes_of(known.words) == list(dict.fromkeys(flat))
+
+
 def test_each_position_is_masked_once_and_contexts_stay_in_their_document():
     row, place = lm_scoring.padded(np.arange(7), np.array([3, 0, 4]), 2)
     assert row[place].tolist() == [1, 2, 3, 4, 5, 6, 7]

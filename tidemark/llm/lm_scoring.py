@@ -33,14 +33,16 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, mapped, sliced, texts_of, written
+from .common import binaries, mapped, sliced, written
 
 LANE = 64  # parameters in a row when copies are averaged
 CHUNK = "chunk long, doc_ids array<long>, lengths array<long>, ids binary, words array<binary>, counts array<int>, pairs array<int>, seen array<int>"
@@ -69,7 +71,9 @@ def word_codes(words: list[bytes], tail: int) -> np.ndarray:
     """Of each word, 24 bits of its last bytes' CRC and 40 of its XXH64 (seed 42); `code_column` gives the same."""
     from xxhash import xxh64_intdigest
 
-    return np.array([(crc32(w[-tail:]) & 0xFFFFFF) << 40 | xxh64_intdigest(w, 42) & LOW for w in words], np.uint64).view(np.int64)
+    ends = pa.array([w[-tail:] for w in words], pa.binary()).dictionary_encode()
+    place = np.array([(crc32(w) & 0xFFFFFF) << 40 for w in ends.dictionary.to_pylist()], np.uint64).take(ends.indices.to_numpy())
+    return (place | np.fromiter(map(xxh64_intdigest, words, repeat(42)), np.uint64, len(words)) & np.uint64(LOW)).view(np.int64)
 
 
 def code_column(word: Column, tail: int) -> Column:
@@ -148,26 +152,50 @@ def soft(z: np.ndarray) -> np.ndarray:
     return e
 
 
-def log_soft(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    e, total = powers(z)
-    return np.log((e[np.arange(len(z)), which] + np.float32(1e-30)) / total)
+def at_each(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Where in z.reshape(-1) each row's entry `which` is."""
+    return np.arange(len(z)) * z.shape[1] + which
+
+
+def log_soft(e: np.ndarray, total: np.ndarray, which: np.ndarray) -> np.ndarray:
+    return np.log((e.reshape(-1).take(at_each(e, which)) + np.float32(1e-30)) / total)
 
 
 def _hidden(context: np.ndarray, emb: np.ndarray, w1: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = emb[context].reshape(len(context), -1)
+    x = emb.take(context, 0).reshape(len(context), -1)
     return x, np.tanh(x @ w1 + b1)
 
 
+def runs(group: np.ndarray, classes: int) -> list[tuple[int, int, int]]:
+    """class, first row, row after its last, of each class that sorted rows have."""
+    cuts = np.searchsorted(group, np.arange(classes + 1)).tolist()
+    return [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+
+
+def powers_inside(h: np.ndarray, group: np.ndarray, parts: list[tuple[int, int, int]], ww: np.ndarray, bw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`powers` of the second step's scores: rows are in order of their class, and those of a class share a factor.
+
+    Only the products are made class by class; what is done to each entry is done to all rows at once.
+    """
+    z = np.empty((len(h), bw.shape[1]), h.dtype)
+    for c, a, b in parts:
+        np.matmul(h[a:b], ww[c], out=z[a:b])
+    z += bw.take(group, 0)
+    top = np.zeros(len(ww), z.dtype)
+    top[[c for c, *_ in parts]] = np.maximum.reduceat(z.reshape(-1), [a * z.shape[1] for _, a, _ in parts])
+    z -= np.maximum(top, 0).take(group)[:, None]
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype) + np.float32(1e-30)
+
+
 def log_likelihood(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], classes: int) -> np.ndarray:
     emb, w1, b1, wc, bc, ww, bw = net
-    order = np.argsort(narrow(target // classes, classes), kind="stable")
-    group, inside = target[order] // classes, target[order] % classes
-    _, h = _hidden(context[order], emb, w1, b1)
-    got = log_soft(h @ wc + bc, group)
-    cuts = np.searchsorted(group, np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[c], cuts[c + 1]
-        got[a:b] += log_soft(h[a:b] @ ww[c] + bw[c], inside[a:b])
+    group = target // classes
+    order = np.argsort(narrow(group, classes), kind="stable")
+    group, target = group.take(order), target.take(order)
+    _, h = _hidden(context.take(order, 0), emb, w1, b1)
+    got = log_soft(*powers(h @ wc + bc), group)
+    got += log_soft(*powers_inside(h, group, runs(group, classes), ww, bw), target - group * classes)
     out = np.empty(len(target))
     out[order] = got
     return out
@@ -176,39 +204,36 @@ def log_likelihood(context: np.ndarray, target: np.ndarray, net: list[np.ndarray
 def gradients(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], classes: int) -> list:
     """Of the mean negative log-likelihood; that of the embeddings as (rows, gradient of each)."""
     emb, w1, b1, wc, bc, ww, bw = net
-    order = np.argsort(narrow(target // classes, classes), kind="stable")
-    target = target[order]
-    context, group = context[order], target // classes
-    inside = target - group * classes
+    group = target // classes
+    order = np.argsort(narrow(group, classes), kind="stable")
+    context, group, target = context.take(order, 0), group.take(order), target.take(order)
     n = len(target)
     x, h = _hidden(context, emb, w1, b1)
+    ones, step = np.ones(n, h.dtype), h.dtype.type(1 / n)
     dz = soft(h @ wc + bc)
-    dz[np.arange(n), group] -= 1
+    dz.reshape(-1)[at_each(dz, group)] -= 1
     dz /= n
-    dh = dz @ wc.T
+    dh, more = dz @ wc.T, np.empty_like(h)
     gww, gbw = np.zeros_like(ww), np.zeros_like(bw)
-    cuts = np.searchsorted(group, np.arange(classes + 1)).tolist()
-    every, ones, step = np.arange(n), np.ones(n, h.dtype), h.dtype.type(1 / n)
-    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if a < b:
-            own = h[a:b]
-            z = own @ ww[c]
-            z += bw[c]
-            d, total = powers(z)
-            d *= (step / total)[:, None]
-            d[every[: b - a], inside[a:b]] -= step
-            dh[a:b] += d @ ww[c].T
-            gww[c] = own.T @ d
-            gbw[c] = ones[: b - a] @ d
+    parts = runs(group, classes)
+    d, total = powers_inside(h, group, parts, ww, bw)
+    d *= (step / total)[:, None]
+    d.reshape(-1)[at_each(d, target - group * classes)] -= step
+    for c, a, b in parts:
+        own = d[a:b]
+        np.matmul(own, ww[c].T, out=more[a:b])
+        np.matmul(h[a:b].T, own, out=gww[c])
+        np.matmul(ones[: b - a], own, out=gbw[c])
+    dh += more
     da = h * h
     np.subtract(1, da, out=da)
     da *= dh
     dx = (da @ w1.T).reshape(-1, emb.shape[1])
     flat = narrow(context.ravel(), len(emb))
     by = np.argsort(flat, kind="stable")
-    flat = flat[by]
+    flat = flat.take(by)
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    return [(flat[first].astype(np.int64), np.add.reduceat(dx[by], first)), x.T @ da, ones @ da, h.T @ dz, ones @ dz, gww, gbw]
+    return [(flat[first].astype(np.int64), np.add.reduceat(dx.take(by, 0), first)), x.T @ da, ones @ da, h.T @ dz, ones @ dz, gww, gbw]
 
 
 def narrow(numbers: np.ndarray, size: int) -> np.ndarray:
@@ -243,7 +268,7 @@ def padded(units: np.ndarray, lengths: np.ndarray, side: int) -> tuple[np.ndarra
 
 
 def around(row: np.ndarray, place: np.ndarray, side: int) -> np.ndarray:
-    return row[place[:, None] + np.array([k for k in range(-side, side + 1) if k])]
+    return row.take(place[:, None] + np.array([k for k in range(-side, side + 1) if k]))
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -255,33 +280,77 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def bytes_of(words: pa.BinaryArray) -> list[bytes]:
+    """As to_pylist, which makes an object of Arrow's for each word first and takes several times as long."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    first, data = int(ends[0]), words.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
+    ends = (ends - first).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def split(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+    """Words in lower case, of all texts one after the other, and each text's number of words; what `bytes.lower().split()` finds."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    there = pc.binary_length(parts.values).to_numpy() > 0  # Arrow has an empty part before and after space at an end
+    return parts.values.filter(pa.array(there)), np.diff(np.r_[0, np.cumsum(there)][parts.offsets.to_numpy()])
+
+
+class Vocabulary:
+    """Numbers the words of a chunk in the order in which they first come."""
+
+    def __init__(self) -> None:
+        self.words, self.ids, self.waiting, self.size = pa.array([], pa.string()), [], [], 0
+
+    def add(self, words: pa.StringArray) -> None:
+        coded = words.dictionary_encode()
+        self.waiting.append((coded.dictionary, coded.indices.to_numpy()))
+        self.size += coded.dictionary.nbytes
+        if self.size > 64 << 20:
+            self.merge()
+
+    def merge(self) -> None:
+        whole, at = pa.concat_arrays([self.words, *(d for d, _ in self.waiting)]).dictionary_encode(), len(self.words)
+        number = whole.indices.to_numpy()
+        for d, i in self.waiting:
+            self.ids.append(number[at : at + len(d)].take(i))
+            at += len(d)
+        self.words, self.waiting, self.size = whole.dictionary, [], 0
+
+
 def chunks(docs: DataFrame, s: Settings) -> DataFrame:
     """The corpus as word numbers: a row for some million words of whole documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, doc_ids, lengths, ids, known, total = TaskContext.get().partitionId() << 20, [], [], [], {}, 0
+        chunk, doc_ids, lengths, known, total = TaskContext.get().partitionId() << 20, [], [], Vocabulary(), 0
 
         def out() -> pa.RecordBatch:
-            numbers, words = np.concatenate(ids), list(known)
-            code = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
+            known.merge()
+            numbers, words = np.concatenate(known.ids), known.words
+            code = np.frombuffer(b"\n" + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_buffer().to_pybytes() + b"\n", np.uint8).astype(np.uint16)
             pairs = np.bincount(code[:-1] << 8 | code[1:], minlength=1 << 16)
             there = np.flatnonzero(pairs)
-            columns = [[chunk], [doc_ids], [lengths], [planes(numbers)], [words], [np.bincount(numbers, minlength=len(known)).astype(np.int32)], [there.astype(np.int32)], [pairs[there].astype(np.int32)]]
+            listed = pa.ListArray.from_arrays([0, len(words)], words.cast(pa.binary()))
+            columns = [[chunk], [doc_ids], [np.concatenate(lengths)], [planes(numbers)], listed, [np.bincount(numbers, minlength=len(words)).astype(np.int32)], [there.astype(np.int32)], [pairs[there].astype(np.int32)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), *[pa.list_(pa.int32())] * 3]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
+            return pa.RecordBatch.from_arrays([c if c is listed else pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
         for batch in sliced(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                words = text.lower().split()
-                doc_ids.append(doc_id)
-                lengths.append(len(words))
-                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32))
-                total += len(words)
+            words, n = split(batch.column("text"))
+            own, ends, a = batch.column("doc_id").to_pylist(), np.cumsum(n), 0
+            while a < len(n):
+                before = int(ends[a] - n[a])
+                b = min(len(n), int(np.searchsorted(ends, before + s.chunk_words - total, side="right")) + 1)  # to the document that fills the chunk
+                doc_ids += own[a:b]
+                lengths.append(n[a:b])
+                known.add(words[before : int(ends[b - 1])])
+                total, a = total + int(ends[b - 1]) - before, b
                 if total > s.chunk_words:
                     yield out()
-                    chunk, doc_ids, lengths, ids, known, total = chunk + 1, [], [], [], {}, 0
+                    chunk, doc_ids, lengths, known, total = chunk + 1, [], [], Vocabulary(), 0
         if doc_ids:
             yield out()
 
@@ -330,7 +399,7 @@ def unit_table(table: DataFrame, model: Model) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [planes(shared.value.units(words.as_py())[from_planes(data.as_py())]) for data, words in zip(batch.column("ids"), batch.column("words"))]
+            units = [planes(shared.value.units(bytes_of(words.values)).take(from_planes(data.as_py()))) for data, words in zip(batch.column("ids"), batch.column("words"))]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("lengths"), binaries(units)], names=["chunk", "lengths", "units"])
 
     return written(mapped(table.select("chunk", "lengths", "ids", "words"), task, "chunk long, lengths array<long>, units binary"), "units")
@@ -387,34 +456,40 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
 
     def own(doc: np.ndarray, what: np.ndarray) -> np.ndarray:
         """How often each one's document has what it has."""
-        _, back, n = np.unique(doc * (int(what.max(initial=0)) + 1) + what, return_inverse=True, return_counts=True)
-        return n[back]
+        pair = doc * (int(what.max(initial=0)) + 1) + what
+        order = np.argsort(pair)
+        pair = pair.take(order)
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+        n, out = np.diff(np.r_[first, len(pair)]), np.empty(len(pair), np.int64)
+        out[order] = np.repeat(n, n)
+        return out
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         net, first = unflatten(m.flat, m.classes, s), m.classes**2 - m.places
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, lengths, ids, words = batch.column("doc_ids")[k].values, batch.column("lengths")[k].values.to_numpy(), from_planes(batch.column("ids")[k].as_py()), batch.column("words")[k].as_py()
+                doc_ids, lengths, ids, words = batch.column("doc_ids")[k].values, batch.column("lengths")[k].values.to_numpy(), from_planes(batch.column("ids")[k].as_py()), bytes_of(batch.column("words")[k].values)
                 n = np.bincount(ids, minlength=len(words)).astype(np.float64) if leave_out else np.zeros(len(words))
                 if batch.column("n")[k].is_valid:
                     more = batch.column("n")[k].values.to_numpy()
                     n[more >> 40] = more & LOW
                 unit, spelled = m.units(words), m.spelling(words)
-                row, place = padded(unit[ids], lengths, s.side)
+                units = unit.take(ids)
+                row, place = padded(units, lengths, s.side)
                 values = np.zeros(len(ids))
-                for at in range(0, len(ids), 16_384):
-                    some = place[at : at + 16_384]
-                    values[at : at + 16_384] = log_likelihood(around(row, some, s.side), row[some] - 1, net, m.classes)
+                for at in range(0, len(ids), s.batch):
+                    some = place[at : at + s.batch]
+                    values[at : at + s.batch] = log_likelihood(around(row, some, s.side), row[some] - 1, net, m.classes)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
-                rare = np.flatnonzero(unit[ids] >= first)
-                word, at = ids[rare], unit[ids[rare]] - first
+                rare = np.flatnonzero(units >= first)
+                word, at = ids.take(rare), units.take(rare) - first
                 had, of = n[word], m.n[at]
                 if leave_out:
                     had, of = had - own(doc[rare], word), of - own(doc[rare], at)
                 types = np.maximum(m.types[at], 1)
                 values[rare] += np.log(had / (of + types) + np.exp(np.log(types / (of + types)) + spelled[word]) + 1e-300)
-                sums = np.bincount(doc, values, len(lengths))
+                sums = np.bincount(doc, values, len(lengths)).astype(np.float64)  # of nothing it counts in integers
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(lengths), pa.array(sums)], names=["doc_id", "n_words", "log_likelihood"])
 
     got = mapped(joined, task, "doc_id long, n_words long, log_likelihood double")
