@@ -108,7 +108,7 @@ class Model:
         if not words:
             return np.zeros(0)
         code = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8)
-        steps = self.spelled[code[:-1], code[1:]]
+        steps = self.spelled.reshape(-1).take(code[:-1].astype(np.int64) << 8 | code[1:])
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         return np.add.reduceat(steps, np.r_[0, ends[:-1]])
 
@@ -246,8 +246,8 @@ def learn(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], sums:
     for p, s, g in zip(net, sums, gradients(context, target, net, classes)):
         if isinstance(g, tuple):
             rows, g = g
-            s[rows] += g * g
-            p[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-8)
+            s[rows] = total = s.take(rows, 0) + g * g
+            p[rows] = p.take(rows, 0) - rate * g / (np.sqrt(total) + 1e-8)
         else:
             step = g * g
             s += step
@@ -260,8 +260,8 @@ def learn(context: np.ndarray, target: np.ndarray, net: list[np.ndarray], sums:
 
 def padded(units: np.ndarray, lengths: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the embeddings with `side` zeros between documents, and where each word stands among them."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(units)) + side * (doc + 1)
+    place = np.repeat(side * np.arange(1, len(lengths) + 1), lengths)
+    place += np.arange(len(units))
     out = np.zeros(len(units) + side * (len(lengths) + 1), np.int32)
     out[place] = units + 1
     return out, place
@@ -418,11 +418,10 @@ def train(table: DataFrame, model: Model) -> Model:
             for batch in batches:
                 for chunk, lengths, data in zip(batch.column("chunk").to_pylist(), batch.column("lengths"), batch.column("units")):
                     row, place = padded(from_planes(data.as_py()), lengths.values.to_numpy(), s.side)
-                    place = place[np.arange(len(place)) % s.rounds == round_]
-                    place = place[np.random.default_rng([s.seed, round_, chunk]).permutation(len(place))]
+                    place = np.random.default_rng([s.seed, round_, chunk]).permutation(place[round_ :: s.rounds])
                     for at in range(0, len(place), s.batch):
                         some = np.sort(place[at : at + s.batch])  # drawn at random, read in order
-                        learn(around(row, some, s.side), row[some] - 1, net, sums, s.rate, classes)
+                        learn(around(row, some, s.side), row.take(some) - 1, net, sums, s.rate, classes)
                     seen += len(place)
             if seen:
                 full = np.zeros(-(-len(mine) // LANE) * LANE, np.float32)
@@ -480,13 +479,14 @@ def score(table: DataFrame, counts: DataFrame, model: Model, leave_out: bool) ->
                 values = np.zeros(len(ids))
                 for at in range(0, len(ids), s.batch):
                     some = place[at : at + s.batch]
-                    values[at : at + s.batch] = log_likelihood(around(row, some, s.side), row[some] - 1, net, m.classes)
+                    values[at : at + s.batch] = log_likelihood(around(row, some, s.side), row.take(some) - 1, net, m.classes)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 rare = np.flatnonzero(units >= first)
                 word, at = ids.take(rare), units.take(rare) - first
                 had, of = n[word], m.n[at]
                 if leave_out:
-                    had, of = had - own(doc[rare], word), of - own(doc[rare], at)
+                    its = doc.take(rare)
+                    had, of = had - own(its, word), of - own(its, at)
                 types = np.maximum(m.types[at], 1)
                 values[rare] += np.log(had / (of + types) + np.exp(np.log(types / (of + types)) + spelled[word]) + 1e-300)
                 sums = np.bincount(doc, values, len(lengths)).astype(np.float64)  # of nothing it counts in integers
