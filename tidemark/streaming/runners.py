@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,9 +47,11 @@ EVIDENCE = [("sample_count", "long", "sum"), ("freezing", "long", "sum"), ("stro
 TREND = [("n", "long", "sum"), ("sx", "long", "sum"), ("sy", "double", "sum"), ("sxy", "double", "sum"), ("sxx", "decimal(38,0)", "sum"), ("last_us", "long", "max")]
 
 
-def blizzard_figures(panes: list[tuple[int, list]]) -> tuple | None:
-    all_ = reduce(lambda a, b: joined(EVIDENCE, a, b), [values for _, values in panes])
-    return (*all_[:4], all_[4] or 0.0, all_[5] or 0.0) if min(all_[1:4]) > 0 else None
+def blizzard_figures(panes: pa.Table, begins: np.ndarray) -> tuple[np.ndarray, list]:
+    counts = [np.add.reduceat(panes[n].to_numpy(), begins) for n, _, _ in EVIDENCE[:4]]
+    which = np.flatnonzero(np.minimum.reduce(counts[1:]) > 0)
+    low, wind = (how.reduceat(pc.fill_null(panes[n], none).to_numpy(), begins).take(which) for n, how, none in (("low", np.minimum, np.inf), ("wind", np.maximum, -np.inf)))
+    return which, [*(c.take(which) for c in counts), np.where(low == np.inf, 0.0, low), np.where(wind == -np.inf, 0.0, wind)]
 
 
 def trend_figures(panes: list[tuple[int, list]]) -> tuple:
@@ -64,6 +68,12 @@ def trend_figures(panes: list[tuple[int, list]]) -> tuple:
     return slope, sy / n, sy / n + slope * ((last - origin - sx / n) / 1e6) + slope * weather.DAY, n
 
 
+def trends_figures(panes: pa.Table, begins: np.ndarray) -> tuple[np.ndarray, list]:
+    rows = list(zip(panes["pane"].to_pylist(), zip(*(panes[n].to_pylist() for n, _, _ in TREND))))
+    told = [trend_figures(rows[a:b]) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(rows)])]
+    return np.arange(len(told)), list(zip(*told))
+
+
 def blizzards_stream(obs: DataFrame, c: Config) -> DataFrame:
     """By panes of an advance, see `panes`. Needs the RocksDB state store."""
     t, w = usable_temperature(), usable_wind()
@@ -84,7 +94,7 @@ def forecast_stream(obs: DataFrame, c: Config) -> DataFrame:
     whole = x.cast("decimal(19,0)")  # squares of microseconds are more than a double or a long holds
     columns = {"n": F.lit(1).cast("long"), "sx": x, "sy": y, "sxy": x * y, "sxx": (whole * whole).cast("decimal(38,0)"), "last_us": us}
     told = "slope_per_second double, current_average double, forecast_next_24h double, observation_count long"
-    return hopping_stream(weather.changing(obs, None), "station_id", "observed_at", columns, TREND, c.forecast_window_days * weather.DAY, slide, 60 * c.forecast_grace_minutes, trend_figures, told)
+    return hopping_stream(weather.changing(obs, None), "station_id", "observed_at", columns, TREND, c.forecast_window_days * weather.DAY, slide, 60 * c.forecast_grace_minutes, trends_figures, told)
 
 
 #: Numbers of one range, as `operators.ordered.numbered` gives them.
