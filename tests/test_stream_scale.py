@@ -1,13 +1,17 @@
 """What streams keep and make does not grow with a call or a row for each of many keys."""
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_stream_operators import ran
 from tests.test_streaming import as_stream, same
 from tidemark.config import Config
 from tidemark.plans import weather
+from tidemark.plans.weather import HOUR
 from tidemark.schemas import KEYS, OBSERVATION
-from tidemark.streaming.panes import PARTS
+from tidemark.streaming.panes import PARTS, PaneWindows
 from tidemark.streaming.runners import blizzards_stream
 from tidemark.streaming.sinks import UpsertTable
 
@@ -33,3 +37,13 @@ def test_blizzards_of_many_stations_share_state(spark, tmp_path):
     got, batch = table.read(spark), weather.blizzards(obs)
     same(got, batch, [c for c in batch.columns if c in got.columns])
     assert batch.count() > 10_000 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8 * PARTS
+
+
+def test_late_rows_count_in_the_windows_that_were_open(spark):
+    """Of panes with rows in time and late ones a window takes those whose first open window is not after it."""
+    size, at = 24 * HOUR, lambda h: h * HOUR * 1_000_000
+    schema = pa.schema([("station_id", pa.string()), ("pane", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
+    windows = PaneWindows("station_id", [("n", "long", "sum")], schema, size * 1_000_000, at(1), 0, lambda panes, begins: (np.arange(len(begins)), [np.add.reduceat(panes["n"].to_numpy(), begins)]), ["station_id", "start_us", "n"])
+    held = pa.table([["a", "a", "b"], [at(30), at(30), at(31)], [at(7), at(29), at(31)], [1, 10, 100]], schema)
+    got = pd.concat(windows.windows(held, np.array([False, True, True]))).values.tolist()
+    assert got == [["a", at(29), 11], ["a", at(30), 11], ["b", at(31), 100]]
