@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.saved import LONG_ROWS
 from .common import binaries, mapped, sliced, written
 
 LANE = 64  # parameters in a row when copies are averaged
@@ -355,7 +356,7 @@ def chunks(docs: DataFrame, s: Settings) -> DataFrame:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(mapped(rows, task, CHUNK), "chunks")
+    return written(mapped(rows, task, CHUNK), "chunks", **LONG_ROWS)
 
 
 def word_counts(table: DataFrame, s: Settings) -> DataFrame:
@@ -402,7 +403,7 @@ def unit_table(table: DataFrame, model: Model) -> DataFrame:
             units = [planes(shared.value.units(bytes_of(words.values)).take(from_planes(data.as_py()))) for data, words in zip(batch.column("ids"), batch.column("words"))]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("lengths"), binaries(units)], names=["chunk", "lengths", "units"])
 
-    return written(mapped(table.select("chunk", "lengths", "ids", "words"), task, "chunk long, lengths array<long>, units binary"), "units")
+    return written(mapped(table.select("chunk", "lengths", "ids", "words"), task, "chunk long, lengths array<long>, units binary"), "units", **LONG_ROWS)
 
 
 def train(table: DataFrame, model: Model) -> Model:

@@ -74,8 +74,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: For tables whose rows are megabytes: a group of rows is written when it has these bytes, and the size is looked at after every row.
+#: Parquet looks after a hundred rows otherwise, keeps all those in memory, and readers take up as many again at once.
+LONG_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage of `df` at a Parquet table in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
