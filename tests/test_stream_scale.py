@@ -11,6 +11,7 @@ from tidemark.config import Config
 from tidemark.plans import weather
 from tidemark.plans.weather import HOUR
 from tidemark.schemas import KEYS, OBSERVATION
+from tidemark.streaming.changelog import frost_days_stream
 from tidemark.streaming.panes import PARTS, PaneWindows
 from tidemark.streaming.runners import blizzards_stream
 from tidemark.streaming.sinks import UpsertTable
@@ -47,3 +48,14 @@ def test_late_rows_count_in_the_windows_that_were_open(spark):
     held = pa.table([["a", "a", "b"], [at(30), at(30), at(31)], [at(7), at(29), at(31)], [1, 10, 100]], schema)
     got = pd.concat(windows.windows(held, np.array([False, True, True]))).values.tolist()
     assert got == [["a", at(29), 11], ["a", at(30), 11], ["b", at(31), 100]]
+
+
+def test_frost_days_of_many_stations_share_state(spark, tmp_path):
+    """2,000 stations in one day; a row of state for each part and day, and for each part and month."""
+    obs = many(spark, 2_000, 2)
+    (tmp_path / "obs").mkdir()
+    table = UpsertTable(str(tmp_path / "t"), KEYS["monthly_station_frost_days"])
+    q = ran(table, frost_days_stream(as_stream(spark, obs, str(tmp_path / "obs"), "arrival_seq", 2)), tmp_path / "cp", "append")
+    batch = weather.frost_days(obs)
+    same(table.read(spark), batch, batch.columns)
+    assert batch.count() > 500 and all(s["numRowsTotal"] <= 64 for s in q.lastProgress["stateOperators"])
