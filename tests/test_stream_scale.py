@@ -5,16 +5,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tests.test_last_routes import feeds
 from tests.test_stream_operators import ran
 from tests.test_streaming import as_stream, same
 from tidemark.config import Config
-from tidemark.plans import weather
+from tidemark.plans import marine, weather
 from tidemark.plans.weather import HOUR
 from tidemark.schemas import KEYS, OBSERVATION
 from tidemark.streaming.changelog import frost_days_stream
 from tidemark.streaming.panes import PARTS, PaneWindows
-from tidemark.streaming.runners import blizzards_stream
-from tidemark.streaming.sinks import UpsertTable
+from tidemark.streaming.runners import blizzards_stream, routes_stream
+from tidemark.streaming.sinks import CounterTable, UpsertTable
 
 
 def many(spark, stations, each):
@@ -59,3 +60,25 @@ def test_frost_days_of_many_stations_share_state(spark, tmp_path):
     batch = weather.frost_days(obs)
     same(table.read(spark), batch, batch.columns)
     assert batch.count() > 500 and all(s["numRowsTotal"] <= 64 for s in q.lastProgress["stateOperators"])
+
+
+def test_streamed_routes_are_made_without_pairs(spark, tmp_path):
+    """Rows of the stream are at most one for each position and micro-batch; the number of pairs is told beside them, and is that of all pairs."""
+    ships, buoys = feeds(spark, 150)
+    ships = ships.withColumn("sea_area_id", F.when(F.col("latitude") % 9 != 0, F.col("sea_area_id")))  # some lie nowhere
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+    c = Config(maritime_routing_year=1970)
+    got = routes_stream(as_stream(spark, ships, str(tmp_path / "a"), "observed_at", 2), as_stream(spark, buoys, str(tmp_path / "b"), "observed_at", 2), c, True)
+    table, counts, seen = UpsertTable(str(tmp_path / "t"), ["event_key"], marine.last_order()), CounterTable(str(tmp_path / "n")), []
+
+    def write(batch, i):
+        with counts.observed("routes", batch, i, F.coalesce(F.sum("n_pairs"), F.lit(0).cast("long"))) as rows:
+            table.write(marine.latest_routes(rows.drop("n_pairs")), i)
+        seen.append(batch.count())
+
+    q = got.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(write).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
+    pairs, want = marine.route_pairs(ships, buoys, 1970), marine.last_routes(ships, buoys, 1970)
+    same(table.read(spark), want, want.columns)
+    assert counts.read(spark).first()["total"] == pairs.count() > 2 * ships.count() >= 2 * max(seen) > 0

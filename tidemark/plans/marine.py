@@ -18,8 +18,8 @@ def around(positions: DataFrame, within_minutes: int = 30) -> DataFrame:
     return positions.withColumns({"event_key": key, "window_start": F.col("observed_at") - wide, "window_end": F.col("observed_at") + wide})
 
 
-def recommend(pairs: DataFrame, wave_weight: float = 22.0) -> DataFrame:
-    """A recommendation for each pair of a position (of `around`) and a reading. The weight of the wave height is 22; 8 is in use as well."""
+def recommend(pairs: DataFrame, wave_weight: float = 22.0, *more: str) -> DataFrame:
+    """A recommendation for each pair of a position (of `around`) and a reading. The weight of the wave height is 22; 8 is in use as well. Columns `more` stay."""
     scored = pairs.withColumn("risk_score", route_risk(F.col("wave_height_meters"), F.col("wind_speed_mps"), wave_weight))
     scored = scored.withColumn("risk_class", risk_class(F.col("risk_score")))
     scored = scored.withColumn("eta_delay_minutes", delay_minutes(F.col("risk_class")))
@@ -28,7 +28,7 @@ def recommend(pairs: DataFrame, wave_weight: float = 22.0) -> DataFrame:
         "event_key", "mmsi", "vessel_name", "sea_area_id", "window_start", "window_end", "observed_at", "latitude", "longitude",
         "speed_over_ground_knots", "course_over_ground_degrees", "wave_height_meters", "wind_speed_mps", "risk_score", "risk_class",
         advice(F.col("risk_class"), F.col("sea_area_id")).alias("recommendation"), "reported_eta", later.alias("updated_eta"), "eta_delay_minutes",
-        *[c for c in ("buoy_id", "buoy_observed_at") if c in pairs.columns],
+        *[c for c in ("buoy_id", "buoy_observed_at") if c in pairs.columns], *more,
     )
 
 

@@ -13,7 +13,7 @@ from datetime import date, datetime
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -25,6 +25,7 @@ from ..operators.saved import files, settings
 from ..operators.windows import drop_late, first_open_window, tumbling
 from ..plans import marine, weather
 from ..schemas import KEYS
+from .nearest import latest_within_stream
 from .panes import hopping_stream, joined
 from .processors import rapid_change_stream, wet_periods_stream
 from .ranking import ranking_stream
@@ -125,17 +126,14 @@ def lateness(c: Config) -> dict[str, tuple[Callable[[DataFrame], DataFrame], Kee
     }
 
 
-def routes_stream(positions: DataFrame, buoys: DataFrame, c: Config) -> DataFrame:
-    """Pairs as they come together; `UpsertTable` keeps one for each vessel and time, that of the latest reading. State is held for the
-    interval alone. Areas are few, so stretches of time are part of the key: a reading goes to each that its interval touches."""
+def routes_stream(positions: DataFrame, buoys: DataFrame, c: Config, counted: bool = False) -> DataFrame:
+    """A position's recommendation by the latest reading of its interval, told again when a later one has come; `UpsertTable` keeps one
+    for each vessel and time. Pairs are not made: `counted` gives their number, as n_pairs. State is held for the interval alone."""
     m = c.maritime_routing_join_window_minutes
-    stretch = lambda us: F.floor(us / (60_000_000 * max(1, 2 * m))).cast("long")
-    a = marine.around(positions.filter(in_year("observed_at", c.maritime_routing_year)), m).withColumn("a_at", stretch(F.unix_micros("observed_at"))).withWatermark("observed_at", "0 minutes").alias("a")
+    a = positions.filter(in_year("observed_at", c.maritime_routing_year))
     b = marine.buoy_side(buoys.filter(in_year("observed_at", c.maritime_routing_year)))
-    us = F.unix_micros("buoy_observed_at")
-    b = b.withColumn("b_at", F.explode(F.sequence(stretch(us - m * 60_000_000), stretch(us + m * 60_000_000)))).withWatermark("buoy_observed_at", "0 minutes").alias("b")
-    near = F.expr(f"a.sea_area_id = b.sea_area_id AND a.a_at = b.b_at AND b.buoy_observed_at BETWEEN a.observed_at - INTERVAL {m} MINUTES AND a.observed_at + INTERVAL {m} MINUTES")
-    return marine.recommend(a.join(b, near).drop(F.col("b.sea_area_id"), F.col("a_at"), F.col("b_at")), c.wave_weight)
+    met = latest_within_stream(a, b, "sea_area_id", "observed_at", "buoy_observed_at", 60 * m, ["buoy_id", "wave_height_meters", "wind_speed_mps"])
+    return marine.recommend(marine.around(met, m), c.wave_weight, *["n_pairs"] * counted)
 
 
 def result_tables(out: str, c: Config) -> dict[str, UpsertTable]:
@@ -210,15 +208,15 @@ def start(obs: DataFrame | Callable[[str], DataFrame], regions: DataFrame, out:
     def run(name: str, stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
         return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/progress/{name}").foreachBatch(sink).trigger(**trigger).queryName(name).start()
 
-    def upsert(table: str, kind: str | None = None, change: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
+    def upsert(table: str, kind: str | None = None, change: Callable[[DataFrame], DataFrame] = lambda b: b, number: Column | None = None) -> Callable[[DataFrame, int], None]:
         target = tables[table]
 
         def write(batch: DataFrame, batch_id: int) -> None:
             if not c.dashboard_sink_enabled and not publish:
                 if kind:
-                    counts.write(kind, batch, batch_id)
+                    counts.write(kind, batch, batch_id, number)
                 return
-            with counts.observed(kind, batch, batch_id) as rows:
+            with counts.observed(kind, batch, batch_id, number) as rows:
                 rows = change(rows)
                 both = bool(c.dashboard_sink_enabled and publish)
                 rows = rows.persist() if both else rows  # a micro-batch is worked out once, stateful Python and all
@@ -267,7 +265,7 @@ def start(obs: DataFrame | Callable[[str], DataFrame], regions: DataFrame, out:
         "temperature-forecast": lambda: (forecast_stream(in_time("temperature-forecast"), c), "update", upsert("temperature_forecast")),
         "wet-dry-period": lambda: (wet_periods_stream(feed("wet-dry-period"), c.wet_dry_period_year), "append", upsert("wet_period_events", "wet_period_events")),
         "weather-regimes": lambda: (weather.station_days(feed("weather-regimes"), c.weather_regime_year), "update", regimes),
-        "maritime-routing": lambda: (routes_stream(positions, buoys, c), "append", upsert("marine_route_recommendations", "marine_route_recommendations", marine.latest_routes)),
+        "maritime-routing": lambda: (routes_stream(positions, buoys, c, True), "append", upsert("marine_route_recommendations", "marine_route_recommendations", lambda b: marine.latest_routes(b.drop("n_pairs")), F.coalesce(F.sum("n_pairs"), F.lit(0).cast("long")))),
     }
     chosen = [n for n in c.stream_pattern if n != "maritime-routing" or (positions is not None and buoys is not None)]
     with settings(spark, **{STATE_STORE[0].replace(".", "__"): STATE_STORE[1]}):

@@ -83,12 +83,12 @@ class CounterTable:
 
     path: str
 
-    def write(self, kind: str, batch: DataFrame, batch_id: int) -> None:
-        batch.agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/kind={kind}/{BATCH}={batch_id}")
+    def write(self, kind: str, batch: DataFrame, batch_id: int, number: Column | None = None) -> None:
+        batch.agg((F.count("*") if number is None else number).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/kind={kind}/{BATCH}={batch_id}")
 
     @contextmanager
-    def observed(self, kind: str | None, batch: DataFrame, batch_id: int) -> Iterator[DataFrame]:
-        """`batch`, whose rows are counted as they go by in the first run over it, so that no run is made for the count.
+    def observed(self, kind: str | None, batch: DataFrame, batch_id: int, number: Column | None = None) -> Iterator[DataFrame]:
+        """`batch`, whose rows (or `number`, an aggregate of them) are counted as they go by in the first run over it, so that no run is made for the count.
 
         What was seen is written under the batch's id when the block ends well, before the batch counts as done.
         """
@@ -96,7 +96,7 @@ class CounterTable:
             yield batch
             return
         seen = Observation(f"{kind}-{batch_id}")
-        yield batch.observe(seen, F.count(F.lit(1)).alias("n"))
+        yield batch.observe(seen, (F.count(F.lit(1)) if number is None else number).alias("n"))
         spark = batch.sparkSession
         spark.createDataFrame([(seen.get["n"],)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/kind={kind}/{BATCH}={batch_id}")
 
